@@ -207,9 +207,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
     placed = placed.select("doc_id", "set_key", "gid", "block", other)
     placed = placed.select("doc_id", "set_key", "gid", F.concat_ws("-", F.least("block", "other"), F.greatest("block", "other")).alias("part"))
-    # each text is read once and sent to its parts
+    # each text is read once and sent to its parts; they grow with the input, so they aren't broadcast at any size
     parts = placed.groupBy("doc_id").agg(F.collect_list(F.struct("set_key", "gid", "part")).alias("places"))
-    texts = own.join(parts, "doc_id").select("text", F.explode("places").alias("place")).select("place.gid", "place.part", "place.set_key", "text")
+    texts = own.join(parts.hint("merge"), "doc_id").select("text", F.explode("places").alias("place")).select("place.gid", "place.part", "place.set_key", "text")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     links = texts.repartition(n, "gid", "part").sortWithinPartitions("gid", "part").mapInArrow(_link_groups, "left_key binary, right_key binary")
     links = materialise(links, "verified")
