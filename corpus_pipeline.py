@@ -5,25 +5,46 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, near_duplicates
+from ledgerline.llm import bpe, decontamination, divergence, near_duplicates, personal_data
 from ledgerline.llm.common import materialise, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go; rows without an id can't be told apart and are judged with the others of none."""
+    found = divergence.quality(docs)
+    rejected = found.where(~F.col("kept")).select(F.col("doc_id").alias("_rejected")).distinct()
+    return docs.join(rejected.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_rejected")), "left_anti")
+
+
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     return near_duplicates.keep_one(docs)
 
 
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced by its kind; n_chars follows the text."""
+    return personal_data.redact(docs, length_column="n_chars")
+
+
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each text, and the text that they decode to."""
     return bpe.encode_documents(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality_stage),
     ("near_duplicates", near_duplicates_stage),
+    ("decontamination", decontamination_stage),
+    ("personal_data", personal_data_stage),
     ("tokens", tokens_stage),
 ]
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import bpe, divergence, near_duplicates, token_counts
+from ledgerline.llm import bpe, decontamination, divergence, near_duplicates, personal_data, token_counts
 from ledgerline.llm.common import table
 
 
@@ -14,6 +14,14 @@ def op4_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.quality(table(spark, sf_dir, "documents"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -26,5 +34,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_divergence, op8_near_duplicates, op9_byte_bpe, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_divergence, op5_personal_data, op7_decontamination, op8_near_duplicates, op9_byte_bpe, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
