@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import bpe, decontamination, divergence, near_duplicates, personal_data, token_counts
+from ledgerline.llm import bpe, decontamination, divergence, near_duplicates, packing, personal_data, sharding, token_counts
 from ledgerline.llm.common import table
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents")).drop("gid")
+
+
 def op4_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.quality(table(spark, sf_dir, "documents"))
 
@@ -34,5 +42,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_divergence, op5_personal_data, op7_decontamination, op8_near_duplicates, op9_byte_bpe, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op3_sharding, op4_divergence, op5_personal_data, op7_decontamination, op8_near_duplicates, op9_byte_bpe, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
