@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.shipping import ship
+
 ORDINARY, LIGHT = 1.0, 0.3
 FACTS = (
     "path string, error string, loc int, branch_count int, weighted_branch_total double, top_level_branch double, nesting_depth int, function_count int, max_func_branch double, "
@@ -101,6 +103,7 @@ def python_facts(source: str) -> dict:
 
 def file_facts(files: DataFrame) -> DataFrame:
     """A row of facts for each Python file (path, content)."""
+    ship(files.sparkSession)
     names = [f.split(" ")[0] for f in ("path", "error", "loc", "branch_count", "weighted_branch_total", "top_level_branch", "nesting_depth", "function_count", "max_func_branch", "functions", "imports", "declarations", "assertions", "tests")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,8 +113,8 @@ def file_facts(files: DataFrame) -> DataFrame:
                 try:
                     rows.append({"path": path, "error": None} | python_facts(content or ""))
                 except (SyntaxError, ValueError, RecursionError) as e:
-                    rows.append({"path": path, "error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(rows, columns=names)
+                    rows.append(dict.fromkeys(names) | {"path": path, "error": f"{type(e).__name__}: {e}"})
+            yield pd.DataFrame({n: pd.Series([r[n] for r in rows], dtype=object) for n in names})
 
     return files.select("path", "content").mapInPandas(run, FACTS)
 

@@ -9,7 +9,7 @@ of one character is taken with that character, which is then no valid token: suc
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -41,7 +41,7 @@ COMPOSITES = ("crl_state", "module_shape", "crl_inputs")
 
 LEVELS = ("pass", "warn", "block")
 _COMPARISONS = "=!><"
-_TEXT = {"path_class", "language"}
+TEXTS = ("path_class", "language")
 
 
 class RuleError(ValueError):
@@ -97,8 +97,8 @@ class Value:
     truth: bool = False
 
 
-def compile_condition(text: str, names: Mapping[str, Column] | None = None) -> Column:
-    """The condition as a Column that is never null. names: what variables stand for; others are null."""
+def compile_condition(text: str, names: Mapping[str, Column] | None = None, texts: Collection[str] = TEXTS) -> Column:
+    """The condition as a Column that is never null. names: what variables stand for, others being null; texts: those that are text."""
     tokens = tokenize(text)
     at = 0
 
@@ -120,8 +120,8 @@ def compile_condition(text: str, names: Mapping[str, Column] | None = None) -> C
             return Value(F.lit(t.value), text=True)
         if t.kind == "name":
             if names is None:
-                return Value(F.col(t.value), text=t.value in _TEXT)
-            return Value(names[t.value], text=t.value in _TEXT) if t.value in names else Value(F.lit(None).cast("double"))
+                return Value(F.col(t.value), text=t.value in texts)
+            return Value(names[t.value], text=t.value in texts) if t.value in names else Value(F.lit(None).cast("double"))
         if t == Token("paren", "("):
             inner = condition()
             if take() != Token("paren", ")"):

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import fingerprints as fp
@@ -166,7 +166,7 @@ def a23_change_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT l_orderkey AS id, sum(CAST(floor(l_quantity) AS BIGINT)) AS v, count(*) AS n FROM lineitem GROUP BY l_orderkey), b AS (SELECT id, v, CASE WHEN n <= 1 THEN '1' WHEN n <= 3 THEN '2-3' WHEN n <= 9 THEN '4-9' WHEN n <= 19 THEN '10-19' ELSE '20+' END AS bucket, CASE WHEN id % 4 = 0 THEN 2.0 ELSE 1.0 END AS w FROM f)
-    SELECT id AS sample_id, bucket, round((rank() OVER (PARTITION BY bucket ORDER BY v) - 1) * 0 + coalesce(sum(w) OVER (PARTITION BY bucket ORDER BY v RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(w) OVER (PARTITION BY bucket) * 1000) / 10 AS percentile FROM b""")
+    SELECT id AS sample_id, bucket, round(coalesce(sum(w) OVER (PARTITION BY bucket ORDER BY v RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(w) OVER (PARTITION BY bucket) * 1000) / 10 AS percentile FROM b""")
 def a24_impact_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = tables.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("sample_id")).agg(F.sum(F.floor("l_quantity")).alias("i_push"), F.count(F.lit(1)).alias("file_count"))
     return scores.impact_scale(own, own.withColumn("weight", F.when(F.col("sample_id") % 4 == 0, 2.0).otherwise(1.0)))
@@ -243,3 +243,390 @@ def m2_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
 def g3_alpha_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size")
     return tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.round(scores.confidence(size % 9, size % 5, size % 4 * 5.0), 6).alias("confidence"), F.round(scores.alpha(size, F.lit(0.5), F.lit(40.0)), 6).alias("alpha"))
+
+
+# -- predicates, paths, policies, rules ---------------------------------------------------------
+
+
+@query("""SELECT path, CASE WHEN path LIKE '%/dist/%' THEN 'generated' WHEN path LIKE '%/__tests__/%' THEN 'test' ELSE 'production' END AS file_kind, CASE WHEN path LIKE 'pkg3/%' THEN 'auxiliary' WHEN path LIKE '%/dist/%' THEN 'generated' WHEN path LIKE '%/__tests__/%' THEN 'test' ELSE 'production' END AS kind_by_rules, coalesce(kind, 'production') IN ('production', 'test') AS change_evidence,
+    path NOT LIKE '%/dist/%' AND path NOT LIKE '%.go' AS in_scope, CASE WHEN path LIKE '%.ts' THEN 'typescript' WHEN path LIKE '%.py' THEN 'python' ELSE 'go' END AS language_of FROM files""", "files")
+def f3_file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("path")
+    return stand_in(spark, sf_dir, "files").select("path", paths.file_kind(p).alias("file_kind"), paths.file_kind_with_rules(p, [("PKG3/**", "auxiliary")]).alias("kind_by_rules"), paths.participates(F.col("kind"), "change-evidence").alias("change_evidence"), paths.in_scope(p, (".ts", ".py")).alias("in_scope"), paths.language_of(p).alias("language_of"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_brand LIKE 'Brand#1%' THEN 'first' WHEN p_brand LIKE '%#2_' THEN 'second' ELSE 'default' END AS path_class, greatest(0.1, CASE WHEN p_brand LIKE 'Brand#1%' THEN 1.3 WHEN p_brand LIKE '%#2_' THEN 0.05 ELSE 1.0 END) AS weight FROM part")
+def f5_path_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), paths.first_match(F.col("p_brand"), [("Brand#1*", "first"), ("*#2?", "second"), ("Brand#1?", "never")], F.lit("default")).alias("path_class"))
+    return own.withColumn("weight", paths.layer_weight(F.when(F.col("path_class") == "first", 1.3).when(F.col("path_class") == "second", 0.05)))
+
+
+@query("""SELECT path, CASE WHEN path LIKE 'pkg1/%' AND path NOT LIKE '%.go' AND path NOT LIKE '%/__tests__/%' THEN 'block' WHEN path LIKE '%/dist/%' AND path NOT LIKE '%/__tests__/%' THEN 'warn' END AS level FROM files WHERE (path LIKE 'pkg1/%' AND path NOT LIKE '%.go' OR path LIKE '%/dist/%') AND path NOT LIKE '%/__tests__/%'""", "files")
+def f17_protected_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = [("pkg1/**/*.{ts,py}", "block"), ("**/dist/**", "warn")]
+    hits = [F.when(paths.matches(F.col("path"), g) & ~paths.matches_any(F.col("path"), ["**/__tests__/**"]), F.lit(level)) for g, level in own]
+    named = stand_in(spark, sf_dir, "files").withColumn("levels", F.array_compact(F.array(*hits))).where(F.size("levels") > 0)
+    return named.select("path", F.when(F.array_contains("levels", "block"), "block").otherwise("warn").alias("level"))
+
+
+@query("""+t AS (SELECT language AS k, max(CASE WHEN r = least(n - 1, CAST(floor(0.95 * n) AS BIGINT)) THEN v END) AS t FROM (SELECT language, declaration_loc AS v, row_number() OVER (PARTITION BY language ORDER BY declaration_loc) - 1 AS r, count(*) OVER (PARTITION BY language) AS n FROM files WHERE declaration_loc IS NOT NULL) GROUP BY language)
+    SELECT path, declaration_loc, loc FROM files JOIN t ON k = language WHERE declaration_loc > t""", "files")
+def f19_definition_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = stand_in(spark, sf_dir, "files")
+    limit = scores.floor_p95(own, "language", "declaration_loc")
+    return own.join(limit, "language").where("declaration_loc > threshold").select("path", "declaration_loc", "loc")
+
+
+POLICIES = [joins.Policy("typed", ("typescript", "go"), exclude=("**/dist/**",)), joins.Policy("first", ("typescript", "python"), include=("pkg1/**", "pkg2/**"))]
+POLICY_SQL = "p AS (SELECT path, language IN ('typescript', 'go') AND path NOT LIKE '%/dist/%' AS typed, language IN ('typescript', 'python') AND (path LIKE 'pkg1/%' OR path LIKE 'pkg2/%') AS first FROM files)"
+
+
+@query(f"+{POLICY_SQL} SELECT path, 'typed' AS policy FROM p WHERE typed UNION ALL SELECT path, 'first' AS policy FROM p WHERE first", "files")
+def j12_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.policies_of(stand_in(spark, sf_dir, "files"), POLICIES).select("path", "policy")
+
+
+@query(f"+{POLICY_SQL} SELECT path, CASE WHEN typed AND NOT first THEN 'typed' WHEN first AND NOT typed THEN 'first' END AS policy FROM p", "files")
+def j13_sole_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.sole_policy(stand_in(spark, sf_dir, "files"), POLICIES).select("path", "policy")
+
+
+RULES = [rules.Rule("burden", "crl_local > 0.45 && max_func_branch >= 20", "block"), rules.Rule("branch", 'language == "go" && max_func_branch > 45 || exposure > 0.95', "warn")]
+RULE_SQL = "hits AS (SELECT path, 'burden' AS rule, 'block' AS level FROM burden WHERE local_burden > 0.45 AND max_func_branch >= 20 UNION ALL SELECT path, 'branch', 'warn' FROM burden WHERE (language = 'go' AND max_func_branch > 45) OR alpha_struct > 0.95)"
+
+
+def rule_names() -> dict[str, Column]:
+    return {"crl_local": F.col("local_burden"), "max_func_branch": F.col("max_func_branch"), "exposure": F.col("exposure"), "language": F.col("language"), "path_class": F.col("path_class")}
+
+
+@query(f"+{BURDEN_SQL}, {RULE_SQL} SELECT path, rule, level FROM hits", "files")
+def p9_rule_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.triggers(scored(spark, sf_dir), RULES, rule_names()).select("path", "rule", "level")
+
+
+@query(f"+{BURDEN_SQL}, {RULE_SQL} SELECT CASE coalesce(max(CASE level WHEN 'block' THEN 2 ELSE 1 END), 0) WHEN 2 THEN 'BLOCK' WHEN 1 THEN 'WARN' ELSE 'PASS' END AS verdict, CAST(count(*) AS BIGINT) AS triggers FROM hits", "files")
+def p10_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.verdict(rules.triggers(scored(spark, sf_dir), RULES, rule_names()))
+
+
+@query(f"+{BURDEN_SQL} SELECT path, 'typed' AS policy, 'burden' AS rule, 'block' AS level FROM burden WHERE language IN ('typescript', 'go') AND path NOT LIKE '%/dist/%' AND local_burden > 0.45 AND max_func_branch >= 20", "files")
+def p12_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = [joins.Policy("typed", ("typescript", "go"), exclude=("**/dist/**",), rules=tuple(RULES[:1])), joins.Policy("watched", ("python",), mode="observe", rules=tuple(RULES))]
+    return pipelines.gate(scored(spark, sf_dir), own)
+
+
+@query(f"+{P95_SQL} SELECT 20.0 AS threshold, round(20 / b, 6) AS ratio, (SELECT CAST(sum(CASE WHEN max_func_branch >= 20 THEN 1 ELSE 0 END) AS BIGINT) FROM files WHERE {PRODUCTION}) AS over FROM p95", "files")
+def p13_threshold_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = production_files(spark, sf_dir)
+    ((_, comparison, number),) = [x for x in rules.thresholds_in(RULES[0].condition) if x[0] == "max_func_branch"]
+    over = own.agg(F.count_if(rules.compile_condition(f"max_func_branch {comparison} {number:g} ", {"max_func_branch": F.col("max_func_branch")})).alias("over"))
+    return scores.calibration(own).crossJoin(over).select(F.lit(number).alias("threshold"), F.round(F.lit(number) / F.col("p95_branch"), 6).alias("ratio"), "over")
+
+
+@query(f"+{BURDEN_SQL}, two AS (SELECT *, pb * 0.8 + pn + pl + pe AS other FROM burden) SELECT path, CASE WHEN local_burden > 0.45 THEN 'local' ELSE '' END AS before, CASE WHEN other > 0.45 THEN 'local' ELSE '' END AS after FROM two WHERE (local_burden > 0.45) <> (other > 0.45)", "files")
+def p14_threshold_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = scored(spark, sf_dir)
+    sealed = own.withColumn("crl_local", F.col("local_burden"))
+    observed = own.withColumn("crl_local", F.col("part_branch") * 0.8 + F.col("part_nesting") + F.col("part_loc") + F.col("part_passthrough"))
+    out = rules.threshold_shifts(sealed, observed, "path", [rules.Rule("local", "crl_local > 0.45")])
+    return out.select("path", F.array_join("rules_before", ",").alias("before"), F.array_join("rules_after", ",").alias("after"))
+
+
+@query("""SELECT l_orderkey AS file, l_partkey AS line, CASE WHEN l_suppkey % 4 = 0 AND (l_suppkey % 8 = 0 OR l_orderkey % 2 = 0) THEN 'exempted' WHEN l_returnflag = 'A' THEN 'block' WHEN l_suppkey % 5 = 0 THEN 'warn' ELSE 'review' END AS action FROM lineitem WHERE l_orderkey < 400""")
+def p15_test_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = tables.table(spark, sf_dir, "lineitem").where("l_orderkey < 400")
+    findings = li.select(F.concat(F.lit("r"), F.col("l_suppkey")).alias("rule_id"), F.col("l_returnflag").alias("kind"), F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("line"))
+    suppliers = tables.table(spark, sf_dir, "supplier").select("s_suppkey")
+    every = suppliers.where("s_suppkey % 8 = 0").select(F.concat(F.lit("r"), F.col("s_suppkey")).alias("rule_id"), F.lit(None).cast("long").alias("file"), F.lit("2025-01-01").cast("timestamp").alias("expires"))
+    some = findings.join(suppliers.where("s_suppkey % 4 = 0").select(F.concat(F.lit("r"), F.col("s_suppkey")).alias("rule_id")), "rule_id", "left_semi").where("file % 2 = 0").select("rule_id", "file", F.lit("2025-01-01").cast("timestamp").alias("expires")).distinct()
+    over = suppliers.select(F.concat(F.lit("r"), F.col("s_suppkey")).alias("rule_id"), F.lit(None).cast("long").alias("file"), F.lit("2020-01-01").cast("timestamp").alias("expires"))
+    policy = spark.createDataFrame([("A", "block")], "key string, action string").unionByName(suppliers.where("s_suppkey % 5 = 0").select(F.concat(F.lit("r"), F.col("s_suppkey")).alias("key"), F.lit("warn").alias("action")))
+    return testing.apply_policy(findings, policy, every.unionByName(some).unionByName(over), F.lit("2024-02-01").cast("timestamp")).select("file", "line", "action")
+
+
+@query(f"+{BURDEN_SQL}, {RULE_SQL} SELECT path, round(local_burden, 6) AS local_burden, rule, level FROM hits JOIN burden USING (path) ORDER BY local_burden DESC, path LIMIT 50", "files")
+def k1_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty worst triggers; the number is the report's."""
+    return rules.triggers(scored(spark, sf_dir), RULES, rule_names()).orderBy(F.desc("local_burden"), "path").limit(50).select("path", r6("local_burden"), "rule", "level")
+
+
+# -- joins and sets -----------------------------------------------------------------------------
+
+
+@query("SELECT DISTINCT a.src, a.dst FROM imports a WHERE a.dst % 3 <> 0 AND a.src % 3 <> 0", "imports")
+def j3_known_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = stand_in(spark, sf_dir, "imports")
+    nodes = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")).where("node % 3 <> 0")
+    return graphs.dependency_edges(own.limit(0), nodes, own)
+
+
+@query("SELECT src AS test, dst AS target, CAST(min(l) AS BIGINT) AS source FROM (SELECT l_orderkey AS src, l_partkey AS dst, l_linenumber * 1000 + l_suppkey AS l FROM lineitem WHERE l_partkey % 2 = 0) GROUP BY src, dst")
+def j4_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = tables.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("test"), F.col("l_partkey").alias("target"), (F.col("l_linenumber") * 1000 + F.col("l_suppkey")).alias("source"))
+    production = tables.table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("path"))
+    return joins.sole_associations(own.withColumn("pos", F.col("source")), production)
+
+
+@query("SELECT o_orderkey AS path FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL)")
+def j6_unbaselined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return testing.unbaselined(tables.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path")), tables.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path")))
+
+
+@query("SELECT coalesce(a.id, b.id) AS path, CASE WHEN b.id IS NULL THEN 'deleted' ELSE 'changed' END AS status FROM (SELECT p_partkey AS id, CASE WHEN p_partkey % 10 <> 0 THEN p_name END AS h FROM part WHERE p_partkey % 7 <> 0) a FULL OUTER JOIN (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_name || 'x' ELSE p_name END AS h FROM part WHERE p_partkey % 5 <> 0) b ON a.id = b.id WHERE b.id IS NOT NULL AND a.h IS DISTINCT FROM b.h OR b.id IS NULL AND a.h IS NOT NULL")
+def j7_changed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = tables.table(spark, sf_dir, "part")
+    before = p.where("p_partkey % 7 <> 0").select(F.col("p_partkey").alias("path"), F.when(F.col("p_partkey") % 10 != 0, F.col("p_name")).alias("hash"))
+    after = p.where("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("path"), F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit("x"))).otherwise(F.col("p_name")).alias("hash"))
+    return tables.changed_rows(before, after)
+
+
+REVISIONS_SQL = "b AS (SELECT l_orderkey AS k, l_partkey AS p, count(*) AS n FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01' GROUP BY ALL), a AS (SELECT l_orderkey AS k, l_partkey AS p, count(*) AS n FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-06-01' GROUP BY ALL)"
+
+
+@query(f"WITH {REVISIONS_SQL} SELECT coalesce(a.k, b.k) AS l_orderkey, coalesce(a.p, b.p) AS l_partkey, CASE WHEN coalesce(a.n, 0) > 1 OR coalesce(b.n, 0) > 1 THEN 'ambiguous' WHEN b.n IS NULL THEN 'added' WHEN a.n IS NULL THEN 'removed' ELSE 'matched' END AS status FROM b FULL OUTER JOIN a ON a.k = b.k AND a.p = b.p")
+def j8_pair_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = tables.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate")
+    return joins.pair_revisions(li.where("l_shipdate < '1998-01-01'"), li.where("l_shipdate >= '1997-06-01'"), ["l_orderkey", "l_partkey"])
+
+
+@query("SELECT l.l_orderkey AS file, l.l_partkey AS line, p_partkey AS block FROM lineitem l JOIN part ON l.l_orderkey % 10 = p_size % 10 AND l.l_partkey BETWEEN p_partkey AND p_partkey + p_size WHERE l.l_orderkey <= 200")
+def j14_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = tables.table(spark, sf_dir, "lineitem").where("l_orderkey <= 200").select(F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("line"), (F.col("l_orderkey") % 10).alias("k"))
+    spans = tables.table(spark, sf_dir, "part").select((F.col("p_size") % 10).alias("k"), F.col("p_partkey").alias("block"), F.col("p_partkey").alias("start"), (F.col("p_partkey") + F.col("p_size")).alias("end"))
+    return joins.within(points, spans, "k", "line", "start", "end").select("file", "line", "block")
+
+
+@query("SELECT DISTINCT l_orderkey AS file, l_partkey AS line FROM lineitem l WHERE l_orderkey <= 200 AND NOT EXISTS (SELECT 1 FROM part WHERE l.l_orderkey % 10 = p_size % 10 AND l.l_partkey BETWEEN p_partkey AND p_partkey + p_size)")
+def j15_not_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = tables.table(spark, sf_dir, "lineitem").where("l_orderkey <= 200").select(F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("line"), (F.col("l_orderkey") % 10).alias("k")).distinct()
+    spans = tables.table(spark, sf_dir, "part").select((F.col("p_size") % 10).alias("k"), F.col("p_partkey").alias("start"), (F.col("p_partkey") + F.col("p_size")).alias("end"))
+    return joins.not_within(points, spans, "k", "line", "start", "end").select("file", "line")
+
+
+@query("SELECT k, line, block FROM (SELECT k, line, p_partkey AS block, row_number() OVER (PARTITION BY k, line ORDER BY p_size, p_partkey) AS r FROM (SELECT DISTINCT l_orderkey % 10 AS k, l_partkey AS line FROM lineitem WHERE l_orderkey <= 200) JOIN part ON k = p_size % 10 AND line BETWEEN p_partkey AND p_partkey + p_size) WHERE r = 1")
+def j16_smallest_container(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = tables.table(spark, sf_dir, "lineitem").where("l_orderkey <= 200").select((F.col("l_orderkey") % 10).alias("k"), F.col("l_partkey").alias("line")).distinct()
+    spans = tables.table(spark, sf_dir, "part").select((F.col("p_size") % 10).cast("long").alias("k"), F.col("p_partkey").alias("block"), F.col("p_partkey").alias("start"), (F.col("p_partkey") + F.col("p_size")).alias("end"))
+    return joins.smallest_container(points, spans, "k", "line", "start", "end", "block").select("k", "line", "block")
+
+
+@query("""WITH s AS (SELECT l_orderkey AS f, CAST(l_partkey % 50 AS VARCHAR) AS c FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL), i AS (SELECT l_orderkey AS f, CAST(l_partkey % 50 AS VARCHAR) AS c FROM lineitem WHERE l_linenumber >= 2 GROUP BY ALL), u AS (SELECT coalesce(s.f, i.f) AS f, coalesce(s.c, i.c) AS c, s.c IS NOT NULL AS a, i.c IS NOT NULL AS b FROM s FULL OUTER JOIN i ON s.f = i.f AND s.c = i.c)
+    SELECT f AS file, coalesce(string_agg(c, ',' ORDER BY c) FILTER (WHERE a AND b), '') AS shared, coalesce(string_agg(c, ',' ORDER BY c) FILTER (WHERE b AND NOT a), '') AS static_only, coalesce(string_agg(c, ',' ORDER BY c) FILTER (WHERE a AND NOT b), '') AS symbol_only FROM u GROUP BY f""")
+def j18_consumer_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = tables.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), (F.col("l_partkey") % 50).cast("string").alias("consumer"), "l_linenumber")
+    out = joins.consumer_sets(li.where("l_linenumber <= 3"), li.where("l_linenumber >= 2"))
+    return out.select("file", *(F.array_join(c, ",").alias(c) for c in ("shared", "static_only", "symbol_only")))
+
+
+@query("SELECT dst AS file, string_agg(DISTINCT CAST(src AS VARCHAR), ',' ORDER BY CAST(src AS VARCHAR)) AS consumers FROM imports WHERE src <> dst GROUP BY dst", "imports")
+def j20_static_consumers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stand_in(spark, sf_dir, "imports").where("src <> dst").groupBy(F.col("dst").alias("file")).agg(F.array_join(F.array_sort(F.collect_set(F.col("src").cast("string"))), ",").alias("consumers"))
+
+
+@query("SELECT DISTINCT src AS file FROM imports WHERE dst % 9 = 0", "imports")
+def j22_importers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = stand_in(spark, sf_dir, "imports")
+    return own.join(own.select("dst").where("dst % 9 = 0").distinct(), "dst", "left_semi").select(F.col("src").alias("file")).distinct()
+
+
+@query()
+def j25_similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates of every fiftieth document among all; tested against brute force."""
+    docs = tables.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    index = pipelines.document_index(docs)
+    return similarity.candidates(index, index.select("path").where("CAST(path AS BIGINT) % 50 = 0"))
+
+
+@query("SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM imports i WHERE src <> dst AND NOT (least(src, dst) % 4 = 0)", "imports")
+def j27_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = stand_in(spark, sf_dir, "imports").where("src <> dst").select(F.least("src", "dst").alias("left"), F.greatest("src", "dst").alias("right")).distinct()
+    settled = own.where("left % 4 = 0").select(F.col("right").alias("left"), F.col("left").alias("right"), F.lit("kept-separate").alias("disposition"), F.lit(1).alias("at"))
+    return joins.unresolved(own, settled).select(F.col("left").alias("a"), F.col("right").alias("b"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN n = 1 THEN q END AS profile, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' END AS reason FROM part LEFT JOIN (SELECT p_brand AS b, p_size AS s, count(*) AS n, min(p_partkey) AS q FROM part WHERE p_partkey % 3 = 0 GROUP BY ALL) ON p_brand = b AND p_size = s")
+def j28_exactly_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = tables.table(spark, sf_dir, "part")
+    return joins.exactly_one(p.select("p_brand", "p_size", F.col("p_partkey").alias("profile"), (F.col("p_partkey") % 3 == 0).alias("eligible")), p.select(F.col("p_partkey").alias("id"), "p_brand", "p_size"), ["p_brand", "p_size"]).select("id", "profile", "reason")
+
+
+@query("SELECT p_partkey AS path, CASE WHEN p_partkey % 6 = 0 THEN -1.0 ELSE CAST(p_size AS DOUBLE) END AS v FROM part")
+def j30_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("path"), F.col("p_size").cast("double").alias("v"))
+    return tables.overlay(base, base.where("path % 6 = 0").select("path", F.lit(-1.0).alias("v")), "path")
+
+
+@query("SELECT DISTINCT a.user_id AS src, b.user_id AS dst, a.event_type AS via FROM (SELECT DISTINCT user_id, event_type FROM events WHERE user_id % 10 = 0) a JOIN (SELECT DISTINCT user_id, event_type FROM events WHERE user_id % 7 = 0) b USING (event_type)")
+def j34_event_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = tables.table(spark, sf_dir, "events").select(F.col("event_type").alias("event"), F.col("user_id").alias("file"))
+    return joins.link_events(own.where("file % 10 = 0"), own.where("file % 7 = 0"))
+
+
+@query("SELECT l_orderkey AS task, bool_and(coalesce(o_orderstatus = 'F', false)) AS ready FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey - 3 GROUP BY l_orderkey")
+def j35_dependencies_done(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = tables.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("claimed").alias("status"))
+    return joins.dependencies_done(tables.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task"), (F.col("l_orderkey") - 3).alias("depends_on")), status)
+
+
+@query("SELECT l_partkey AS anchor, change_kind FROM (SELECT l_partkey, 'dependency_add' AS change_kind FROM (SELECT l_partkey FROM lineitem WHERE l_orderkey % 2 = 1 EXCEPT SELECT l_partkey FROM lineitem WHERE l_orderkey % 3 = 0) UNION ALL SELECT l_partkey, 'dependency_remove' FROM (SELECT l_partkey FROM lineitem WHERE l_orderkey % 3 = 0 EXCEPT SELECT l_partkey FROM lineitem WHERE l_orderkey % 2 = 1))")
+def x4_import_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = tables.table(spark, sf_dir, "lineitem")
+    return diffing.import_changes(li.where("l_orderkey % 3 = 0").select(F.col("l_partkey").alias("source")), li.where("l_orderkey % 2 = 1").select(F.col("l_partkey").alias("source"))).select(F.col("source").alias("anchor"), "change_kind")
+
+
+@query("SELECT src, dst, CASE WHEN src % 2 = 0 THEN 'a' ELSE 'b' END AS source, 'confirmed' AS confidence FROM imports WHERE src % 2 <> 0 UNION ALL SELECT src, dst, 'a', 'low' FROM imports WHERE dst % 5 = 0", "imports")
+def x5_replace_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = stand_in(spark, sf_dir, "imports")
+    old = own.select("src", "dst", F.when(F.col("src") % 2 == 0, "a").otherwise("b").alias("source"), F.lit("confirmed").alias("confidence"))
+    return tables.replace_source(old, own.where("dst % 5 = 0"), "a")
+
+
+@query("SELECT o_orderkey AS id, change_kind FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'public_method_sig' ELSE 'function_sig' END WHEN o_orderkey % 5 = 0 THEN 'function_body' END AS change_kind FROM orders) WHERE change_kind IS NOT NULL")
+def m7_semantic_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order a function; finished ones change their signature, every fifth its body."""
+    o = tables.table(spark, sf_dir, "orders")
+    base = o.select(F.col("o_orderkey").cast("string").alias("id"), F.lit("function").alias("kind"), (F.col("o_orderkey") % 2 == 0).alias("is_public"), F.lit("strict").alias("contract_compatibility"), F.lit("(a)").alias("signature"), F.lit("x").alias("body"), "o_orderstatus", "o_orderkey")
+    after = base.withColumns({"signature": F.when(F.col("o_orderstatus") == "F", "(a, b)").otherwise("(a)"), "body": F.when(F.col("o_orderkey") % 5 == 0, "y").otherwise("x")})
+    none = o.select(F.lit("s").alias("source")).limit(0)
+    return diffing.semantic_changes(base, after, none, none).select(F.col("anchor").cast("long").alias("id"), "change_kind")
+
+
+# -- graphs, mining, selection ------------------------------------------------------------------
+
+
+@query("SELECT src, dst FROM imports", "imports")
+def j1_dependency_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.dependency_edges(stand_in(spark, sf_dir, "imports"), tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")))
+
+
+@query("SELECT dst AS src, src AS dst FROM imports WHERE dst % 4 <> 0", "imports")
+def a8_reverse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.reverse(stand_in(spark, sf_dir, "imports"), tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")).where("node % 4 <> 0"))
+
+
+REACH_SQL = "e AS (SELECT DISTINCT src, dst FROM imports), s0 AS (SELECT p_partkey AS s, p_partkey AS t FROM part), s1 AS (SELECT s, t FROM s0 UNION SELECT s, dst FROM s0 JOIN e ON t = src), s2 AS (SELECT s, t FROM s1 UNION SELECT s, dst FROM s1 JOIN e ON t = src), s3 AS (SELECT s, t FROM s2 UNION SELECT s, dst FROM s2 JOIN e ON t = src)"
+
+
+@query(f"+{REACH_SQL} SELECT s AS node, CAST(count(*) AS BIGINT) AS reach FROM s3 GROUP BY s", "imports")
+def g1_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.reach(stand_in(spark, sf_dir, "imports"), tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")), depth=3)
+
+
+@query()
+def g6_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = stand_in(spark, sf_dir, "imports")
+    return graphs.components(own, own.select(F.col("src").alias("node")).unionByName(own.select(F.col("dst").alias("node"))).distinct())
+
+
+@query("SELECT DISTINCT path FROM (SELECT p_partkey AS path FROM part WHERE p_partkey % 9 = 0 UNION ALL SELECT src FROM imports WHERE dst % 9 = 0 OR dst % 11 = 0) WHERE path % 11 <> 0 OR path % 9 = 0", "imports")
+def g14_dirty_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("path"), F.when(F.col("p_partkey") % 9 == 0, "changed").when(F.col("p_partkey") % 11 == 0, "deleted").otherwise("same").alias("status"))
+    return graphs.dirty_files(changes, stand_in(spark, sf_dir, "imports"))
+
+
+@query()
+def g8_closed_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed sets over the hundred earliest orders, as the feature's window of commits is; tested against brute force."""
+    first = tables.table(spark, sf_dir, "orders").orderBy("o_orderdate", "o_orderkey").limit(100).select("o_orderkey")
+    own = tables.table(spark, sf_dir, "lineitem").join(first, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("l_orderkey").cast("string").alias("id")).agg(F.array_sort(F.collect_set((F.col("l_partkey") % 20).cast("string"))).alias("files"))
+    _, closed = mining.closed_sets(own)
+    return closed.select(F.array_join("files", ",").alias("files"), "occurrences", r6("average_batch"))
+
+
+@query("SELECT p_partkey AS id, p_size AS a, CAST(p_partkey % 37 AS BIGINT) AS b, CAST(p_partkey % 11 AS BIGINT) AS c FROM part x WHERE NOT EXISTS (SELECT 1 FROM part y WHERE y.p_size >= x.p_size AND y.p_partkey % 37 >= x.p_partkey % 37 AND y.p_partkey % 11 >= x.p_partkey % 11 AND (y.p_size > x.p_size OR y.p_partkey % 37 > x.p_partkey % 37 OR y.p_partkey % 11 > x.p_partkey % 11))")
+def k2_pareto_front(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("a"), (F.col("p_partkey") % 37).alias("b"), (F.col("p_partkey") % 11).alias("c"))
+    return mining.pareto_front(own, ["a", "b", "c"])
+
+
+@query("SELECT brand, id FROM (SELECT p_brand AS brand, p_partkey AS id, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS turn, p_size FROM part) WHERE turn <= 3 ORDER BY turn, brand, p_size DESC, id LIMIT 12")
+def k3_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = tables.table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("id"), "p_size")
+    return mining.round_robin(own, "brand", [F.desc("p_size"), F.col("id")], 12, 3).select("brand", "id")
+
+
+@query("SELECT l_orderkey AS id, l_partkey AS coordinator, a AS extension FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = 'N') m JOIN (SELECT DISTINCT l_orderkey AS k, l_partkey AS a FROM lineitem WHERE l_returnflag = 'A') ON k = l_orderkey JOIN (SELECT DISTINCT src, dst FROM imports) ON src = l_partkey AND dst = a", "imports")
+def j24_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = tables.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("path"), F.when(F.col("l_returnflag") == "A", "added").when(F.col("l_returnflag") == "N", "modified").otherwise("deleted").alias("kind"))
+    return mining.extensions(li, stand_in(spark, sf_dir, "imports"))
+
+
+@query("SELECT id, string_agg(CAST(path AS VARCHAR), ',' ORDER BY CAST(path AS VARCHAR)) AS files FROM (SELECT DISTINCT id, path FROM changes WHERE path % 3 <> 0 AND id NOT IN (SELECT id FROM changes WHERE path % 3 <> 0 GROUP BY id HAVING bool_and(kind = 'added'))) GROUP BY id HAVING count(*) >= 2", "changes")
+def a33_change_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = stand_in(spark, sf_dir, "changes").withColumn("path", F.col("path").cast("string"))
+    known = own.select("path").distinct().where("CAST(path AS BIGINT) % 3 <> 0")
+    return mining.change_sets(own, known).select("id", F.array_join("files", ",").alias("files"))
+
+
+# -- scalars, windows, documents ----------------------------------------------------------------
+
+
+@query("SELECT doc_id, CAST(CASE WHEN length(text) = 0 THEN 0 WHEN length(text) <= 3 THEN 1 ELSE length(text) - 2 END AS BIGINT) AS n, substring(text, 1, 3) AS first, sha256(text) AS hash FROM documents")
+def w3_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = tables.table(spark, sf_dir, "documents").withColumn("s", fp.shingles(F.col("text")))
+    return own.select("doc_id", F.size("s").cast("long").alias("n"), F.coalesce(F.get("s", 0), F.lit("")).alias("first"), F.sha2("text", 256).alias("hash"))
+
+
+@query("SELECT doc_id, CAST(b AS INT) AS start, array_to_string(lines[b + 1 : b + 4], chr(10)) AS content FROM (SELECT doc_id, lines, unnest(range(0, len(lines) - 3, 2)) AS b FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents) WHERE len(lines) >= 4)")
+def w1_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    return similarity.blocks(docs, 4, 2).select(F.col("path").alias("doc_id"), "start", "content")
+
+
+@query("SELECT doc_id, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(substring(text, 1, 40), ''), lambda c: CAST(ord(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295) AS h FROM documents WHERE length(text) > 0")
+def o2_hash32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.table(spark, sf_dir, "documents").where(F.length("text") > 0).select("doc_id", fp.hash32(F.substring("text", 1, 40), 0).alias("h"))
+
+
+@query("SELECT p_partkey AS id, array_to_string(list_transform(string_split(p_size || '.' || p_partkey % 13 || '.' || p_partkey % 5, '.'), lambda x: lpad(x, 6, '0')), '.') AS k FROM part")
+def o26_version_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.concat(F.lit("v"), F.col("p_size"), F.lit("."), F.col("p_partkey") % 13, F.lit("."), F.col("p_partkey") % 5, F.lit("-beta"))
+    return tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(F.transform(paths.version_key(v), lambda x: F.lpad(x.cast("string"), 6, "0")), ".").alias("k"))
+
+
+@query()
+def o3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MinHash and SimHash of every document; tested against the format's own values."""
+    docs = tables.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    return pipelines.document_index(docs).select(F.col("path").cast("long").alias("doc_id"), "simhash", F.array_join(F.transform("minhash", lambda x: x.cast("string")), ",").alias("minhash"))
+
+
+# -- logs and state -----------------------------------------------------------------------------
+
+
+LOG_SQL = "log AS (SELECT user_id AS task, event_type AS type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS sequence, ts FROM events)"
+
+
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.table(spark, sf_dir, "events").select(F.col("user_id").alias("task"), F.col("event_type").alias("type"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("sequence"), "ts")
+
+
+@query(f"WITH {LOG_SQL} SELECT task, arg_max(type, sequence) AS status, max(sequence) AS sequence FROM log GROUP BY task")
+def t1_task_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.task_status(log(spark, sf_dir))
+
+
+@query(f"WITH {LOG_SQL}, s AS (SELECT *, CASE type WHEN 'click' THEN 'claimed' WHEN 'view' THEN 'verified' ELSE 'completed' END AS t FROM log), p AS (SELECT task, sequence, t, lag(t) OVER (PARTITION BY task ORDER BY sequence) AS b FROM s) SELECT task, CASE WHEN min(CASE WHEN bad THEN sequence END) IS NOT NULL THEN 'transition' END AS wrong FROM (SELECT *, NOT ((b IS NULL AND t = 'verified') OR coalesce(b = 'verified' AND t = 'claimed', false)) AS bad FROM p) GROUP BY task")
+def t3_validate_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("task").orderBy("sequence")
+    own = log(spark, sf_dir).withColumn("type", F.when(F.col("type") == "click", "claimed").when(F.col("type") == "view", "verified").otherwise("completed"))
+    own = own.withColumn("event_hash", lifecycle.event_hash("task", "sequence", "type"))
+    own = own.withColumn("prev_event_hash", F.coalesce(F.lag("event_hash").over(w), F.lit(lifecycle.ZERO_HASH)))
+    return lifecycle.validate_chain(own)
+
+
+@query("SELECT event_id AS lease, user_id AS target FROM events WHERE ts + INTERVAL 6 HOURS > TIMESTAMP '2024-01-20'")
+def t9_live_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = tables.table(spark, sf_dir, "events").select(F.col("event_id").alias("lease"), F.col("user_id").alias("target"), (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("expires_at"))
+    return lifecycle.live(own, F.lit("2024-01-20").cast("timestamp_ntz"), "target", "lease").select("lease", "target")
+
+
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 12 HOURS THEN 0 ELSE 1 END AS fresh, event_id FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM g) SELECT user_id, CAST(epoch_us(min(ts)) AS BIGINT) AS start_us, CAST(count(*) AS BIGINT) AS beats FROM s GROUP BY user_id, n")
+def t11_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = lifecycle.sessions(tables.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "12 hours")
+    return own.select("user_id", F.unix_micros("start").alias("start_us"), "beats")
+
+
+@query("SELECT user_id, CAST(least(count(*), 64) AS BIGINT) AS delivered, CAST(greatest(count(*) - 64, 0) AS BIGINT) AS dropped FROM events GROUP BY user_id")
+def t13_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.bounded_fan_out(tables.table(spark, sf_dir, "events"), "user_id", "event_id")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions.paths import EXCLUDED_SEGMENTS, file_kind_with_rules, in_scope, language_of, participates
+from ledgerline.shipping import ship
 
 MAX_BLOB = 512 * 1024
 EVIDENCE_SCHEMA = "repository string, provider string, provider_version string, rule_id string, findings long, verdict string, project string, observed_at timestamp"
@@ -24,7 +25,7 @@ def project_files(spark: SparkSession, root: str, extensions: Sequence[str], pop
     own = raw.select(path.alias("path"), "length", "content").where(in_scope(F.col("path"), extensions))
     kind = file_kind_with_rules(F.col("path"), kinds)
     own = own.withColumn("kind", kind).where(participates(F.col("kind"), population)).dropDuplicates(["path"])
-    return own.select("path", language_of(F.col("path")).alias("language"), "kind", F.col("length").alias("size"), F.sha2("content", 256).alias("hash"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    return own.select("path", language_of(F.col("path")).alias("language"), "kind", F.col("length").alias("size"), F.sha2("content", 256).alias("hash"), F.decode("content", "UTF-8").alias("content"))
 
 
 def source_snapshot(files: DataFrame) -> DataFrame:
@@ -80,6 +81,8 @@ def parse_hunks(diff: str) -> list[tuple[str, int, int, int, int]]:
 
 def hunks(diffs: DataFrame, column: str = "diff") -> DataFrame:
     """A row for each hunk of a column of diffs."""
+    ship(diffs.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame([h for d in batch[column].dropna() for h in parse_hunks(d)], columns=["file", "before_start", "before_lines", "after_start", "after_lines"])

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ledgerline.shipping import ship
+
 #: What may follow what.
 NEXT = {None: "verified", "verified": "claimed", "claimed": "completed_local", "completed_local": "completed"}
 ZERO_HASH = "0" * 64
@@ -69,6 +71,7 @@ def _status_of(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -
 
 def status_stream(events: DataFrame) -> DataFrame:
     """The running status of each task over a stream of events (task, sequence, type)."""
+    ship(events.sparkSession)
     return events.groupBy("task").applyInPandasWithState(_status_of, "task string, sequence long, status string", "sequence long, status string", "update", GroupStateTimeout.NoTimeout)
 
 
@@ -108,6 +111,7 @@ def _leases(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
 
 def lease_stream(requests: DataFrame) -> DataFrame:
     """Answers to a stream of requests (target, request_id, action, owner, token, now, ttl), each target's lease and last token kept as state; tokens only grow."""
+    ship(requests.sparkSession)
     return requests.groupBy("target").applyInPandasWithState(_leases, LEASE_ANSWERS, "owner string, mine long, expires long, token long", "append", GroupStateTimeout.NoTimeout)
 
 
