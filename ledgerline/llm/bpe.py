@@ -52,8 +52,6 @@ class RankQueue:
             self.low[word] |= 1 << (rank & 63)
             self.middle[word >> 6] |= 1 << (word & 63)
             self.top |= 1 << (word >> 6)
-        elif position > bucket[-1]:
-            bucket.append(position)  # still a heap
         else:
             heappush(bucket, position)
 
