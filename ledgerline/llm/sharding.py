@@ -7,6 +7,9 @@ a shard are admitted up to its quota of linked documents, by a hash of the docum
 that no round overfills a shard and none needs an order over all documents. At the end shards over their exact
 quota give up documents, unlinked ones first, to those under it: counts are at most one apart (law `rows`).
 
+Where linked documents fill most of all quotas, no admitted move may be left although groups are still cut;
+`cut` counts what is.
+
 A group is only ever a row for each shard it has members in; its members are never brought together. The
 only things on the driver are tables of shards by shards. Positions in a shard come from counts by chunk
 of about CHUNK documents and an order within each, so no shard is sorted in one task.
@@ -23,20 +26,22 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import materialise, release
 
 SHARDS = 24
-ROUNDS = 5
+#: Rounds at most; they end before when hardly a move is admitted.
+ROUNDS = 12
 #: Documents of one chunk and shard that are put in order together, about.
 CHUNK = 4_000
 
 
-def _ranked(df: DataFrame, keys: list[str], n_rows: int, name: str) -> DataFrame:
-    """df with the place, from 0, of each row among those with the same keys, in a fixed order."""
+def _ranked(df: DataFrame, keys: list[str], n_rows: int, name: str, together: Column | None = None) -> DataFrame:
+    """df with the place, from 0, of each row among those with the same keys, in a fixed order; rows with the same `together`, if not null, follow each other."""
     chunks = max(1, n_rows // CHUNK)
-    df = df.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(name)), F.lit(chunks)).cast("int"))
+    own_hash = F.xxhash64("doc_id", "text_crc32", F.lit(name))
+    df = df.withColumn("group", F.lit(None).cast("long") if together is None else together).withColumn("chunk", F.pmod(F.coalesce("group", own_hash), F.lit(chunks)).cast("int"))
     counts = df.groupBy(*keys, "chunk").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    own = Window.partitionBy(*keys, "chunk").orderBy("doc_id", "text_crc32", "size")
-    return df.withColumn("own", F.row_number().over(own)).join(offsets, [*keys, "chunk"]).withColumn(name, F.col("offset") + F.col("own") - 1).drop("chunk", "own", "offset")
+    own = Window.partitionBy(*keys, "chunk").orderBy("group", "doc_id", "text_crc32", "size")
+    return df.withColumn("own", F.row_number().over(own)).join(offsets, [*keys, "chunk"]).withColumn(name, F.col("offset") + F.col("own") - 1).drop("chunk", "own", "offset", "group")
 
 
 def _by_shard(values: list[int], shard: Column) -> Column:
@@ -59,7 +64,7 @@ def propagate(members: DataFrame, n_shards: int = SHARDS, rounds: int = ROUNDS)
         held = linked.groupBy("gid", "shard", "m").agg(F.count(F.lit(1)).alias("n"))
         order = Window.partitionBy("gid").orderBy(F.desc("n"), F.xxhash64("gid", "shard"))
         # at most a row for each shard of a group
-        ranked = held.withColumns({"place": F.row_number().over(order), "wanted": F.ceil(F.col("m") / quota)})
+        ranked = held.withColumns({"place": F.row_number().over(order), "wanted": F.ceil(F.col("m") / quota) + F.when(2 * F.col("m") > quota, turn // 3).otherwise(0)})  # a large group that finds no room takes one more shard
         targets = ranked.where("place <= wanted").groupBy("gid").agg(F.collect_list("shard").alias("targets"))
         moving = linked.join(targets, "gid").withColumn("to", F.when(F.array_contains("targets", F.col("shard")), F.col("shard")).otherwise(F.element_at("targets", (F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.size("targets")) + 1).cast("int"))))
         moving = materialise(moving.drop("targets"), "moves")
@@ -70,7 +75,7 @@ def propagate(members: DataFrame, n_shards: int = SHARDS, rounds: int = ROUNDS)
             asked[b] += k * (a != b)
         leaving = [sum(min(k, flows.get((b, a), 0)) for (a, b), k in flows.items() if a == s and b != s) for s in range(n_shards)]  # those for whom as many come
         shares = [min(1.0, max(0, quota - loads[s] + leaving[s]) / asked[s]) if asked[s] else 0.0 for s in range(n_shards)]
-        if not sum(asked):
+        if sum(a * s for a, s in zip(asked, shares, strict=True)) < max(1.0, n / 10_000):
             release(moving)
             break
         admitted = F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(turn)), F.lit(1_000_003)) < F.floor(F.element_at(F.array(*map(F.lit, shares)), F.col("to") + 1) * 1_000_003)
@@ -88,7 +93,9 @@ def level(state: DataFrame, n_shards: int = SHARDS) -> DataFrame:
     over = [loads.get(s, 0) - (n // n_shards + (s < n % n_shards)) for s in range(n_shards)]
     order = F.when(F.col("linked"), 1).otherwise(0)
     unlinked = {r[0]: r[1] for r in state.where("not linked").groupBy("shard").count().collect()}
-    ranked = _ranked(state.withColumn("kind", order), ["shard", "kind"], n, "place")
+    # small groups are given up, and taken in, as wholes; the members of large ones are dealt to many chunks
+    together = F.when(F.col("linked") & (F.col("m") <= CHUNK), F.xxhash64("gid"))
+    ranked = _ranked(state.withColumn("kind", order), ["shard", "kind"], n, "place", together)
     place = F.col("place") + F.when(F.col("kind") == 1, _by_shard([unlinked.get(s, 0) for s in range(n_shards)], F.col("shard"))).otherwise(0)
     given = [max(0, x) for x in over]
     number = place + _by_shard([sum(given[:s]) for s in range(n_shards)], F.col("shard"))
