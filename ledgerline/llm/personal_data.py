@@ -347,7 +347,7 @@ def decode(w: Weights, scores: np.ndarray, filled: np.ndarray) -> list[tuple[int
     sums = np.concatenate(([0.0], np.cumsum(gain)))
     up_to = sums[1:] - np.minimum.accumulate(sums[:-1])
     from_ = np.maximum.accumulate(sums[:0:-1])[::-1] - sums[:-1]
-    open_ = up_to + from_ - gain - stay + around > -1e-3
+    open_ = (up_to + from_ - gain - stay + around > -1e-3) & filled
     edges = np.flatnonzero(np.diff(np.concatenate(([0], open_.astype(np.int8), [0]))))
     stretches = sorted(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True), key=lambda s: s[1] - s[0])
     out: list[tuple[int, int, int]] = []
