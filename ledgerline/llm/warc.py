@@ -181,7 +181,10 @@ def read_archive(source: BinaryIO, name: str = "archive", chunk: int = 1 << 20)
         if len(own) < n:
             raise WarcError(f"{name}: the dictionary's frame is cut off")
         if own[:4] == FRAME_MAGIC:
-            own = zstandard.ZstdDecompressor().decompressobj().decompress(own)
+            try:
+                own = zstandard.ZstdDecompressor().decompressobj().decompress(own)
+            except zstandard.ZstdError as e:
+                raise WarcError(f"{name}: the dictionary: {e}") from e
         dictionary, data, base = zstandard.ZstdCompressionDict(own), data[8 + n :], 8 + n
     decompressor = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
     while data or more():
