@@ -28,8 +28,8 @@ from ledgerline.llm.common import by_row, ship, tokenizer_path
 from ledgerline.llm.segments import is_plain, pieces, whole_pieces
 
 #: Encoded pieces and pre-tokens that a Python worker keeps, in each of two generations.
-KEPT_PIECES = 150_000
-KEPT_TOKENS = 300_000
+KEPT_PIECES = 300_000
+KEPT_TOKENS = 500_000
 #: Longer ones aren't kept.
 KEPT_CHARS = 64
 
