@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import fingerprints as fp
 from ledgerline.functions import paths
-from ledgerline.operators import diffing, graphs, joins, mining, rules, scores, similarity, testing
+from ledgerline.operators import diffing, graphs, joins, mining, rules, scores, similarity, testing, validation
 from ledgerline.plans import pipelines
 from ledgerline.sources import tables
 from ledgerline.streaming import lifecycle
@@ -630,3 +630,51 @@ def t11_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id, CAST(least(count(*), 64) AS BIGINT) AS delivered, CAST(greatest(count(*) - 64, 0) AS BIGINT) AS dropped FROM events GROUP BY user_id")
 def t13_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.bounded_fan_out(tables.table(spark, sf_dir, "events"), "user_id", "event_id")
+
+
+# -- checks and states --------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey AS id, o_custkey AS reference FROM orders WHERE o_custkey % 10 <> 3 AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey % 2 = 0)")
+def z21_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = tables.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_custkey") % 10 != 3, F.col("o_custkey")).alias("reference"))
+    return validation.dangling(own, tables.table(spark, sf_dir, "customer").where("c_nationkey % 2 = 0"), "reference", "c_custkey").select("id", "reference")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def z3_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.repeated(tables.table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT event_id, CASE WHEN h IS NULL THEN 'missing_config' WHEN r = 1 OR b IS NULL THEN 'initialized' WHEN h = b THEN 'unchanged' ELSE 'drift' END AS state FROM (SELECT *, lag(h) OVER (PARTITION BY user_id ORDER BY event_id) AS b, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM (SELECT event_id, user_id, CASE WHEN event_id % 9 <> 0 THEN event_type END AS h FROM events))")
+def s34_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = tables.table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_id") % 9 != 0, F.col("event_type")).alias("h"))
+    return validation.audit(own, "user_id", "event_id", "h").select("event_id", "state")
+
+
+@query("SELECT l_orderkey AS id, CASE WHEN sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) = count(*) THEN 'unavailable' WHEN sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) > 0 THEN 'partial' WHEN sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) > 0 THEN 'confirmed' ELSE 'not_confirmed' END AS status FROM lineitem GROUP BY l_orderkey")
+def a37_evidence_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = tables.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.when(F.col("l_returnflag") == "A", "unavailable").when(F.col("l_returnflag") == "N", "confirmed").otherwise("other").alias("status"))
+    return validation.evidence_status(own, "id")
+
+
+@query("SELECT l_orderkey AS id, CASE WHEN bool_and(l_quantity > 5) THEN 'available' WHEN NOT bool_or(l_quantity > 5) THEN 'unavailable' ELSE 'partial' END AS admission FROM lineitem GROUP BY l_orderkey")
+def a44_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.admission(tables.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_quantity") > 5).alias("available")), "id")
+
+
+@query("SELECT p_brand, p_size, CASE WHEN n <> d THEN 'repeated' WHEN p = 0 THEN 'no_positive' WHEN q = 0 THEN 'no_negative' END AS reason FROM (SELECT p_brand, p_size, count(*) AS n, count(DISTINCT p_partkey % 50) AS d, sum(CASE WHEN p_partkey % 2 = 0 AND p_partkey % 3 <> 0 THEN 1 ELSE 0 END) AS p, sum(CASE WHEN p_partkey % 2 = 1 AND p_partkey % 3 = 0 THEN 1 ELSE 0 END) AS q FROM part GROUP BY ALL)")
+def a43_calibration_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    own = tables.table(spark, sf_dir, "part").select("p_brand", "p_size", (key % 50).alias("id"), F.when(key % 2 == 0, "positive").otherwise("negative").alias("kind"), (key % 3 != 0).alias("matched"))
+    return validation.calibration_profiles(own, ["p_brand", "p_size"]).select("p_brand", "p_size", "reason")
+
+
+@query("SELECT c_mktsegment AS language, arg_max(c_name, c_custkey) AS reason, CAST(count(DISTINCT c_nationkey) AS BIGINT) AS files FROM customer GROUP BY c_mktsegment")
+def a40_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.gaps_by_language(tables.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("language"), F.col("c_name").alias("reason"), F.col("c_custkey").alias("position"), F.col("c_nationkey").alias("file")))
+
+
+@query("WITH c AS (SELECT user_id, event_type, value, ts, event_id FROM events) SELECT event_type AS operation, arg_max(user_id, lpad(CAST(event_id AS VARCHAR), 12, '0')) AS user_id, max(event_id) AS at FROM c GROUP BY event_type")
+def z57_latest_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.latest_observations(tables.table(spark, sf_dir, "events").select(F.col("event_type").alias("operation"), "user_id", F.col("event_id").alias("at")))
