@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ledgerline.llm import bpe, decontamination, divergence, near_duplicates, personal_data
 from ledgerline.llm.common import materialise, table
@@ -14,10 +13,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go; rows without an id can't be told apart and are judged with the others of none."""
-    found = divergence.quality(docs)
-    rejected = found.where(~F.col("kept")).select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(rejected.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_rejected")), "left_anti")
+    """Documents that the quality rules reject go, each row by its own verdict."""
+    return divergence.keep(docs)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

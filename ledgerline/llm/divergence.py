@@ -45,11 +45,11 @@ PACKED_WORDS = 65_536
 DEFAULTS = {"min_words": 50, "min_chars": 200, "max_char_distance": 0.285, "max_word_distance": 0.195}
 
 
-def _counts(docs: DataFrame, id_column: str, text_column: str, lang_column: str) -> DataFrame:
-    """One row of counts for each document. Each step's expensive columns are used by name, so that they are computed once."""
+def _counts(docs: DataFrame, id_column: str, text_column: str, lang_column: str, *carried: Column) -> DataFrame:
+    """One row of counts for each document, with the carried columns. Each step's expensive columns are used by name, so that they are computed once."""
     text = F.coalesce(F.col(text_column), F.lit(""))
     lang = F.when(F.col(lang_column).isin(*COMMON_WORDS), F.col(lang_column)).otherwise(F.lit("other"))
-    df = docs.select(F.col(id_column).alias("doc_id"), lang.alias("lang"), text.alias("text"))
+    df = docs.select(F.col(id_column).alias("doc_id"), lang.alias("lang"), text.alias("text"), *carried)
     # characters by class: each class is taken out of what the others left
     df = df.withColumns({"n_chars": F.length("text").cast("long"), "left": F.col("text")})
     for name, pattern in CLASSES:
@@ -109,10 +109,10 @@ def _limit(most: float, classes: int, size: Column) -> Column:
     return F.sqrt(F.lit(most * most) + F.lit((classes - 1) / (8 * math.log(2))) / F.greatest(size, F.lit(1)))
 
 
-def quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", **limits: float) -> DataFrame:
-    """The counts, base_failed, both distances and kept for each document, one row for each row of docs."""
+def _judged(docs: DataFrame, id_column: str, text_column: str, lang_column: str, limits: dict[str, float], *carried: Column) -> DataFrame:
+    """The counts, base_failed, both distances and kept for each row of docs, with the carried columns."""
     own = DEFAULTS | limits
-    counts = materialise(_counts(docs, id_column, text_column, lang_column), "counts")
+    counts = materialise(_counts(docs, id_column, text_column, lang_column, *carried), "counts")
     # at most one row for each listed language and one for the others
     chars, words = range(len(CLASSES) + 1), range(N_COMMON)
     sums = [F.sum(F.get("chars", i)).alias(f"c_{i}") for i in chars] + [F.coalesce(F.sum(F.get("common", i)), F.lit(0)).alias(f"w_{i}") for i in words]
@@ -125,4 +125,15 @@ def quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     odd_chars = (F.col("n_chars") >= own["min_chars"]) & (F.col("char_distance") > _limit(own["max_char_distance"], len(CLASSES) + 1, F.col("n_chars")))
     odd_words = (F.col("n_words") >= own["min_words"]) & (F.col("word_distance") > _limit(own["max_word_distance"], N_COMMON + 1, F.col("n_words")))
-    return df.select("doc_id", "n_words", "word_chars", F.col("n_symbols").cast("long").alias("n_symbols"), "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), "char_distance", "word_distance", (~base_failed & ~F.coalesce(odd_chars, F.lit(False)) & ~F.coalesce(odd_words, F.lit(False))).alias("kept"))
+    kept = ~base_failed & ~F.coalesce(odd_chars, F.lit(False)) & ~F.coalesce(odd_words, F.lit(False))
+    return df.withColumns({"n_symbols": F.col("n_symbols").cast("long"), "base_failed": base_failed, "kept": kept})
+
+
+def quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", **limits: float) -> DataFrame:
+    """The counts, base_failed, both distances and kept for each document, one row for each row of docs."""
+    return _judged(docs, id_column, text_column, lang_column, limits).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")
+
+
+def keep(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", **limits: float) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns: each row goes by its own verdict, whatever its id."""
+    return _judged(docs, id_column, text_column, lang_column, limits, F.struct("*").alias("row")).where("kept").select("row.*")

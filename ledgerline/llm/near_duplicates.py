@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import by_row, materialise, release, ship, utf8
@@ -103,7 +103,7 @@ def band_keys(values: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key.view(np.int64)
 
 
-SKETCHED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
+SKETCHED = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
 def _sketched(columns: dict[str, pa.Array]) -> dict[str, list]:
@@ -113,7 +113,7 @@ def _sketched(columns: dict[str, pa.Array]) -> dict[str, list]:
         n.append(len(own))
         keys.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
         bands.append(band_keys(sketch(own)) if len(own) else None)
-    return {"doc_id": columns["doc_id"], "n_shingles": n, "set_key": keys, "bands": bands}
+    return {"doc_id": columns["doc_id"], "digest": columns["digest"], "n_shingles": n, "set_key": keys, "bands": bands}
 
 
 def spanning_links(sets: list[np.ndarray], threshold: int = THRESHOLD) -> list[tuple[int, int]]:
@@ -180,17 +180,18 @@ def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links()
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", group_shingles: int = GROUP_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id that a document reaches over links) and kept, one row for each row.
+def _digest(text: Column) -> Column:
+    """What tells the texts of rows that share an id apart."""
+    return F.unhex(F.sha2(text, 256))
 
-    Texts that are null or have no words have no shingles and are linked with nothing. A row
-    without an id takes part in no link; its component_id is null, and it is kept. Rows that share an
-    id are told apart by their texts. Other columns don't matter, whatever their names.
-    """
+
+def _judged(docs: DataFrame, id_column: str, text_column: str, group_shingles: int, digest: bool = False) -> DataFrame:
+    """The columns of near_duplicates, and the texts' digests if asked for."""
     spark = docs.sparkSession
     ship(spark)
     own = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    sketched = materialise(own.mapInArrow(by_row(_sketched, SKETCHED), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "sketches")
+    rows = own.withColumn("digest", _digest(F.col("text")) if digest else F.lit(None).cast("binary"))
+    sketched = materialise(rows.mapInArrow(by_row(_sketched, SKETCHED), "doc_id long, digest binary, n_shingles long, set_key binary, bands array<long>"), "sketches")
     usable = sketched.where("doc_id is not null and set_key is not null")
     row = F.struct("doc_id", "n_shingles", "bands")
     classes = materialise(usable.groupBy("set_key").agg(F.min_by(row, "doc_id").alias("row")).select("set_key", "row.*"), "classes")
@@ -221,16 +222,26 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     found = materialise(named.join(smallest, "root").select("set_key", "component"), "components")
     release(groups, members, links, roots, named)
     all_classes = reps.join(found, "set_key", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    out = sketched.select("doc_id", "n_shingles", "set_key").join(all_classes, "set_key", "left")
+    out = sketched.select("doc_id", "digest", "n_shingles", "set_key").join(all_classes, "set_key", "left")
     id_ = F.when(F.col("doc_id").isNotNull(), F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", id_.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "digest", "n_shingles", id_.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id that a document reaches over links) and kept, one row for each row.
+
+    Texts that are null or have no words have no shingles and are linked with nothing. A row
+    without an id takes part in no link; its component_id is null, and it is kept. Rows that share an
+    id are told apart by their texts. Other columns don't matter, whatever their names.
+    """
+    return _judged(docs, id_column, text_column, group_shingles).drop("digest")
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of docs without near-duplicates: of each component the document with the least id stays, once.
+    """The rows of docs without near-duplicates: of each component the document with the least id stays, with its repeats.
 
-    Rows without an id, and those without words, stay.
+    Rows without an id, and those without words, stay. Of rows that share an id, those go whose own text is dropped.
     """
-    found = near_duplicates(docs, id_column, text_column)
-    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs[id_column].cast("long") == F.col("_dropped"), "left_anti")
+    found = _judged(docs, id_column, text_column, GROUP_SHINGLES, digest=True)
+    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("_dropped"), F.col("digest").alias("_digest")).distinct()
+    return docs.join(dropped, (docs[id_column].cast("long") == F.col("_dropped")) & (_digest(docs[text_column]) == F.col("_digest")), "left_anti")

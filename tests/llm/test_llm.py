@@ -474,3 +474,18 @@ def test_pipeline(spark, tmp_path):
     assert set(texts) == {i for i in range(60) if near[i][1] == i}
     whole = {r.doc_id: bytes(r.decoded).decode() for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert whole == texts
+
+
+def test_stages_judge_rows_not_ids(spark):
+    """Clean rows without an id, or with the id of a row that goes, stay."""
+    import corpus_pipeline
+
+    random.seed(9)
+    words = ["the", "of", "and", "to", "in"] + [f"{a}{b}" for a in ("thing", "stor", "land", "water") for b in ("ing", "ed", "er", "s", "ly")]
+    a, b, c, d = (" ".join(random.choices(words, k=120)) for _ in range(4))
+    rows = [(None, a), (None, ""), (1, b), (1, "short"), (0, c), (2, c.upper()), (2, d)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    out = {(r.doc_id, r.text) for r in corpus_pipeline.quality_stage(spark, docs.where("text != upper(text) or text = ''"), "").collect()}
+    assert out == {(None, a), (1, b), (0, c), (2, d)}
+    out = {(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates_stage(spark, docs, "").collect()}
+    assert out == set(rows) - {(2, c.upper())}
