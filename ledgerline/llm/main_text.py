@@ -21,6 +21,7 @@ import math
 import re
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +31,9 @@ from ledgerline.llm.common import by_row, ship
 SPREAD = 1.0  # of the Gaussian, in steps between two paths
 THRESHOLD = 0.4
 COVERED = 0.9
-#: Longer paths are compared by their last steps.
-DEPTH = 64
+#: More steps than these weigh 0 in floating point.
+REACH = int(SPREAD * math.sqrt(2 * 746))
+_GAUSSIAN = np.array([[math.exp(-((i + k) ** 2) / (2 * SPREAD**2)) for k in range(REACH + 1)] for i in range(REACH + 2)])
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math".split())
@@ -54,11 +56,25 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡\"'()-]")
 
 
+class Path:
+    """A path of tags: a node of the page's tree of paths."""
+
+    __slots__ = ("below", "depth", "parent")
+
+    def __init__(self, parent: "Path | None" = None) -> None:
+        self.parent, self.below, self.depth = parent, {}, parent.depth + 1 if parent else 0
+
+    def step(self, tag: str) -> "Path":
+        if tag not in self.below:
+            self.below[tag] = Path(self)
+        return self.below[tag]
+
+
 @dataclass
 class Element:
     tag: str
     parent: "Element | None"
-    path: str
+    path: Path
     depth: int
     out: bool  # never article text
     chars: int = 0  # of content paths in it, once known
@@ -72,7 +88,7 @@ class Block:
 
 def blocks_of(html: str) -> list[Block]:
     """The blocks of a page with text that may be the article's, in page order. Takes a number of steps in proportion to the page."""
-    root = Element("", None, "", 0, False)
+    root = Element("", None, Path(), 0, False)
     now, blocks, block = root, [], Block()
     raw_ends: dict[str, bool] = {}
 
@@ -171,7 +187,7 @@ def blocks_of(html: str) -> list[Block]:
         names = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes)) if attributes else ""
         out = now.out or tag in NEVER or (tag == "header" and not _inside(now, ("article", "main"))) or bool(names and tag not in ("body", "html", "article", "main") and BOILERPLATE.search(names)) or bool(attributes and _HIDDEN.search(attributes))
         if now.depth < 2000:  # deeper elements count as their parents
-            now = Element(tag, now, f"{now.path}/{tag}" if now.depth < DEPTH else now.path, now.depth + 1, out)
+            now = Element(tag, now, now.path.step(tag), now.depth + 1, out)
     cut()
     return blocks
 
@@ -184,28 +200,43 @@ def _inside(element: Element | None, tags: tuple[str, ...]) -> bool:
     return False
 
 
-def _steps(a: list[str], b: list[str]) -> int:
-    """Steps from one path to another over their common start."""
-    k = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        k += 1
-    return len(a) + len(b) - 2 * k
+def fused_ratios(totals: dict[Path, tuple[int, int, int]]) -> dict[Path, float]:
+    """Both ratios of each path, smoothed over all paths and fused. Sums by steps below each node of the tree stand for the pairs of paths."""
+    nodes = set(totals)
+    for p in totals:
+        while p.parent is not None and p.parent not in nodes:
+            p = p.parent
+            nodes.add(p)
+    # weight, characters and marks by steps below a node; then what they are from i steps away
+    below, seen = {}, {}
+    for p in sorted(nodes, key=lambda x: -x.depth):
+        sums = below.pop(p, np.zeros((1, 3)))
+        if p in totals:
+            n, chars, marks = totals[p]
+            sums[0] += math.log2(1 + n) * np.array([1.0, chars / n, marks / n])
+        seen[p] = _GAUSSIAN[:, : len(sums)] @ sums
+        if p.parent is not None:
+            more = sums[:REACH]
+            up = below.get(p.parent, np.zeros((1, 3)))
+            if len(up) <= len(more):
+                up = np.concatenate((up, np.zeros((len(more) + 1 - len(up), 3))))
+            up[1 : len(more) + 1] += more
+            below[p.parent] = up
+    out = {}
+    for p in totals:
+        total, x, i = seen[p][0].copy(), p, 0
+        while x.parent is not None and i < REACH:
+            i += 1
+            total += seen[x.parent][i] - seen[x][i + 1]
+            x = x.parent
+        weight, chars, marks = np.maximum(total, 0.0).tolist()
+        out[p] = math.sqrt(chars * marks) / weight
+    return out
 
 
-def content_paths(totals: dict[str, tuple[int, int, int]]) -> set[str]:
+def content_paths(totals: dict[Path, tuple[int, int, int]]) -> set[Path]:
     """Of paths with pieces, characters and punctuation marks, those whose fused, smoothed ratios are over the threshold."""
-    paths = sorted(totals)
-    ratios = {p: (totals[p][1] / totals[p][0], totals[p][2] / totals[p][0]) for p in paths}
-    parts = {p: p.split("/")[1:] for p in paths}
-    fused = {}
-    for p in paths:
-        weight, chars, marks = 0.0, 0.0, 0.0
-        for q in paths if len(paths) <= 400 else [p]:
-            w = math.exp(-(_steps(parts[p], parts[q]) ** 2) / (2 * SPREAD**2)) * math.log2(1 + totals[q][0])
-            weight, chars, marks = weight + w, chars + w * ratios[q][0], marks + w * ratios[q][1]
-        fused[p] = math.sqrt(chars * marks) / weight
+    paths, fused = list(totals), fused_ratios(totals)
     all_chars = sum(totals[p][1] for p in paths)
     mean = sum(fused[p] * totals[p][1] for p in paths) / all_chars if all_chars else 0.0
     found = {p for p in paths if fused[p] >= THRESHOLD * mean}
@@ -217,7 +248,7 @@ def main_text(html: str) -> str:
     blocks = blocks_of(html)
     if not blocks:
         return ""
-    totals: dict[str, list[int]] = {}
+    totals: dict[Path, list[int]] = {}
     for block in blocks:
         for element, text in block.pieces:
             t = totals.setdefault(element.path, [0, 0, 0])

@@ -489,3 +489,34 @@ def test_stages_judge_rows_not_ids(spark):
     assert out == {(None, a), (1, b), (0, c), (2, d)}
     out = {(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates_stage(spark, docs, "").collect()}
     assert out == set(rows) - {(2, c.upper())}
+
+
+def test_ratios_are_smoothed_at_every_size():
+    random.seed(10)
+    root, named = main_text.Path(), {}
+    for _ in range(1500):
+        p, steps = root, ["a"] * random.choice([0, 0, 70]) + [random.choice("abcdefgh") for _ in range(random.randint(1, 6))]
+        for tag in steps:
+            p = p.step(tag)
+        named[p] = steps
+    totals = {}
+    for p in named:
+        n = random.randint(1, 9)
+        totals[p] = (n, n * random.randint(1, 90), random.choice([0, 0, 3]))
+    assert len(totals) > 400
+    fused = main_text.fused_ratios(totals)
+    for p in random.sample(list(named), 40):
+        sums = [0.0, 0.0, 0.0]
+        for q, (n, chars, marks) in totals.items():
+            common = sum(1 for _ in itertools.takewhile(lambda x: x[0] == x[1], zip(named[p], named[q], strict=False)))
+            w = np.exp(-((len(named[p]) + len(named[q]) - 2 * common) ** 2) / 2) * np.log2(1 + n)
+            sums = [sums[0] + w, sums[1] + w * chars / n, sums[2] + w * marks / n]
+        assert fused[p] == pytest.approx(np.sqrt(sums[1] * sums[2]) / sums[0], rel=1e-6, abs=1e-6)
+
+
+def test_large_and_deep_pages_keep_their_text():
+    plain = "".join(f"<x{i}>words without any marks {i}</x{i}>" for i in range(450))
+    page = f"<body><div>{plain}<section>{''.join(f'<y{i}>One, two; three.</y{i}>' for i in range(450))}</section></div></body>"
+    assert "words without any marks 7" in main_text.main_text(page)
+    deep = main_text.blocks_of("<div>" * 80 + "<p>a</p><ul><li>b</li></ul>" + "</div>" * 80)
+    assert len({e.path for b in deep for e, _ in b.pieces}) == 2
