@@ -7,8 +7,9 @@ elements whose class or id names an advert, a notice, comments and the like) has
 For each path the page's text is summed: characters and punctuation marks, over the number of pieces.
 Both ratios are smoothed over similar paths (by a Gaussian of the steps between them), fused as the
 square root of their product, and paths over THRESHOLD times the mean over characters are content. The article is
-the smallest element that holds nearly all text of content paths (an article or main element around it is
-preferred); its blocks are the main text, so that headings and short paragraphs whose own path tells little stay.
+the smallest element that holds all text of content paths (an article or main element around it is preferred, or else
+one that holds nearly all); its blocks are the main text, so that headings and short paragraphs whose own path tells little
+stay, and so are blocks of content paths outside it.
 
 Null pages and pages without text give an empty text; text without any markup is an article of its own. Repeated pages each
 give their row. Other columns don't matter, whatever their names.
@@ -268,9 +269,9 @@ def main_text(html: str) -> str:
                     x.chars += len(text)
                     elements[id(x)] = x
                     x = x.parent
-    holding = [x for x in elements.values() if x.chars >= COVERED * all_chars]
-    article = max(holding, key=lambda x: x.depth)
-    named = [x for x in holding if x.tag in ("article", "main")]
+    whole = [x for x in elements.values() if x.chars == all_chars]
+    article = max(whole, key=lambda x: x.depth)
+    named = [x for x in whole if x.tag in ("article", "main")] or [x for x in elements.values() if x.tag in ("article", "main") and x.chars >= COVERED * all_chars]
     if named:
         article = max(named, key=lambda x: x.depth)
     else:
@@ -280,7 +281,7 @@ def main_text(html: str) -> str:
             article = article.parent
     out = []
     for block in blocks:
-        if _within(block.pieces[0][0], article) or _within(block.pieces[-1][0], article):
+        if _within(block.pieces[0][0], article) or _within(block.pieces[-1][0], article) or any(e.path in paths for e, _ in block.pieces):
             line = " ".join("".join(block.parts).split())
             if line:
                 out.append(line)

@@ -520,3 +520,10 @@ def test_large_and_deep_pages_keep_their_text():
     assert "words without any marks 7" in main_text.main_text(page)
     deep = main_text.blocks_of("<div>" * 80 + "<p>a</p><ul><li>b</li></ul>" + "</div>" * 80)
     assert len({e.path for b in deep for e, _ in b.pieces}) == 2
+
+
+def test_text_beside_a_long_body_stays():
+    body = [f"Paragraph {i}, which is long enough to be one; it goes on, and ends." for i in range(80)]
+    lead = "The lead, which is a sentence too; it tells what follows, in short."
+    for page in (f"<body><h1>Title</h1><p>{lead}</p><div>{''.join(f'<p>{x}</p>' for x in body)}</div></body>", f"<body><main><h1>Title</h1><p>{lead}</p><article>{''.join(f'<p>{x}</p>' for x in body)}</article></main></body>"):
+        assert main_text.main_text(page) == "\n".join(["Title", lead, *body])
