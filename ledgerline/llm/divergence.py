@@ -8,8 +8,8 @@ below a minimum length no verdict is given, and above it the limit is
 widened by the divergence that a sample of that size is expected to show.
 
 The base rules count words, symbols, repeated lines and words in repeated 3-word windows.
-Windows are compared by 64-bit hashes packed with their positions and sorted within the row, so that
-nothing is exploded or shuffled: an n-word text takes O(n log n) steps in its own row.
+Windows are compared by 64-bit hashes, sorted with their positions within the row, so that
+nothing is exploded or shuffled: an n-word text takes O(n log n) steps in its own row, O(n) if no window is repeated.
 
 One pass makes a row of counts for each document, written to the shared folder; the references
 are sums over those rows, one for each listed language and one for the others.
@@ -39,15 +39,12 @@ N_COMMON = 16
 #: Character classes in the order in which they are taken out of the text; what is left is the last class.
 CLASSES = [("lower", "[a-z]+"), ("blank", "[ \\t\\n\\x0B\\f\\r]+"), ("stop", "[.,;:'\"?()-]+"), ("upper", "\\p{Lu}+"), ("other_letter", "\\p{L}+"), ("digit", "[0-9]+"), ("symbol", "[#*$%&|<>!+=/\\\\^~@_]+")]
 
-#: Windows are packed into one number up to this many words.
-PACKED_WORDS = 65_536
-
 DEFAULTS = {"min_words": 50, "min_chars": 200, "max_char_distance": 0.285, "max_word_distance": 0.195}
 
 
 def _counts(docs: DataFrame, id_column: str, text_column: str, lang_column: str, *carried: Column) -> DataFrame:
     """One row of counts for each document, with the carried columns. Each step's expensive columns are used by name, so that they are computed once."""
-    text = F.coalesce(F.col(text_column), F.lit(""))
+    text = F.make_valid_utf8(F.coalesce(F.col(text_column), F.lit("")))
     lang = F.when(F.col(lang_column).isin(*COMMON_WORDS), F.col(lang_column)).otherwise(F.lit("other"))
     df = docs.select(F.col(id_column).alias("doc_id"), lang.alias("lang"), text.alias("text"), *carried)
     # characters by class: each class is taken out of what the others left
@@ -61,31 +58,22 @@ def _counts(docs: DataFrame, id_column: str, text_column: str, lang_column: str,
     df = df.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).drop("lines")
     df = df.withColumn("trimmed", F.btrim("text", F.lit(BLANKS)))
     df = df.withColumn("words", F.when(F.col("trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("trimmed", WORD_GAP))).drop("trimmed", "text")
-    df = df.withColumns({"n_words": F.size("words").cast("long"), "spaced": F.concat(F.lit(" "), F.lower(F.array_join("words", "  ")), F.lit(" "))})
+    df = df.withColumns({"n_words": F.size("words").cast("long"), "word_chars": F.length(F.array_join("words", "")).cast("long"), "spaced": F.concat(F.lit(" "), F.lower(F.array_join("words", "  ")), F.lit(" "))})
     # of common words: every word stands between blanks of its own
     listed = None
     for code, words in COMMON_WORDS.items():
         listed = (F.when if listed is None else listed.when)(F.col("lang") == code, F.array(*(F.lit(f" {x} ") for x in words)))
     df = df.withColumn("listed", listed.otherwise(F.array().cast("array<string>")))
-    df = df.withColumns({
-        "common": F.expr("transform(listed, w -> CAST((octet_length(spaced) - octet_length(replace(spaced, w, ''))) / octet_length(w) AS BIGINT))"),
-        "word_chars": F.length("spaced").cast("long") - 2 * F.col("n_words") - F.when(F.col("n_words") == 0, 2).otherwise(0),
-    }).drop("spaced", "listed")
-    # words in repeated 3-word windows
-    df = df.withColumn("bits", F.ceil(F.log2(F.col("n_words") + 1.0)).cast("int"))
-    df = df.withColumn("few", (F.col("n_words") >= 3) & (F.col("n_words") <= PACKED_WORDS))
-    df = df.withColumns({
-        "packed": F.expr("CASE WHEN few THEN sort_array(transform(sequence(1, CAST(n_words AS INT) - 2), i -> shiftleft(xxhash64(words[i - 1], words[i], words[i + 1]), bits) | i)) ELSE CAST(array() AS ARRAY<BIGINT>) END"),
-        "loose": F.expr("CASE WHEN n_words > 2 AND NOT few THEN sort_array(transform(sequence(1, CAST(n_words AS INT) - 2), i -> struct(xxhash64(words[i - 1], words[i], words[i + 1]) AS h, i AS p))) ELSE CAST(array() AS ARRAY<STRUCT<h: BIGINT, p: INT>>) END"),
-    }).drop("words")
-    df = df.withColumns({
-        "packed": F.expr("filter(packed, (x, j) -> shiftright(x, bits) = shiftright(get(packed, j - 1), bits) OR shiftright(x, bits) = shiftright(get(packed, j + 1), bits))"),
-        "loose": F.expr("filter(loose, (x, j) -> x.h = get(loose, j - 1).h OR x.h = get(loose, j + 1).h)"),
-    })
-    df = df.withColumn("starts", F.expr("CASE WHEN few THEN sort_array(transform(packed, x -> CAST(x & (shiftleft(1L, bits) - 1) AS INT))) ELSE sort_array(transform(loose, x -> x.p)) END")).drop("packed", "loose")
+    common = F.expr("transform(listed, w -> CAST((octet_length(spaced) - octet_length(replace(spaced, w, ''))) / octet_length(w) AS BIGINT))")
+    df = df.withColumn("common", common).drop("spaced", "listed")
+    # where windows that the text has twice or more begin, in order
+    df = df.withColumn("windows", F.expr("CASE WHEN n_words > 2 THEN transform(sequence(1, CAST(n_words AS INT) - 2), i -> xxhash64(words[i - 1], words[i], words[i + 1])) ELSE CAST(array() AS ARRAY<BIGINT>) END")).drop("words")
+    df = df.withColumn("placed", F.expr("CASE WHEN size(array_distinct(windows)) < size(windows) THEN sort_array(transform(windows, (x, i) -> struct(x AS h, i AS p))) ELSE CAST(array() AS ARRAY<STRUCT<h: BIGINT, p: INT>>) END")).drop("windows")
+    df = df.withColumn("placed", F.expr("filter(placed, (x, j) -> x.h = get(placed, j - 1).h OR x.h = get(placed, j + 1).h)"))
+    df = df.withColumn("starts", F.expr("sort_array(transform(placed, x -> x.p))")).drop("placed")
     # a window adds the words that the window before it, in order of position, doesn't hold
     repeated = F.expr("aggregate(zip_with(starts, slice(starts, 2, size(starts)), (a, b) -> least(3, coalesce(b - a, 3))), 0L, (s, x) -> s + x)")
-    return df.withColumn("n_repeat_words", repeated).drop("starts", "few", "bits")
+    return df.withColumn("n_repeat_words", repeated).drop("starts")
 
 
 def _distance(own: str, reference: str) -> Column:

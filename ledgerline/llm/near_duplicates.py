@@ -20,8 +20,8 @@ similarity with the concentration of independent samples.
    of classes still meets in some task.
 4. Components over the forests.
 
-With t = 160 in 32 bands of 5, a pair at similarity 0.85 has no common key with a probability of
-7e-9, and less above.
+With t = 160 in 32 bands of 5, a pair at similarity 0.80 has no common key with a probability of
+3e-6, one at 0.85 with 7e-9.
 """
 
 from __future__ import annotations
@@ -31,16 +31,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import by_row, materialise, release, ship, utf8
+from ledgerline.llm.common import by_row, join_one, materialise, release, ship, utf8
 from ledgerline.llm.components import components
 
 BINS, BANDS = 160, 32
 SHINGLE = 5
-#: Links need 100 * intersection >= THRESHOLD * union.
-THRESHOLD = 85
+#: Links need 100 * intersection >= threshold * union.
+THRESHOLD = 80
 #: Shingles of one group that a task searches; larger groups are cut into blocks.
 GROUP_SHINGLES = 2_000_000
 
@@ -103,7 +103,7 @@ def band_keys(values: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key.view(np.int64)
 
 
-SKETCHED = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
+SKETCHED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
 def _sketched(columns: dict[str, pa.Array]) -> dict[str, list]:
@@ -113,7 +113,7 @@ def _sketched(columns: dict[str, pa.Array]) -> dict[str, list]:
         n.append(len(own))
         keys.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
         bands.append(band_keys(sketch(own)) if len(own) else None)
-    return {"doc_id": columns["doc_id"], "digest": columns["digest"], "n_shingles": n, "set_key": keys, "bands": bands}
+    return {"doc_id": columns["doc_id"], "n_shingles": n, "set_key": keys, "bands": bands}
 
 
 def spanning_links(sets: list[np.ndarray], threshold: int = THRESHOLD) -> list[tuple[int, int]]:
@@ -157,13 +157,13 @@ def spanning_links(sets: list[np.ndarray], threshold: int = THRESHOLD) -> list[t
 LINKED = pa.schema([("left_key", pa.binary()), ("right_key", pa.binary())])
 
 
-def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _link_groups(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (gid, part); a group's rows are linked when the next one begins."""
     now, members = None, {}
 
     def links() -> pa.RecordBatch:
         keys = sorted(members)
-        pairs = spanning_links([members[k] for k in keys])
+        pairs = spanning_links([members[k] for k in keys], threshold)
         return pa.RecordBatch.from_arrays([pa.array([keys[a] for a, _ in pairs], pa.binary()), pa.array([keys[b] for _, b in pairs], pa.binary())], schema=LINKED)
 
     for batch in batches:
@@ -180,31 +180,26 @@ def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links()
 
 
-def _digest(text: Column) -> Column:
-    """What tells the texts of rows that share an id apart."""
-    return F.unhex(F.sha2(text, 256))
-
-
-def _judged(docs: DataFrame, id_column: str, text_column: str, group_shingles: int, digest: bool = False) -> DataFrame:
-    """The columns of near_duplicates, and the texts' digests if asked for."""
-    spark = docs.sparkSession
+def _judged(own: DataFrame, threshold: int, group_shingles: int) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row of own (doc_id, text)."""
+    spark = own.sparkSession
     ship(spark)
-    own = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    rows = own.withColumn("digest", _digest(F.col("text")) if digest else F.lit(None).cast("binary"))
-    sketched = materialise(rows.mapInArrow(by_row(_sketched, SKETCHED), "doc_id long, digest binary, n_shingles long, set_key binary, bands array<long>"), "sketches")
+    sketched = materialise(own.mapInArrow(by_row(_sketched, SKETCHED), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "sketches")
     usable = sketched.where("doc_id is not null and set_key is not null")
     row = F.struct("doc_id", "n_shingles", "bands")
-    classes = materialise(usable.groupBy("set_key").agg(F.min_by(row, "doc_id").alias("row")).select("set_key", "row.*"), "classes")
+    classes = materialise(usable.groupBy("set_key").agg(F.min_by(row, "doc_id").alias("row"), F.count(F.lit(1)).alias("n")).select("set_key", "row.*", "n"), "classes")
     keyed = classes.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band"))
-    met = keyed.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot != last").select("band", "pivot")
-    ties = keyed.join(met, "band").where("rep != pivot").select("rep", "pivot").distinct()
-    groups = materialise(components(ties, "rep", "pivot"), "groups")
+    met = keyed.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("n")).where("pivot != last")
+    met = materialise(met.select("band", "pivot", "n"), "met")
+    ties = join_one(keyed, met.select("band", "pivot"), "band", counts=met).where("rep != pivot").select("rep", "pivot").distinct()
+    groups = components(ties, "rep", "pivot")
     members = classes.select("doc_id", "n_shingles", "set_key").join(groups.withColumnRenamed("node", "doc_id"), "doc_id")
     members = materialise(members.select("doc_id", "set_key", "n_shingles", F.col("root").alias("gid")), "members")
     # blocks of a group: one, unless it has too many shingles; every pair of blocks is a part
     half = max(1, group_shingles // 2)
-    blocks = members.groupBy("gid").agg(F.sum("n_shingles").alias("all")).select("gid", F.when(F.col("all") <= group_shingles, 1).otherwise(F.ceil(F.col("all") / half)).cast("int").alias("n_blocks"))
-    placed = members.join(blocks, "gid").withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("n_blocks")).cast("int"))
+    sizes = materialise(members.groupBy("gid").agg(F.sum("n_shingles").alias("all"), F.count(F.lit(1)).alias("n")), "sizes")
+    blocks = sizes.select("gid", F.when(F.col("all") <= group_shingles, 1).otherwise(F.ceil(F.col("all") / half)).cast("int").alias("n_blocks"))
+    placed = join_one(members, blocks, "gid", counts=sizes).withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("n_blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
     placed = placed.select("doc_id", "set_key", "gid", "block", other)
     placed = placed.select("doc_id", "set_key", "gid", F.concat_ws("-", F.least("block", "other"), F.greatest("block", "other")).alias("part"))
@@ -212,36 +207,43 @@ def _judged(docs: DataFrame, id_column: str, text_column: str, group_shingles: i
     parts = placed.groupBy("doc_id").agg(F.collect_list(F.struct("set_key", "gid", "part")).alias("places"))
     texts = own.join(parts.hint("merge"), "doc_id").select("text", F.explode("places").alias("place")).select("place.gid", "place.part", "place.set_key", "text")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    links = texts.repartition(n, "gid", "part").sortWithinPartitions("gid", "part").mapInArrow(_link_groups, "left_key binary, right_key binary")
+    links = texts.repartition(n, "gid", "part").sortWithinPartitions("gid", "part").mapInArrow(lambda batches: _link_groups(batches, threshold), "left_key binary, right_key binary")
     links = materialise(links, "verified")
-    forest = components(links, "left_key", "right_key")
-    roots = materialise(forest, "roots")
+    roots = components(links, "left_key", "right_key")
     reps = classes.select("set_key", F.col("doc_id").alias("rep"))
     named = materialise(roots.withColumnRenamed("node", "set_key").join(reps, "set_key"), "named")
-    smallest = named.groupBy("root").agg(F.min("rep").alias("component"))
-    found = materialise(named.join(smallest, "root").select("set_key", "component"), "components")
-    release(groups, members, links, roots, named)
+    smallest = materialise(named.groupBy("root").agg(F.min("rep").alias("component"), F.count(F.lit(1)).alias("n")), "smallest")
+    found = join_one(named, smallest.select("root", "component"), "root", counts=smallest).select("set_key", "component")
     all_classes = reps.join(found, "set_key", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    out = sketched.select("doc_id", "digest", "n_shingles", "set_key").join(all_classes, "set_key", "left")
+    all_classes = materialise(all_classes, "components")
+    release(met, members, sizes, links, named, smallest)
+    counts = classes.select("set_key", "n")
+    out = join_one(sketched.select("doc_id", "n_shingles", "set_key"), all_classes, "set_key", "left", counts)
     id_ = F.when(F.col("doc_id").isNotNull(), F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "digest", "n_shingles", id_.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "n_shingles", id_.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: int = THRESHOLD, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that a document reaches over links) and kept, one row for each row.
 
     Texts that are null or have no words have no shingles and are linked with nothing. A row
     without an id takes part in no link; its component_id is null, and it is kept. Rows that share an
     id are told apart by their texts. Other columns don't matter, whatever their names.
     """
-    return _judged(docs, id_column, text_column, group_shingles).drop("digest")
+    return _judged(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")), threshold, group_shingles)
 
 
-def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of docs without near-duplicates: of each component the document with the least id stays, with its repeats.
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component one row stays, that with the least id (null comes last).
 
-    Rows without an id, and those without words, stay. Of rows that share an id, those go whose own text is dropped.
+    Rows are judged singly, by numbers of their own: repeated rows, rows without an id and rows that share one are
+    documents like others. Texts without words all stay.
     """
-    found = _judged(docs, id_column, text_column, GROUP_SHINGLES, digest=True)
-    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("_dropped"), F.col("digest").alias("_digest")).distinct()
-    return docs.join(dropped, (docs[id_column].cast("long") == F.col("_dropped")) & (_digest(docs[text_column]) == F.col("_digest")), "left_anti")
+    rows = docs.select(F.monotonically_increasing_id().alias("number"), F.struct("*").alias("row"))
+    rows = materialise(rows, "rows")  # the numbers stay
+    field = F.col("row").getField
+    own = rows.select(F.col("number").alias("doc_id"), field(text_column).alias("text"))
+    parts = _judged(own, threshold, GROUP_SHINGLES).select(F.col("doc_id").alias("number"), "component_id")
+    ids = rows.select("number", field(id_column).cast("long").alias("id"))
+    of = parts.join(ids, "number").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "number")).alias("first"))
+    return rows.join(of.select("first.number"), "number", "left_semi").select("row.*")

@@ -39,7 +39,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), threshold=85)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

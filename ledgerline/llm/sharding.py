@@ -7,8 +7,8 @@ a shard are admitted up to its quota of linked documents, by a hash of the docum
 that no round overfills a shard and none needs an order over all documents. At the end shards over their exact
 quota give up documents, unlinked ones first, to those under it: counts are at most one apart (law `rows`).
 
-Where linked documents fill most of all quotas, no admitted move may be left although groups are still cut;
-`cut` counts what is.
+Propagation ends after `rounds` rounds, or when shards have room for none of the moves that are left; where linked
+documents fill most of all quotas, groups may still be cut then. `cut` counts what is.
 
 A group is only ever a row for each shard it has members in; its members are never brought together. The
 only things on the driver are tables of shards by shards. Positions in a shard come from counts by chunk
@@ -23,10 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import materialise, release
+from ledgerline.llm.common import join_one, materialise, release
 
 SHARDS = 24
-#: Rounds at most; they end before when hardly a move is admitted.
+#: Rounds of propagation at most.
 ROUNDS = 12
 #: Documents of one chunk and shard that are put in order together, about.
 CHUNK = 4_000
@@ -54,8 +54,8 @@ def propagate(members: DataFrame, n_shards: int = SHARDS, rounds: int = ROUNDS)
     Moves in a round go from one table in the shared folder to the next.
     """
     state = members.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int"))
-    sizes = members.where("gid is not null").groupBy("gid").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    state = state.join(sizes, "gid", "left")
+    sizes = materialise(members.where("gid is not null").groupBy("gid").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sizes")
+    state = join_one(state, sizes, "gid", "left", sizes.select("gid", F.col("m").alias("n")))
     state = materialise(state.withColumn("linked", F.col("m").isNotNull()), "shards")
     n = state.count()
     quota = max(1, n // n_shards)
@@ -66,7 +66,7 @@ def propagate(members: DataFrame, n_shards: int = SHARDS, rounds: int = ROUNDS)
         # at most a row for each shard of a group
         ranked = held.withColumns({"place": F.row_number().over(order), "wanted": F.ceil(F.col("m") / quota) + F.when(2 * F.col("m") > quota, turn // 3).otherwise(0)})  # a large group that finds no room takes one more shard
         targets = ranked.where("place <= wanted").groupBy("gid").agg(F.collect_list("shard").alias("targets"))
-        moving = linked.join(targets, "gid").withColumn("to", F.when(F.array_contains("targets", F.col("shard")), F.col("shard")).otherwise(F.element_at("targets", (F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.size("targets")) + 1).cast("int"))))
+        moving = join_one(linked, targets, "gid", counts=sizes.select("gid", F.col("m").alias("n"))).withColumn("to", F.when(F.array_contains("targets", F.col("shard")), F.col("shard")).otherwise(F.element_at("targets", (F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.size("targets")) + 1).cast("int"))))
         moving = materialise(moving.drop("targets"), "moves")
         flows = {(r[0], r[1]): r[2] for r in moving.groupBy("shard", "to").count().collect()}  # shards by shards
         loads, asked = [0] * n_shards, [0] * n_shards
@@ -75,7 +75,7 @@ def propagate(members: DataFrame, n_shards: int = SHARDS, rounds: int = ROUNDS)
             asked[b] += k * (a != b)
         leaving = [sum(min(k, flows.get((b, a), 0)) for (a, b), k in flows.items() if a == s and b != s) for s in range(n_shards)]  # those for whom as many come
         shares = [min(1.0, max(0, quota - loads[s] + leaving[s]) / asked[s]) if asked[s] else 0.0 for s in range(n_shards)]
-        if sum(a * s for a, s in zip(asked, shares, strict=True)) < max(1.0, n / 10_000):
+        if sum(a * s for a, s in zip(asked, shares, strict=True)) < 1:
             release(moving)
             break
         admitted = F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(turn)), F.lit(1_000_003)) < F.floor(F.element_at(F.array(*map(F.lit, shares)), F.col("to") + 1) * 1_000_003)
@@ -83,6 +83,7 @@ def propagate(members: DataFrame, n_shards: int = SHARDS, rounds: int = ROUNDS)
         new = materialise(moved.unionByName(state.where("not linked")), "shards")
         release(state, moving)
         state = new
+    release(sizes)
     return state
 
 

@@ -8,7 +8,7 @@ names the archive and the place.
 
 Records with equal payloads: that with the largest page id is the response and the others are revisits that
 refer to it and hold no payload. The response of each payload comes from a grouped maximum (combined
-before the shuffle) and a join on the digest that Spark may split if skewed.
+before the shuffle) and a join on the digest that deals the copies of a common payload to several tasks.
 
 Each task writes archives of about `archive_bytes` into the shared folder under a name with the task's
 attempt and moves them into place whole; only archives named in the manifest, which comes from
@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import by_row, materialise, release, shared_root, ship, utf8
+from ledgerline.llm.common import by_row, join_one, materialise, own_folder, release, ship, utf8
 
 #: Fixed values of the format: the dictionary's skippable frame, a Zstandard frame, a dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -48,6 +48,8 @@ ARCHIVE_BYTES = 32 << 20
 #: Bytes of the first records that a dictionary is trained on, and its size.
 SAMPLE_BYTES, DICTIONARY_BYTES = 1 << 20, 32 << 10
 MAX_DICTIONARY = 64 << 20
+#: Bytes that the decoder gets at once: what is left of them after a record is copied.
+SLICE = 4 << 10
 
 
 class WarcError(ValueError):
@@ -158,62 +160,74 @@ def write_archive(out: BinaryIO, records: Iterator[bytes], archive_bytes: int =
     return n, False
 
 
+class _Feed:
+    """A stream with a place to go on from, and back to."""
+
+    def __init__(self, source: BinaryIO, chunk: int) -> None:
+        self.source, self.chunk = source, chunk
+        self.data, self.at, self.base = b"", 0, 0  # base: where data begins in the stream
+
+    @property
+    def place(self) -> int:
+        return self.base + self.at
+
+    def look(self, n: int) -> bytes:
+        """The next n bytes, fewer at the end."""
+        while len(self.data) - self.at < n:
+            new = self.source.read(self.chunk)
+            if not new:
+                break
+            self.base += self.at
+            self.data, self.at = self.data[self.at :] + new, 0
+        return self.data[self.at : self.at + n]
+
+    def skip(self, n: int) -> None:
+        self.at += n
+
+
 def read_archive(source: BinaryIO, name: str = "archive", chunk: int = 1 << 20) -> Iterator[bytes]:
     """The records of an archive, a frame at a time."""
-    data, base = source.read(chunk), 0
-
-    def more() -> bool:
-        nonlocal data
-        new = source.read(chunk)
-        data += new
-        return bool(new)
-
-    while len(data) < 8 and more():
-        pass
-    dictionary = None
-    if len(data) >= 8 and struct.unpack("<I", data[:4])[0] == DICTIONARY_MAGIC:
-        n = struct.unpack("<I", data[4:8])[0]
+    feed, dictionary = _Feed(source, chunk), None
+    head = feed.look(8)
+    if len(head) == 8 and struct.unpack("<I", head[:4])[0] == DICTIONARY_MAGIC:
+        n = struct.unpack("<I", head[4:])[0]
         if n > MAX_DICTIONARY:
             raise WarcError(f"{name}: a dictionary of {n} bytes")
-        while len(data) < 8 + n and more():
-            pass
-        own = data[8 : 8 + n]
+        feed.skip(8)
+        own = feed.look(n)
         if len(own) < n:
             raise WarcError(f"{name}: the dictionary's frame is cut off")
+        feed.skip(n)
         if own[:4] == FRAME_MAGIC:
             try:
                 own = zstandard.ZstdDecompressor().decompressobj().decompress(own)
             except zstandard.ZstdError as e:
                 raise WarcError(f"{name}: the dictionary: {e}") from e
-        dictionary, data, base = zstandard.ZstdCompressionDict(own), data[8 + n :], 8 + n
+        dictionary = zstandard.ZstdCompressionDict(own)
     decompressor = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
-    while data or more():
-        while len(data) < 8 and more():
-            pass
-        if len(data) >= 8 and 0x184D2A50 <= struct.unpack("<I", data[:4])[0] <= 0x184D2A5F:  # another skippable frame
-            n = 8 + struct.unpack("<I", data[4:8])[0]
-            while len(data) < n and more():
-                pass
-            if len(data) < n:
-                raise WarcError(f"{name}, byte {base}: a skippable frame is cut off")
-            data, base = data[n:], base + n
+    while head := feed.look(8):
+        place = feed.place
+        if len(head) == 8 and 0x184D2A50 <= struct.unpack("<I", head[:4])[0] <= 0x184D2A5F:  # another skippable frame
+            n = 8 + struct.unpack("<I", head[4:])[0]
+            while n:
+                own = len(feed.look(min(n, chunk)))
+                if not own:
+                    raise WarcError(f"{name}, byte {place}: a skippable frame is cut off")
+                feed.skip(own)
+                n -= own
             continue
-        if data[:4] != FRAME_MAGIC:
-            raise WarcError(f"{name}, byte {base}: no frame begins here")
-        frame, out, fed = decompressor.decompressobj(), [], 0
+        if head[:4] != FRAME_MAGIC:
+            raise WarcError(f"{name}, byte {place}: no frame begins here")
+        frame, out = decompressor.decompressobj(), []
         try:
-            while True:
-                fed += len(data)
-                out.append(frame.decompress(data))
-                if frame.eof:
-                    data = frame.unused_data
-                    break
-                data = source.read(chunk)
-                if not data:
-                    raise WarcError(f"{name}, byte {base}: a frame is cut off")
+            while not frame.eof:
+                own = feed.look(SLICE)
+                if not own:
+                    raise WarcError(f"{name}, byte {place}: a frame is cut off")
+                out.append(frame.decompress(own))
+                feed.skip(len(own) - len(frame.unused_data))
         except zstandard.ZstdError as e:
-            raise WarcError(f"{name}, byte {base}: {e}") from e
-        base += fed - len(data)
+            raise WarcError(f"{name}, byte {place}: {e}") from e
         yield b"".join(out)
 
 
@@ -234,9 +248,9 @@ def write_pages(pages: DataFrame, root: str, id_column: str = "page_id", url_col
 
     digested = own.mapInArrow(by_row(digests, DIGESTS), "page_id long, url string, html string, payload_digest string")
     shared = F.coalesce(F.octet_length("html"), F.lit(0)) >= least_bytes
-    chosen = digested.where(shared).groupBy("payload_digest").agg(F.max("page_id").alias("chosen"), F.count(F.lit(1)).alias("n")).where("n > 1").select("payload_digest", "chosen")
+    chosen = digested.where(shared).groupBy("payload_digest").agg(F.max("page_id").alias("chosen"), F.count(F.lit(1)).alias("n")).where("n > 1")
     chosen = materialise(chosen, "payloads")
-    joined = digested.join(chosen.hint("merge"), "payload_digest", "left")
+    joined = join_one(digested, chosen.select("payload_digest", "chosen"), "payload_digest", "left", chosen)
     refers = F.when(shared & F.col("chosen").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("chosen")), F.col("chosen"))
     ready = joined.select("page_id", "url", "html", "payload_digest", refers.alias("refers_to"))
 
@@ -309,5 +323,5 @@ def read(manifest: DataFrame, root: str, payloads: bool = True) -> DataFrame:
 
 def round_trip(pages: DataFrame, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write all pages into archives in the shared folder and read them back, without the payloads."""
-    root = f"{shared_root(pages.sparkSession)}/ledgerline/warc-{uuid.uuid4().hex}"
+    root = own_folder(pages.sparkSession, "warc")
     return read(write_pages(pages, root, least_bytes=least_bytes, archive_bytes=archive_bytes), root, payloads=False).drop("payload")

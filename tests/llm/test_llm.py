@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, components, decontamination, divergence, main_text, near_duplicates, packing, personal_data, segments, sharding, token_counts, warc
+from ledgerline.llm import bpe, common, components, decontamination, divergence, main_text, near_duplicates, packing, personal_data, segments, sharding, token_counts, warc
 from ledgerline.llm.common import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -39,7 +39,7 @@ def shingle_set(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) or (frozenset([tuple(words)]) if words else frozenset())
 
 
-def brute_components(texts):
+def brute_components(texts, threshold=85):
     sets, root = [shingle_set(t) for t in texts], list(range(len(texts)))
 
     def find(x):
@@ -48,7 +48,7 @@ def brute_components(texts):
         return x
 
     for a, b in itertools.combinations(range(len(texts)), 2):
-        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     return [(len(s), find(i)) for i, s in enumerate(sets)]
@@ -69,11 +69,11 @@ def near_texts():
     return [*out, None, "", " "]
 
 
-@pytest.mark.parametrize("group_shingles", [near_duplicates.GROUP_SHINGLES, 700])
-def test_near_duplicates(spark, group_shingles):
+@pytest.mark.parametrize("group_shingles, threshold", [(near_duplicates.GROUP_SHINGLES, 85), (700, 80)])
+def test_near_duplicates(spark, group_shingles, threshold):
     texts = near_texts()
-    found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates.near_duplicates(table(spark, texts), group_shingles=group_shingles).collect()}
-    assert found == {i: (n, c, c == i) for i, (n, c) in enumerate(brute_components(texts))}
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates.near_duplicates(table(spark, texts), threshold=threshold, group_shingles=group_shingles).collect()}
+    assert found == {i: (n, c, c == i) for i, (n, c) in enumerate(brute_components(texts, threshold))}
 
 
 def test_near_duplicates_of_odd_rows(spark, odd):
@@ -82,7 +82,19 @@ def test_near_duplicates_of_odd_rows(spark, odd):
     by = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in found}
     assert by[0, 0] == (0, True) and by[3, 2] == (3, True) and by[None, 2] == (None, True) and by[5, 977][0] == 5
     assert near_duplicates.near_duplicates(odd.limit(0)).collect() == []
-    assert near_duplicates.keep_one(odd).count() == odd.count()
+    left = near_duplicates.keep_one(odd.withColumn("number", F.lit(1)).withColumn("row", F.lit("clash")))
+    assert left.columns == [*odd.columns, "number", "row"]
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter((r.doc_id, r.text) for r in odd.dropDuplicates().where("doc_id is not null").collect())
+
+
+def test_hubs_are_dealt(spark, tmp_path):
+    rows = [(i, 1 if i % 3 else i) for i in range(6000)] + [(i, None) for i in range(6000, 6500)]
+    spark.createDataFrame(rows, "i long, k long").write.parquet(str(tmp_path / "rows"))
+    one = spark.createDataFrame([(i, -i) for i in range(0, 6000, 2)] + [(1, -1)], "k long, x long")
+    rows_df = spark.read.parquet(str(tmp_path / "rows"))
+    for how in ("inner", "left"):
+        joined = common.join_one(rows_df, one, "k", how)
+        assert Counter(joined.select("i", "k", "x").collect()) == Counter(rows_df.join(one, "k", how).select("i", "k", "x").collect())
 
 
 def test_sketch_fills_and_estimates():
@@ -319,7 +331,7 @@ def base_counts(text):
 
 def test_base_counts(spark, odd):
     random.seed(6)
-    texts = ["".join(random.choices(["a ", "b ", "é\n", "c\t", "\n", "#x ", " ", "\x0b", "|"], k=random.randint(0, 150))) for _ in range(150)] + [" ".join(["the", "of"][i % 2] if i % 3 else f"w{i}" for i in range(90_000)), "a a a a", None, ""]
+    texts = ["".join(random.choices(["a ", "b ", "é\n", "İ ", "c\t", "\n", "#x ", " ", "\x0b", "|"], k=random.randint(0, 150))) for _ in range(150)] + [" ".join(["the", "of"][i % 2] if i % 3 else f"w{i}" for i in range(90_000)), "a a a a", None, ""]
     found = {r.doc_id: r for r in divergence.quality(table(spark, texts)).collect()}
     for i, text in enumerate(texts):
         r = found[i]
@@ -470,7 +482,7 @@ def test_pipeline(spark, tmp_path):
         out = stage(spark, out, str(tmp_path))
         assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     texts = {r.doc_id: r.text for r in out.collect()}
-    near = brute_components(docs)
+    near = brute_components(docs, 80)
     assert set(texts) == {i for i in range(60) if near[i][1] == i}
     whole = {r.doc_id: bytes(r.decoded).decode() for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert whole == texts
