@@ -1,18 +1,18 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read into blocks: runs of text between the starts and ends of block elements, each piece of text with the
-path of tags from the root to it. Text inside elements that are never article text (scripts, forms, menus, and
-elements whose class or id names an advert, a notice, comments and the like) has no path.
-
-For each path the page's text is summed: characters and punctuation marks, over the number of pieces.
-Both ratios are smoothed over similar paths (by a Gaussian of the steps between them), fused as the
-square root of their product, and paths over THRESHOLD times the mean over characters are content. The article is
-the smallest element that holds all text of content paths (an article or main element around it is preferred, or else
-one that holds nearly all); its blocks are the main text, so that headings and short paragraphs whose own path tells little
-stay, and so are blocks of content paths outside it.
-
-Null pages and pages without text give an empty text; text without any markup is an article of its own. Repeated pages each
-give their row. Other columns don't matter, whatever their names.
+path of tags from the root to it. Text that no reader sees (scripts, styles, the head, hidden elements) has no path.
+Elements whose tag, class, id or role tells of menus, adverts, notices, comments and the like have paths of their own,
+with a prior: a factor on what their path scores.
+
+For each path the page's text is summed: characters and punctuation marks (and half a mark for each piece), over the
+number of pieces. Both ratios are smoothed over similar paths (by a Gaussian of the steps between them), so that headings
+and short paragraphs take part in the ratios of the text beside them, fused as the logarithm of their mean proportional
+(which very long paragraphs don't dwarf others in), and multiplied by the prior. Paths over THRESHOLD times the mean over characters are content; the blocks with text on
+a content path are the main text, in page order.
+
+Null pages and pages without text give an empty text; text without any markup is an article of its own. Bytes that aren't
+UTF-8 count as U+FFFD. Repeated pages each give their row. Other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import by_row, ship
+from ledgerline.llm.common import by_row, ship, texts_of
 
 SPREAD = 1.0  # of the Gaussian, in steps between two paths
-THRESHOLD = 0.4
-COVERED = 0.9
+THRESHOLD = 0.35
+#: Factors on the scores of paths in elements that name something else than the article, for sure or perhaps.
+SURELY_NOT, PERHAPS_NOT = 0.001, 0.6
 #: More steps than these weigh 0 in floating point.
 REACH = int(SPREAD * math.sqrt(2 * 746))
 _GAUSSIAN = np.array([[math.exp(-((i + k) ** 2) / (2 * SPREAD**2)) for k in range(REACH + 1)] for i in range(REACH + 2)])
@@ -39,18 +41,22 @@ _GAUSSIAN = np.array([[math.exp(-((i + k) ** 2) / (2 * SPREAD**2)) for k in rang
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
-NEVER = frozenset("head nav footer aside form button select option input label menu dialog object applet canvas audio video map".split())
+UNSEEN = frozenset("head select option input object applet canvas audio video map".split())
+APART = frozenset("nav footer aside form button label menu dialog".split())
 #: Start tags that end an open element of these kinds.
 ENDS = {
     "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"}),
     "tbody": frozenset({"thead", "tbody", "tfoot", "tr", "td", "th"}), "tfoot": frozenset({"thead", "tbody", "tr", "td", "th"}),
 }
 LIST_SCOPE = frozenset("ul ol dl table select menu dir".split())
-#: Words in a class, id or role that tell what isn't the article.
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side-bar|menu|nav\w*|breadcrumbs?|footer|masthead|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|comment-?list|disqus|respond|replies|pagination|pager|widget|toolbar|search|complementary|contentinfo|navigation|copyright|skip-?link)(?:$|[\s_-])",
-    re.I,
-)
+P_SCOPE = frozenset("table button object".split())
+TABLE_PARTS = frozenset("tr td th tbody tfoot".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words in a class, id or role that tell what isn't the article: alone or in a compound, and those that may tell something else in a compound.
+_SURE = r"ads?|advert\w*|adsense|sponsor\w*|sidebar|side-bar|menu|nav\w*|breadcrumbs?|footer|masthead|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|comments?|comment-?list|disqus|pagination|pager|complementary|contentinfo|copyright|skip-?link"
+_ALONE = r"promo\w*|banner|notice|alert|overlay|signup|login|share|sharing|social|related|recommend\w*|respond|replies|widget|toolbar|search"
+SURE = re.compile(rf"(?:^|[\s_-])(?:{_SURE})(?:$|[\s_-])|(?:^|\s)(?:{_ALONE})(?:$|\s)", re.I)
+PERHAPS = re.compile(rf"(?:^|[\s_-])(?:{_ALONE})(?:$|[\s_-])", re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>?")
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -60,71 +66,125 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡\"'()-]")
 class Path:
     """A path of tags: a node of the page's tree of paths."""
 
-    __slots__ = ("below", "depth", "parent")
+    __slots__ = ("below", "depth", "parent", "prior")
 
-    def __init__(self, parent: "Path | None" = None) -> None:
-        self.parent, self.below, self.depth = parent, {}, parent.depth + 1 if parent else 0
+    def __init__(self, parent: "Path | None" = None, prior: float = 1.0) -> None:
+        self.parent, self.below, self.depth, self.prior = parent, {}, parent.depth + 1 if parent else 0, prior
 
-    def step(self, tag: str) -> "Path":
-        if tag not in self.below:
-            self.below[tag] = Path(self)
-        return self.below[tag]
+    def step(self, tag: str, factor: float = 1.0) -> "Path":
+        """The path on to a tag; of a factor under 1 apart from those to the same tag without."""
+        key = (tag, factor)
+        if key not in self.below:
+            self.below[key] = Path(self, min(self.prior, factor))
+        return self.below[key]
 
 
-@dataclass
 class Element:
-    tag: str
-    parent: "Element | None"
-    path: Path
-    depth: int
-    out: bool  # never article text
-    chars: int = 0  # of content paths in it, once known
+    """An open element, and what its ancestors tell, so that no end tag needs a walk through them."""
+
+    __slots__ = ("article", "block", "depth", "lists", "p", "parent", "path", "table", "tag", "unseen")
+
+    def __init__(self, tag: str, parent: "Element | None", path: Path, unseen: bool) -> None:
+        self.tag, self.parent, self.path, self.unseen = tag, parent, path, unseen
+        self.depth: int = parent.depth + 1 if parent else 0
+        # the p that a block would end, the depths of the nearest block, list or table around, and of the nearest table
+        self.p: Element | None = self if tag == "p" else None if tag in P_SCOPE or parent is None else parent.p
+        self.block: int = self.depth if tag in BLOCKS or parent is None else parent.block
+        self.lists: int = self.depth if tag in LIST_SCOPE or parent is None else parent.lists
+        self.table: int = self.depth if tag == "table" or parent is None else parent.table
+        self.article: bool = tag in ("article", "main") or (parent is not None and parent.article)
 
 
 @dataclass
 class Block:
     parts: list[str] = field(default_factory=list)
-    pieces: list[tuple[Element, str]] = field(default_factory=list)
+    pieces: list[tuple[Path, str]] = field(default_factory=list)
 
 
-def blocks_of(html: str) -> list[Block]:
-    """The blocks of a page with text that may be the article's, in page order. Takes a number of steps in proportion to the page."""
-    root = Element("", None, Path(), 0, False)
-    now, blocks, block = root, [], Block()
-    raw_ends: dict[str, bool] = {}
+class _Page:
+    """The blocks of a page that is being read. Each tag takes a bounded number of steps, but for the elements that it ends."""
+
+    def __init__(self) -> None:
+        self.now = self.root = Element("", None, Path(), False)
+        self.blocks: list[Block] = []
+        self.block = Block()
+        self.open: dict[str, list[Element]] = {}  # by tag, outermost first
 
-    def cut() -> None:
-        nonlocal block
-        if block.pieces:
-            blocks.append(block)
-        block = Block()
+    def cut(self) -> None:
+        if self.block.pieces:
+            self.blocks.append(self.block)
+        self.block = Block()
 
-    def text(data: str) -> None:
-        if data and not now.out:
+    def text(self, data: str) -> None:
+        if data and not self.now.unseen:
             data = entities.unescape(data) if "&" in data else data
-            block.parts.append(data)
+            self.block.parts.append(data)
             if not data.isspace():
-                block.pieces.append((now, data))
+                self.block.pieces.append((self.now.path, data))
 
-    def close(element: Element) -> None:
-        nonlocal now
-        x = now
-        while x is not element:
+    def close(self, element: Element) -> None:
+        """End an element and those in it."""
+        x = self.now
+        while True:
             if x.tag in BLOCKS:
-                cut()
+                self.cut()
+            self.open[x.tag].pop()
+            if x is element:
+                break
             x = x.parent
-        if element.tag in BLOCKS:
-            cut()
-        now = element.parent
+        self.now = element.parent
+
+    def end(self, tag: str) -> None:
+        if tag == "br":
+            self.text(" ")
+        elif tag not in VOID:
+            own = self.open.get(tag)
+            if own and (tag in BLOCKS or own[-1].depth > self.now.block):  # an end inside a block doesn't end an inline element around it
+                self.close(own[-1])
+            elif tag in BLOCKS:
+                self.cut()
+
+    def start(self, tag: str, attributes: str) -> None:
+        if tag in VOID:
+            if tag == "hr":
+                self.cut()
+            elif tag == "br":
+                self.text(" ")
+            return
+        if tag in BLOCKS:
+            if self.now.p is not None:  # a block ends an open p
+                self.close(self.now.p)
+            if tag in ENDS:
+                scope = self.now.table if tag in TABLE_PARTS else self.now.lists
+                ended = [own[k] for x in ENDS[tag] if (own := self.open.get(x)) and (k := bisect_right(own, scope, key=lambda e: e.depth)) < len(own)]
+                if ended:
+                    self.close(min(ended, key=lambda e: e.depth))
+            if tag in HEADINGS and self.now.tag in HEADINGS:
+                self.close(self.now)
+            self.cut()
+        names = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes)) if attributes else ""
+        factor = PERHAPS_NOT if tag == "a" else 1.0  # menus are links; a link within a sentence has the sentence's path beside it
+        if tag in APART or (tag == "header" and not self.now.article):
+            factor = SURELY_NOT
+        elif names and tag not in ("body", "html", "article", "main"):
+            factor = SURELY_NOT if SURE.search(names) else PERHAPS_NOT if PERHAPS.search(names) else factor
+        unseen = self.now.unseen or tag in UNSEEN or bool(attributes and _HIDDEN.search(attributes))
+        self.now = Element(tag, self.now, self.now.path.step(tag, factor), unseen)
+        self.open.setdefault(tag, []).append(self.now)
+
 
+def blocks_of(html: str) -> list[Block]:
+    """The blocks of a page with text that is seen, in page order. Takes a number of steps in proportion to the page."""
+    page = _Page()
+    raw_ends: dict[str, bool] = {}
     at, n = 0, len(html)
     while at < n:
         start = html.find("<", at)
         if start < 0:
-            text(html[at:])
+            page.text(html[at:])
             break
         if start > at:
-            text(html[at:start])
+            page.text(html[at:start])
         if html.startswith("<!--", start):
             end = html.find("-->", start + 4)
             at = n if end < 0 else end + 3
@@ -135,73 +195,24 @@ def blocks_of(html: str) -> list[Block]:
             continue
         m = _TAG.match(html, start)
         if not m:
-            text("<")
+            page.text("<")
             at = start + 1
             continue
         at = m.end()
         closing, tag, attributes = m.group(1), m.group(2).lower(), m.group(3)
         if closing:
-            if tag == "br":
-                text(" ")
-            elif tag == "p" or tag in BLOCKS or tag not in VOID:
-                x = now
-                while x.parent is not None and x.tag != tag and not (tag not in BLOCKS and x.tag in BLOCKS):
-                    x = x.parent
-                if x.parent is not None and x.tag == tag:
-                    close(x)
-                elif tag in BLOCKS:
-                    cut()
-            continue
-        if tag in RAW:
-            if attributes.endswith("/") and tag in ("svg", "math"):
-                continue
-            if raw_ends.get(tag, True):
-                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
-                raw_ends[tag] = end is not None
-                at = end.end() if end else n
-            else:
-                at = n
-            continue
-        if tag == "br" or tag in VOID:
-            if tag == "hr":
-                cut()
-            elif tag == "br":
-                text(" ")
-            continue
-        if tag in BLOCKS:
-            x = now  # a block ends an open p
-            while x.parent is not None and x.tag not in ("p", "table", "button", "object"):
-                x = x.parent
-            if x.tag == "p":
-                close(x)
-            if tag in ENDS:
-                x, last = now, None
-                while x.parent is not None and x.tag not in (LIST_SCOPE if tag not in ("tr", "td", "th", "tbody", "tfoot") else ("table",)):
-                    if x.tag in ENDS[tag]:
-                        last = x
-                    x = x.parent
-                if last is not None:
-                    close(last)
-            if tag[0] == "h" and tag[1:].isdecimal() and now.tag[:1] == "h" and now.tag[1:].isdecimal():
-                close(now)
-            cut()
-        names = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes)) if attributes else ""
-        out = now.out or tag in NEVER or (tag == "header" and not _inside(now, ("article", "main"))) or bool(names and tag not in ("body", "html", "article", "main") and BOILERPLATE.search(names)) or bool(attributes and _HIDDEN.search(attributes))
-        if now.depth < 2000:  # deeper elements count as their parents
-            now = Element(tag, now, now.path.step(tag), now.depth + 1, out)
-    cut()
-    return blocks
-
-
-def _inside(element: Element | None, tags: tuple[str, ...]) -> bool:
-    while element is not None:
-        if element.tag in tags:
-            return True
-        element = element.parent
-    return False
-
-
-def fused_ratios(totals: dict[Path, tuple[int, int, int]]) -> dict[Path, float]:
+            page.end(tag)
+        elif tag not in RAW:
+            page.start(tag, attributes)
+        elif not (attributes.endswith("/") and tag in ("svg", "math")):  # all up to its end is no markup
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at) if raw_ends.get(tag, True) else None
+            raw_ends[tag] = end is not None
+            at = end.end() if end else n
+    page.cut()
+    return page.blocks
+
+
+def fused_ratios(totals: dict[Path, tuple[int, int, float]]) -> dict[Path, float]:
     """Both ratios of each path, smoothed over all paths and fused. Sums by steps below each node of the tree stand for the pairs of paths."""
     nodes = set(totals)
     for p in totals:
@@ -231,69 +242,35 @@ def fused_ratios(totals: dict[Path, tuple[int, int, int]]) -> dict[Path, float]:
             total += seen[x.parent][i] - seen[x][i + 1]
             x = x.parent
         weight, chars, marks = np.maximum(total, 0.0).tolist()
-        out[p] = math.sqrt(chars * marks) / weight
+        out[p] = math.log2(1 + math.sqrt(chars * marks) / weight)
     return out
 
 
-def content_paths(totals: dict[Path, tuple[int, int, int]]) -> set[Path]:
-    """Of paths with pieces, characters and punctuation marks, those whose fused, smoothed ratios are over the threshold."""
-    paths, fused = list(totals), fused_ratios(totals)
-    all_chars = sum(totals[p][1] for p in paths)
-    mean = sum(fused[p] * totals[p][1] for p in paths) / all_chars if all_chars else 0.0
-    found = {p for p in paths if fused[p] >= THRESHOLD * mean}
-    return found or set(paths)
+def content_paths(totals: dict[Path, tuple[int, int, float]]) -> set[Path]:
+    """Of paths with pieces, characters and punctuation marks, those whose fused, smoothed ratios times their priors are over the threshold.
+
+    Characters count for the mean as much as their prior says. Where every path's prior is low, those with the highest are judged alone.
+    """
+    highest = max((p.prior for p in totals), default=1.0)
+    fused = {p: x * p.prior / highest for p, x in fused_ratios(totals).items()}
+    weights = {p: totals[p][1] * p.prior for p in totals}
+    mean = sum(fused[p] * weights[p] for p in totals) / max(sum(weights.values()), 1e-9)
+    return {p for p in totals if fused[p] >= THRESHOLD * mean}
 
 
 def main_text(html: str) -> str:
-    """The article of a page: its blocks, each with single blanks, joined by a newline."""
+    """The article of a page: the blocks that content paths select, each with single blanks, joined by a newline."""
     blocks = blocks_of(html)
-    if not blocks:
-        return ""
-    totals: dict[Path, list[int]] = {}
+    totals: dict[Path, list[float]] = {}
     for block in blocks:
-        for element, text in block.pieces:
-            t = totals.setdefault(element.path, [0, 0, 0])
+        for path, text in block.pieces:
+            t = totals.setdefault(path, [0, 0, 0.0])
             t[0] += 1
             t[1] += len(text) - text.count(" ")
-            t[2] += len(_PUNCTUATION.findall(text))
+            t[2] += 0.5 + len(_PUNCTUATION.findall(text))
     paths = content_paths({p: tuple(t) for p, t in totals.items()})
-    # what content each element holds
-    elements: dict[int, Element] = {}
-    all_chars = 0
-    for block in blocks:
-        for element, text in block.pieces:
-            if element.path in paths:
-                all_chars += len(text)
-                x: Element | None = element
-                while x is not None:
-                    x.chars += len(text)
-                    elements[id(x)] = x
-                    x = x.parent
-    whole = [x for x in elements.values() if x.chars == all_chars]
-    article = max(whole, key=lambda x: x.depth)
-    named = [x for x in whole if x.tag in ("article", "main")] or [x for x in elements.values() if x.tag in ("article", "main") and x.chars >= COVERED * all_chars]
-    if named:
-        article = max(named, key=lambda x: x.depth)
-    else:
-        while article.parent is not None and article.tag not in BLOCKS:
-            article = article.parent
-        if article.tag == "p" and article.parent is not None:
-            article = article.parent
-    out = []
-    for block in blocks:
-        if _within(block.pieces[0][0], article) or _within(block.pieces[-1][0], article) or any(e.path in paths for e, _ in block.pieces):
-            line = " ".join("".join(block.parts).split())
-            if line:
-                out.append(line)
-    return "\n".join(out)
-
-
-def _within(element: Element | None, article: Element) -> bool:
-    while element is not None and element.depth >= article.depth:
-        if element is article:
-            return True
-        element = element.parent
-    return False
+    lines = (" ".join("".join(block.parts).split()) for block in blocks if any(p in paths for p, _ in block.pieces))
+    return "\n".join(line for line in lines if line)
 
 
 TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
@@ -304,7 +281,7 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     ship(pages.sparkSession)
 
     def run(columns: dict[str, pa.Array]) -> dict[str, object]:
-        texts = [main_text(x or "") for x in columns["html"].to_pylist()]
+        texts = [main_text(x or "") for x in texts_of(columns["html"])]
         return {"page_id": columns["page_id"], "url": columns["url"], "text": [x.encode("utf-8", "replace").decode() for x in texts], "n_chars": [len(x) for x in texts]}
 
     own = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).alias("url"), F.col(html_column).alias("html"))
