@@ -8,7 +8,7 @@ positions, so a merge costs a constant number of steps. Positions whose pair has
 since they were queued are stale and skipped. An n-byte pre-token takes O(n log n) steps at
 most, for any n.
 
-Null and empty texts have no tokens. Repeated rows each give their row. Columns other than
+Null and empty texts have no tokens. Bytes that aren't UTF-8 count as U+FFFD. Repeated rows each give their row. Columns other than
 the id and the text don't matter, whatever their names.
 """
 
@@ -24,8 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import by_row, ship, tokenizer_path
-from ledgerline.llm.segments import is_plain, pieces, whole_pieces
+from ledgerline.llm.common import by_row, ship, texts_of, tokenizer_path
+from ledgerline.llm.segments import plain_pieces, whole_pieces
 
 #: Encoded pieces and pre-tokens that a Python worker keeps, in each of two generations.
 KEPT_PIECES = 300_000
@@ -105,7 +105,7 @@ class Encoder:
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
         self.bytes_of = {rank: piece for piece, rank in ranks.items()}
         self.spelled_byte = {str(rank): piece for piece, rank in ranks.items()}
-        self.pieces, self.tokens = Kept(KEPT_PIECES), Kept(KEPT_TOKENS)
+        self.pieces, self.after_blank, self.tokens = Kept(KEPT_PIECES), Kept(KEPT_PIECES), Kept(KEPT_TOKENS)
 
     def merge(self, data: bytes) -> list[int]:
         """The ids of one pre-token."""
@@ -157,28 +157,35 @@ class Encoder:
                 self.tokens.put(token, found)
         return found
 
-    def spelled(self, piece: str) -> str:
-        """The decimal ids of a piece, joined by one space."""
-        found = self.pieces.get(piece)
+    def spelled(self, piece: str, kept: Kept, blank: str = "") -> str:
+        """The decimal ids of a piece with this before it, joined by one space."""
+        found = kept.get(piece)
         if found is None:
-            found = " ".join(map(self.spelled_token, self.find(piece)))
+            found = " ".join(map(self.spelled_token, self.find(blank + piece)))
             if len(piece) <= KEPT_CHARS:
-                self.pieces.put(piece, found)
+                kept.put(piece, found)
         return found
 
     def spelled_text(self, text: str) -> str:
         """The decimal ids of a whole text, joined by one space."""
         if not text:
             return ""
-        spelled, kept = self.spelled, self.pieces.new.get
-        if is_plain(text):
-            head, rest = pieces(text)
-            out = [spelled(head)]
-            for x in rest:
-                x = " " + x
-                out.append(kept(x) or spelled(x))
-            return " ".join(out)
-        return " ".join([kept(x) or spelled(x) for x in whole_pieces(text)])
+        own = plain_pieces(text)
+        if own is None:
+            return self._joined(whole_pieces(text), self.pieces, "")
+        if len(own) == 1:
+            return self.spelled(own[0], self.pieces)
+        head = self.spelled(own[0], self.pieces)
+        del own[0]
+        return head + " " + self._joined(own, self.after_blank, " ")
+
+    def _joined(self, own: list[str], kept: Kept, blank: str) -> str:
+        out = list(map(kept.new.get, own))
+        if None in out:
+            for i, found in enumerate(out):
+                if found is None:
+                    out[i] = kept.new.get(own[i]) or self.spelled(own[i], kept, blank)
+        return " ".join(out)
 
     def encode(self, text: str) -> list[int]:
         return list(map(int, self.spelled_text(text).split()))
@@ -210,7 +217,7 @@ def encode_documents(docs: DataFrame, id_column: str = "doc_id", text_column: st
 
     def run(columns: dict[str, pa.Array]) -> dict[str, list]:
         own = encoder(path, pattern)
-        ids = [own.encode(x or "") for x in columns["text"].to_pylist()]
+        ids = [own.encode(x or "") for x in texts_of(columns["text"])]
         return {"doc_id": columns["doc_id"], "n_tokens": [len(x) for x in ids], "ids": ids, "decoded": [own.decode(x) for x in ids]}
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(by_row(run, SCHEMA), "doc_id long, n_tokens long, ids array<int>, decoded binary")
@@ -228,7 +235,7 @@ def encode_digests(docs: DataFrame, id_column: str = "doc_id", text_column: str
         own = encoder(path, pattern)
         n, spelled, decoded = [], [], []
         names = own.spelled_byte
-        for text in columns["text"].to_pylist():
+        for text in texts_of(columns["text"]):
             line = own.spelled_text(text or "")
             ids = line.split()
             n.append(len(ids))

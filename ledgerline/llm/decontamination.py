@@ -11,7 +11,10 @@ The documents are read once for each block of the benchmark and never shuffled;
 at most `block_tokens` tokens, the only thing sent to the executors. Larger benchmarks take more blocks,
 each with a result of its own in the shared folder.
 
-Items without words are contained in nothing. Items shorter than a mask are found as a whole,
+Hits are laid and verified in chunks of about `PAIRS` pairs of a window and an item's place, so that a passage shared
+by many items and documents needs no more memory than others.
+
+Items without words are contained in nothing. Items shorter than every mask are found as a whole,
 without substitutions. Null and empty texts contain nothing. Repeated items and documents each give
 their rows. Other columns don't matter, whatever their names.
 """
@@ -28,17 +31,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import materialise, ship, utf8
+from ledgerline.llm.common import materialise, parts_of, ship, utf8
 
-#: Masks of 12 tokens that keep 7; between them any one substitution, and most pairs, can be ignored.
-MASKS = ("111010011001", "110011010011", "101100101101", "100110110101", "110101100011")
-SPAN = 12
+#: Masks that keep 6 tokens. With DEFAULTS, every stretch that verification accepts holds a window of one of them in
+#: which all kept positions match (the tests search all patterns), so no accepted overlap is missed.
+MASKS = ("1110111", "1111011", "111111")
+SPANS = tuple(map(len, MASKS))
 SUBSTITUTION = 3
 BLOCK_TOKENS = 1_000_000
+PAIRS = 1_000_000
 DEFAULTS = {"min_matches": 10, "min_share": 0.5, "min_identity": 0.8}
 
 _LOWER = bytes.maketrans((string.ascii_uppercase + string.punctuation).encode(), (string.ascii_lowercase + " " * len(string.punctuation)).encode())
-_ODD = (np.arange(1, SPAN + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_ODD = (np.arange(1, max(SPANS) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _BITS = 22
 
 
@@ -54,9 +59,9 @@ def _finish(x: np.ndarray) -> np.ndarray:
 
 
 def seeds(own: np.ndarray, mask: int) -> np.ndarray:
-    """The seed of each window under a mask; MASKS and then, by length from 1 to SPAN - 1, all of a shorter window."""
+    """The seed of each window under a mask; MASKS and then, by length from 1, all of a window shorter than any mask."""
     keep = [i for i, c in enumerate(MASKS[mask]) if c == "1"] if mask < len(MASKS) else list(range(mask - len(MASKS) + 1))
-    n = len(own) - (SPAN if mask < len(MASKS) else len(keep)) + 1
+    n = len(own) - (SPANS[mask] if mask < len(MASKS) else len(keep)) + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     total = np.full(n, 0xA0761D6478BD642F ^ (mask + 1), np.uint64)
@@ -82,7 +87,7 @@ def block_of(items: list[tuple[int | None, bytes]]) -> Block:
     own = [(i, t) for i, t in ((i, tokens(x)) for i, x in items) if len(t)]
     hashes, item_of, place_of, masks = [], [], [], set()
     for k, (_, t) in enumerate(own):
-        for mask in range(len(MASKS)) if len(t) >= SPAN else [len(MASKS) + len(t) - 1]:
+        for mask in [m for m, span in enumerate(SPANS) if span <= len(t)] or [len(MASKS) + len(t) - 1]:
             s = seeds(t, mask)
             masks.add(mask)
             hashes.append(s)
@@ -105,34 +110,57 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int]:
     return int(equal[start : end + 1].sum()), end + 1 - start
 
 
-def contained(block: Block, docs: list[np.ndarray], min_matches: int, min_share: float, min_identity: float) -> list[dict[int, tuple[int, int, int]]]:
-    """For each document, the positions in the block of the items that it contains, with matches, stretch and the word where the item is laid."""
-    flat = np.concatenate(docs) if docs else np.empty(0, np.uint64)
-    ends = np.cumsum([len(x) for x in docs])
-    laid: set[tuple[int, int]] = set()
+def _laid(block: Block, flat: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Items (positions in the block) and the places in flat where a seed lays them, in chunks by place; a pair comes once in its chunk."""
+    places, lows, counts = [], [], []
     for mask in block.masks:
         own = seeds(flat, mask)
         maybe = np.flatnonzero(block.bits[(own >> np.uint64(64 - _BITS)).astype(np.intp)])
-        found = own[maybe]
-        low, high = np.searchsorted(block.hashes, found, "left"), np.searchsorted(block.hashes, found, "right")
+        low, high = np.searchsorted(block.hashes, own[maybe], "left"), np.searchsorted(block.hashes, own[maybe], "right")
         hit = low < high
-        for place, a, b in zip(maybe[hit].tolist(), low[hit].tolist(), high[hit].tolist(), strict=True):
-            laid.update(zip(block.item_of[a:b].tolist(), (place - block.place_of[a:b]).tolist(), strict=True) if b - a > 1 else [(int(block.item_of[a]), place - int(block.place_of[a]))])
-            # a window that two documents share is told apart below, where the item stays within one
+        places.append(maybe[hit])
+        lows.append(low[hit])
+        counts.append((high - low)[hit])
+    if not sum(map(len, places)):
+        return
+    place, low, count = map(np.concatenate, (places, lows, counts))
+    order = np.argsort(place, kind="stable")
+    place, low, count = place[order], low[order], count[order]
+    chunk = np.cumsum(count) // PAIRS
+    edges = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(place)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        c = count[a:b]
+        entry = np.repeat(low[a:b] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
+        items, at = block.item_of[entry], np.repeat(place[a:b], c) - block.place_of[entry]
+        order = np.lexsort((at, items))
+        items, at = items[order], at[order]
+        first = np.concatenate(([True], (np.diff(items) != 0) | (np.diff(at) != 0)))
+        yield items[first], at[first]
+
+
+def contained(block: Block, docs: list[np.ndarray], min_matches: int, min_share: float, min_identity: float, all_items: bool = True) -> list[dict[int, tuple[int, int, int]]]:
+    """For each document, the positions in the block of the items that it contains, with matches, stretch and the word where the item is laid.
+
+    Without all_items, one of them is enough.
+    """
+    flat = np.concatenate(docs) if docs else np.empty(0, np.uint64)
+    ends = np.cumsum([len(x) for x in docs])
+    lengths = np.array([len(x) for x in block.tokens], np.int64)
     out: list[dict[int, tuple[int, int, int]]] = [{} for _ in docs]
-    for item, at in laid:
-        own = block.tokens[item]
-        # the documents that the laid item reaches into
-        first = int(np.searchsorted(ends, max(at, 0), "right"))
-        last = int(np.searchsorted(ends, min(at + len(own), len(flat)) - 1, "right"))
-        for d in range(first, min(last, len(docs) - 1) + 1):
-            begin, end = int(ends[d]) - len(docs[d]), int(ends[d])
-            a, b = max(at, begin), min(at + len(own), end)
-            if a >= b:
-                continue
-            matches, length = best_stretch(own[a - at : b - at] == flat[a:b])
-            if matches >= min(min_matches, len(own)) and matches >= min_share * len(own) and matches >= min_identity * length and (item not in out[d] or (matches, -length, -(a - begin)) > (out[d][item][0], -out[d][item][1], -out[d][item][2])):
-                out[d][item] = (matches, length, a - begin)
+    for items, places in _laid(block, flat):
+        # the documents that the laid item reaches into; a window that two share is told apart where the item stays within one
+        firsts = np.searchsorted(ends, np.maximum(places, 0), "right")
+        lasts = np.minimum(np.searchsorted(ends, np.minimum(places + lengths[items], len(flat)) - 1, "right"), len(docs) - 1)
+        for item, at, first, last in zip(items.tolist(), places.tolist(), firsts.tolist(), lasts.tolist(), strict=True):
+            own = block.tokens[item]
+            for d in range(first, last + 1):
+                begin, end = int(ends[d]) - len(docs[d]), int(ends[d])
+                a, b = max(at, begin), min(at + len(own), end)
+                if b - a < min(min_matches, len(own)) or (out[d] and not all_items):
+                    continue
+                matches, length = best_stretch(own[a - at : b - at] == flat[a:b])
+                if matches >= min(min_matches, len(own)) and matches >= min_share * len(own) and matches >= min_identity * length and (item not in out[d] or (matches, -length, -(a - begin)) > (out[d][item][0], -out[d][item][1], -out[d][item][2])):
+                    out[d][item] = (matches, length, a - begin)
     return out
 
 
@@ -140,9 +168,9 @@ def blocks(benchmark: DataFrame, id_column: str, text_column: str, block_tokens:
     """The benchmark's items in blocks of bounded size, a block at a time in the driver."""
     items: list[tuple[int | None, bytes]] = []
     size = 0
-    for row in benchmark.select(F.col(id_column).cast("long"), F.col(text_column)).toLocalIterator(prefetchPartitions=False):
-        text = (row[1] or "").encode()
-        n = text.count(b" ") + 1
+    for row in benchmark.select(F.col(id_column).cast("long"), F.col(text_column).cast("binary")).toLocalIterator(prefetchPartitions=False):
+        text = bytes(row[1] or b"")
+        n = len(text.translate(_LOWER).split())
         if items and size + n > block_tokens:
             yield block_of(items)
             items, size = [], 0
@@ -163,10 +191,12 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_
     limits = DEFAULTS | limits
 
     def search(block: Block) -> DataFrame:
+        shared = spark.sparkContext.broadcast(block)  # of at most block_tokens tokens
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = shared.value
             for batch in batches:
-                for start in range(0, batch.num_rows, 512):
-                    part = batch.slice(start, 512)
+                for part in parts_of(batch, 512):
                     found = contained(block, [tokens(x) for x in utf8(part.column(1))], **limits)
                     rows = [(i, block.items[k], *v[:2], len(block.tokens[k]), v[2]) for i, f in zip(part.column(0).to_pylist(), found, strict=True) for k, v in sorted(f.items())]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 6)], schema=HITS)
@@ -193,11 +223,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item
     place = docs.columns.index(text_column)
 
     def without(df: DataFrame, block: Block) -> DataFrame:
+        shared = df.sparkSession.sparkContext.broadcast(block)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = shared.value
             for batch in batches:
-                for start in range(0, batch.num_rows, 512):
-                    part = batch.slice(start, 512)
-                    found = contained(block, [tokens(x) for x in utf8(part.column(place))], **limits)
+                for part in parts_of(batch, 512):
+                    found = contained(block, [tokens(x) for x in utf8(part.column(place))], **limits, all_items=False)
                     yield part.filter(pa.array([not f for f in found], pa.bool_()))
 
         return df.mapInArrow(run, df.schema)

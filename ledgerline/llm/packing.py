@@ -11,7 +11,7 @@ cumulative lengths of its segments, the places where positions start again, and
 each segment the document and which of its pieces it is. Joining a document's pieces in order
 gives all its ids again.
 
-Null and empty texts have an end-of-text id alone. Repeated documents are packed each by itself; a null id
+Null and empty texts have an end-of-text id alone. Bytes that aren't UTF-8 count as U+FFFD. Repeated documents are packed each by itself; a null id
 stays null. Other columns don't matter, whatever their names.
 """
 
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import ship, tokenizer_path
+from ledgerline.llm.common import parts_of, ship, texts_of, tokenizer_path
 
 CAPACITY = 2048
 GROUP_TOKENS = 4_000_000
@@ -86,12 +86,13 @@ def best_fit_decreasing(lengths: list[int], capacity: int = CAPACITY) -> list[li
 
 
 @lru_cache(maxsize=4)
-def tiktoken_encoder(path: str, pattern: str) -> Callable[[str], list[int]]:
+def tiktoken_encoder(path: str, pattern: str) -> tuple[Callable[[str], list[int]], int]:
+    """What encodes a text, and the highest id that it gives."""
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, max(ranks.values(), default=0)
 
 
 ROW = pa.schema([("row_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())), ("position_resets", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int32()))])
@@ -117,10 +118,10 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         import public_tokenizers
 
         pattern = public_tokenizers.PATTERN
-    dtype = "<u2" if max(end_id, pad_id) < 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tiktoken_encoder(path, pattern)
+        encode, highest = tiktoken_encoder(path, pattern)
+        dtype = "<u2" if max(end_id, pad_id, highest) < 1 << 16 else "<u4"
         task, number = TaskContext.get().partitionId(), 0
         segments: list[tuple[int | None, int, np.ndarray]] = []
         size = 0
@@ -136,13 +137,14 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ROW, strict=True)], schema=ROW)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array([*encode(text.as_py() or ""), end_id], dtype)
-                for piece, start in enumerate(range(0, len(ids), capacity)):
-                    segments.append((doc, piece, ids[start : start + capacity]))
-                size += len(ids)
-                if size >= group_tokens:
-                    yield from rows()
+            for part in parts_of(batch):
+                for doc, text in zip(part.column(0).to_pylist(), texts_of(part.column(1)), strict=True):
+                    ids = np.array([*encode(text or ""), end_id], dtype)
+                    for piece, start in enumerate(range(0, len(ids), capacity)):
+                        segments.append((doc, piece, ids[start : start + capacity]))
+                    size += len(ids)
+                    if size >= group_tokens:
+                        yield from rows()
         if segments:
             yield from rows()
 

@@ -11,7 +11,7 @@ span is cut by a window. A stretch is decoded only where a path other than all "
 at all: a bound on the gain of each interval, exact, is computed from running sums.
 
 The base patterns' spans stay as they are. A span of the tagger's is added where it overlaps none of
-them and passes its kind's check. Null texts are empty and have no spans; repeated rows each
+them and passes its kind's check. Null texts are empty and have no spans; bytes that aren't UTF-8 count as U+FFFD; repeated rows each
 give their row; columns other than the id and the text don't matter, whatever their names.
 A text takes about 40 bytes of memory for each of its characters.
 """
@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerline.llm.common import by_row, ship
+from ledgerline.llm.common import by_row, parts_of, ship, texts_of
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 OUTSIDE = 0  # the tag of other characters; kind k has tag k + 1
@@ -395,7 +396,7 @@ def _checked(text: str, kind: int, start: int, end: int) -> Span | None:
     value = text[start:end]
     digits = re.sub(r"[^0-9]", "", value)
     ok = (
-        re.fullmatch(r"[^\s@]+\s?(?:@|\[at\]|\(at\))\s?[^\s@]+\.[^\s@]+", value) is not None,
+        re.fullmatch(r"[^\s@]+\s?(?:@|\[at\]|\(at\))\s?[^\s@]+\.[^\s@.]+", value) is not None,
         re.fullmatch(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", value) is not None and all(int(x) <= 255 for x in value.split(".")),
         12 <= len(digits) <= 19 and luhn(digits) and re.fullmatch(r"[0-9 .-]+", value) is not None,
         9 <= len(digits) <= 15 and re.fullmatch(r"[+(]?[0-9][0-9 ().-]+[0-9]", value) is not None and re.search(r"[ ().-]", value) is not None,
@@ -419,12 +420,17 @@ def all_spans(w: Weights, texts: list[str]) -> list[tuple[list[Span], list[Span]
         at = 0
         for text, begin in zip(group, first.tolist(), strict=True):
             base = base_spans(text)
-            spans = list(base)
+            spans, taken, k_base = list(base), 0, 0  # taken: where the base spans that start before a span end
             while at < len(found) and found[at][0] < begin + len(text):
                 start, kind, end = found[at]
                 at += 1
                 span = _checked(text, kind, start - begin, end - begin)
-                if span and not any(span[0] < e and s < span[2] for s, _, e in spans):
+                if span is None:
+                    continue
+                while k_base < len(base) and base[k_base][0] < span[2]:
+                    taken = max(taken, base[k_base][2])
+                    k_base += 1
+                if taken <= span[0]:
                     spans.append(span)
             out.append((base, sorted(spans)))
     return out
@@ -434,21 +440,21 @@ def spelled(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
-FOUND = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS[:4]), ("base_sha256", pa.string()), ("spans", pa.string())])
+FOUND = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS[:4]), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_spans", pa.int64())])
 
 
 def find(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **training: float) -> DataFrame:
-    """doc_id, the number of base spans of each kind, the base spans' SHA-256 and all spans of every whole text."""
+    """doc_id, the number of base spans of each kind, the base spans' SHA-256, all spans of every whole text and their number."""
     ship(docs.sparkSession)
     weights = trained(**training)
 
     def run(columns: dict[str, pa.Array]) -> dict[str, list]:
-        both = all_spans(weights, [x or "" for x in columns["text"].to_pylist()])
+        both = all_spans(weights, [x or "" for x in texts_of(columns["text"])])
         out = {f"n_{k}": [sum(s[1] == i for s in base) for base, _ in both] for i, k in enumerate(KINDS[:4])}
-        return out | {"doc_id": columns["doc_id"], "base_sha256": [hashlib.sha256(spelled(base).encode()).hexdigest() for base, _ in both], "spans": [spelled(x) for _, x in both]}
+        return out | {"doc_id": columns["doc_id"], "base_sha256": [hashlib.sha256(spelled(base).encode()).hexdigest() for base, _ in both], "spans": [spelled(x) for _, x in both], "n_spans": [len(x) for _, x in both]}
 
     counts = ", ".join(f"n_{k} long" for k in KINDS[:4])
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(by_row(run, FOUND), f"doc_id long, {counts}, base_sha256 string, spans string")
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(by_row(run, FOUND), f"doc_id long, {counts}, base_sha256 string, spans string, n_spans long")
 
 
 def redacted(text: str, spans: list[Span]) -> str:
@@ -469,9 +475,8 @@ def redact(docs: DataFrame, text_column: str = "text", length_column: str | None
 
     def run(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                texts = part.column(names.index(text_column)).to_pylist()
+            for part in parts_of(batch, 512):
+                texts = texts_of(part.column(names.index(text_column)))
                 both = all_spans(weights, [x or "" for x in texts])
                 new = [None if x is None else redacted(x, spans) for x, (_, spans) in zip(texts, both, strict=True)]
                 columns = list(part.columns)
@@ -479,6 +484,7 @@ def redact(docs: DataFrame, text_column: str = "text", length_column: str | None
                 if length_column:
                     kind = part.schema.field(names.index(length_column)).type
                     columns[names.index(length_column)] = pa.array([None if x is None else len(x) for x in new], kind)
-                yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    schema = T.StructType([T.StructField(f.name, f.dataType, f.nullable or f.name in (text_column, length_column)) for f in docs.schema])
+    return docs.mapInArrow(run, schema)

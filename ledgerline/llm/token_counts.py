@@ -1,12 +1,12 @@
 """Token counts of whole texts by a public tokenizer's own library, lengths only.
 
 Arrow functions take the texts in batches. Texts for the byte-level BPE are cut at safe
-boundaries (`segments`), so that a very long text is never encoded at one go; pieces met before
+boundaries (`segments`), so that only a very long run of letters is ever encoded at one go; pieces met before
 have a kept length, and the others go to the library in batches balanced by bytes. Only
 lengths leave the function. The word-level and sentencepiece models, whose tokens know
 no such boundary, get whole texts, in batches balanced by bytes too.
 
-Null and empty texts have no tokens. Repeated rows each give their row.
+Null and empty texts have no tokens. Bytes that aren't UTF-8 count as U+FFFD for tokens, as themselves for n_bytes. Repeated rows each give their row.
 """
 
 from __future__ import annotations
@@ -16,29 +16,31 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import by_row, ship, tokenizer_path
-from ledgerline.llm.segments import is_plain, pieces, whole_pieces
+from ledgerline.llm.common import by_row, ship, texts_of, tokenizer_path
+from ledgerline.llm.segments import all_pieces
 
 #: Lengths of pieces that a Python worker keeps, in each of two generations.
 KEPT_PIECES = 400_000
 KEPT_CHARS = 64
-#: Characters that the library gets at once.
-BATCH_CHARS = 1 << 17
+#: Bytes that the library gets at once.
+BATCH_BYTES = 1 << 17
 
 
-def balanced(texts: Iterable[str], most: int = BATCH_CHARS) -> Iterator[list[str]]:
-    """Batches of about as many characters each; a longer text is a batch of its own."""
+def balanced(texts: Iterable[str], most: int = BATCH_BYTES) -> Iterator[list[str]]:
+    """Batches of about as many bytes each; a longer text is a batch of its own."""
     batch: list[str] = []
     size = 0
     for x in texts:
-        if batch and size + len(x) > most:
+        n = len(x) if x.isascii() else len(x.encode())
+        if batch and size + n > most:
             yield batch
             batch, size = [], 0
         batch.append(x)
-        size += len(x) + 8
+        size += n + 8
     if batch:
         yield batch
 
@@ -63,11 +65,7 @@ class Counter:
         cuts: list[list[str]] = []
         new: dict[str, None] = {}
         for text in texts:
-            if is_plain(text):
-                head, rest = pieces(text)
-                own = [head, *[" " + x for x in rest]] if head else []
-            else:
-                own = whole_pieces(text)
+            own = all_pieces(text)
             cuts.append(own)
             for x in own:
                 if x not in kept:
@@ -122,11 +120,9 @@ def count_tokens(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     path = path or tokenizer_path("byte_bpe_50k.json")
 
     def run(columns: dict[str, pa.Array]) -> dict[str, list]:
-        texts = [x or "" for x in columns["text"].to_pylist()]
+        texts = [x or "" for x in texts_of(columns["text"])]
         n = counter(path).of(texts)
         size = columns["text"].cast(pa.binary())
-        import pyarrow.compute as pc
-
         return {"doc_id": columns["doc_id"], "n_bytes": pc.fill_null(pc.binary_length(size), 0).cast(pa.int64()), "n_tokens": n, "over_limit": [x > limit for x in n]}
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(by_row(run, SCHEMA), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -238,7 +238,8 @@ def test_packing_loses_nothing(spark, odd, tmp_path):
         for a, b, doc, piece in zip(r.cu_seqlens, r.cu_seqlens[1:], r.doc_ids, r.pieces, strict=False):
             assert positions[a:b].tolist() == list(range(b - a))
             found.setdefault((doc, piece), []).append(row[a:b].tolist())
-    encode = packing.tiktoken_encoder(tokenizer_path("byte_bpe_50k.tiktoken"), bpe.default_pattern())
+    encode, highest = packing.tiktoken_encoder(tokenizer_path("byte_bpe_50k.tiktoken"), bpe.default_pattern())
+    assert highest < 50_256
     for doc, text in {(r.doc_id, r.text) for r in odd.collect()}:
         pieces = sorted(p for d, p in found if d == doc)
         assert sum((found[doc, p][0] for p in pieces), []) == [*encode(text or ""), 50256]
@@ -523,7 +524,7 @@ def test_ratios_are_smoothed_at_every_size():
             common = sum(1 for _ in itertools.takewhile(lambda x: x[0] == x[1], zip(named[p], named[q], strict=False)))
             w = np.exp(-((len(named[p]) + len(named[q]) - 2 * common) ** 2) / 2) * np.log2(1 + n)
             sums = [sums[0] + w, sums[1] + w * chars / n, sums[2] + w * marks / n]
-        assert fused[p] == pytest.approx(np.sqrt(sums[1] * sums[2]) / sums[0], rel=1e-6, abs=1e-6)
+        assert fused[p] == pytest.approx(np.log2(1 + np.sqrt(sums[1] * sums[2]) / sums[0]), rel=1e-6, abs=1e-6)
 
 
 def test_large_and_deep_pages_keep_their_text():
@@ -531,7 +532,9 @@ def test_large_and_deep_pages_keep_their_text():
     page = f"<body><div>{plain}<section>{''.join(f'<y{i}>One, two; three.</y{i}>' for i in range(450))}</section></div></body>"
     assert "words without any marks 7" in main_text.main_text(page)
     deep = main_text.blocks_of("<div>" * 80 + "<p>a</p><ul><li>b</li></ul>" + "</div>" * 80)
-    assert len({e.path for b in deep for e, _ in b.pieces}) == 2
+    assert len({p for b in deep for p, _ in b.pieces}) == 2
+    deeper = main_text.main_text("<div>" * 30_000 + "<p>One, two.</p>" + "</div>" * 29_999 + "<p>Three, four.</p></div>")
+    assert deeper == "One, two.\nThree, four."
 
 
 def test_text_beside_a_long_body_stays():
@@ -539,3 +542,130 @@ def test_text_beside_a_long_body_stays():
     lead = "The lead, which is a sentence too; it tells what follows, in short."
     for page in (f"<body><h1>Title</h1><p>{lead}</p><div>{''.join(f'<p>{x}</p>' for x in body)}</div></body>", f"<body><main><h1>Title</h1><p>{lead}</p><article>{''.join(f'<p>{x}</p>' for x in body)}</article></main></body>"):
         assert main_text.main_text(page) == "\n".join(["Title", lead, *body])
+
+
+def made_page(family, rng):
+    """A page of a family with its article's blocks."""
+    word = lambda: "".join(rng.choices("aeiourstnlm", k=rng.randint(2, 9)))
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + rng.choice(".!?")
+    paragraphs = [" ".join(sentence(rng.randint(5, 16)).replace(" ", ", ", 1) for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(2, 9))]
+    title = sentence(rng.randint(3, 9)).rstrip(".")
+    links = "".join(f"<li><a href=/{i}>{word()}</a></li>" for i in range(rng.randint(4, 9)))
+    remarks = "".join(f"<div class=comment><p>{sentence(9)} {sentence(7)}</p></div>" for _ in range(3))
+    own = f"<h1>{title}</h1>" + "".join(f"<p>{x}</p>" for x in paragraphs)
+    page = {
+        "named": f"<header><a>{word()}</a></header><nav><ul>{links}</ul></nav><main><article>{own}</article></main><aside><p>{sentence(12)}</p></aside><footer><p>{sentence(9)}</p></footer>",
+        "classes": f"<div class='top-nav'><ul>{links}</ul></div><div id=page><div class=story>{own}</div><div class='sidebar'><p>{sentence(14)}</p></div></div><div class='cookie-notice'><p>{sentence(9)}</p></div>",
+        "bare": f"<ul>{links}</ul><div><div>{own}</div></div><table><tr><td><a>{word()}</a><td><a>{word()}</a></table>",
+        "remarks": f"<ul class=menu>{links}</ul><section>{own}</section><div id=comments>{remarks}</div><form><p>{sentence(8)}</p></form>",
+    }[family]
+    return f"<html><head><title>{title}</title></head><body>{page}</body></html>", [title, *paragraphs]
+
+
+@pytest.mark.parametrize("family", ["named", "classes", "bare", "remarks"])
+def test_main_text_of_known_articles(family):
+    rng = random.Random(11)
+    kept = given = true = 0
+    for _ in range(120):
+        html, article = made_page(family, rng)
+        found, own = Counter(main_text.main_text(html).split("\n")), Counter(article)
+        kept, given, true = kept + sum((found & own).values()), given + sum(found.values()), true + sum(own.values())
+    assert kept / true > 0.98 and kept / given > 0.98
+
+
+def test_content_paths_by_brute_force():
+    rng = random.Random(12)
+    for _ in range(30):
+        html, _ = made_page(rng.choice(["named", "classes", "bare", "remarks"]), rng)
+        blocks = main_text.blocks_of(html)
+        totals = {}
+        for b in blocks:
+            for p, text in b.pieces:
+                n, chars, marks = totals.get(p, (0, 0, 0.0))
+                totals[p] = (n + 1, chars + len(text.replace(" ", "")), marks + 0.5 + len(main_text._PUNCTUATION.findall(text)))
+
+        def steps(p, q):
+            n = 0
+            while p is not q:
+                p, q, n = (p.parent, q, n + 1) if p.depth >= q.depth else (p, q.parent, n + 1)
+            return n
+
+        score = {}
+        for p in totals:
+            w = {q: np.exp(-(steps(p, q) ** 2) / 2) * np.log2(1 + totals[q][0]) for q in totals}
+            chars, marks = (sum(w[q] * totals[q][k] / totals[q][0] for q in totals) / sum(w.values()) for k in (1, 2))
+            score[p] = np.log2(1 + np.sqrt(chars * marks)) * p.prior
+        mean = sum(score[p] * totals[p][1] * p.prior for p in totals) / sum(totals[p][1] * p.prior for p in totals)
+        content = {p for p in totals if score[p] >= main_text.THRESHOLD * mean}
+        assert content == main_text.content_paths(totals)
+        assert main_text.main_text(html).count("\n") + 1 == sum(any(p in content for p, _ in b.pieces) for b in blocks)
+
+
+def test_words_of_boilerplate_in_compounds_are_no_verdict():
+    body = "".join(f"<p>Sentence {i}, of the article; it is long enough.</p>" for i in range(6))
+    page = f"<article>{body}<div class='share-prices'><p>Shares of the firm fell, by a tenth.</p></div>{body}<div class='share'><p>Share this, now.</p></div></article>"
+    found = main_text.main_text(page)
+    assert "Shares of the firm" in found and "Share this" not in found
+
+
+def test_no_accepted_overlap_lacks_a_seed():
+    """Every pattern of matches that verification accepts holds a window of a mask: a search through all patterns of up to 34 words without such a window."""
+    kept = [(len(m), [i for i, c in enumerate(m) if c == "1"]) for m in decontamination.MASKS]
+    limits = decontamination.DEFAULTS
+    missed = []
+
+    def seeded(p):
+        return any(len(p) >= n and all(p[len(p) - n + i] for i in keep) for n, keep in kept)
+
+    def go(p, score, best):
+        if p and p[-1] and score > best and sum(p) >= limits["min_matches"] and sum(p) >= limits["min_identity"] * len(p):
+            missed.append(tuple(p))
+        if len(p) < 34:
+            if not seeded([*p, 1]):
+                go([*p, 1], score + 1, max(best, score))
+            if score >= decontamination.SUBSTITUTION:
+                go([*p, 0], score - decontamination.SUBSTITUTION, max(best, score))
+
+    go([], 0, 0)
+    assert not missed
+
+
+def test_substitutions_at_the_ends_are_found():
+    item = " ".join(f"w{i}" for i in range(12))
+    block = decontamination.block_of([(1, item.encode())])
+    for edited in ([0], [11], [0, 11], [3], [5], [3, 7], [0, 1]):
+        doc = decontamination.tokens(" ".join("x" if i in edited else f"w{i}" for i in range(12)).encode())
+        assert bool(decontamination.contained(block, [doc], **decontamination.DEFAULTS)[0]) == (decontamination.best_stretch(np.array([i not in edited for i in range(12)]))[0] >= 10), edited
+
+
+def test_passages_shared_by_many_items(monkeypatch):
+    monkeypatch.setattr(decontamination, "PAIRS", 50)
+    shared = " ".join(f"s{i}" for i in range(15))
+    items = [(i, f"{shared} a{i}".encode()) for i in range(40)]
+    block = decontamination.block_of(items)
+    docs = [decontamination.tokens(f"x {shared} y".encode()) for _ in range(10)]
+    found = decontamination.contained(block, docs, **decontamination.DEFAULTS)
+    assert all(len(f) == 40 for f in found)
+    assert all(len(f) >= 1 for f in decontamination.contained(block, docs, **decontamination.DEFAULTS, all_items=False))
+
+
+def test_badly_encoded_texts(spark):
+    """Bytes that aren't UTF-8 crash nothing and lose no row."""
+    bad = spark.createDataFrame([(1, bytearray(b"ok \xff\xfe text " * 30)), (2, bytearray(b"\xc3")), (3, None)], "doc_id long, raw binary")
+    docs = bad.select("doc_id", F.expr("cast(raw as string)").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).alias("n_chars"))
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.col("text").alias("html"), F.lit("u").alias("url"))
+    benchmark = docs.select(F.col("doc_id").alias("item_id"), "text")
+    for out in (packing.pack(docs), bpe.encode_documents(docs), bpe.encode_digests(docs), token_counts.count_tokens(docs), personal_data.find(docs, **TRAINING), personal_data.redact(docs, length_column="n_chars", **TRAINING), near_duplicates.near_duplicates(docs), divergence.quality(docs), main_text.extract(pages), warc.round_trip(pages), sharding.shard(docs)):
+        rows = out.collect()
+        assert len(rows) == 3 or out.columns[0] == "row_id"
+    assert decontamination.hits(docs, benchmark).count() >= 1
+    assert {r.doc_id: r.n_tokens for r in bpe.encode_digests(docs).collect()}[3] == 0
+
+
+def test_tagger_on_text_that_no_generator_made():
+    w = personal_data.trained(**TRAINING)
+    text = "Write to maria.keller@uni-example.edu before Friday, or call +44 (20) 794-6001; the server at 10.4.0.17 keeps api_key = \"9f86d081884c7d659a2feaa0c55ad015\" in plain text. Version 2.10.3 of 14 May costs 35.90, see page 112."
+    (base, spans), = personal_data.all_spans(w, [text])
+    values = [text[a:b] for a, _, b in spans]
+    assert [text[a:b] for a, _, b in base] == ["maria.keller@uni-example.edu", "+44 (20) 794-6001", "10.4.0.17"] and "9f86d081884c7d659a2feaa0c55ad015" in values
+    assert not any(x in v for v in values for x in ("2.10.3", "35.90", "112"))
