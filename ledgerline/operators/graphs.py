@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.sources.tables import shared_root
-
-
-def cut_lineage(df: DataFrame, label: str) -> DataFrame:
-    """Write a step's result to the shared folder and read it back."""
-    path = f"{shared_root(df.sparkSession)}/ledgerline/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ledgerline.sources.tables import cut_lineage, release
 
 
 def dependency_edges(imports: DataFrame, nodes: DataFrame, implicit: DataFrame | None = None) -> DataFrame:
@@ -42,17 +33,16 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int = 5) -> DataFrame:
     """For each start (node), the number of nodes within depth steps, itself included.
 
     A breadth-first search of all starts at once: each round joins the frontier to the edges and keeps pairs not
-    seen before. Cycles end by themselves; each round's frontier is written to the shared folder.
+    seen before. Cycles end by themselves. Each round's frontier is written to the shared folder once; what was seen is all of them.
     """
     steps = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select("src", "dst").distinct()
-    seen = starts.select(F.col("node").alias("start"), F.col("node").alias("at")).distinct()
-    frontier = seen
+    seen = frontier = starts.select(F.col("node").alias("start"), F.col("node").alias("at")).distinct()
     for _ in range(depth):
         found = frontier.join(steps, frontier["at"] == steps["src"]).select("start", F.col("dst").alias("at")).distinct()
         frontier = cut_lineage(found.join(seen, ["start", "at"], "left_anti"), "frontier")
         if frontier.isEmpty():
             break
-        seen = cut_lineage(seen.unionByName(frontier), "reached")
+        seen = seen.unionByName(frontier)
     return seen.groupBy(F.col("start").alias("node")).agg(F.count(F.lit(1)).alias("reach"))
 
 
@@ -61,22 +51,22 @@ def reach_depth(n_files: int) -> int:
     return 3 if n_files > 5000 else 5
 
 
-def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """(node, component): the least node that each node is connected with, edges taken both ways. Labels spread by joins, two hops a round."""
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, component): the least node that each node is connected with, edges taken both ways. Labels spread by joins, two hops a round, until none changes."""
     both = edges.select("src", "dst").where("src != dst")
-    both = both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both = cut_lineage(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
     labels = nodes.select("node", F.col("node").alias("component")).distinct()
-    for _ in range(max_rounds):
+    while True:
         offered = both.join(labels, both["src"] == labels["node"]).groupBy("dst").agg(F.min("component").alias("offer"))
         new = labels.join(offered, labels["node"] == offered["dst"], "left").select("node", F.least("component", F.coalesce("offer", "component")).alias("next"), "component")
         # each label is followed to its own label
         hop = new.select(F.col("node").alias("next"), F.col("next").alias("hop"))
         new = cut_lineage(new.join(hop, "next", "left").select("node", F.least("next", F.coalesce("hop", "next")).alias("next"), "component"), "labels")
-        changed = not new.where("next != component").isEmpty()
+        settled = new.where("next != component").isEmpty()
         labels = new.select("node", F.col("next").alias("component"))
-        if not changed:
-            break
-    return labels
+        if settled:
+            release(both)
+            return labels
 
 
 def component_share(functions: DataFrame, calls: DataFrame) -> DataFrame:
@@ -99,18 +89,46 @@ def dirty_files(changes: DataFrame, edges: DataFrame) -> DataFrame:
     return changes.where("status = 'changed'").select("path").unionByName(importers).distinct().join(changes.where("status = 'deleted'").select("path"), "path", "left_anti")
 
 
-def cyclic(dependencies: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """The nodes on or behind a cycle of dependencies (task, depends_on): what is left when tasks without open dependencies are taken away, again and again. Unknown tasks hold nothing up."""
+def cyclic(dependencies: DataFrame) -> DataFrame:
+    """The nodes on or behind a cycle of dependencies (task, depends_on): what is left when tasks without open dependencies are taken away until none is. Unknown tasks hold nothing up.
+
+    A round takes away one level, so there are as many as the longest chain has tasks.
+    """
     tasks = dependencies.select("task").distinct()
     left = dependencies.where(F.col("depends_on").isNotNull()).join(tasks.withColumnRenamed("task", "depends_on"), "depends_on", "left_semi").select("task", "depends_on").distinct()
+    left = cut_lineage(left, "open")
     n = left.count()
-    for _ in range(max_rounds):
+    while n:
         new = cut_lineage(left.join(left.select(F.col("task").alias("depends_on")).distinct(), "depends_on", "left_semi").select("task", "depends_on"), "open")
-        m = new.count()
-        left = new
-        if m in (0, n):
+        release(left)
+        m, left = new.count(), new
+        if m == n:
             break
         n = m
     return left.select("task").distinct()
 
 
+def group_components(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """For each group (id, files) the number of parts that edges among its own files leave it in."""
+    members = groups.select("id", F.explode("files").alias("file")).distinct()
+    inside = members.join(edges.select(F.col("src").alias("file"), "dst").distinct(), "file").withColumnRenamed("file", "src")
+    inside = inside.join(members.withColumnRenamed("file", "dst"), ["id", "dst"], "left_semi")
+    node = lambda c: F.struct("id", F.col(c).alias("file"))
+    labels = components(inside.select(node("src").alias("src"), node("dst").alias("dst")), members.select(node("file").alias("node")))
+    return labels.groupBy("node.id").agg(F.countDistinct("component").alias("components"))
+
+
+def call_sites(functions: DataFrame) -> DataFrame:
+    """For each file and callee the number of calls: functions (file, name, calls: callees once each, call_counts: by callee); a missing count is 1."""
+    called = functions.select("file", F.explode(F.array_distinct("calls")).alias("callee"), "call_counts")
+    return called.groupBy("file", "callee").agg(F.sum(F.coalesce(F.try_element_at("call_counts", F.col("callee")), F.lit(1))).cast("long").alias("sites"))
+
+
+def cohesion(functions: DataFrame, calls: DataFrame) -> DataFrame:
+    """For each file the share of its pairs of functions that a call ties, 1 at most, and 1 for one function. functions: file, name; calls: file, caller, callee."""
+    known = functions.select("file", F.col("name").alias("n")).distinct()
+    inside = calls.join(known.withColumnRenamed("n", "caller"), ["file", "caller"], "left_semi").join(known.withColumnRenamed("n", "callee"), ["file", "callee"], "left_semi").where("caller != callee")
+    ties = inside.select("file", F.least("caller", "callee").alias("a"), F.greatest("caller", "callee").alias("b")).distinct().groupBy("file").agg(F.count(F.lit(1)).alias("ties"))
+    n = F.col("functions")
+    counts = functions.groupBy("file").agg(F.count(F.lit(1)).alias("functions"))
+    return counts.join(ties, "file", "left").select("file", "functions", F.when(n <= 1, 1.0).otherwise(F.least(F.lit(1.0), F.coalesce("ties", F.lit(0)) / (n * (n - 1) / 2))).alias("cohesion"))

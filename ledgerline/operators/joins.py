@@ -40,22 +40,42 @@ def sole_policy(df: DataFrame, policies: Sequence[Policy], path: str = "path", l
     return df.withColumn("_own", named).withColumn("policy", F.when(F.size("_own") == 1, F.get("_own", 0))).drop("_own")
 
 
-def within(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, width: int = 256) -> DataFrame:
+#: Widths of buckets for intervals, by their lengths.
+WIDTHS = tuple(1 << k for k in range(8, 63, 4))
+
+
+def _dealt(intervals: DataFrame, start: str, end: str) -> DataFrame:
+    """Intervals, each in the buckets that it touches (_width, _bucket): of the least width that is no less than a sixteenth of its length, so in 17 of them at most."""
+    own = intervals.where(F.col(start) <= F.col(end))
+    length = F.col(end) - F.col(start)
+    width = F.lit(WIDTHS[-1])
+    for w in reversed(WIDTHS[:-1]):
+        width = F.when(length <= 16 * w, w).otherwise(width)
+    own = own.withColumn("_width", width.cast("long"))
+    return own.withColumn("_bucket", F.explode(F.expr(f"sequence(floor({start} / _width), floor({end} / _width))")))
+
+
+def _offered(points: DataFrame, dealt: DataFrame, at: str) -> DataFrame:
+    """Points, each in its bucket of every width that occurs."""
+    used = sorted(r[0] for r in dealt.select("_width").distinct().collect())  # of WIDTHS
+    own = points.withColumn("_width", F.explode(F.array(*(F.lit(w).cast("long") for w in used or WIDTHS[:1]))))
+    return own.withColumn("_bucket", F.expr(f"floor({at} / _width)"))
+
+
+def within(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
     """Points in intervals of the same key, both ends included.
 
-    Intervals are dealt to buckets of `width` positions that they touch, so that the join is an equi-join; the ends are checked after it.
+    Intervals are dealt to buckets of positions, so that the join is an equi-join; the ends are checked after it.
     """
-    buckets = F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width)))
-    dealt = intervals.where(F.col(start) <= F.col(end)).withColumn("_bucket", buckets)
-    out = points.withColumn("_bucket", F.floor(F.col(at) / width)).join(dealt, [key, "_bucket"])
-    return out.where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))).drop("_bucket")
+    dealt = _dealt(intervals, start, end)
+    out = _offered(points, dealt, at).join(dealt, [key, "_width", "_bucket"])
+    return out.where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))).drop("_bucket", "_width")
 
 
-def not_within(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, width: int = 256) -> DataFrame:
+def not_within(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
     """Points in no interval of the same key."""
-    buckets = F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width)))
-    dealt = intervals.where(F.col(start) <= F.col(end)).select(F.col(key).alias("_k"), F.col(start).alias("_a"), F.col(end).alias("_z"), buckets.alias("_b"))
-    return points.join(dealt, (F.col(key) == F.col("_k")) & (F.floor(F.col(at) / width) == F.col("_b")) & (F.col(at) >= F.col("_a")) & (F.col(at) <= F.col("_z")), "left_anti")
+    inside = within(points.select(key, at).distinct(), intervals.select(key, start, end), key, at, start, end).select(key, at).distinct()
+    return points.join(inside, [key, at], "left_anti").select(points.columns)
 
 
 def smallest_container(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, name: str) -> DataFrame:
@@ -96,8 +116,9 @@ def consumers_by_leaf(facts: DataFrame, anchors: DataFrame) -> DataFrame:
     f = facts.select(leaf.alias("leaf"), "file").distinct()
     a = anchors.select("anchor", F.when(F.col("symbol").isNotNull(), F.element_at(F.split("symbol", r"\."), -1)).alias("leaf"))
     named = a.where("leaf is not null").join(f, "leaf").select("anchor", "file")
-    whole = a.where("leaf is null").select("anchor", F.lit(1).alias("_k")).join(f.select("file", F.lit(1).alias("_k")).distinct(), "_k").select("anchor", "file")
-    return named.unionByName(whole).groupBy("anchor").agg(F.array_sort(F.collect_set("file")).alias("files"))
+    every = f.agg(F.array_sort(F.collect_set("file")).alias("files"))  # one row: the list that each file-level anchor has
+    whole = a.where("leaf is null").select("anchor").distinct().join(every).where(F.size("files") > 0)
+    return named.groupBy("anchor").agg(F.array_sort(F.collect_set("file")).alias("files")).unionByName(whole)
 
 
 def consumer_sets(symbols: DataFrame, static: DataFrame, key: str = "file") -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.operators.graphs import cut_lineage
+from ledgerline.shipping import ship
+from ledgerline.sources.tables import cut_lineage, prefix_sums
 
 MAX_SETS, MAX_INTERSECTIONS = 10_000, 200_000
 
@@ -58,14 +61,39 @@ def member_coverage(closed: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def pareto_front(df: DataFrame, criteria: Sequence[str]) -> DataFrame:
-    """Rows that no other row is as good as on all criteria (larger is better) and better than on one. df: bounded candidates, as closed_sets gives."""
-    points = df.select(*(F.col(c).alias(f"_{c}") for c in criteria)).distinct()
-    as_good = F.lit(True)
-    better = F.lit(False)
-    for c in criteria:
-        as_good = as_good & (F.col(f"_{c}") >= F.col(c))
-        better = better | (F.col(f"_{c}") > F.col(c))
-    return df.join(points, as_good & better, "left_anti")
+    """Rows that no other row is as good as on all criteria (larger is better) and better than on one. A missing criterion counts as the least.
+
+    Each task keeps the front of its own points; only points on some task's front meet the others.
+    """
+    ship(df.sparkSession)
+    names = [f"_c{i}" for i in range(len(criteria))]
+    points = df.select(*(F.coalesce(F.col(c).cast("double"), F.lit(float("-inf"))).alias(n) for c, n in zip(criteria, names, strict=True))).distinct()
+    local = cut_lineage(points.mapInPandas(_local_front, points.schema), "front")
+    other = local.select(*(F.col(n).alias(f"o{n}") for n in names))
+    as_good, better = F.lit(True), F.lit(False)
+    for n in names:
+        as_good, better = as_good & (F.col(f"o{n}") >= F.col(n)), better | (F.col(f"o{n}") > F.col(n))
+    front = local.join(other, as_good & better, "left_anti")
+    matched = F.lit(True)
+    for c, n in zip(criteria, names, strict=True):
+        matched = matched & (F.coalesce(F.col(c).cast("double"), F.lit(float("-inf"))) == F.col(n))
+    return df.join(front, matched, "left_semi")
+
+
+def _local_front(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns, kept = None, None
+    for batch in batches:
+        columns, own = batch.columns, batch.to_numpy()
+        own = own if kept is None else np.concatenate([kept, own])
+        own = own[np.lexsort(own.T[::-1])[::-1]]  # best first, so that what dominates a point stands before it
+        front = np.empty_like(own)
+        n = 0
+        for point in own:
+            if not (front[:n] >= point).all(1).any():
+                front[n], n = point, n + 1
+        kept = front[:n].copy()
+    if kept is not None:
+        yield pd.DataFrame(kept, columns=columns)
 
 
 def extensions(changes: DataFrame, imports: DataFrame) -> DataFrame:
@@ -100,24 +128,26 @@ def round_robin(df: DataFrame, group: str, order: Sequence[Column], budget: int,
 
 def by_key_waves(df: DataFrame, key: str, order: str, budget: int) -> DataFrame:
     """Rows in waves of one for each key, whole waves while the budget lasts; of the last one, keys spaced evenly."""
-    ranked = df.withColumn("wave", F.row_number().over(Window.partitionBy(key).orderBy(order)))
-    waves = ranked.groupBy("wave").agg(F.count(F.lit(1)).alias("n"))
+    ranked = df.withColumn("wave", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("wave") <= budget)
+    waves = ranked.groupBy("wave").agg(F.count(F.lit(1)).alias("n"))  # budget rows at most
     before = waves.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("wave").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("before") < budget)
-    own = ranked.join(before, "wave").withColumn("i", F.row_number().over(Window.partitionBy("wave").orderBy(key)) - 1)
-    left = F.lit(budget) - F.col("before")
-    # of n rows in the wave, those that hold one of `left` evenly spaced places
-    first, last = F.ceil(F.col("i") * left / F.col("n") - 0.5), F.ceil((F.col("i") + 1) * left / F.col("n") - 0.5)
-    return own.where((F.col("n") <= left) | (last > first)).select(df.columns + ["wave"])
+    own = cut_lineage(ranked.join(F.broadcast(before), "wave").withColumn("left", F.lit(budget) - F.col("before")), "waves")
+    partial = prefix_sums(own.where("n > left").withColumn("one", F.lit(1)), ["wave"], [key], "one", "i")
+    return own.where("n <= left").select(df.columns + ["wave"]).unionByName(partial.where(_holds_place("i", F.col("left"), F.col("n"))).select(df.columns + ["wave"]))
+
+
+def _holds_place(i: str, budget: Column, n: Column) -> Column:
+    """Whether the row at place i of n, from 0, holds one of `budget` evenly spaced places."""
+    return F.ceil((F.col(i) + 1) * budget / n - 0.5) > F.ceil(F.col(i) * budget / n - 0.5)
 
 
 def evenly_sampled(df: DataFrame, order: str, budget: int) -> DataFrame:
-    """At most budget rows, spaced evenly in order. The order is global, as the feature is."""
+    """At most budget rows, spaced evenly in order."""
     n = df.count()
     if n <= budget:
         return df
-    ranked = df.withColumn("_i", F.row_number().over(Window.orderBy(order)) - 1)
-    first, last = F.ceil(F.col("_i") * budget / n - 0.5), F.ceil((F.col("_i") + 1) * budget / n - 0.5)
-    return ranked.where(last > first).drop("_i")
+    placed = prefix_sums(df.withColumn("_one", F.lit(1)), [], [order], "_one", "_i")
+    return placed.where(_holds_place("_i", F.lit(budget), F.lit(n))).select(df.columns)
 
 
 def commonest_kinds(events: DataFrame) -> DataFrame:

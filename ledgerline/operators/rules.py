@@ -130,7 +130,12 @@ def compile_condition(text: str, names: Mapping[str, Column] | None = None, text
         raise RuleError(f"{text!r}: unexpected {t.value!r}")
 
     def number(v: Value) -> Column:
-        return v.column.cast("int").cast("double") if v.truth else v.column.try_cast("double") if v.text else v.column.cast("double")
+        """A number, or null for what is none: an empty or blank text is 0, and NaN compares with nothing."""
+        if v.text:
+            own = F.when(F.trim(v.column) == "", 0.0).otherwise(v.column.try_cast("double"))
+        else:
+            own = v.column.cast("int").cast("double") if v.truth else v.column.cast("double")
+        return F.when(~F.isnan(own), own)
 
     def truth(v: Value) -> Column:
         if v.truth:
@@ -145,10 +150,10 @@ def compile_condition(text: str, names: Mapping[str, Column] | None = None, text
         take()
         right = value()
         a, b = (left.column, right.column) if left.text and right.text else (number(left), number(right))
-        if t.value == "==":
-            return a.eqNullSafe(b)
-        if t.value == "!=":
-            return ~a.eqNullSafe(b)
+        if t.value in ("==", "!="):
+            absent = left.column.isNull() & right.column.isNull()  # missing equals missing, and nothing else
+            same = absent | F.coalesce(a == b, F.lit(False))
+            return same if t.value == "==" else ~same
         return F.coalesce({">": a > b, ">=": a >= b, "<": a < b, "<=": a <= b}[t.value], F.lit(False))
 
     def condition() -> Column:

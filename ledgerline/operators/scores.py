@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.sources.tables import prefix_sums
+
 #: The weight of a change kind.
 CHANGE_WEIGHTS = {
     "interface_add_remove": 100,
@@ -36,24 +38,46 @@ def p95(column: Column | str) -> Column:
     return F.coalesce(F.percentile(column, F.lit(0.95)), F.lit(0.0))
 
 
+def counted(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys, value, n, and how many of the same keys' values are below: by distinct values, in ranges."""
+    return prefix_sums(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")), keys, [value], "n")
+
+
 def floor_p95(df: DataFrame, group: str, value: str) -> DataFrame:
-    """For each group, the value at rank floor(0.95 n) from 0, n - 1 at most. Ranks are exact, by a window over the group's values."""
-    w = Window.partitionBy(group)
-    ranked = df.where(F.col(value).isNotNull()).select(group, value, F.row_number().over(w.orderBy(value)).alias("_r"), F.count(F.lit(1)).over(w).alias("_n"))
-    return ranked.where(F.col("_r") == F.least(F.col("_n"), F.floor(F.col("_n") * 0.95) + 1)).select(group, F.col(value).alias("threshold"))
+    """For each group, the value at rank floor(0.95 n) from 0, n - 1 at most."""
+    ranks = counted(df, [group], value)
+    sizes = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("_all"))
+    rank = F.least(F.col("_all") - 1, F.floor(F.col("_all") * 0.95))
+    return ranks.join(sizes, group).where((F.col("below") <= rank) & (rank < F.col("below") + F.col("n"))).select(group, F.col(value).alias("threshold"))
 
 
 def size_dispersion(df: DataFrame, size: str) -> DataFrame:
     """One row: 1 for five rows or fewer, else the largest size over the floor-rank 95th percentile (1 at least)."""
-    threshold = floor_p95(df.withColumn("_all", F.lit(1)), "_all", size)
+    threshold = floor_p95(df.select(F.lit(1).alias("_all_rows"), size), "_all_rows", size)
     whole = df.agg(F.count(F.lit(1)).alias("n"), F.max(size).alias("most"))
-    return whole.crossJoin(F.broadcast(threshold.select("threshold"))).select("n", F.when(F.col("n") <= 5, 1.0).otherwise(F.col("most") / F.greatest(F.lit(1), F.col("threshold"))).alias("dispersion"))
+    return whole.join(F.broadcast(threshold.select("threshold")), how="left").select("n", F.when(F.col("n") <= 5, 1.0).otherwise(F.col("most") / F.greatest(F.lit(1), F.col("threshold"))).alias("dispersion"))
+
+
+def exact_p95(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """One row with the exact 95th percentile, linearly interpolated, of each column; 0 for one without values.
+
+    Columns are taken as rows (metric, value), counted by distinct value and ranked in ranges, so no task sees all values.
+    """
+    pairs = df.select(F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), c.cast("double").alias("value")) for k, c in columns.items()))).alias("p")).select("p.*")
+    ranks = counted(pairs, ["metric"], "value")
+    sizes = pairs.where("value is not null").groupBy("metric").agg(F.count(F.lit(1)).alias("all"))
+    at = (F.col("all") - 1) * F.lit(0.95)
+    low, high = F.floor(at), F.ceil(at)
+    holds = lambda r: (F.col("below") <= r) & (r < F.col("below") + F.col("n"))
+    ends = ranks.join(sizes, "metric").where(holds(low) | holds(high)).groupBy("metric").agg(F.min("value").alias("a"), F.max("value").alias("b"), F.max(at - low).alias("share"))
+    found = ends.select("metric", (F.col("a") + (F.col("b") - F.col("a")) * F.col("share")).alias("v"))
+    return found.agg(*(F.coalesce(F.max(F.when(F.col("metric") == k, F.col("v"))), F.lit(0.0)).alias(f"p95_{k}") for k in columns))
 
 
 def calibration(df: DataFrame) -> DataFrame:
     """One row with the six percentiles of the metric rows. A missing connectedness counts as 0 here."""
     columns = {"branch": F.col("max_func_branch"), "nesting": F.col("nesting_depth"), "loc": implementation_loc(), "external_passthrough": passthrough(), "alpha": F.col("alpha_struct"), "one_minus_connectedness": 1 - F.coalesce(F.col("connectedness"), F.lit(0.0))}
-    return df.agg(*(p95(c.cast("double")).alias(f"p95_{n}") for n, c in columns.items()))
+    return exact_p95(df, columns)
 
 
 def implementation_loc() -> Column:
@@ -125,15 +149,15 @@ def file_count_bucket(n: Column) -> Column:
 
 
 def impact_scale(samples: DataFrame, facts: DataFrame) -> DataFrame:
-    """For each sample (sample_id, i_push, file_count), the weighted share, in percent with one decimal, of facts (i_push, file_count, weight) of its bucket below it; null without facts.
+    """For each sample (sample_id, i_push, file_count), the weighted share, in percent with one decimal, of facts (i_push, file_count, weight) of its bucket below it; null without facts. A negative weight counts as 0.
 
-    Facts are summed by bucket and value first; the running weight below each value is a window over distinct values.
+    Facts are summed by bucket and value first; the weight below each value comes from sums over ranges of values.
     """
-    f = facts.select(file_count_bucket(F.col("file_count")).alias("bucket"), F.col("i_push").alias("v"), F.col("weight").alias("w"))
+    f = facts.select(file_count_bucket(F.col("file_count")).alias("bucket"), F.col("i_push").alias("v"), F.greatest(F.lit(0.0), F.col("weight")).alias("w"))
     s = samples.select("sample_id", file_count_bucket(F.col("file_count")).alias("bucket"), F.col("i_push").alias("v"))
     totals = f.groupBy("bucket").agg(F.sum("w").alias("total"))
     both = f.groupBy("bucket", "v").agg(F.sum("w").alias("w")).unionByName(s.select("bucket", "v", F.lit(0.0).alias("w"))).groupBy("bucket", "v").agg(F.sum("w").alias("w"))
-    below = both.withColumn("below", F.coalesce(F.sum("w").over(Window.partitionBy("bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    below = prefix_sums(both, ["bucket"], ["v"], "w")
     out = s.join(below.drop("w"), ["bucket", "v"]).join(totals, "bucket", "left")
     return out.select("sample_id", "bucket", F.when(F.col("total") > 0, F.round(F.col("below") / F.col("total") * 1000) / 10).alias("percentile"))
 

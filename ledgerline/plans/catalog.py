@@ -35,8 +35,12 @@ STAND_INS = {
     "functions": "SELECT l_orderkey AS file, l_partkey AS name, l_suppkey AS line, CAST(floor(l_quantity) AS BIGINT) AS branch, l_linenumber AS number FROM lineitem",
     "changes": "SELECT DISTINCT l_orderkey AS id, l_partkey % 40 AS path, CASE l_returnflag WHEN 'A' THEN 'added' WHEN 'N' THEN 'modified' ELSE 'deleted' END AS kind FROM lineitem",
     "history": "SELECT event_id AS entry_id, user_id AS file, ts, CAST(round(value * 100) AS BIGINT) / 100.0 - 20 AS delta_i FROM events WHERE value IS NOT NULL",
-    "imports": """SELECT a.l_partkey AS src, b.l_partkey AS dst FROM (SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate < TIMESTAMP '1995-01-31 00:00:00' AND l_linenumber = 1) a
-        JOIN (SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem WHERE l_linenumber = 2) b ON a.l_orderkey = b.l_orderkey""",
+    "declarations": """SELECT side, 'c' || CAST(l_orderkey AS VARCHAR(20)) || CASE WHEN l_linenumber <= 2 THEN '' ELSE '.m' || CAST(l_linenumber % 4 AS VARCHAR(9)) END AS id, CASE l_linenumber % 4 WHEN 1 THEN 'class' WHEN 2 THEN 'interface' WHEN 3 THEN 'function' ELSE 'field' END AS kind,
+        '(' || CAST((l_suppkey + CASE WHEN side = 1 AND l_partkey % 4 = 0 THEN 1 ELSE 0 END) % 3 AS VARCHAR(9)) || ')' AS signature, 'b' || CAST(l_partkey % 9 + CASE WHEN l_partkey % 6 = 0 THEN side ELSE 0 END AS VARCHAR(9)) AS body,
+        CASE WHEN side = 1 AND l_partkey % 11 = 0 THEN (l_linenumber + l_orderkey) % 3 = 0 ELSE (l_linenumber + l_orderkey) % 3 <> 0 END AS is_public, CASE WHEN l_suppkey % 2 = 0 THEN 'additive' ELSE 'strict' END AS contract_compatibility
+        FROM (SELECT 0 AS side, * FROM lineitem WHERE l_partkey % 5 <> 0 UNION ALL SELECT 1 AS side, * FROM lineitem WHERE l_partkey % 7 <> 0) x""",
+    "imports": """SELECT a.l_partkey AS src, b.l_partkey AS dst FROM (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber = 1) a
+        JOIN (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber = 2) b ON a.l_orderkey = b.l_orderkey""",
 }
 
 
@@ -332,9 +336,9 @@ def p14_threshold_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("path", F.array_join("rules_before", ",").alias("before"), F.array_join("rules_after", ",").alias("after"))
 
 
-@query("""SELECT l_orderkey AS file, l_partkey AS line, CASE WHEN l_suppkey % 4 = 0 AND (l_suppkey % 8 = 0 OR l_orderkey % 2 = 0) THEN 'exempted' WHEN l_returnflag = 'A' THEN 'block' WHEN l_suppkey % 5 = 0 THEN 'warn' ELSE 'review' END AS action FROM lineitem WHERE l_orderkey < 400""")
+@query("""SELECT l_orderkey AS file, l_partkey AS line, CASE WHEN l_suppkey % 4 = 0 AND (l_suppkey % 8 = 0 OR l_orderkey % 2 = 0) THEN 'exempted' WHEN l_returnflag = 'A' THEN 'block' WHEN l_suppkey % 5 = 0 THEN 'warn' ELSE 'review' END AS action FROM lineitem""")
 def p15_test_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = tables.table(spark, sf_dir, "lineitem").where("l_orderkey < 400")
+    li = tables.table(spark, sf_dir, "lineitem")
     findings = li.select(F.concat(F.lit("r"), F.col("l_suppkey")).alias("rule_id"), F.col("l_returnflag").alias("kind"), F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("line"))
     suppliers = tables.table(spark, sf_dir, "supplier").select("s_suppkey")
     every = suppliers.where("s_suppkey % 8 = 0").select(F.concat(F.lit("r"), F.col("s_suppkey")).alias("rule_id"), F.lit(None).cast("long").alias("file"), F.lit("2025-01-01").cast("timestamp").alias("expires"))
@@ -389,23 +393,23 @@ def j8_pair_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.pair_revisions(li.where("l_shipdate < '1998-01-01'"), li.where("l_shipdate >= '1997-06-01'"), ["l_orderkey", "l_partkey"])
 
 
-@query("SELECT l.l_orderkey AS file, l.l_partkey AS line, p_partkey AS block FROM lineitem l JOIN part ON l.l_orderkey % 10 = p_size % 10 AND l.l_partkey BETWEEN p_partkey AND p_partkey + p_size WHERE l.l_orderkey <= 200")
+@query("SELECT l.l_orderkey AS file, l.l_partkey AS line, p_partkey AS block FROM lineitem l JOIN part ON l.l_orderkey % 10 = p_size % 10 AND l.l_partkey BETWEEN p_partkey AND p_partkey + p_size")
 def j14_within(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = tables.table(spark, sf_dir, "lineitem").where("l_orderkey <= 200").select(F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("line"), (F.col("l_orderkey") % 10).alias("k"))
+    points = tables.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("line"), (F.col("l_orderkey") % 10).alias("k"))
     spans = tables.table(spark, sf_dir, "part").select((F.col("p_size") % 10).alias("k"), F.col("p_partkey").alias("block"), F.col("p_partkey").alias("start"), (F.col("p_partkey") + F.col("p_size")).alias("end"))
     return joins.within(points, spans, "k", "line", "start", "end").select("file", "line", "block")
 
 
-@query("SELECT DISTINCT l_orderkey AS file, l_partkey AS line FROM lineitem l WHERE l_orderkey <= 200 AND NOT EXISTS (SELECT 1 FROM part WHERE l.l_orderkey % 10 = p_size % 10 AND l.l_partkey BETWEEN p_partkey AND p_partkey + p_size)")
+@query("SELECT DISTINCT l_orderkey AS file, l_partkey AS line FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM part WHERE l.l_orderkey % 10 = p_size % 10 AND l.l_partkey BETWEEN p_partkey AND p_partkey + p_size)")
 def j15_not_within(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = tables.table(spark, sf_dir, "lineitem").where("l_orderkey <= 200").select(F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("line"), (F.col("l_orderkey") % 10).alias("k")).distinct()
+    points = tables.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("line"), (F.col("l_orderkey") % 10).alias("k")).distinct()
     spans = tables.table(spark, sf_dir, "part").select((F.col("p_size") % 10).alias("k"), F.col("p_partkey").alias("start"), (F.col("p_partkey") + F.col("p_size")).alias("end"))
     return joins.not_within(points, spans, "k", "line", "start", "end").select("file", "line")
 
 
-@query("SELECT k, line, block FROM (SELECT k, line, p_partkey AS block, row_number() OVER (PARTITION BY k, line ORDER BY p_size, p_partkey) AS r FROM (SELECT DISTINCT l_orderkey % 10 AS k, l_partkey AS line FROM lineitem WHERE l_orderkey <= 200) JOIN part ON k = p_size % 10 AND line BETWEEN p_partkey AND p_partkey + p_size) WHERE r = 1")
+@query("SELECT k, line, block FROM (SELECT k, line, p_partkey AS block, row_number() OVER (PARTITION BY k, line ORDER BY p_size, p_partkey) AS r FROM (SELECT DISTINCT l_orderkey % 10 AS k, l_partkey AS line FROM lineitem) JOIN part ON k = p_size % 10 AND line BETWEEN p_partkey AND p_partkey + p_size) WHERE r = 1")
 def j16_smallest_container(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = tables.table(spark, sf_dir, "lineitem").where("l_orderkey <= 200").select((F.col("l_orderkey") % 10).alias("k"), F.col("l_partkey").alias("line")).distinct()
+    points = tables.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 10).alias("k"), F.col("l_partkey").alias("line")).distinct()
     spans = tables.table(spark, sf_dir, "part").select((F.col("p_size") % 10).cast("long").alias("k"), F.col("p_partkey").alias("block"), F.col("p_partkey").alias("start"), (F.col("p_partkey") + F.col("p_size")).alias("end"))
     return joins.smallest_container(points, spans, "k", "line", "start", "end", "block").select("k", "line", "block")
 
@@ -456,10 +460,11 @@ def j30_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.overlay(base, base.where("path % 6 = 0").select("path", F.lit(-1.0).alias("v")), "path")
 
 
-@query("SELECT DISTINCT a.user_id AS src, b.user_id AS dst, a.event_type AS via FROM (SELECT DISTINCT user_id, event_type FROM events WHERE user_id % 10 = 0) a JOIN (SELECT DISTINCT user_id, event_type FROM events WHERE user_id % 7 = 0) b USING (event_type)")
+@query("SELECT DISTINCT a.user_id AS src, b.user_id AS dst, via FROM (SELECT DISTINCT user_id, event_type || '@' || strftime(ts, '%Y-%m-%d') AS via FROM events WHERE event_id % 2 = 0) a JOIN (SELECT DISTINCT user_id, event_type || '@' || strftime(ts, '%Y-%m-%d') AS via FROM events WHERE event_id % 2 = 1) b USING (via)")
 def j34_event_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = tables.table(spark, sf_dir, "events").select(F.col("event_type").alias("event"), F.col("user_id").alias("file"))
-    return joins.link_events(own.where("file % 10 = 0"), own.where("file % 7 = 0"))
+    """Every event emits or listens, to its type on its day."""
+    own = tables.table(spark, sf_dir, "events").select(F.concat("event_type", F.lit("@"), F.date_format("ts", "yyyy-MM-dd")).alias("event"), F.col("user_id").alias("file"), "event_id")
+    return joins.link_events(own.where("event_id % 2 = 0"), own.where("event_id % 2 = 1"))
 
 
 @query("SELECT l_orderkey AS task, bool_and(coalesce(o_orderstatus = 'F', false)) AS ready FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey - 3 GROUP BY l_orderkey")
@@ -481,14 +486,31 @@ def x5_replace_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.replace_source(old, own.where("dst % 5 = 0"), "a")
 
 
-@query("SELECT o_orderkey AS id, change_kind FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'public_method_sig' ELSE 'function_sig' END WHEN o_orderkey % 5 = 0 THEN 'function_body' END AS change_kind FROM orders) WHERE change_kind IS NOT NULL")
+ADDED_KIND = "CASE WHEN NOT p AND kind = 'function' THEN 'function_sig' WHEN NOT p THEN 'function_body' WHEN additive THEN 'compatible_field_add' WHEN kind = 'interface' THEN 'interface_add_remove' WHEN kind = 'class' THEN 'class_add_remove' WHEN kind = 'function' THEN 'public_method_sig' ELSE 'field_add_remove' END"
+SEMANTIC_SQL = f"""before AS (SELECT * FROM declarations WHERE side = 0), after AS (SELECT * FROM declarations WHERE side = 1),
+    b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, kind, signature ORDER BY body, is_public) AS r FROM before) WHERE r = 1), a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, kind, signature ORDER BY body, is_public) AS r FROM after) WHERE r = 1),
+    same AS (SELECT b.id, b.kind, b.body AS x, a.body AS y, b.is_public AS p, a.is_public AS q FROM b JOIN a USING (id, kind, signature)),
+    lb AS (SELECT *, count(*) OVER (PARTITION BY id, kind) AS n FROM b ANTI JOIN a USING (id, kind, signature)), la AS (SELECT *, count(*) OVER (PARTITION BY id, kind) AS n FROM a ANTI JOIN b USING (id, kind, signature)),
+    changed AS (SELECT lb.id, lb.kind, lb.is_public OR la.is_public AS p FROM lb JOIN la USING (id, kind) WHERE lb.n = 1 AND la.n = 1),
+    additive AS (SELECT id, kind, bool_or(contract_compatibility = 'additive') AS additive FROM after GROUP BY id, kind),
+    came AS (SELECT la.id, la.kind, la.is_public AS p, additive FROM la ANTI JOIN lb USING (id, kind) JOIN additive USING (id, kind)), went AS (SELECT id, kind, is_public AS p, false AS additive FROM lb ANTI JOIN la USING (id, kind)),
+    outer_came AS (SELECT * FROM came WHERE NOT (contains(id, '.') AND split_part(id, '.', 1) IN (SELECT id FROM came))), outer_went AS (SELECT * FROM went WHERE NOT (contains(id, '.') AND split_part(id, '.', 1) IN (SELECT id FROM went))),
+    made AS (SELECT id, {ADDED_KIND} AS change_kind FROM outer_came UNION ALL SELECT id, {ADDED_KIND} FROM outer_went UNION ALL SELECT id, {ADDED_KIND} FROM (SELECT *, false AS additive FROM changed)
+        UNION ALL SELECT id, CASE WHEN p <> q THEN (SELECT {ADDED_KIND} FROM (SELECT same.p OR same.q AS p, false AS additive)) WHEN kind = 'function' AND x <> y THEN 'function_body' END FROM same
+        UNION ALL SELECT 's' || k, 'dependency_add' FROM (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_suppkey % 3 = 0 AND l_suppkey % 2 <> 0) UNION ALL SELECT 's' || k, 'dependency_remove' FROM (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_suppkey % 2 = 0 AND l_suppkey % 3 <> 0))"""
+
+
+def two_revisions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    own = stand_in(spark, sf_dir, "declarations")
+    return own.where("side = 0").drop("side"), own.where("side = 1").drop("side")
+
+
+@query(f"+{SEMANTIC_SQL} SELECT id, change_kind FROM made WHERE change_kind IS NOT NULL", "declarations")
 def m7_semantic_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order a function; finished ones change their signature, every fifth its body."""
-    o = tables.table(spark, sf_dir, "orders")
-    base = o.select(F.col("o_orderkey").cast("string").alias("id"), F.lit("function").alias("kind"), (F.col("o_orderkey") % 2 == 0).alias("is_public"), F.lit("strict").alias("contract_compatibility"), F.lit("(a)").alias("signature"), F.lit("x").alias("body"), "o_orderstatus", "o_orderkey")
-    after = base.withColumns({"signature": F.when(F.col("o_orderstatus") == "F", "(a, b)").otherwise("(a)"), "body": F.when(F.col("o_orderkey") % 5 == 0, "y").otherwise("x")})
-    none = o.select(F.lit("s").alias("source")).limit(0)
-    return diffing.semantic_changes(base, after, none, none).select(F.col("anchor").cast("long").alias("id"), "change_kind")
+    """Two revisions of classes, interfaces, functions (some overloaded) and fields, and their imports."""
+    li = tables.table(spark, sf_dir, "lineitem")
+    sources = lambda n: li.where(F.col("l_suppkey") % n == 0).select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("source"))
+    return diffing.semantic_changes(*two_revisions(spark, sf_dir), sources(2), sources(3)).select(F.col("anchor").alias("id"), "change_kind")
 
 
 # -- graphs, mining, selection ------------------------------------------------------------------
@@ -573,9 +595,9 @@ def w1_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.blocks(docs, 4, 2).select(F.col("path").alias("doc_id"), "start", "content")
 
 
-@query("SELECT doc_id, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(substring(text, 1, 40), ''), lambda c: CAST(ord(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295) AS h FROM documents WHERE length(text) > 0")
+@query("SELECT doc_id, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(text, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295) AS h FROM documents WHERE length(text) > 0")
 def o2_hash32(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.table(spark, sf_dir, "documents").where(F.length("text") > 0).select("doc_id", fp.hash32(F.substring("text", 1, 40), 0).alias("h"))
+    return tables.table(spark, sf_dir, "documents").where(F.length("text") > 0).select("doc_id", fp.hash32(F.col("text"), 0).alias("h"))
 
 
 @query("SELECT p_partkey AS id, array_to_string(list_transform(string_split(p_size || '.' || p_partkey % 13 || '.' || p_partkey % 5, '.'), lambda x: lpad(x, 6, '0')), '.') AS k FROM part")

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JError
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of this context's own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir; where it is unset, one of this context's own, in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = getattr(spark.sparkContext, "_ledgerline_root", None)
         if not root:
             root = "file://" + tempfile.mkdtemp(prefix="ledgerline-shared-")
@@ -19,22 +25,75 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def cut_lineage(df: DataFrame, label: str) -> DataFrame:
+    """Write a step's result to the shared folder and read it back. What this application wrote there goes when the driver ends."""
+    sc = df.sparkSession.sparkContext
+    base = f"{shared_root(df.sparkSession)}/ledgerline/{sc.applicationId}"
+    if getattr(sc, "_ledgerline_steps", None) != base:
+        sc._ledgerline_steps = base
+        atexit.register(_delete, sc._jvm, sc._jsc.hadoopConfiguration(), base)
+    path = f"{base}/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "lz4").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._ledgerline_path = path
+    return out
+
+
+def release(*steps: DataFrame) -> None:
+    """Delete steps that nothing reads any more."""
+    for df in steps:
+        path = getattr(df, "_ledgerline_path", None)
+        if path:
+            sc = df.sparkSession.sparkContext
+            _delete(sc._jvm, sc._jsc.hadoopConfiguration(), path)
+
+
+def _delete(jvm, configuration, path: str) -> None:
+    try:
+        own = jvm.org.apache.hadoop.fs.Path(path)
+        own.getFileSystem(configuration).delete(own, True)
+    except (Py4JError, ConnectionError):  # the JVM went before
+        pass
+
+
+def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str, below: str = "below") -> DataFrame:
+    """df with the sum of weight over the rows before each, in order, among those with the same keys.
+
+    The rows are dealt by ranges of (keys, order) and written; sums of whole ranges, of which there are as many as shuffle
+    partitions, give what each range starts from, and a window within a range gives the rest: no key is sorted in one task.
+    Rows that are equal in keys and order should be summed first.
+    """
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = cut_lineage(df.repartitionByRange(n, *keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    parts = dealt.groupBy(*keys, "_range").agg(F.sum(weight).alias("_sum"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(*keys, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    matched = F.col("_range") == F.col("_r")
+    for k in keys:
+        matched = matched & dealt[k].eqNullSafe(F.col(f"_k_{k}"))
+    joined = dealt.join(starts.select(F.col("_range").alias("_r"), "_start", *(F.col(k).alias(f"_k_{k}") for k in keys)), matched)
+    within = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return joined.withColumn(below, F.col("_start") + F.coalesce(F.sum(weight).over(within), F.lit(0))).select(*df.columns, below)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def snapshot_id(df: DataFrame, key: str, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """One row with an identity of a table's rows, whatever their order: the sum and xor of row hashes and the count, hashed. Nothing is collected."""
+    """One row with an identity of a table's rows, whatever their order: SHA-256 over the sorted SHA-256 of all rows, by chunk of hashes first."""
     own = [c for c in sorted(df.columns) if c not in exclude]
-    row = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in own))
-    parts = df.select(row.alias("h"), F.xxhash64(F.lit(1), row).alias("g")).agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(h)").alias("x"), F.sum((F.col("g") % 1_000_003).cast("decimal(38,0)")).alias("s"))
-    return parts.select(F.sha2(F.concat_ws("|", F.lit(key), "n", F.coalesce("x", F.lit(0)), F.coalesce("s", F.lit(0))), 256).alias("snapshot_id"))
+    hashed = df.select(F.sha2(F.to_json(F.struct(*own), {"ignoreNullFields": "false"}), 256).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    parts = hashed.groupBy(F.substring("h", 1, 3).alias("chunk")).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("h", "n")))), 256).alias("part"))
+    whole = F.sha2(F.concat_ws("|", F.lit(key), F.to_json(F.array_sort(F.collect_list(F.struct("chunk", "part"))))), 256)
+    return parts.agg(whole.alias("snapshot_id"))
 
 
 def publish(df: DataFrame, root: str, key: str) -> str:
     """Write a generation and make it the active one, unless the active one has the same rows; returns the active generation's id.
 
-    The pointer is a small table that is replaced last, so readers see the old generation or the new one. The one before stays as a backup.
+    Pointers are small numbered tables, written last; the newest whole one counts, so that readers always see the old generation
+    or the new one. The generation before stays as a backup. Writers take turns: of two at once one fails.
     """
     spark = df.sparkSession
     identity = snapshot_id(df, key).first()[0]
@@ -44,7 +103,7 @@ def publish(df: DataFrame, root: str, key: str) -> str:
     if not _readable(spark, f"{root}/generations/{identity}"):
         df.write.mode("overwrite").parquet(f"{root}/generations/{identity}")
     latest = spark.createDataFrame([(identity, active[0] if active else None)], "active string, backup string")
-    latest.coalesce(1).write.mode("overwrite").parquet(f"{root}/pointer")
+    latest.coalesce(1).write.mode("errorifexists").parquet(f"{root}/pointers/{(_pointers(spark, root) or [0])[-1] + 1:012d}")
     return identity
 
 
@@ -65,11 +124,19 @@ def _readable(spark: SparkSession, path: str) -> bool:
     return _exists(spark, f"{path}/_SUCCESS")
 
 
+def _pointers(spark: SparkSession, root: str) -> list[int]:
+    """The numbers of all pointers, whole or not."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/pointers")
+    system = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(int(x.getPath().getName()) for x in system.listStatus(own) if x.getPath().getName().isdigit()) if system.exists(own) else []
+
+
 def _pointer(spark: SparkSession, root: str) -> tuple[str, str | None] | None:
-    if not _readable(spark, f"{root}/pointer"):
-        return None
-    row = spark.read.parquet(f"{root}/pointer").first()
-    return (row[0], row[1]) if row else None
+    for number in reversed(_pointers(spark, root)):
+        path = f"{root}/pointers/{number:012d}"
+        if _readable(spark, path) and (row := spark.read.parquet(path).first()):
+            return row[0], row[1]
+    return None
 
 
 def merge(old: DataFrame, delta: DataFrame, key: str, deleted: DataFrame | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Any
 
@@ -60,19 +61,25 @@ def sessions(beats: DataFrame, key: str, ts: str, ttl: str) -> DataFrame:
 
 
 def _status_of(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    sequence, status = state.get if state.exists else (0, None)
+    sequence, status, early = state.get if state.exists else (0, None, "{}")
+    waiting: dict[int, str] = {int(k): v for k, v in json.loads(early).items()}
     for batch in batches:
         for row in batch.sort_values("sequence").itertuples():
-            if row.sequence == sequence + 1 and NEXT.get(status) == row.type:  # others are late, repeated or not allowed
-                sequence, status = int(row.sequence), row.type
-    state.update((sequence, status))
+            if row.sequence > sequence:
+                waiting.setdefault(int(row.sequence), row.type)  # others are late or repeated
+    while (following := waiting.get(sequence + 1)) is not None:
+        if NEXT.get(status) != following:
+            del waiting[sequence + 1]  # not allowed; another event may still take its place
+            break
+        sequence, status = sequence + 1, waiting.pop(sequence + 1)
+    state.update((sequence, status, json.dumps(waiting)))
     yield pd.DataFrame({"task": [key[0]], "sequence": [sequence], "status": [status]})
 
 
 def status_stream(events: DataFrame) -> DataFrame:
-    """The running status of each task over a stream of events (task, sequence, type)."""
+    """The running status of each task over a stream of events (task, sequence, type). An event that comes before its turn waits for it in the state."""
     ship(events.sparkSession)
-    return events.groupBy("task").applyInPandasWithState(_status_of, "task string, sequence long, status string", "sequence long, status string", "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy("task").applyInPandasWithState(_status_of, "task string, sequence long, status string", "sequence long, status string, early string", "update", GroupStateTimeout.NoTimeout)
 
 
 def lease_step(held: tuple[str, int, int] | None, token: int, request: dict[str, Any]) -> tuple[tuple[str, int, int] | None, int, str]:
