@@ -156,3 +156,24 @@ def prohibited_imports(before: DataFrame, after: DataFrame, authorities: DataFra
     """Imports (file, source) that are new, on a protected file (authority, file, prohibited) and prohibited there."""
     added = after.distinct().join(before, ["file", "source"], "left_anti")
     return added.join(authorities.withColumnRenamed("prohibited", "source"), ["file", "source"]).select("authority", "file", "source")
+
+
+def forbidden_imports(imports: DataFrame, authorities: DataFrame) -> DataFrame:
+    """Imports (file, source), new or not, that are prohibited (authority, file, prohibited) where they stand."""
+    return imports.distinct().join(authorities.withColumnRenamed("prohibited", "source"), ["file", "source"]).select("authority", "file", "source")
+
+
+def silent_handlers(handlers: DataFrame, language: str, body: str = "body") -> DataFrame:
+    """Error handlers whose body does nothing: empty braces, or a lone pass."""
+    own = F.trim(F.regexp_replace(F.col(body), r"\s+", " "))
+    return handlers.where(own.isin("pass", "...") if language == "python" else F.regexp_replace(own, " ", "").isin("{}", ""))
+
+
+def empty_functions(declarations: DataFrame, body: str = "body") -> DataFrame:
+    """Functions with empty braces; constructors may have them."""
+    return declarations.where((F.regexp_replace(F.col(body), r"\s", "") == "{}") & (F.col("name") != "constructor"))
+
+
+def project_shapes(literals: DataFrame, prefix: str = "packages/", text: str = "text") -> DataFrame:
+    """String literals that name a place in this project's own layout."""
+    return literals.where(F.col(text).rlike("^[\"'`]" + prefix))

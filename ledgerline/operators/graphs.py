@@ -132,3 +132,17 @@ def cohesion(functions: DataFrame, calls: DataFrame) -> DataFrame:
     n = F.col("functions")
     counts = functions.groupBy("file").agg(F.count(F.lit(1)).alias("functions"))
     return counts.join(ties, "file", "left").select("file", "functions", F.when(n <= 1, 1.0).otherwise(F.least(F.lit(1.0), F.coalesce("ties", F.lit(0)) / (n * (n - 1) / 2))).alias("cohesion"))
+
+
+def internal_call_shape(functions: DataFrame, calls: DataFrame) -> DataFrame:
+    """For each file: connectedness, cohesion, functions called from within, those called from one place alone, and their share (null if none is called).
+
+    functions: file, name; calls: file, caller, callee, sites. A file of one function has (1, 1, 0, 0, null).
+    """
+    known = functions.select("file", F.col("name").alias("n")).distinct()
+    inside = calls.join(known.withColumnRenamed("n", "callee"), ["file", "callee"], "left_semi").groupBy("file", "callee").agg(F.sum("sites").alias("sites"))
+    called = inside.groupBy("file").agg(F.count(F.lit(1)).alias("called"), F.count_if(F.col("sites") == 1).alias("single"))
+    shape = component_share(functions, calls).join(cohesion(functions, calls).select("file", "cohesion"), "file").join(called, "file", "left")
+    several = F.col("functions") > 1
+    n, one = F.when(several, F.coalesce("called", F.lit(0))).otherwise(0), F.when(several, F.coalesce("single", F.lit(0))).otherwise(0)
+    return shape.select("file", "connectedness", "cohesion", n.cast("long").alias("called"), one.cast("long").alias("single_call_site"), F.when(n > 0, one / n).alias("single_call_ratio"))

@@ -154,3 +154,45 @@ def commonest_kinds(events: DataFrame) -> DataFrame:
     """One row: the commonest set of change kinds (by count, then the key), and aligned if it is the only one, else mixed."""
     counts = events.groupBy("kinds").agg(F.count(F.lit(1)).alias("n"))
     return counts.agg(F.max_by("kinds", F.struct("n", F.col("kinds"))).alias("kinds"), F.when(F.count(F.lit(1)) == 1, "aligned").otherwise("mixed").alias("evidence"))
+
+
+def intersect(left: Column, right: Column) -> Column:
+    """What two sets of files have in common, in order."""
+    return F.array_sort(F.array_intersect(left, right))
+
+
+def contains_all(container: Column, subset: Column) -> Column:
+    return F.size(F.array_except(subset, container)) == 0
+
+
+def enrichment_plan(candidates: DataFrame, commits: DataFrame, most_candidates: int = 3, most_commits: int = 3, budget: int = 9) -> DataFrame:
+    """(candidate, id): the commits to look into: of the first candidates (candidate, rank) the first commits (candidate, id, position) each, until the budget is used up. Sizes are the report's."""
+    first = candidates.orderBy("rank").limit(most_candidates).select("candidate", "rank")
+    own = commits.join(F.broadcast(first), "candidate").withColumn("_r", F.row_number().over(Window.partitionBy("candidate").orderBy("position"))).where(F.col("_r") <= most_commits)
+    return own.orderBy("rank", "position").limit(budget).select("candidate", "id")
+
+
+def corroborated(candidates: DataFrame) -> DataFrame:
+    """Candidates (files, components, evidence) that imports tie together or whose history isn't mixed."""
+    return candidates.where((F.col("components") < F.size("files")) | (F.coalesce("evidence", F.lit("")) != "mixed"))
+
+
+def plain_imports(imports: Column, reexports: Column) -> Column:
+    return F.array_except(imports, reexports)
+
+
+def forwards_only(imports: Column, reexports: Column) -> Column:
+    """Whether a file publicly forwards modules and imports nothing else."""
+    return (F.size(F.coalesce(reexports, F.array().cast("array<string>"))) > 0) & (F.size(plain_imports(F.coalesce(imports, F.array().cast("array<string>")), reexports)) == 0)
+
+
+def projected_changes(changes: DataFrame, extension_commits: DataFrame, forwarding: DataFrame, coordinator: str) -> DataFrame:
+    """(id, files): of the commits in which the coordinator was extended (id), the modified files that do more than forward, where the coordinator is one."""
+    own = changes.where("kind = 'modified'").join(extension_commits.select("id").distinct(), "id", "left_semi").join(forwarding.select("path"), "path", "left_anti")
+    return own.groupBy("id").agg(F.array_sort(F.collect_set("path")).alias("files")).where(F.array_contains("files", coordinator))
+
+
+def production_files(changes: DataFrame, facts: DataFrame) -> DataFrame:
+    """(id, files, unknown): the distinct production files (path, kind) of each commit, and how many of its paths have no facts."""
+    own = changes.select("id", "path").distinct().join(facts.select("path", F.coalesce("kind", F.lit("production")).alias("kind")), "path", "left")
+    return own.groupBy("id").agg(F.array_sort(F.collect_set(F.when(F.col("kind") == "production", F.col("path")))).alias("files"), F.count_if(F.col("kind").isNull()).alias("unknown"))

@@ -206,3 +206,45 @@ def compact(history: DataFrame, checkpoint: DataFrame | None, cutoff: Column) ->
 def history_facts(history: DataFrame) -> DataFrame:
     """For each history entry its impact, number of changed files and weight."""
     return history.groupBy("entry_id").agg(F.sum("delta_i").alias("i_push"), F.count_if(F.col("delta_i") != 0).alias("file_count")).withColumn("weight", F.lit(1.0))
+
+
+#: The columns that a gate reads.
+GATE_COLUMNS = ("path", "language", "path_class", "kind", "loc", "declaration_loc", "branch_count", "weighted_branch_total", "top_level_branch", "max_func_branch", "nesting_depth", "function_count", "connectedness", "cohesion", "alpha_struct", "in_degree", "passthrough_calls", "external_passthrough_calls")
+
+
+def gate_metrics(df: DataFrame) -> DataFrame:
+    """The columns that a gate reads, those that df has; nothing else is scanned."""
+    return df.select(*(c for c in GATE_COLUMNS if c in df.columns))
+
+
+def weighted_branch_total(total: Column, count: Column) -> Column:
+    return F.coalesce(total, count.cast("double"), F.lit(0.0))
+
+
+def max_func_weighted_branch(branch: Column) -> Column:
+    return F.coalesce(branch, F.lit(0.0))
+
+
+def symbol_scope(df: DataFrame) -> DataFrame:
+    """df with symbol_scope_impact and static_comparable_impact, null unless every precondition holds, and the reasons why not.
+
+    df: file, change_kind, alpha_struct, layer_weight, references and static_consumers (arrays of files; the latter may be null), eligible,
+    same_population, public_surface, declarations_coverage, references_coverage. A file isn't its own consumer.
+    """
+    usable = lambda c: F.coalesce((F.col(c) >= 0) & ~F.isnan(c) & (F.col(c) != F.lit(float("inf"))), F.lit(False))
+    checks = (
+        (usable("alpha_struct"), "alpha"), (usable("layer_weight"), "layer_weight"), (F.col("eligible"), "not_eligible"), (F.col("same_population"), "other_population"),
+        (F.col("public_surface") != "unknown", "unknown_surface"), ((F.col("declarations_coverage") == "complete") & (F.col("references_coverage") == "complete"), "incomplete"),
+    )
+    reasons = F.array_compact(F.array(*(F.when(~F.coalesce(holds, F.lit(False)), F.lit(reason)) for holds, reason in checks)))
+    others = lambda c: F.size(F.array_distinct(F.expr(f"filter({c}, x -> x != file)")))
+    impact = lambda n: change_weight(F.col("change_kind")) * F.col("alpha_struct") * F.log2(n + 1.0) * F.col("layer_weight")
+    out = df.withColumn("reasons", reasons)
+    ok = F.size("reasons") == 0
+    return out.withColumns({"symbol_scope_impact": F.when(ok, impact(others("references"))), "static_comparable_impact": F.when(ok & F.col("static_consumers").isNotNull(), impact(others("static_consumers")))})
+
+
+def sorted_deltas(deltas: DataFrame) -> DataFrame:
+    """(file, delta_i) without zeros and what is no number, by file."""
+    d = F.col("delta_i")
+    return deltas.where(d.isNotNull() & (d != 0) & ~F.isnan(d) & (F.abs(d) != F.lit(float("inf")))).orderBy("file")

@@ -70,3 +70,50 @@ def growth(numstat: DataFrame) -> DataFrame:
     n = F.coalesce("added", F.lit(0)) + F.coalesce("removed", F.lit(0))
     out = numstat.where(F.col("path").endswith(".ts")).agg(F.coalesce(F.sum(F.when(test, n)), F.lit(0)).alias("test_lines"), F.coalesce(F.sum(F.when(~test, n)), F.lit(0)).alias("other_lines"))
     return out.withColumn("growth", F.when(F.col("other_lines") > 0, F.col("test_lines") / F.col("other_lines")))
+
+
+def semantic_buckets(blocks: DataFrame, totals: DataFrame) -> DataFrame:
+    """For each file the lines of its repeated blocks (file, lines, semantics) by what they are, overlaps counted again; charged: those that are neither assertions nor case bodies, and their share of the file's lines (file, total)."""
+    own = blocks.groupBy("file").agg(*(F.sum(F.when(F.col("semantics") == k, F.col("lines")).otherwise(0)).alias(k) for k in ("assertion", "case_body", "assembly", "unclassified")))
+    charged = F.col("assembly") + F.col("unclassified")
+    return own.join(totals, "file").select("file", "assertion", "case_body", "assembly", "unclassified", charged.alias("charged"), F.when(F.col("total") > 0, charged / F.col("total")).alias("share"))
+
+
+def assertion_language(path: Column) -> Column:
+    return F.when(path.endswith(".java"), "java").when(path.endswith(".py"), "python").when(F.lower(path).rlike(r"\.(ts|tsx|js|jsx|mjs|cjs|vue)$"), "ts")
+
+
+def declares_expected_failure(modifiers: Column) -> Column:
+    """Whether a test's annotation says that it is to fail."""
+    return modifiers.rlike(r"@(?:[A-Za-z0-9_.]+\.)?Test\s*\([^)]*?\bexpected\s*=")
+
+
+def weak_patterns(files: DataFrame, declared: DataFrame, builtin: DataFrame) -> DataFrame:
+    """files (path, language) with the weak assertions of their language: the project's own (language, patterns) before the built-in ones, and whose they are."""
+    out = files.join(declared.withColumnRenamed("patterns", "_own"), "language", "left").join(builtin.withColumnRenamed("patterns", "_built"), "language", "left")
+    return out.select("path", "language", F.coalesce("_own", "_built").alias("patterns"), F.when(F.col("_own").isNotNull(), "project").when(F.col("_built").isNotNull(), "builtin").alias("origin"))
+
+
+def suggested_adapters(languages: DataFrame, adapters: DataFrame) -> DataFrame:
+    """The distinct adapters (language, adapter) of the languages found (language), in order."""
+    return adapters.join(languages.distinct(), "language", "left_semi").select("adapter").distinct().orderBy("adapter")
+
+
+def selected_adapters(wanted: DataFrame, registry: DataFrame) -> DataFrame:
+    """Wanted adapters (adapter) with what the registry has (adapter, kind), or an error for unknown ones."""
+    return wanted.join(registry, "adapter", "left").select("adapter", "kind", F.when(F.col("kind").isNull(), F.concat(F.lit("unknown adapter "), F.col("adapter"))).alias("error"))
+
+
+def span_availability(files: DataFrame, handled: DataFrame, failed: DataFrame, providers: int) -> DataFrame:
+    """One row: whether spans of all files (path) are there: unavailable without a provider or a file, partial where a file isn't handled or a collection failed."""
+    missing = files.join(handled.select("path"), "path", "left_anti").agg(F.count(F.lit(1)).alias("missing"))
+    n = files.agg(F.count(F.lit(1)).alias("n")).join(missing).join(failed.agg(F.count(F.lit(1)).alias("failed")))
+    return n.select(F.when((F.lit(providers) == 0) | (F.col("n") == 0), "unavailable").when((F.col("missing") > 0) | (F.col("failed") > 0), "partial").otherwise("available").alias("availability"))
+
+
+def scoped_evidence(findings: DataFrame, provider: str, rule: str, complete: Column) -> DataFrame:
+    """One row: number of a provider's and rule's findings, and the worst verdict; no verdict where coverage isn't complete."""
+    rank = F.when(F.col("action") == "block", 3).when(F.col("action") == "warn", 2).when(F.col("action") == "review", 1).otherwise(0)
+    own = findings.where((F.col("provider") == provider) & (F.col("rule_id") == rule))
+    worst = F.element_at(F.array(*map(F.lit, ("PASS", "REVIEW", "WARN", "BLOCK"))), F.coalesce(F.max(rank), F.lit(0)) + 1)
+    return own.agg(F.count(F.lit(1)).alias("findings"), F.when(complete, worst).alias("verdict"))

@@ -42,10 +42,14 @@ def repeated(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def invalid_facts(facts: DataFrame) -> DataFrame:
-    """Facts (availability, value, reason) that break their form: an available one has a value and no reason, another a reason and no value."""
-    available = F.col("availability") == "available"
-    ok = F.when(available, F.col("value").isNotNull() & F.col("reason").isNull()).otherwise(F.col("value").isNull() & F.col("reason").isNotNull())
-    return facts.where(~F.coalesce(ok, F.lit(False)))
+    """Facts (id, availability, value, reason) that break their form, with what is wrong: no id, an available one without a value, an unavailable one with a value, one that isn't available without a reason."""
+    text = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    state = F.col("availability")
+    wrong = (
+        F.when(~text(F.col("id")), "id").when((state == "available") & F.col("value").isNull(), "value").when((state == "unavailable") & F.col("value").isNotNull(), "exposed")
+        .when((state != "available") & ~text(F.col("reason")), "reason")
+    )
+    return facts.withColumn("wrong", wrong).where("wrong is not null")
 
 
 def audit(hashes: DataFrame, key: str, at: str, digest: str) -> DataFrame:
@@ -81,7 +85,8 @@ def calibration_profiles(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def next_calibration(state: DataFrame, observed: Column, seal: Column) -> DataFrame:
     """A calibration state (current, previous, gate) after an observation: sealing moves current to previous and gates on what is observed."""
-    return state.select(observed.alias("current"), F.when(observed.eqNullSafe(F.col("current")), F.col("previous")).otherwise(F.col("current")).alias("previous"), F.when(seal | F.col("gate").isNull(), observed).otherwise(F.col("gate")).alias("gate"))
+    moved = F.when(observed.eqNullSafe(F.col("current")), F.col("previous")).otherwise(F.col("current"))
+    return state.withColumns({"current": observed, "previous": moved, "gate": F.when(seal | F.col("gate").isNull(), observed).otherwise(F.col("gate"))})
 
 
 def capability_drift(changed: DataFrame, watches: Sequence[tuple[str, str]]) -> DataFrame:
@@ -94,3 +99,70 @@ def capability_drift(changed: DataFrame, watches: Sequence[tuple[str, str]]) ->
 def latest_observations(observations: DataFrame, key: str = "operation", at: str = "at") -> DataFrame:
     """The last observation of each operation."""
     return observations.groupBy(key).agg(F.max_by(F.struct(*[c for c in observations.columns if c != key]), at).alias("o")).select(key, "o.*")
+
+
+def invalid_projections(projections: DataFrame) -> DataFrame:
+    """Policy projections (policy_id, action, subject_kind, subject_id) that no policy may rest on, with what is wrong; a signal is no subject."""
+    text = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    wrong = F.when(~text(F.col("policy_id")), "policy_id").when(~F.coalesce(F.col("action").isin("report", "warn", "block"), F.lit(False)), "action").when(~(F.coalesce(F.col("subject_kind").isin("metric", "finding"), F.lit(False)) & text(F.col("subject_id"))), "subject")
+    return projections.withColumn("wrong", wrong).where("wrong is not null")
+
+
+def invalid_evidence(evidence: DataFrame) -> DataFrame:
+    """Validation evidence with the first thing that is wrong with it: names, identifiers, languages, times, their order, counts."""
+    text = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    identifier = lambda c: F.coalesce(F.col(c).rlike(r"^[A-Za-z0-9][A-Za-z0-9._:@-]{0,127}$"), F.lit(False))
+    counts = F.lit(True)
+    for c in ("findings", "false_positives", "false_negatives"):
+        counts = counts & F.coalesce((F.col(c) >= 0) & (F.col(c) == F.floor(c)), F.lit(False))
+    languages = (F.size("languages") > 0) & ~F.exists("languages", lambda x: ~text(x))
+    times = F.col("observed_at").isNotNull() & F.col("started_at").isNotNull() & F.col("ended_at").isNotNull()
+    wrong = first_failing((text(F.col("project")) & text(F.col("provider")), "names"), (identifier("provider") & identifier("rule_id") & identifier("authority_id"), "identifiers"), (languages, "languages"), (times, "times"), (F.col("started_at") <= F.col("ended_at"), "window"), (counts, "counts"))
+    return evidence.withColumn("wrong", wrong).where("wrong is not null")
+
+
+def same_population(left: Column, right: Column) -> Column:
+    """Whether two calibration profiles (structs) describe one population: scope, contract, population and source."""
+    out = F.lit(True)
+    for field in ("scope", "contract", "population", "source"):
+        out = out & left[field].eqNullSafe(right[field])
+    return out
+
+
+def gate_profile(gate: Column, current: Column) -> Column:
+    """The calibration that a gate uses."""
+    return F.coalesce(gate, current)
+
+
+def orphaned(baseline: DataFrame, files: DataFrame) -> DataFrame:
+    """Paths of a baseline whose source is gone."""
+    return baseline.select("path").join(files.select("path"), "path", "left_anti")
+
+
+def select_facts(facts: DataFrame, domains: Sequence[str], ids: Sequence[str]) -> DataFrame:
+    """Facts of the domains or with the ids, each once."""
+    return facts.where(F.col("domain").isin(*domains) | F.col("id").isin(*ids))
+
+
+def unreferenced(declarations: DataFrame, references: DataFrame, coverage: DataFrame) -> DataFrame:
+    """Internal declarations (language, name, surface) without any reference (name), of languages (language, coverage) that are covered completely."""
+    whole = coverage.where("coverage = 'complete'").select("language")
+    return declarations.where("surface = 'internal'").join(whole, "language", "left_semi").join(references.select("name").distinct(), "name", "left_anti")
+
+
+def hygiene(hits: DataFrame, levels: DataFrame, selected: DataFrame, ran: DataFrame, failed: DataFrame) -> DataFrame:
+    """One row: the worst level of all hits (source), by the sources' levels (source, level); BLOCK where a selected rule (rule) didn't run or failed."""
+    rank = F.when(F.col("level") == "block", 2).when(F.col("level") == "warn", 1).otherwise(0)
+    worst = hits.join(levels, "source", "left").agg(F.coalesce(F.max(rank), F.lit(0)).alias("worst"), F.count(F.lit(1)).alias("hits"))
+    missing = selected.select("rule").distinct().join(ran.select("rule").distinct().join(failed.select("rule"), "rule", "left_anti"), "rule", "left_anti").agg(F.count(F.lit(1)).alias("missing"))
+    return worst.join(missing).select(F.when(F.col("missing") > 0, "BLOCK").otherwise(F.element_at(F.array(*map(F.lit, ("PASS", "WARN", "BLOCK"))), F.col("worst") + 1)).alias("quality"), "hits", "missing")
+
+
+def unique_facts(facts: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Facts that are told apart by these fields alone, each once."""
+    return facts.select(*fields).distinct()
+
+
+def first_known(*values: Column) -> Column:
+    """What is known first: the profile's own state before a change, else what was read from the last commit, else none."""
+    return F.coalesce(*values)

@@ -534,12 +534,6 @@ def g1_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.reach(stand_in(spark, sf_dir, "imports"), tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")), depth=3)
 
 
-@query()
-def g6_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = stand_in(spark, sf_dir, "imports")
-    return graphs.components(own, own.select(F.col("src").alias("node")).unionByName(own.select(F.col("dst").alias("node"))).distinct())
-
-
 @query("SELECT DISTINCT path FROM (SELECT p_partkey AS path FROM part WHERE p_partkey % 9 = 0 UNION ALL SELECT src FROM imports WHERE dst % 9 = 0 OR dst % 11 = 0) WHERE path % 11 <> 0 OR path % 9 = 0", "imports")
 def g14_dirty_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("path"), F.when(F.col("p_partkey") % 9 == 0, "changed").when(F.col("p_partkey") % 11 == 0, "deleted").otherwise("same").alias("status"))
@@ -700,3 +694,6 @@ def a40_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH c AS (SELECT user_id, event_type, value, ts, event_id FROM events) SELECT event_type AS operation, arg_max(user_id, lpad(CAST(event_id AS VARCHAR), 12, '0')) AS user_id, max(event_id) AS at FROM c GROUP BY event_type")
 def z57_latest_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.latest_observations(tables.table(spark, sf_dir, "events").select(F.col("event_type").alias("operation"), "user_id", F.col("event_id").alias("at")))
+
+
+from ledgerline.plans import catalog_facts, catalog_states  # noqa: E402, F401 - they register their queries

@@ -25,14 +25,19 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def cut_lineage(df: DataFrame, label: str) -> DataFrame:
-    """Write a step's result to the shared folder and read it back. What this application wrote there goes when the driver ends."""
-    sc = df.sparkSession.sparkContext
-    base = f"{shared_root(df.sparkSession)}/ledgerline/{sc.applicationId}"
+def step_path(spark: SparkSession, label: str) -> str:
+    """A new folder's name in the shared folder; all that this application wrote there goes when the driver ends."""
+    sc = spark.sparkContext
+    base = f"{shared_root(spark)}/ledgerline/{sc.applicationId}"
     if getattr(sc, "_ledgerline_steps", None) != base:
         sc._ledgerline_steps = base
         atexit.register(_delete, sc._jvm, sc._jsc.hadoopConfiguration(), base)
-    path = f"{base}/{label}-{uuid.uuid4().hex}"
+    return f"{base}/{label}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame, label: str) -> DataFrame:
+    """Write a step's result to the shared folder and read it back."""
+    path = step_path(df.sparkSession, label)
     df.write.option("compression", "lz4").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._ledgerline_path = path

@@ -122,6 +122,20 @@ def lease_stream(requests: DataFrame) -> DataFrame:
     return requests.groupBy("target").applyInPandasWithState(_leases, LEASE_ANSWERS, "owner string, mine long, expires long, token long", "append", GroupStateTimeout.NoTimeout)
 
 
+def lease_answers(requests: DataFrame, *order: str) -> DataFrame:
+    """The answers to a log of requests, as lease_stream gives them: each target's requests by time and order."""
+    ship(requests.sparkSession)
+
+    def run(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
+        held, token, out = None, 0, []
+        for r in batch.sort_values(["now", *order]).to_dict("records"):
+            held, token, answer = lease_step(held, token, r)
+            out.append((key[0], r["request_id"], answer, held[1] if held else None, held[2] if held else None))
+        return pd.DataFrame(out, columns=["target", "request_id", "answer", "token", "expires_at"])
+
+    return requests.groupBy("target").applyInPandas(run, LEASE_ANSWERS)
+
+
 def bounded_fan_out(events: DataFrame, subscriber: str, seq: str, capacity: int = 64) -> DataFrame:
     """For each subscriber the events delivered from one burst, up to its capacity, and those dropped."""
     ranked = events.withColumn("_r", F.row_number().over(Window.partitionBy(subscriber).orderBy(seq)))
@@ -136,3 +150,9 @@ def append_log(events: DataFrame, path: str, checkpoint: str) -> Any:
 def refresh_projection(log: DataFrame, path: str) -> None:
     """Write anew the number of events and the last one by key."""
     log.groupBy("task").agg(F.count(F.lit(1)).alias("events"), F.max_by("type", "sequence").alias("status")).write.mode("overwrite").parquet(path)
+
+
+def link_events(log: DataFrame, events: DataFrame) -> DataFrame:
+    """New events (task, and their own columns) with the next sequence and the hash of the task's last event, or the first sequence and zeros. At most one new event for each task."""
+    last = log.groupBy("task").agg(F.max("sequence").alias("_last"), F.max_by("event_hash", "sequence").alias("_hash"))
+    return events.join(last, "task", "left").withColumns({"sequence": F.coalesce(F.col("_last") + 1, F.lit(1)).cast("long"), "prev_event_hash": F.coalesce("_hash", F.lit(ZERO_HASH))}).drop("_last", "_hash")
