@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerline.llm import bpe, decontamination, divergence, main_text, near_duplicates, packing, personal_data, sharding, token_counts, warc
 from ledgerline.llm.common import table
+from ledgerline.llm.oracles import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +27,8 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return divergence.quality(table(spark, sf_dir, "documents"))
+    out = divergence.quality(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,4 +56,3 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_warc, op3_sharding, op4_divergence, op5_personal_data, op6_main_text, op7_decontamination, op8_near_duplicates, op9_byte_bpe, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
