@@ -555,3 +555,23 @@ def x1_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     left, right = F.array(k % 4, k % 3 + 10), F.when(k % 4 == 1, F.array(F.lit(10))).when(k % 4 == 3, F.array(F.lit(99))).otherwise(F.array(k % 4))
     return own(spark, sf_dir, "part").where((F.size(mining.intersect(left, right)) > 0) & mining.contains_all(left, right)).select(k.alias("id"), (k % 5).alias("a"))
+
+
+SOURCES = {
+    "typescript": "import {{ a }} from './m{k}'; export * from 'y';\nexport function f{k}(x: number) {{ if (x) {{ return g(); }} switch (x) {{ case 1: h(); break; default: h(); }} }}\nconst z = (y) => {{ if (y) {{ g(); }} else if (!y) {{ g('if'); }} }};\n",
+    "go": 'package m\nimport ("fmt"; "m/k{k}")\nfunc F{k}(x int) int {{ if x > 1 {{ return 0 }}; for {{ if x < 0 {{ g() }} }} }}\nfunc (t *T) own() {{ switch t.x {{ case 1: fmt.Println("switch") }} }}\n',
+    "java": "import a.b.C{k};\npublic class A {{ public int m{k}(int x) throws E {{ if (x > 1) {{ throw new E(); }} // if (no)\n if (x > 2) {{ g(); }} return x; }} void n() {{ r(y -> {{ if (y) {{ g(); }} }}); }} }}\n",
+    "rust": "use crate::m{k}::{{a, b}};\npub fn f{k}<'a>(x: &'a str) -> i32 {{ match x {{ \"if\" => 1, _ => {{ if x.len() > 1 {{ return 2; }} 3 }} }} }}\nfn g() {{ println!(\"{{}}\", 1); }}\n",
+}
+SOURCES_SQL = "(VALUES ('typescript', 6, 3.9, 2, 2, 2.0, 2, 'f#'), ('go', 4, 2.6, 1, 2, 1.3, 2, 'F#'), ('java', 3, 2.3, 1, 3, 1.3, 1, 'm#'), ('rust', 4, 1.9, 2, 2, 1.9, 2, 'f#'))"
+
+
+@query(f"SELECT p_partkey AS id, language, n AS branches, w AS weighted, d AS nesting, f AS functions, m AS largest, i AS imports, replace(e, '#', CAST(p_partkey AS VARCHAR)) AS exports FROM part JOIN {SOURCES_SQL} v(language, n, w, d, f, m, i, e) ON language = (['typescript', 'go', 'java', 'rust'])[p_partkey % 4 + 1]")
+def o41_brace_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small source for each part, in four languages in turn, with strings and comments that name what isn't there."""
+    from ledgerline.functions import brace_facts
+
+    k = F.col("p_partkey")
+    files = own(spark, sf_dir, "part").select(k.cast("string").alias("path"), pick(k, *SOURCES).alias("language"), pick(k, *(v.format(k="#") for v in SOURCES.values())).alias("source"))
+    facts = brace_facts.file_facts(files.select("path", "language", F.replace("source", F.lit("#"), F.col("path")).alias("content")))
+    return facts.select(F.col("path").cast("long").alias("id"), "language", F.col("branch_count").alias("branches"), F.round("weighted_branch_total", 6).alias("weighted"), F.col("nesting_depth").alias("nesting"), F.col("function_count").alias("functions"), F.round("max_func_branch", 6).alias("largest"), F.size("imports").alias("imports"), F.array_join("exports", ",").alias("exports"))
