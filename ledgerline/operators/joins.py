@@ -177,3 +177,21 @@ def dependencies_done(dependencies: DataFrame, status: DataFrame) -> DataFrame:
 def link_events(emits: DataFrame, listeners: DataFrame) -> DataFrame:
     """Implicit edges from each emitter of an event to each listener of it, once each."""
     return emits.select("event", F.col("file").alias("src")).distinct().join(listeners.select("event", F.col("file").alias("dst")).distinct(), "event").select("src", "dst", F.col("event").alias("via")).distinct()
+
+
+def change_containers(hunks: DataFrame, declarations: DataFrame) -> DataFrame:
+    """Each hunk (file, after_start, after_lines) with the narrowest declaration (file, name, start, end) around its first line, or null."""
+    at = hunks.select("file", F.col("after_start").alias("line")).distinct()
+    inside = smallest_container(at, declarations.select("file", "name", "start", "end"), "file", "line", "start", "end", "name").select("file", F.col("line").alias("after_start"), F.col("name").alias("container"))
+    return hunks.join(inside, ["file", "after_start"], "left")
+
+
+def union_scopes(stores: Sequence[tuple[str, DataFrame]]) -> DataFrame:
+    """Documents of several stores (scope, table) in one, with their scope; columns that a store lacks are null."""
+    out = None
+    for scope, df in stores:
+        own = df.withColumn("scope_id", F.lit(scope))
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no store")
+    return out

@@ -166,3 +166,22 @@ def unique_facts(facts: DataFrame, fields: Sequence[str]) -> DataFrame:
 def first_known(*values: Column) -> Column:
     """What is known first: the profile's own state before a change, else what was read from the last commit, else none."""
     return F.coalesce(*values)
+
+
+def shadow_evidence(rows: DataFrame) -> DataFrame:
+    """(identity, availability): of rows (identity, availability) each identity once; one that comes more than once is partial."""
+    return rows.groupBy("identity").agg(F.when(F.count(F.lit(1)) > 1, "partial").otherwise(F.first("availability")).alias("availability"))
+
+
+def overall(rows: DataFrame) -> DataFrame:
+    """One row: available if all are, unavailable if none is or there are none, else partial."""
+    n, available, missing = F.count(F.lit(1)), F.count_if(F.col("availability") == "available"), F.count_if(F.col("availability") == "unavailable")
+    return rows.agg(F.when(n == missing, "unavailable").when(n == available, "available").otherwise("partial").alias("availability"), n.alias("identities"))
+
+
+def scope_admissions(symbols: DataFrame) -> DataFrame:
+    """For each changed public symbol (id, and a flag for each requirement) its admission and the requirements that it lacks."""
+    wanted = ("declaration", "references", "calibration", "population", "consumers", "surface")
+    each = symbols.select("id", F.explode(F.array(*(F.struct(F.lit(w).alias("requirement"), F.coalesce(F.col(w), F.lit(False)).alias("available")) for w in wanted))).alias("r")).select("id", "r.*")
+    lacking = each.groupBy("id").agg(F.concat_ws(";", F.array_sort(F.collect_list(F.when(~F.col("available"), F.col("requirement"))))).alias("lacking"))
+    return admission(each, "id").join(lacking, "id")

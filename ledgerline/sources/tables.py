@@ -165,3 +165,12 @@ def overlay(base: DataFrame, pending: DataFrame, key: str) -> DataFrame:
 def replace_source(edges: DataFrame, found: DataFrame, source: str) -> DataFrame:
     """Edges of one source replaced by those found now, with low confidence."""
     return edges.where(F.col("source") != source).unionByName(found.select(*[c for c in edges.columns if c not in ("source", "confidence")], F.lit(source).alias("source"), F.lit("low").alias("confidence")).select(edges.columns))
+
+
+def inspect_generations(spark: SparkSession, root: str) -> DataFrame:
+    """(generation, role, whole) of what is below root: active, backup, or left over."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/generations")
+    system = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(x.getPath().getName() for x in system.listStatus(own)) if system.exists(own) else []
+    active, backup = _pointer(spark, root) or (None, None)
+    return spark.createDataFrame([(n, "active" if n == active else "backup" if n == backup else "left", _readable(spark, f"{root}/generations/{n}")) for n in names], "generation string, role string, whole boolean")

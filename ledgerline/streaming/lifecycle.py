@@ -156,3 +156,28 @@ def link_events(log: DataFrame, events: DataFrame) -> DataFrame:
     """New events (task, and their own columns) with the next sequence and the hash of the task's last event, or the first sequence and zeros. At most one new event for each task."""
     last = log.groupBy("task").agg(F.max("sequence").alias("_last"), F.max_by("event_hash", "sequence").alias("_hash"))
     return events.join(last, "task", "left").withColumns({"sequence": F.coalesce(F.col("_last") + 1, F.lit(1)).cast("long"), "prev_event_hash": F.coalesce("_hash", F.lit(ZERO_HASH))}).drop("_last", "_hash")
+
+
+def submissions(proposals: DataFrame, log: DataFrame, scopes: DataFrame, cyclic: DataFrame) -> DataFrame:
+    """Each proposal (task, scope, proposal_hash) with its answer: unknown_scope, cycle, repeated (the log has it with this hash), conflict (with another) or verified."""
+    known = log.groupBy("task").agg(F.min_by("proposal_hash", "sequence").alias("_hash"))
+    own = proposals.join(scopes.select("scope").distinct().withColumn("_scope", F.lit(True)), "scope", "left").join(cyclic.select("task").distinct().withColumn("_cycle", F.lit(True)), "task", "left").join(known, "task", "left")
+    answer = F.when(F.col("_scope").isNull(), "unknown_scope").when(F.col("_cycle"), "cycle").when(F.col("_hash") == F.col("proposal_hash"), "repeated").when(F.col("_hash").isNotNull(), "conflict").otherwise("verified")
+    return own.select("task", "scope", "proposal_hash", answer.alias("answer"))
+
+
+def transitions(requests: DataFrame, status: DataFrame, ready: DataFrame, leases: DataFrame, now: Column) -> DataFrame:
+    """Each request (task, to, owner) with its answer: not_allowed after the task's status, waiting for its dependencies (ready), not_held without a live lease (target, owner, expires_at), or the new status."""
+    own = requests.join(status.select("task", "status"), "task", "left").join(ready, "task", "left")
+    held = leases.where(F.col("expires_at") > now).select(F.col("target").alias("task"), "owner").distinct().withColumn("_held", F.lit(True))
+    own = own.join(held, ["task", "owner"], "left")
+    answer = F.when(~allowed(F.col("status"), F.col("to")), "not_allowed").when((F.col("to") == "claimed") & ~F.coalesce("ready", F.lit(True)), "waiting").when(F.coalesce("_held", F.lit(False)), F.col("to")).otherwise("not_held")
+    return own.select("task", "to", "owner", answer.alias("answer"))
+
+
+def ingest(evidence: DataFrame, valid: Column, log: str, projection: str) -> DataFrame:
+    """Append valid evidence to a log of JSON lines and write its counts by rule anew; what isn't valid comes back."""
+    rejected = evidence.where(~F.coalesce(valid, F.lit(False)))
+    evidence.where(valid).write.mode("append").json(log)
+    evidence.sparkSession.read.schema(evidence.schema).json(log).groupBy("rule_id").agg(F.count(F.lit(1)).alias("entries")).write.mode("overwrite").parquet(projection)
+    return rejected
