@@ -146,3 +146,23 @@ def internal_call_shape(functions: DataFrame, calls: DataFrame) -> DataFrame:
     several = F.col("functions") > 1
     n, one = F.when(several, F.coalesce("called", F.lit(0))).otherwise(0), F.when(several, F.coalesce("single", F.lit(0))).otherwise(0)
     return shape.select("file", "connectedness", "cohesion", n.cast("long").alias("called"), one.cast("long").alias("single_call_site"), F.when(n > 0, one / n).alias("single_call_ratio"))
+
+
+def replace_adjacency(edges: DataFrame, changed: DataFrame, found: DataFrame) -> DataFrame:
+    """Edges with those from changed files (path) replaced by the ones found in them now."""
+    own = changed.select(F.col("path").alias("src")).distinct()
+    return edges.join(own, "src", "left_anti").select("src", "dst").unionByName(found.join(own, "src", "left_semi").select("src", "dst"))
+
+
+def may_have_consumers(profiles: DataFrame, metrics: DataFrame, several: bool, implicit: bool) -> DataFrame:
+    """Profiles (path) that something may depend on: all but those known to have no importer, in a change of one file without implicit edges; a Go file counts unless it is alone in its folder.
+
+    metrics: path, kind, in_degree.
+    """
+    folder = lambda c: F.regexp_replace(c, "[^/]*$", "")
+    own = profiles.join(metrics.select("path", "in_degree"), "path", "left")
+    if several or implicit:
+        return own.select(profiles.columns)
+    go = metrics.where("kind = 'production'").where(F.col("path").endswith(".go")).groupBy(folder(F.col("path")).alias("_folder")).agg(F.count(F.lit(1)).alias("_n"))
+    keep = F.col("in_degree").isNull() | (F.col("in_degree") > 0) | (F.col("path").endswith(".go") & (F.coalesce("_n", F.lit(0)) > 1))
+    return own.withColumn("_folder", folder(F.col("path"))).join(go, "_folder", "left").where(keep).select(profiles.columns)

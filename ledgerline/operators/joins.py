@@ -195,3 +195,26 @@ def union_scopes(stores: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     if out is None:
         raise ValueError("no store")
     return out
+
+
+def common_population(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The files (path) of both revisions, each once."""
+    return before.select("path").intersect(after.select("path"))
+
+
+def contract_findings(files: DataFrame, imports: DataFrame, roles: Sequence[str], authorities: Sequence[str], required: str) -> DataFrame:
+    """(file, authority, kind) of files (path, parsed: null where nothing reads the language) in a role that don't import what they should.
+
+    The first path that an authority glob matches is the authority; without one there is nothing to ask for. Files that can't be parsed are findings of their own kind.
+    """
+    authority = files.where(matches_any(F.col("path"), authorities)).agg(F.min("path").alias("authority")).where("authority is not null")
+    own = files.where(matches_any(F.col("path"), roles)).join(F.broadcast(authority)).where("path != authority")
+    joined = own.join(imports.where(F.col("source") == required).select("path").distinct().withColumn("_has", F.lit(True)), "path", "left")
+    kind = F.when(~F.col("parsed"), "unparseable").when(F.col("parsed") & F.col("_has").isNull(), "missing_import")
+    return joined.select(F.col("path").alias("file"), "authority", kind.alias("kind")).where("kind is not null")
+
+
+def foreign_wrappers(imports: DataFrame, production: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """(test, names): assertion wrappers (path, name) of the files that tests import (test, path), production files left out."""
+    own = imports.select("test", "path").distinct().join(production.select("path"), "path", "left_anti")
+    return own.join(wrappers, "path").groupBy("test").agg(F.array_sort(F.collect_set("name")).alias("names"))

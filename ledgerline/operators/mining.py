@@ -196,3 +196,19 @@ def production_files(changes: DataFrame, facts: DataFrame) -> DataFrame:
     """(id, files, unknown): the distinct production files (path, kind) of each commit, and how many of its paths have no facts."""
     own = changes.select("id", "path").distinct().join(facts.select("path", F.coalesce("kind", F.lit("production")).alias("kind")), "path", "left")
     return own.groupBy("id").agg(F.array_sort(F.collect_set(F.when(F.col("kind") == "production", F.col("path")))).alias("files"), F.count_if(F.col("kind").isNull()).alias("unknown"))
+
+
+def extension_surfaces(changes: DataFrame, relations: DataFrame, forwarding: DataFrame, coordinators_: Sequence[str], least: int = 2) -> dict[str, tuple[str, DataFrame]]:
+    """For each coordinator with several members the closed sets, of `least` files in `least` commits, of what was modified with it each time it was extended.
+
+    relations: id, coordinator, extension. The number of coordinators is the report's.
+    """
+    out = {}
+    for coordinator in coordinators_:
+        own = relations.where(F.col("coordinator") == coordinator)
+        if own.select("extension").distinct().limit(2).count() < 2:
+            continue
+        sets = projected_changes(changes, own, forwarding, coordinator)
+        state, closed = closed_sets(sets, least, least)
+        out[coordinator] = (state, closed.where(F.array_contains("files", coordinator)))
+    return out

@@ -234,3 +234,13 @@ def threshold_shifts(before: DataFrame, after: DataFrame, key: str, rules: Seque
 def combined_exit(codes: Column) -> Column:
     """The most severe of exit codes 0 to 3."""
     return F.coalesce(F.max(codes), F.lit(0))
+
+
+def only_on(rules: Sequence[Rule], metric: str = "crl_local") -> list[Rule]:
+    """The rules whose one metric this is."""
+    return [r for r in rules if set(metrics_in(r.condition)) == {metric}]
+
+
+def shifted(df: DataFrame, before: str, after: str, digest_before: str, digest_after: str) -> DataFrame:
+    """Rows whose own facts are what they were (equal, known digests) and whose burden moved all the same."""
+    return df.where((F.col(digest_before) == F.col(digest_after)) & (F.col(before) != F.col(after)))

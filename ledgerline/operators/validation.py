@@ -185,3 +185,55 @@ def scope_admissions(symbols: DataFrame) -> DataFrame:
     each = symbols.select("id", F.explode(F.array(*(F.struct(F.lit(w).alias("requirement"), F.coalesce(F.col(w), F.lit(False)).alias("available")) for w in wanted))).alias("r")).select("id", "r.*")
     lacking = each.groupBy("id").agg(F.concat_ws(";", F.array_sort(F.collect_list(F.when(~F.col("available"), F.col("requirement"))))).alias("lacking"))
     return admission(each, "id").join(lacking, "id")
+
+
+def comparable(previous: Column, current: Column) -> Column:
+    """Whether two calibrations (structs) differ in their population alone, so that a shift of burdens comes from it."""
+    same = F.lit(True)
+    for field in ("scope", "contract", "weights"):
+        same = same & previous[field].eqNullSafe(current[field])
+    return F.coalesce(previous.isNotNull() & current.isNotNull() & same & ~previous["population"].eqNullSafe(current["population"]), F.lit(False))
+
+
+def calibration_samples(reports: DataFrame) -> DataFrame:
+    """Samples of version pairs (id, files, family, before_provider, after_provider, available, reason, observed, state) with the reasons against them, joined, and their availability."""
+    same = F.col("before_provider").isNull() | F.col("after_provider").isNull() | (F.col("before_provider") == F.col("after_provider"))
+    reasons = F.array_compact(F.array(
+        F.when(F.size(F.coalesce("files", F.array().cast("array<string>"))) == 0, "no common population"), F.when(F.col("family") == "unknown", "family is not unique"), F.when(~same, "providers differ"),
+        F.when(~F.col("available"), F.coalesce("reason", F.lit("coverage is not complete"))), F.when(F.col("observed") == "unavailable", "not observed"), F.when(F.col("observed") == "ambiguous", "ambiguous")))
+    state = F.when(F.col("available") & (F.size(reasons) == 0), "available").when(F.col("state") == "unavailable", "unavailable").otherwise("partial")
+    provider = F.when(same, F.coalesce("before_provider", "after_provider"))
+    return reports.select("id", F.coalesce(provider, F.lit("none")).alias("provider"), F.concat_ws("; ", reasons).alias("reason"), state.alias("availability"))
+
+
+def evidence_state(profiles: DataFrame, reports: DataFrame) -> DataFrame:
+    """Profiles (id, language) with what their language's report (language, availability, complete) allows: absent, unavailable, partial or complete."""
+    state = F.when(F.col("availability").isNull(), "absent").when(F.col("availability") == "unavailable", "unavailable").when((F.col("availability") == "partial") | ~F.coalesce("complete", F.lit(False)), "partial").otherwise("complete")
+    return profiles.join(reports.select("language", "availability", "complete"), "language", "left").select("id", "language", state.alias("state"))
+
+
+def pair_evidence(wanted: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Each wanted symbol (language, file, symbol) with whether its language's first available pair (language, position, availability, files, before, matched: arrays) had it before, matched it after, and holds its file."""
+    first = pairs.where("availability = 'available'").groupBy("language").agg(F.min_by(F.struct("files", "before", "matched"), "position").alias("p"))
+    held = lambda c, of: F.coalesce(F.array_contains(F.col(f"p.{of}"), F.col(c)), F.lit(False))
+    return wanted.join(first, "language", "left").select("language", "file", "symbol", held("symbol", "before").alias("existed"), held("symbol", "matched").alias("matched"), held("file", "files").alias("in_population"))
+
+
+def with_local_authorities(facts: DataFrame, local: DataFrame) -> DataFrame:
+    """Authorities (id, path) of the project with a rule's own; an id that both have is an error."""
+    clash = [r[0] for r in facts.select("id").join(local.select("id"), "id", "left_semi").distinct().orderBy("id").limit(3).collect()]
+    if clash:
+        raise ValueError(f"authorities with one id: {', '.join(map(str, clash))}")
+    return facts.unionByName(local)
+
+
+#: Why a gate can't judge; the first that holds is given.
+READINESS = ("configuration_missing", "configuration_invalid", "no_rules", "unsupported_rule", "baseline_missing", "baseline_unreadable", "baseline_incompatible", "scope_changed", "shapes_changed", "calibration_missing", "calibration_incompatible", "language_unavailable", "no_files")
+
+
+def readiness(df: DataFrame) -> DataFrame:
+    """df (a flag for each of READINESS, true where it holds) with the first reason against a gate, or null."""
+    out = None
+    for reason in READINESS:
+        out = (F.when if out is None else out.when)(F.coalesce(F.col(reason), F.lit(False)), F.lit(reason))
+    return df.withColumn("reason", out)

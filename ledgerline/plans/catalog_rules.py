@@ -64,9 +64,9 @@ def a42_provider_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("provider")).agg(testing.coverage_status(F.count(F.lit(1)), n(4), n(2), F.lit(0)).alias("status"))
 
 
-@query("WITH s AS (SELECT l_orderkey % 500 AS i, CASE WHEN count(*) > 1 THEN 'partial' WHEN max(l_partkey) % 2 = 0 THEN 'available' ELSE 'unavailable' END AS a FROM lineitem WHERE l_linenumber = 6 GROUP BY l_orderkey % 500) SELECT CASE WHEN bool_and(a = 'unavailable') THEN 'unavailable' WHEN bool_and(a = 'available') THEN 'available' ELSE 'partial' END AS availability, CAST(count(*) AS BIGINT) AS identities, CAST(sum(CASE WHEN a = 'partial' THEN 1 ELSE 0 END) AS BIGINT) AS repeated FROM s")
+@query("WITH s AS (SELECT CASE WHEN count(*) > 1 THEN 'partial' WHEN max(l_partkey) % 2 = 0 THEN 'available' ELSE 'unavailable' END AS a FROM lineitem GROUP BY l_orderkey, l_linenumber % 5) SELECT CASE WHEN bool_and(a = 'unavailable') THEN 'unavailable' WHEN bool_and(a = 'available') THEN 'available' ELSE 'partial' END AS availability, CAST(count(*) AS BIGINT) AS identities, CAST(sum(CASE WHEN a = 'partial' THEN 1 ELSE 0 END) AS BIGINT) AS repeated FROM s")
 def a48_shadow_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = own(spark, sf_dir, "lineitem").where("l_linenumber = 6").select((F.col("l_orderkey") % 500).alias("identity"), F.when(F.col("l_partkey") % 2 == 0, "available").otherwise("unavailable").alias("availability"))
+    rows = own(spark, sf_dir, "lineitem").select(text(F.col("l_orderkey"), "-", F.col("l_linenumber") % 5).alias("identity"), F.when(F.col("l_partkey") % 2 == 0, "available").otherwise("unavailable").alias("availability"))
     each = validation.shadow_evidence(rows)
     return validation.overall(each).join(each.agg(F.count_if(F.col("availability") == "partial").alias("repeated")))
 

@@ -174,3 +174,10 @@ def inspect_generations(spark: SparkSession, root: str) -> DataFrame:
     names = sorted(x.getPath().getName() for x in system.listStatus(own)) if system.exists(own) else []
     active, backup = _pointer(spark, root) or (None, None)
     return spark.createDataFrame([(n, "active" if n == active else "backup" if n == backup else "left", _readable(spark, f"{root}/generations/{n}")) for n in names], "generation string, role string, whole boolean")
+
+
+def discovered(edges: DataFrame, found: DataFrame, source: str, keys: Sequence[str] = ("src", "dst")) -> tuple[DataFrame, DataFrame]:
+    """(edges with one source's replaced by those found now; one row: how many of them came and went)."""
+    old, new = edges.where(F.col("source") == source).select(*keys).distinct(), found.select(*keys).distinct()
+    counts = new.join(old, list(keys), "left_anti").agg(F.count(F.lit(1)).alias("added")).join(old.join(new, list(keys), "left_anti").agg(F.count(F.lit(1)).alias("removed")))
+    return replace_source(edges, found, source), counts
