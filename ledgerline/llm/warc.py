@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -160,6 +161,11 @@ def write_archive(out: BinaryIO, records: Iterator[bytes], archive_bytes: int =
     return n, False
 
 
+def store_of(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder, and the folder's path in it; Spark's names for object stores are known."""
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", root))
+
+
 class _Feed:
     """A stream with a place to go on from, and back to."""
 
@@ -255,7 +261,7 @@ def write_pages(pages: DataFrame, root: str, id_column: str = "page_id", url_col
     ready = joined.select("page_id", "url", "html", "payload_digest", refers.alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(root)
+        store, base = store_of(root)
         context = TaskContext.get()
         name = f"{base}/pages-{context.partitionId():06d}-{context.taskAttemptId()}"
 
@@ -311,7 +317,7 @@ def read(manifest: DataFrame, root: str, payloads: bool = True) -> DataFrame:
     ship(manifest.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = fs.FileSystem.from_uri(root)
+        store, _ = store_of(root)
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 with store.open_input_stream(path, compression=None) as source:
