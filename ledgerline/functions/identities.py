@@ -101,6 +101,7 @@ def shapes_fingerprint(shapes: DataFrame) -> DataFrame:
     return each.agg(F.concat_ws(";", F.transform(ordered, lambda x: F.concat(x["language"], F.lit(":weak_assertion_methods:"), x["names"]))).alias("fingerprint"))
 
 
+#: Names that a normal call keeps.
 _KEYWORDS = "const|let|var|function|return|if|else|for|new|await|as|of|in|true|false|null|undefined"
 
 

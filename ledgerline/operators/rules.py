@@ -40,7 +40,6 @@ VARIABLES = {
 COMPOSITES = ("crl_state", "module_shape", "crl_inputs")
 
 LEVELS = ("pass", "warn", "block")
-_COMPARISONS = "=!><"
 TEXTS = ("path_class", "language")
 
 
@@ -54,37 +53,34 @@ class Token:
     value: str | float
 
 
+#: One alternative for each kind of token, tried in this order. A sign or letter right before a comparison's first character is taken for the
+#: comparison: the language's own rule, for which conditions put blanks around comparisons with names or numbers of one character.
+_TOKENS = re.compile(
+    r"""(?P<blank>\s+)|(?P<paren>[()])|(?P<logic>&&|\|\|)|(?P<compare>(?:[=!><]|.(?=[=!><]))=?)|(?P<string>"[^"]*"?|'[^']*'?)|(?P<number>[0-9.]+)|(?P<name>[A-Za-z_][A-Za-z0-9_]*)"""
+)
+
+
+def _number(text: str) -> float:
+    """A number up to its second point; a lone point is none."""
+    whole, point, rest = text.partition(".")
+    digits = whole + point + rest.partition(".")[0]
+    return float(digits) if digits.strip(".") else float("nan")
+
+
 def tokenize(text: str) -> list[Token]:
     out: list[Token] = []
-    i = 0
-    while i < len(text):
-        c, following = text[i], text[i + 1 : i + 2]
-        if c.isspace():
-            i += 1
-        elif c in "()":
-            out.append(Token("paren", c))
-            i += 1
-        elif text[i : i + 2] in ("&&", "||"):
-            out.append(Token("op", text[i : i + 2]))
-            i += 2
-        elif c in _COMPARISONS or (following and following in _COMPARISONS):
-            wide = following == "="
-            out.append(Token("op", c + "=" * wide))
-            i += 1 + wide
-        elif c in "\"'":
-            end = text.find(c, i + 1)
-            end = len(text) if end < 0 else end  # an open string ends with the text
-            out.append(Token("string", text[i + 1 : end]))
-            i = end + 1
-        elif m := re.compile(r"[0-9.]+").match(text, i):
-            number = re.match(r"[0-9]*\.?[0-9]*", m.group()).group()
-            out.append(Token("number", float(number) if number.strip(".") else float("nan")))
-            i = m.end()
-        elif m := re.compile(r"[A-Za-z_][A-Za-z0-9_]*").match(text, i):
-            out.append(Token("name", m.group()))
-            i = m.end()
-        else:
-            raise RuleError(f"{text!r}: unexpected {c!r}")
+    at = 0
+    while at < len(text):
+        m = _TOKENS.match(text, at)
+        if m is None:
+            raise RuleError(f"{text!r}: unexpected {text[at]!r}")
+        at, kind, found = m.end(), m.lastgroup, m.group()
+        if kind == "number":
+            out.append(Token("number", _number(found)))
+        elif kind == "string":  # one that nothing closes ends with the text
+            out.append(Token("string", found[1:].removesuffix(found[0])))
+        elif kind != "blank":
+            out.append(Token({"logic": "op", "compare": "op"}.get(kind, kind), found))
     return out
 
 

@@ -111,6 +111,7 @@ def invalid_projections(projections: DataFrame) -> DataFrame:
 def invalid_evidence(evidence: DataFrame) -> DataFrame:
     """Validation evidence with the first thing that is wrong with it: names, identifiers, languages, times, their order, counts."""
     text = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    # fixed values of the format: what an identifier may be
     identifier = lambda c: F.coalesce(F.col(c).rlike(r"^[A-Za-z0-9][A-Za-z0-9._:@-]{0,127}$"), F.lit(False))
     counts = F.lit(True)
     for c in ("findings", "false_positives", "false_negatives"):

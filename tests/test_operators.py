@@ -1,8 +1,10 @@
 """Operators against hand-computed values and brute force."""
 
+import hashlib
 import itertools
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,17 +127,26 @@ def test_waves_and_samples(spark):
     assert mining.evenly_sampled(spark.range(2), "id", 3).count() == 2
 
 
-CODE = "\n".join(['import { readFileSync } from "node:fs";', "", "export const load = (path: string): string => {", '  const raw = readFileSync(path, "utf8"); // 读取全部内容', '  return raw.trim().replace(/\\r?\\n/gu, "\\n");', "};", "", "export const twice = (value: number): number => value * 2;"])
+CODE = "\n".join(["def area(width, height):", "    # two sides, in metres", "    if width < 0 or height < 0:", '        raise ValueError("sides are 0 or more")', "    return width * height", "", "total = sum(area(w, 12) for w in range(40))", "print(`total`)"])
+
+
+def plain_fnv(text, seed):
+    h = (2166136261 ^ seed) & 0xFFFFFFFF
+    for c in text:
+        h = (h ^ ord(c)) * 16777619 & 0xFFFFFFFF
+    return h
 
 
 def test_code_fingerprint_is_the_formats(spark):
-    """The SimHash and the first values of the MinHash that the format fixes for this code."""
-    df = spark.createDataFrame([(CODE,)], "content string").select(fp.code_features(F.col("content")).alias("f"))
-    features = df.first().f
-    assert fp.simhash(features) == "481b6d7d00cf4800"
-    assert fp.minhash(features)[:6] == [1281233352, 1001382821, 1190811754, 770438247, 1466567220, 2444278853]
+    """MinHash and SimHash against the format's definition, a step at a time."""
+    features = spark.createDataFrame([(CODE,)], "content string").select(fp.code_features(F.col("content")).alias("f")).first().f
+    lines = [x for x in (re.sub(r"\b\d+\b", "N", re.sub(r"`.+?`", "`X`", x.strip())) for x in CODE.split("\n")) if len(x) > 4]
+    assert features == ["\n".join(lines[i : i + 3]) for i in range(len(lines) - 2)]
+    assert fp.minhash(features) == [min(plain_fnv(f, i * 0x9E3779B1) for f in features) for i in range(64)]
+    votes = [sum(1 if hashlib.sha256(f.encode()).digest()[b // 8] >> (b % 8) & 1 else -1 for f in features) for b in range(64)]
+    assert int(fp.simhash(features), 16) == sum(1 << b for b in range(64) if votes[b] >= 0)
     assert fp.minhash([]) == [0] * 64 and fp.simhash([]) == "f" * 16
-    assert fp.minhash(["a"])[0] == 3826002220
+    assert fp.minhash(["a"])[0] == plain_fnv("a", 0)
 
 
 def test_similar_documents_against_brute_force(spark):
