@@ -145,3 +145,44 @@ def g10_extension_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
 def m22_percentile_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scores.exact_p95(production_files(spark, sf_dir), {"branch": F.col("max_func_branch"), "loc": F.col("loc")})
     return out.select(r6("p95_branch").alias("branch"), r6("p95_loc").alias("loc"))
+
+
+TEST_FILES = {
+    "a§.test.ts": ("typescript", "import x;\nit('adds §', () => {\n  test.skip(`inner`, run);\n});\nother('no');\n"),
+    "b§_test.go": ("go", "package m\nfunc TestA§(t *testing.T) {\n}\nfunc helper() {}\n"),
+    "c§.rs": ("rust", "fn plain() {}\n#[test]\n#[should_panic]\nfn checks_§() {\n}\nfn other() {}\n"),
+    "D§Test.java": ("java", "class D {\n  @Test\n  public void works§() {}\n  void helper() {}\n}\n"),
+    "test_e§.py": ("python", "def helper():\n    pass\nasync def test_it_§(a):\n    pass\n"),
+    "f§.ts": ("typescript", "it('is no test file', f);\n"),
+}
+TEST_CASES_SQL = "(VALUES (0, 'vitest', 'adds §', 2), (0, 'vitest', 'inner', 3), (1, 'go-testing', 'TestA§', 2), (2, 'rust-testing', 'checks_§', 4), (3, 'java-junit', 'works§', 3), (4, 'python-pytest', 'test_it_§', 3))"
+
+
+@query(f"SELECT p_partkey AS id, provider, replace(name, '§', CAST(p_partkey AS VARCHAR)) AS name, line FROM part JOIN {TEST_CASES_SQL} v(k, provider, name, line) ON k = p_partkey % 6")
+def u10_test_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each part, in six kinds in turn, with cases and what looks like them."""
+    from ledgerline.functions import test_cases
+
+    k = F.col("p_partkey")
+    filled = lambda *values: F.replace(pick(k, *values), F.lit("§"), k.cast("string"))  § noqa: E731
+    files = own(spark, sf_dir, "part").select(k.alias("id"), filled(*TEST_FILES).alias("path"), pick(k, *(v[0] for v in TEST_FILES.values())).alias("language"), filled(*(v[1] for v in TEST_FILES.values())).alias("content"))
+    return test_cases.cases(files).join(files.select("id", "path"), "path").select("id", "provider", "name", "line")
+
+
+CHANGED = (
+    ("def f(a):\n    return 1\n", "def f(a, b):\n    return 1\n"), ("def f(a):\n    return 1\n", "def f(a):\n    return 2\n"), ("class C:\n    x = 1\n    def m(self): pass\n", ""), ("import os\nx = 1\n", "import sys\nx = 1\n"),
+    ("def _p(): pass\n", "def _p(a): pass\n"), ("def f(: broken\n", "x = 1\n"), ("x = 1\n", "# only a comment\nx = 1\n"),
+)
+CHANGED_SQL = "(VALUES (0, 'f', 'public_method_sig'), (1, 'f', 'function_body'), (2, 'C', 'class_add_remove'), (3, 'sys', 'dependency_add'), (3, 'os', 'dependency_remove'), (4, '_p', 'function_sig'), (5, 'SyntaxError', 'failed'), (6, NULL, 'comment_whitespace'))"
+
+
+@query(f"SELECT p_partkey AS id, anchor, change_kind FROM part JOIN {CHANGED_SQL} v(k, anchor, change_kind) ON k = p_partkey % 7")
+def m13_change_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A changed Python file for each part: other parameters, body, class, imports; one that can't be read; one with a comment more."""
+    from ledgerline.plans.pipelines import change_semantics
+
+    k = F.col("p_partkey")
+    changes = own(spark, sf_dir, "part").select(text("a.b/f", k, ".py").alias("path"), pick(k, *(b for b, _ in CHANGED)).alias("before"), pick(k, *(a for _, a in CHANGED)).alias("after"))
+    found, failed = change_semantics(changes)
+    failed = failed.select("file", F.substring_index("error", ":", 1).alias("anchor"), F.lit("failed").alias("change_kind"))
+    return found.unionByName(failed).select(F.regexp_extract("file", r"f(\d+)\.py$", 1).cast("long").alias("id"), "anchor", "change_kind")
