@@ -164,7 +164,7 @@ def u10_test_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerline.functions import test_cases
 
     k = F.col("p_partkey")
-    filled = lambda *values: F.replace(pick(k, *values), F.lit("§"), k.cast("string"))  § noqa: E731
+    filled = lambda *values: F.replace(pick(k, *values), F.lit("§"), k.cast("string"))
     files = own(spark, sf_dir, "part").select(k.alias("id"), filled(*TEST_FILES).alias("path"), pick(k, *(v[0] for v in TEST_FILES.values())).alias("language"), filled(*(v[1] for v in TEST_FILES.values())).alias("content"))
     return test_cases.cases(files).join(files.select("id", "path"), "path").select("id", "provider", "name", "line")
 
