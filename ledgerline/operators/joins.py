@@ -218,3 +218,10 @@ def foreign_wrappers(imports: DataFrame, production: DataFrame, wrappers: DataFr
     """(test, names): assertion wrappers (path, name) of the files that tests import (test, path), production files left out."""
     own = imports.select("test", "path").distinct().join(production.select("path"), "path", "left_anti")
     return own.join(wrappers, "path").groupBy("test").agg(F.array_sort(F.collect_set("name")).alias("names"))
+
+
+def resolved_associations(imports: DataFrame, production: DataFrame, calls: DataFrame, exports: DataFrame) -> DataFrame:
+    """Associations of tests with production files, with what their calls prove: `sole_associations`, then `promote_associations` over the files that are targets at all."""
+    found = sole_associations(imports, production)
+    targets = found.select(F.col("target").alias("path")).distinct()
+    return promote_associations(found, calls, exports.join(targets, "path", "left_semi"))

@@ -240,3 +240,9 @@ def only_on(rules: Sequence[Rule], metric: str = "crl_local") -> list[Rule]:
 def shifted(df: DataFrame, before: str, after: str, digest_before: str, digest_after: str) -> DataFrame:
     """Rows whose own facts are what they were (equal, known digests) and whose burden moved all the same."""
     return df.where((F.col(digest_before) == F.col(digest_after)) & (F.col(before) != F.col(after)))
+
+
+def row_verdict(rules: Sequence[Rule], names: Mapping[str, Column] | None = None) -> Column:
+    """The verdict on a row by itself: BLOCK, WARN or PASS."""
+    worst = F.greatest(F.lit(0), F.lit(0), *(F.when(compile_condition(r.condition, names), severity(F.lit(r.level))).otherwise(0) for r in rules))
+    return F.element_at(F.array(*map(F.lit, ("PASS", "WARN", "BLOCK"))), worst + 1)

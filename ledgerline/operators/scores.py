@@ -248,3 +248,11 @@ def sorted_deltas(deltas: DataFrame) -> DataFrame:
     """(file, delta_i) without zeros and what is no number, by file."""
     d = F.col("delta_i")
     return deltas.where(d.isNotNull() & (d != 0) & ~F.isnan(d) & (F.abs(d) != F.lit(float("inf")))).orderBy("file")
+
+
+def file_impact(changes: DataFrame, files: DataFrame) -> DataFrame:
+    """i_push, severity_budget and intensity of each changed file: changes (path, change_kind, weighted_branch_delta), files (path, kind, alpha_struct, in_degree, layer_weight). Files that aren't production have none, and neither has an unknown file."""
+    production = F.coalesce("kind", F.lit("production")) == "production"
+    own = files.where(production).select("path", "alpha_struct", "in_degree", "layer_weight")
+    found = push_impact(changes.join(own, "path"), ["path"])
+    return changes.select("path").distinct().join(found, "path", "left").select("path", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("i_push", "severity_budget", "intensity")))

@@ -117,3 +117,8 @@ def scoped_evidence(findings: DataFrame, provider: str, rule: str, complete: Col
     own = findings.where((F.col("provider") == provider) & (F.col("rule_id") == rule))
     worst = F.element_at(F.array(*map(F.lit, ("PASS", "REVIEW", "WARN", "BLOCK"))), F.coalesce(F.max(rank), F.lit(0)) + 1)
     return own.agg(F.count(F.lit(1)).alias("findings"), F.when(complete, worst).alias("verdict"))
+
+
+def wrapper_exports(functions: DataFrame, assertions: DataFrame, exports: DataFrame) -> DataFrame:
+    """(file, name) of exported functions (exports: file, name) that hold an assertion."""
+    return assertion_wrappers(functions, assertions).select("file", "name").join(exports.select("file", "name"), ["file", "name"], "left_semi").distinct()

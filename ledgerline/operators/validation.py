@@ -238,3 +238,22 @@ def readiness(df: DataFrame) -> DataFrame:
     for reason in READINESS:
         out = (F.when if out is None else out.when)(F.coalesce(F.col(reason), F.lit(False)), F.lit(reason))
     return df.withColumn("reason", out)
+
+
+#: Files that tell of a language's own project.
+INDICATORS = {"go.mod": "go", "Cargo.toml": "rust", "package.json": "typescript", "tsconfig.json": "typescript", "pyproject.toml": "python", "setup.py": "python", "pom.xml": "java", "build.gradle": "java"}
+
+
+def nested_languages(files: DataFrame, covered: Sequence[str]) -> DataFrame:
+    """(folder, language) of folders below the root whose files (path) tell of a language that isn't covered, each once and in order."""
+    name = F.element_at(F.split("path", "/"), -1)
+    language = F.element_at(F.create_map(*(F.lit(x) for pair in INDICATORS.items() for x in pair)), name)
+    own = files.where(F.col("path").contains("/") & name.isin(*INDICATORS)).select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), language.alias("language"))
+    return own.where(~F.col("language").isin(*covered)).distinct().orderBy("folder", "language")
+
+
+def demanded(declarations: DataFrame, demand: DataFrame) -> DataFrame:
+    """The declarations (file, name) that somebody asks for (file, name; a null name: all of the file), so that a provider resolves no others."""
+    named = declarations.join(demand.where("name is not null").select("file", "name").distinct(), ["file", "name"], "left_semi")
+    whole = declarations.join(demand.where("name is null").select("file").distinct(), "file", "left_semi")
+    return named.unionByName(whole).distinct()

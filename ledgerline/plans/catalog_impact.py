@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions import identities, paths
-from ledgerline.operators import graphs, joins, mining, rules, scores, validation
-from ledgerline.plans.catalog import BURDEN_SQL, production_files, query, r6, scored, stand_in
+from ledgerline.operators import graphs, joins, mining, rules, scores, testing, validation
+from ledgerline.plans import pipelines
+from ledgerline.plans.catalog import BURDEN_SQL, DECAY_SQL, NOW, RULES, production_files, query, r6, rule_names, scored, stand_in
 from ledgerline.plans.catalog_facts import digest_sql, own, pick, text
 from ledgerline.sources import tables
+from ledgerline.streaming import lifecycle
 
 
 @query("SELECT path, loc FROM files WHERE path NOT LIKE '%/dist/%' AND path LIKE '%.py'", "files")
@@ -186,3 +188,92 @@ def m13_change_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, failed = change_semantics(changes)
     failed = failed.select("file", F.substring_index("error", ":", 1).alias("anchor"), F.lit("failed").alias("change_kind"))
     return found.unionByName(failed).select(F.regexp_extract("file", r"f(\d+)\.py$", 1).cast("long").alias("id"), "anchor", "change_kind")
+
+
+@query(f"+{BURDEN_SQL} SELECT path, CASE WHEN local_burden > 0.45 AND max_func_branch >= 20 THEN 'BLOCK' WHEN (language = 'go' AND max_func_branch > 45) OR alpha_struct > 0.95 THEN 'WARN' ELSE 'PASS' END AS verdict FROM burden", "files")
+def p11_row_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(spark, sf_dir).select("path", rules.row_verdict(RULES, rule_names()).alias("verdict"))
+
+
+@query(f"SELECT file, round({DECAY_SQL}, 6) AS crl FROM history GROUP BY file", "history")
+def a19_compacted_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger compacted three times, once to an earlier day than before: checkpoint and rest replay to what all records give."""
+    root = tables.step_path(spark, "ledger")
+    rest = stand_in(spark, sf_dir, "history").withColumn("ts", F.col("ts").cast("timestamp"))
+    for days in (25, 10, 20):
+        rest = pipelines.compact_ledger(rest, root, F.lit(NOW), days)
+    whole = tables.read_generation(spark, root).unionByName(rest.select("file", "ts", "delta_i"))
+    return scores.decayed(whole, F.lit(NOW)).select("file", r6("crl"))
+
+
+@query("""SELECT event_id AS sequence, user_id AS task, event_type AS type FROM events""")
+def s29_appended_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that come as a stream, appended to a log and read again."""
+    came, path, checkpoint = (tables.step_path(spark, x) for x in ("came", "log", "progress"))
+    events = own(spark, sf_dir, "events").select(F.col("user_id").alias("task"), F.col("event_id").alias("sequence"), F.col("event_type").alias("type"))
+    events.write.json(came)
+    lifecycle.append_log(spark.readStream.schema(events.schema).json(came), path, checkpoint).awaitTermination()
+    return spark.read.schema(events.schema).json(path)
+
+
+@query("SELECT reason FROM (VALUES ('repeated'), ('files'), ('test')) v(reason)")
+def z2_snapshot_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot with a row too many, against what it declares."""
+    p = own(spark, sf_dir, "part").select(F.col("p_partkey").alias("path"), F.when(F.col("p_partkey") % 3 == 0, "test").otherwise("production").alias("kind"))
+    declared = p.agg(F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("kind") == "production").alias("n_production"), F.count_if(F.col("kind") == "test").alias("n_test"))
+    return validation.snapshot_violations(p.unionByName(p.where("kind = 'test'").orderBy("path").limit(1)), declared)
+
+
+@query("""SELECT DISTINCT 'd' || p_partkey % 30 AS folder, (['go', 'rust', 'java'])[k - 1] AS language FROM (SELECT p_partkey, p_partkey % 7 AS k FROM part) WHERE k IN (2, 3, 4)""")
+def z22_nested_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    files = own(spark, sf_dir, "part").select(F.concat(F.when(k % 7 == 6, F.lit("")).otherwise(text("d", k % 30, "/")), pick(k, "a.go", "package.json", "go.mod", "Cargo.toml", "pom.xml", "setup.py", "go.mod")).alias("path"))
+    return validation.nested_languages(files, ["typescript", "python"])
+
+
+@query("SELECT CAST((SELECT count(*) FROM documents) AS BIGINT) AS documents, CAST((SELECT count(*) FROM labels WHERE quality = 0) AS BIGINT) AS unfilled, CAST((SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)) AS BIGINT) AS open_pairs, (SELECT string_agg(event_type || '=' || m, ',' ORDER BY event_type) FROM (SELECT event_type, max(event_id) AS m FROM events GROUP BY event_type)) AS last")
+def z56_observability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pipelines.document_observability(own(spark, sf_dir, "documents"), own(spark, sf_dir, "labels").where("quality = 0"), own(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct(), own(spark, sf_dir, "events").select(F.col("event_type").alias("operation"), F.col("event_id").alias("at")))
+    return out.select("documents", "unfilled", "open_pairs", F.array_join(F.transform(F.map_entries("last"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("last"))
+
+
+@query("SELECT DISTINCT l_orderkey AS file, l_partkey AS name FROM lineitem WHERE l_orderkey % 5 = 0 OR (l_orderkey, l_partkey) IN (SELECT (o_orderkey, o_custkey) FROM orders WHERE o_orderkey % 5 <> 0)")
+def u22_demanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    demand = own(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey")).alias("name"))
+    return validation.demanded(own(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("name")), demand)
+
+
+@query("WITH b AS (SELECT p_partkey AS id, p_size % 10 AS f, p_partkey AS a, p_partkey + p_size AS z FROM part) SELECT DISTINCT f AS file, id AS name FROM b JOIN lineitem ON l_suppkey % 10 = f AND l_partkey BETWEEN a AND z AND l_returnflag = 'A' WHERE id % 3 <> 0")
+def z41_wrapper_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    functions = own(spark, sf_dir, "part").select((F.col("p_size") % 10).cast("long").alias("file"), k.alias("name"), k.alias("start"), (k + F.col("p_size")).alias("end"))
+    asserts = own(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").select((F.col("l_suppkey") % 10).alias("file"), F.col("l_partkey").alias("line"))
+    return testing.wrapper_exports(functions, asserts, functions.where("name % 3 <> 0"))
+
+
+@query("""WITH i AS (SELECT l_orderkey AS t, l_partkey % 300 AS target, arg_min(l_partkey % 60, l_linenumber * 100000 + l_suppkey * 100 + l_partkey % 60) AS source FROM lineitem WHERE l_partkey % 300 % 2 = 0 GROUP BY ALL), one AS (SELECT t, source, max(target) AS target FROM i GROUP BY t, source HAVING count(*) = 1), used AS (SELECT DISTINCT l_orderkey AS t, l_partkey % 60 AS source, l_suppkey % 10 AS s FROM lineitem),
+    ok AS (SELECT DISTINCT t, target, source FROM one JOIN used USING (t, source) WHERE s % 3 = target % 3) SELECT t AS test, target, source, CASE WHEN ok.t IS NULL THEN 'low' ELSE 'high' END AS confidence FROM i LEFT JOIN ok USING (t, target, source)""")
+def z42_resolved_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = own(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("test"), (F.col("l_partkey") % 300).alias("target"), (F.col("l_partkey") % 60).alias("source"), text("f", F.col("l_suppkey") % 10).alias("symbol"), (F.col("l_linenumber") * 100_000 + F.col("l_suppkey") * 100 + F.col("l_partkey") % 60).alias("pos"))
+    targets = spark.range(300).withColumnRenamed("id", "path")
+    exports = targets.select("path", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("n")).where("n % 3 = path % 3").select("path", text("f", F.col("n")).alias("name"), F.lit("function").alias("kind"))
+    return joins.resolved_associations(li, targets.where("path % 2 = 0"), li.select("test", "source", "symbol"), exports).select("test", "target", "source", "confidence")
+
+
+@query("""SELECT l_partkey AS path, round(sum(CASE WHEN k THEN w * (p_partkey % 10) / 10 * log2(p_size + 1) * 1.5 ELSE 0 END), 4) AS i_push, round(sum(CASE WHEN k THEN w ELSE 0 END), 4) AS severity_budget FROM (SELECT l_partkey, CASE l_returnflag WHEN 'A' THEN 60 WHEN 'N' THEN 10 ELSE 50 END AS w FROM lineitem) JOIN (SELECT p_partkey, p_size, p_partkey % 4 <> 1 AS k FROM part) ON p_partkey = l_partkey GROUP BY l_partkey""")
+def m3_file_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    files = own(spark, sf_dir, "part").select(k.alias("path"), F.when(k % 4 == 1, "test").when(k % 4 == 2, "production").alias("kind"), (k % 10 / 10).alias("alpha_struct"), F.col("p_size").alias("in_degree"), F.lit(1.5).alias("layer_weight"))
+    kind = F.when(F.col("l_returnflag") == "A", "public_method_sig").when(F.col("l_returnflag") == "N", "function_body").otherwise("function_sig")
+    changes = own(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("path"), kind.alias("change_kind"), F.lit(None).cast("double").alias("weighted_branch_delta"))
+    return scores.file_impact(changes, files.join(changes.select("path").distinct(), "path", "left_semi")).select("path", F.round("i_push", 4).alias("i_push"), F.round("severity_budget", 4).alias("severity_budget"))
+
+
+@query("""WITH c AS (SELECT l_partkey AS a, count(DISTINCT l_suppkey) AS n, max(CASE WHEN l_suppkey % 3 = 0 THEN 1.5 ELSE 1.0 END) AS w FROM lineitem GROUP BY l_partkey), b AS (SELECT *, CAST(substr(p_brand, 7) AS INT) AS b FROM part)
+    SELECT p_partkey AS anchor, CASE WHEN b % 3 = 0 THEN 'absent' WHEN b % 3 = 1 AND b % 2 = 0 THEN 'unavailable' ELSE 'complete' END AS state, round(CASE WHEN b % 3 = 0 OR b % 3 = 1 AND b % 2 = 0 THEN NULL WHEN n IS NULL THEN 0 ELSE 10 * log2(n + 1) * w END, 6) AS impact FROM b LEFT JOIN c ON a = p_partkey""")
+def m15_change_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = own(spark, sf_dir, "part").select(F.col("p_partkey").alias("anchor"), F.lit("function_body").alias("kind"), F.col("p_brand").alias("language"))
+    b = F.substring("language", 7, 9).cast("int")
+    evidence = p.select("language").distinct().where(b % 3 != 0).select("language", F.when((b % 3 == 1) & (b % 2 == 0), "unavailable").otherwise("available").alias("availability"), F.lit(True).alias("complete"))
+    consumers = own(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("anchor"), F.col("l_suppkey").alias("file"), F.when(F.col("l_suppkey") % 3 == 0, 1.5).otherwise(1.0).alias("layer_weight"))
+    return pipelines.change_surfaces(p, consumers, evidence).select("anchor", "state", r6("impact"))
