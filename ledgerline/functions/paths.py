@@ -144,3 +144,9 @@ def protected(configured: Column, path: Column) -> Column:
 def version_key(version: Column) -> Column:
     """A version's numbers as an array that sorts as versions do."""
     return F.transform(F.split(F.regexp_replace(version, r"^v|[-+].*$", ""), r"\."), lambda x: F.coalesce(F.try_to_number(x, F.lit("999999999")).cast("long"), F.lit(0).cast("long")))
+
+
+def authority_ids(path: Column, authorities: Sequence[tuple[str, str]]) -> Column:
+    """The ids of all authorities (id, configured path) that protect a path, in order and each once."""
+    hits = [F.when(protected(F.lit(configured), path), F.lit(i)) for i, configured in authorities]
+    return F.array_sort(F.array_distinct(F.array_compact(F.array(*hits)))) if hits else F.array().cast("array<string>")

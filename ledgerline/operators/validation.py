@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.paths import matches
@@ -257,3 +258,18 @@ def demanded(declarations: DataFrame, demand: DataFrame) -> DataFrame:
     named = declarations.join(demand.where("name is not null").select("file", "name").distinct(), ["file", "name"], "left_semi")
     whole = declarations.join(demand.where("name is null").select("file").distinct(), "file", "left_semi")
     return named.unionByName(whole).distinct()
+
+
+def governance_facts(spark: SparkSession, reports: Sequence[tuple[str, Callable[[], DataFrame]]]) -> DataFrame:
+    """(domain, id, availability, value, reason) of all reports (name, what makes its table of id and value), in one.
+
+    A report that can't be made is one unavailable fact of its own with the reason; the others aren't touched.
+    """
+    out = None
+    for name, make in reports:
+        try:
+            own = make().select(F.lit(name).alias("domain"), F.col("id").cast("string").alias("id"), F.lit("available").alias("availability"), F.col("value").cast("double").alias("value"), F.lit(None).cast("string").alias("reason"))
+        except (AnalysisException, ValueError) as e:
+            own = spark.createDataFrame([(name, name, "unavailable", None, type(e).__name__)], "domain string, id string, availability string, value double, reason string")
+        out = own if out is None else out.unionByName(own)
+    return out if out is not None else spark.createDataFrame([], "domain string, id string, availability string, value double, reason string")

@@ -277,3 +277,68 @@ def m15_change_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     evidence = p.select("language").distinct().where(b % 3 != 0).select("language", F.when((b % 3 == 1) & (b % 2 == 0), "unavailable").otherwise("available").alias("availability"), F.lit(True).alias("complete"))
     consumers = own(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("anchor"), F.col("l_suppkey").alias("file"), F.when(F.col("l_suppkey") % 3 == 0, 1.5).otherwise(1.0).alias("layer_weight"))
     return pipelines.change_surfaces(p, consumers, evidence).select("anchor", "state", r6("impact"))
+
+
+PYTHON = (
+    "import os\nfrom .m§ import x\n\ndef f§(a, b=1):\n    if a:\n        return g(a)\n    if b > 1:\n        if b > 2:\n            g(b)\n    return f§(a)\n\nclass C§:\n    z: int = 1\n    def _h(self):\n        match self.z:\n            case 1:\n                pass\n            case _:\n                k()\n",
+    "def test_one():\n    assert f(§)\n\ndef test_two():\n    pass\n\nasync def run§():\n    def inner():\n        if x:\n            raise E\n    await inner()\n",
+    "def broken§(:\n",
+)
+PYTHON_SQL = "(VALUES (0, 6, 3.9, 2, 2, 2.3, 2, 'C#._h:function:false,C#.z:field:true,C#:class:true,f#:function:true', 'f,g,k', false), (1, 1, 0.3, 1, 4, 0.3, 0, 'run#:function:true,test_one:function:true,test_two:function:true', 'f,inner', false), (2, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, true))"
+
+
+@query(f"SELECT p_partkey AS id, branches, weighted, nesting, functions, largest, imports, replace(declarations, '#', CAST(p_partkey AS VARCHAR)) AS declarations, replace(replace(calls, 'f,g,k', 'f' || p_partkey || ',g,k'), '#', '') AS calls, failed FROM part JOIN {PYTHON_SQL} v(k, branches, weighted, nesting, functions, largest, imports, declarations, calls, failed) ON k = p_partkey % 3")
+def o42_python_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small Python source for each part: guards, nesting, a match, nested functions; one that can't be read."""
+    from ledgerline.functions import source_facts
+
+    k = F.col("p_partkey")
+    files = own(spark, sf_dir, "part").select(k.cast("string").alias("path"), F.replace(pick(k, *PYTHON), F.lit("§"), k.cast("string")).alias("content"))
+    f = source_facts.file_facts(files)
+    declared = F.array_join(F.array_sort(F.transform("declarations", lambda d: F.concat_ws(":", d["id"], d["kind"], d["is_public"].cast("string")))), ",")
+    calls = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.transform("functions", lambda x: x["calls"])))), ",")
+    return f.select(F.col("path").cast("long").alias("id"), F.col("branch_count").alias("branches"), F.round("weighted_branch_total", 6).alias("weighted"), F.col("nesting_depth").alias("nesting"), F.col("function_count").alias("functions"), F.round("max_func_branch", 6).alias("largest"), F.when(F.col("error").isNull(), F.size("imports")).alias("imports"), declared.alias("declarations"), calls.alias("calls"), F.col("error").isNotNull().alias("failed"))
+
+
+@query("SELECT path, concat_ws(',', CASE WHEN path LIKE 'pkg1/src/%' THEN 'a' END, CASE WHEN path LIKE 'pkg1/%' THEN 'b' END, CASE WHEN path = 'pkg2/src/f2.go' OR path LIKE 'pkg3/%' THEN 'c' END) AS authorities FROM files", "files")
+def j23_authorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own_ = [("b", "pkg1/"), ("a", "pkg1/src/"), ("c", "pkg3/"), ("c", "pkg2/src/f2.go"), ("c", "pkg3/src/")]
+    return stand_in(spark, sf_dir, "files").select("path", F.array_join(paths.authority_ids(F.col("path"), own_), ",").alias("authorities"))
+
+
+@query("SELECT 'burden' AS domain, CAST(p_partkey AS VARCHAR) AS id, 'available' AS availability, CAST(p_size AS DOUBLE) AS value, NULL AS reason FROM part UNION ALL SELECT 'log', CAST(user_id AS VARCHAR), 'available', CAST(count(*) AS DOUBLE), NULL FROM events GROUP BY user_id UNION ALL SELECT 'absent', 'absent', 'unavailable', NULL, 'AnalysisException'")
+def z50_governance_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two reports' facts, and a third report that can't be made."""
+    return validation.governance_facts(spark, [
+        ("burden", lambda: own(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("value"))), ("absent", lambda: own(spark, sf_dir, "part").select("nothing")),
+        ("log", lambda: own(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.count(F.lit(1)).alias("value")))])
+
+
+ACTION_SQL = """q AS (SELECT user_id AS target, event_id AS request_id, CAST(epoch_us(ts) AS BIGINT) AS now, CASE event_type WHEN 'view' THEN 'renew' WHEN 'click' THEN 'release' ELSE 'acquire' END AS action, 'o' || event_id % 2 AS owner, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n FROM events),
+    f(target, n, request_id, owner, last, expires, answer) AS (SELECT target, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), CAST(0 AS BIGINT), '' FROM (SELECT DISTINCT target FROM q)
+    UNION ALL SELECT target, n, request_id, CASE WHEN action = 'acquire' THEN CASE WHEN held THEN o ELSE owner END WHEN action = 'release' THEN CASE WHEN mine OR NOT held THEN NULL ELSE o END ELSE CASE WHEN held THEN o END END,
+        CASE WHEN action = 'acquire' AND NOT held THEN last + 1 ELSE last END, CASE WHEN action = 'acquire' AND NOT held OR action = 'renew' AND mine THEN now + 86400000000 ELSE expires END,
+        CASE action WHEN 'acquire' THEN CASE WHEN held THEN 'held' ELSE 'acquired' END WHEN 'renew' THEN CASE WHEN mine THEN 'renewed' ELSE 'lost' END ELSE CASE WHEN mine OR NOT held THEN 'released' ELSE 'lost' END END
+        FROM (SELECT q.*, f.owner AS o, f.last, f.expires, f.owner IS NOT NULL AND q.now < f.expires AS held, f.owner IS NOT NULL AND q.now < f.expires AND f.owner = q.owner AND f.last = 1 AS mine FROM f JOIN q ON q.target = f.target AND q.n = f.n + 1))"""
+
+
+@query(f"WITH RECURSIVE {ACTION_SQL} SELECT target, request_id, answer FROM f WHERE n > 0")
+def t7_lease_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two owners that acquire, renew and release their users' leases, always with the first token."""
+    action = F.when(F.col("event_type") == "view", "renew").when(F.col("event_type") == "click", "release").otherwise("acquire")
+    e = own(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("target"), F.col("event_id").cast("string").alias("request_id"), action.alias("action"), text("o", F.col("event_id") % 2).alias("owner"), F.lit(1).cast("long").alias("token"), F.unix_micros(F.col("ts").cast("timestamp")).alias("now"), F.lit(86_400_000_000).alias("ttl"), F.col("event_id").alias("position"))
+    return lifecycle.lease_answers(e, "position").select(F.col("target").cast("long").alias("target"), F.col("request_id").cast("long").alias("request_id"), "answer")
+
+
+@query("SELECT 'd' || p_partkey % 7 AS folder, sha256(string_agg(p_partkey || ' ' || p_brand || chr(10), '' ORDER BY p_partkey)) AS hash, CAST(sum(length(p_partkey || ' ' || p_brand) + 1) AS BIGINT) AS size FROM part WHERE p_partkey % 7 <> 3 GROUP BY p_partkey % 7")
+def s1_project_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a written tree, those below an excluded folder aside, by their contents."""
+    from ledgerline.sources import files as file_sources
+
+    root = tables.step_path(spark, "tree")
+    k = F.col("p_partkey")
+    lines = own(spark, sf_dir, "part").select(text(k, " ", F.col("p_brand")).alias("value"), k, F.when(k % 7 == 3, "node_modules").otherwise(text("d", k % 7)).alias("folder"))
+    for name in ("node_modules", *(f"d{i}" for i in range(7) if i != 3)):
+        lines.where(F.col("folder") == name).orderBy("p_partkey").coalesce(1).select("value").write.text(f"{root}/{name}")
+    found = file_sources.project_files(spark, root, (".txt",))
+    return found.select(F.substring_index("path", "/", 1).alias("folder"), "hash", "size")
