@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ledgerline.llm import secrets
 from ledgerline.llm.divergence import COMMON_WORDS, DEFAULTS
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -47,3 +48,57 @@ OP4 = f"""WITH d0 AS (SELECT doc_id, CASE WHEN lang IN ({', '.join(map(repr, COM
         NOT base_failed AND NOT coalesce(n_chars >= {DEFAULTS['min_chars']} AND cd > {_LIMITS['chars']}, false) AND NOT coalesce(n_words >= {DEFAULTS['min_words']} AND wd > {_LIMITS['words']}, false) AS kept FROM j"""
 
 ORACLE_SQL: dict[str, str] = {"op2_warc": OP2, "op4_divergence": OP4, "op8_near_duplicates": OP8}
+
+_LIST12 = "list_filter(list_transform(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]'), lambda x: regexp_extract_all(x, '[^\\x20\\x09]+')), lambda x: len(x) > 0)"
+
+
+def _score12(x: str, y: str) -> str:
+    return f"CAST(1000000 * CAST(g.f AS HUGEINT) * g.f // (CAST({x}.f AS HUGEINT) * {y}.f) AS BIGINT)"
+
+
+OP12 = f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest({_LIST12}) AS w FROM documents),
+    g1 AS (SELECT lang, w1, count(*) AS f FROM (SELECT lang, unnest(w) AS w1 FROM p) GROUP BY ALL), size AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g1 GROUP BY lang),
+    g2 AS (SELECT lang, x[1] AS w1, x[2] AS w2, count(*) AS f FROM (SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i : i + 1])) AS x FROM p) GROUP BY ALL HAVING f >= 10),
+    g3 AS (SELECT lang, x[1] AS w1, x[2] AS w2, x[3] AS w3, count(*) AS f FROM (SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i : i + 2])) AS x FROM p) GROUP BY ALL HAVING f >= 10),
+    inside AS (SELECT lang, w1, w2, max(f) AS f FROM (SELECT lang, w1, w2, f FROM g3 UNION ALL SELECT lang, w2, w3, f FROM g3) GROUP BY lang, w1, w2),
+    two AS (SELECT g.lang, g.w1 || ' ' || g.w2 AS phrase, g.f AS a, x.f AS l, y.f AS r, {_score12('x', 'y')} AS score FROM g2 g JOIN g1 x ON x.lang = g.lang AND x.w1 = g.w1 JOIN g1 y ON y.lang = g.lang AND y.w1 = g.w2
+        LEFT JOIN inside i ON i.lang = g.lang AND i.w1 = g.w1 AND i.w2 = g.w2 WHERE coalesce(100 * i.f < 50 * g.f, true)),
+    cut AS (SELECT g.lang, g.w1 || ' ' || g.w2 || ' ' || g.w3 AS phrase, g.f AS a, x1.f AS l1, y1.f AS r1, {_score12('x1', 'y1')} AS s1, x2.f AS l2, y2.f AS r2, {_score12('x2', 'y2')} AS s2 FROM g3 g JOIN g1 x1 ON x1.lang = g.lang AND x1.w1 = g.w1
+        JOIN g2 y1 ON y1.lang = g.lang AND y1.w1 = g.w2 AND y1.w2 = g.w3 JOIN g2 x2 ON x2.lang = g.lang AND x2.w1 = g.w1 AND x2.w2 = g.w2 JOIN g1 y2 ON y2.lang = g.lang AND y2.w1 = g.w3),
+    c AS (SELECT * FROM two UNION ALL SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM cut)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM c) JOIN size USING (lang) WHERE rank <= 2000"""
+
+ORACLE_SQL["op12_phrases"] = OP12
+
+
+def _found11(kind: str, pattern: str, value: str, ok: str, flags: str = "") -> str:
+    """The findings of a pattern: what stands between them tells where they are. `value` and `ok` are of the match m."""
+    own = f"(?{flags}:{pattern})" if flags else pattern
+    return f"""SELECT doc_id, source, '{kind}' AS kind, start, start + length(m) AS stop, {value} AS value FROM (SELECT *, coalesce(sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(gap) AS start FROM (
+        SELECT doc_id, source, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS m, unnest(list_slice(gap, 1, len(m))) AS gap FROM (SELECT doc_id, source, regexp_extract_all(t, '{own}') AS m, string_split_regex(t, '{own}') AS gap FROM d) WHERE len(m) > 0)) WHERE {ok}"""
+
+
+_NAMES11 = "([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
+_ASSIGN11 = _NAMES11 + "[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+_ADDRESS11 = "://([^\\x20\\x09-\\x0D/:@]+):([^\\x20\\x09-\\x0D/@]+)@"
+_PEM11 = "-----BEGIN [A-Z\\x20]*PRIVATE KEY-----([^-]+)-----END [A-Z\\x20]*PRIVATE KEY-----"
+_PARTS11 = {
+    "assign": _found11("assign", _ASSIGN11, f"regexp_extract(m, '{_ASSIGN11}', 2)", f"length(value) >= {secrets.LEAST_ASSIGNED}"),
+    "access": _found11("access", "AKIA[A-Z0-9]+", "m", f"length(m) >= {secrets.LEAST_ACCESS}"),
+    "hex": _found11("hex", "[0-9a-f]+", "m", "length(m) >= 16"),
+    "key": _found11("key", "[0-9A-Za-z_-]+", "m", f"length(m) >= 20 AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[0-9]') AND len(list_distinct(string_split(m, ''))) >= {secrets.KEY_CHARACTERS}"),
+    "url": f"SELECT doc_id, source, kind, stop - 1 - length(value) AS start, stop - 1 AS stop, value FROM ({_found11('url', _ADDRESS11, f'regexp_extract(m, {chr(39)}{_ADDRESS11}{chr(39)}, 2)', 'true')})",
+    "pem": _found11("pem", _PEM11, f"regexp_extract(m, '{_PEM11}', 1)", "true"),
+}
+_ORDER11 = "CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(secrets.KINDS)) + " END"
+_REAL11 = f"len(list_distinct(string_split(value, ''))) >= {secrets.LIVE_CHARACTERS}" + "".join(f" AND NOT contains(lower(value), '{x}')" for x in secrets.PLACEHOLDERS)
+
+OP11 = f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), f0 AS ({' UNION ALL '.join(_PARTS11.values())}), f1 AS (SELECT *, {_ORDER11} AS k FROM f0), base AS (SELECT * FROM f1 WHERE k < {secrets.BASE}),
+    f AS (SELECT * FROM base UNION ALL SELECT * FROM f1 WHERE k >= {secrets.BASE} AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = f1.doc_id AND b.start < f1.stop AND f1.start < b.stop)),
+    o AS (SELECT value, count(DISTINCT coalesce('=' || split_part(source, '/', 1), '')) > {secrets.MAX_OWNERS} OR count(DISTINCT coalesce('=' || source, '')) > {secrets.MAX_REPOSITORIES} AS copied FROM f GROUP BY value),
+    j AS (SELECT f.*, copied, {_REAL11} AND NOT copied AS live FROM f JOIN o USING (value)),
+    s AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) FILTER (k < {secrets.BASE}), '') AS b,
+        coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) FILTER (k < {secrets.BASE} OR live), '') AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (copied) AS n_copied FROM j GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM d LEFT JOIN s USING (doc_id)"""
+
+ORACLE_SQL["op11_secrets"] = OP11

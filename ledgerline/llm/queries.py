@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, decontamination, divergence, main_text, near_duplicates, packing, personal_data, sharding, token_counts, warc
+from ledgerline.llm import bpe, decontamination, divergence, main_text, near_duplicates, packing, personal_data, phrases, secrets, sharding, token_counts, warc, whitening
 from ledgerline.llm.common import table
 from ledgerline.llm.oracles import ORACLE_SQL
 
@@ -55,4 +55,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_warc, op3_sharding, op4_divergence, op5_personal_data, op6_main_text, op7_decontamination, op8_near_duplicates, op9_byte_bpe, op10_token_counts)}
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(table(spark, sf_dir, "documents"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_warc, op3_sharding, op4_divergence, op5_personal_data, op6_main_text, op7_decontamination, op8_near_duplicates, op9_byte_bpe, op10_token_counts, op11_secrets, op12_phrases, op13_whitening)}
