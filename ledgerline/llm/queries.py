@@ -64,7 +64,7 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_warc, op3_sharding, op4_divergence, op5_personal_data, op6_main_text, op7_decontamination, op8_near_duplicates, op9_byte_bpe, op10_token_counts, op11_secrets, op12_phrases, op13_whitening)}

@@ -8,7 +8,7 @@ rotations are the components, and the lengths of the columns over the root of n
 formed, small ones keep their accuracy.
 
 Rows whose vector is null, empty or holds null or non-finite entries are left out. So are vectors of another length than the commonest one
-(the longest of those, on ties), which have no place in the space. Entries whose fixed point passes 64 bits count as the nearest long. Repeated
+(the longest of those, on ties), which have no place in the space. Entries whose fixed point passes 64 bits count as the nearest long, and a deviation of over 38 digits is null. Repeated
 rows and null ids each give their rows. Components without variance (fewer different vectors than entries, or constant ones) have a null
 `whitened` and an `explained` of 0; where nothing varies, `explained` and `identity_error` are null. Components with equal variances are any
 orthogonal ones of their space. An empty table gives no rows. Other columns don't matter, whatever their names.
@@ -58,12 +58,13 @@ def times(x: np.ndarray, n: int, sums: np.ndarray) -> np.ndarray:
 
 
 def squares(numerators: np.ndarray) -> pa.Array:
-    """The sum of squares of each row, exactly, as decimals."""
+    """The sum of squares of each row, exactly, as decimals; null where it has over 38 digits."""
     if numerators.dtype != object:
         most = int(np.abs(numerators).max(initial=0))
         if most * most * numerators.shape[1] < 1 << 63:
             return pa.array((numerators * numerators).sum(1)).cast(pa.decimal128(38, 0))
-    return pa.array([Decimal(sum(int(v) ** 2 for v in row)) for row in numerators.tolist()], pa.decimal128(38, 0))
+    sums = (sum(int(v) ** 2 for v in row) for row in numerators.tolist())
+    return pa.array([Decimal(s) if s < 10**38 else None for s in sums], pa.decimal128(38, 0))
 
 
 def triangle(r: np.ndarray | None, rows: np.ndarray) -> np.ndarray:

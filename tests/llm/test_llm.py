@@ -590,12 +590,12 @@ def test_content_paths_by_brute_force():
                 p, q, n = (p.parent, q, n + 1) if p.depth >= q.depth else (p, q.parent, n + 1)
             return n
 
-        score = {}
+        score, prior = {}, main_text.priors(totals)
         for p in totals:
             w = {q: np.exp(-(steps(p, q) ** 2) / 2) * np.log2(1 + totals[q][0]) for q in totals}
             chars, marks = (sum(w[q] * totals[q][k] / totals[q][0] for q in totals) / sum(w.values()) for k in (1, 2))
-            score[p] = np.log2(1 + np.sqrt(chars * marks)) * p.prior
-        mean = sum(score[p] * totals[p][1] * p.prior for p in totals) / sum(totals[p][1] * p.prior for p in totals)
+            score[p] = np.log2(1 + np.sqrt(chars * marks)) * prior[p]
+        mean = sum(score[p] * totals[p][1] * prior[p] for p in totals) / sum(totals[p][1] * prior[p] for p in totals)
         content = {p for p in totals if score[p] >= main_text.THRESHOLD * mean}
         assert content == main_text.content_paths(totals)
         assert main_text.main_text(html).count("\n") + 1 == sum(any(p in content for p, _ in b.pieces) for b in blocks)
@@ -669,3 +669,55 @@ def test_tagger_on_text_that_no_generator_made():
     values = [text[a:b] for a, _, b in spans]
     assert [text[a:b] for a, _, b in base] == ["maria.keller@uni-example.edu", "+44 (20) 794-6001", "10.4.0.17"] and "9f86d081884c7d659a2feaa0c55ad015" in values
     assert not any(x in v for v in values for x in ("2.10.3", "35.90", "112"))
+
+
+def long_paragraph_in(name, where="class"):
+    body = "".join(f"<p>Sentence {i}, of the article; it is long enough to be one.</p>" for i in range(6))
+    own = "The paragraph that stands in an element of this name, which is as long as any other; it goes on, says more, and ends here."
+    return own, f"<body><nav><a href=/>Home</a></nav><article>{body}<div {where}='{name}'><p>{own}</p></div>{body}</article><footer><p>Foot, note.</p></footer></body>"
+
+
+@pytest.mark.parametrize("word", sorted(main_text.SURE_WORDS | main_text.PERHAPS_WORDS))
+def test_compounds_of_listed_words_keep_their_text(word):
+    for name in (f"recipe-{word}", f"{word}-on-budget", f"{word}y-theme", f"pre{word}", f"story_{word}", f"{word}Story"):
+        own, page = long_paragraph_in(name)
+        assert own in main_text.main_text(page), name
+
+
+def test_names_that_may_tell_something_lower_a_score_only():
+    for word in main_text.PERHAPS_WORDS:
+        own, page = long_paragraph_in(word)
+        assert own in main_text.main_text(page), word
+        assert "Share it, now." not in main_text.main_text(page.replace(own, "Share it, now.")), word
+    for word in ("ad", "sidebar", "top-nav", "cookie-notice", "site-footer", "comments", "comment-list"):
+        own, page = long_paragraph_in(word)
+        assert own not in main_text.main_text(page), word
+
+
+def test_an_element_with_most_of_the_text_is_not_overruled_by_its_name():
+    body = "".join(f"<p>Course {i}, with a sauce of the season; it serves two, or three.</p>" for i in range(20))
+    found = main_text.main_text(f"<body><p>We open at six.</p><div class=menu>{body}</div></body>")
+    assert found.count("Course") == 20
+
+
+def test_badly_encoded_urls(spark):
+    rows = spark.createDataFrame([(i, bytearray(b"http://x/\xff"), "same" if i % 2 else f"page {i}") for i in range(900)], "page_id long, raw binary, html string")
+    found = {r.page_id: r for r in warc.round_trip(rows.select("page_id", F.expr("cast(raw as string)").alias("url"), "html")).collect()}
+    assert len(found) == 900 and {r.url for r in found.values()} == {"http://x/\ufffd"}
+    assert all(r.record_type == ("revisit" if i % 2 and i != 899 else "response") for i, r in found.items())
+
+
+def test_badly_encoded_fields_are_read():
+    data = warc.record(1, "http://x/\u00e9", b"a", warc.digest(b"a"), None)
+    assert warc.parsed(data.replace("\u00e9".encode(), b"\xff\xfe"), "here")["warc-target-uri"] == "http://x/\ufffd\ufffd"
+
+
+def test_added_tokens_in_long_pieces():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    model = Tokenizer.from_file(path)
+    rng = random.Random(3)
+    texts = ["ab1," * 1100 + "<|endoftext|>", "<|endoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext|> c", "x" * 5000 + "<|endoftext|>" + "y1" * 4000]
+    texts += ["".join(rng.choice(["ab1,", "<|endoftext|>", "<|endof", "é", "1;", " ", "|>"]) for _ in range(n)) for n in (5, 50, 4000, 9000)]
+    assert token_counts.counter(path).of(texts) == [len(model.encode(x, add_special_tokens=False).ids) for x in texts]
