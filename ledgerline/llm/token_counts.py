@@ -1,7 +1,7 @@
 """Token counts of whole texts by a public tokenizer's own library, lengths only.
 
 Arrow functions take the texts in batches. Texts for the byte-level BPE are cut at safe
-boundaries (`segments`), so that only a very long run of letters is ever encoded at one go; pieces met before
+boundaries (`segments`), after the added tokens in them (as <|endoftext|>) are taken out, as the library does, so that only a very long run of letters is ever encoded at one go; pieces met before
 have a kept length, and the others go to the library in batches balanced by bytes. Only
 lengths leave the function. The word-level and sentencepiece models, whose tokens know
 no such boundary, get whole texts, in batches balanced by bytes too.
@@ -12,6 +12,7 @@ Null and empty texts have no tokens. Bytes that aren't UTF-8 count as U+FFFD for
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -48,8 +49,10 @@ def balanced(texts: Iterable[str], most: int = BATCH_BYTES) -> Iterator[list[str
 class Counter:
     """The number of tokens of texts; lengths of pieces are kept."""
 
-    def __init__(self, lengths: Callable[[list[str]], list[int]], cut: bool) -> None:
+    def __init__(self, lengths: Callable[[list[str]], list[int]], cut: bool, added: Iterable[str] = ()) -> None:
         self.lengths, self.cut = lengths, cut
+        # of added tokens that begin at one place the library takes the longest
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=lambda x: (-len(x), x))))) if added else None
         self.kept: dict[str, int] = {}
         self.old: dict[str, int] = {}
 
@@ -64,8 +67,11 @@ class Counter:
         kept, old = self.kept, self.old
         cuts: list[list[str]] = []
         new: dict[str, None] = {}
+        fixed = []
         for text in texts:
-            own = all_pieces(text)
+            parts = self.added.split(text) if self.added else [text]
+            fixed.append(len(parts) - 1)  # an added token is one token
+            own = all_pieces(text) if len(parts) == 1 else [x for part in parts for x in all_pieces(part)]
             cuts.append(own)
             for x in own:
                 if x not in kept:
@@ -80,8 +86,9 @@ class Counter:
         if long:
             both = {**kept, **long} if len(long) > 1000 else None
             take = both.__getitem__ if both else lambda x: long[x] if x in long else kept[x]
-            return [sum(map(take, own)) for own in cuts]
-        return [sum(map(kept.__getitem__, own)) for own in cuts]
+        else:
+            take = kept.__getitem__
+        return [n + sum(map(take, own)) for n, own in zip(fixed, cuts, strict=True)]
 
 
 @lru_cache(maxsize=4)
@@ -101,14 +108,14 @@ def counter(path: str) -> Counter:
     model.no_padding()
     with open(path, encoding="utf-8") as lines:
         spec = json.load(lines)
-    return Counter(lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)], cut=cuttable(spec))
+    return Counter(lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)], cuttable(spec), [x["content"] for x in spec.get("added_tokens") or []])
 
 
 def cuttable(spec: dict) -> bool:
     """Whether a tokenizer keeps every character and splits as byte-level BPE does, so that `segments` cuts are safe for it."""
     before = spec.get("pre_tokenizer") or {}
     added = spec.get("added_tokens") or []
-    return spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True) and not any(x.get("lstrip") or x.get("rstrip") or any(c.isspace() for c in x["content"]) for x in added)
+    return spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True) and not any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") or not x["content"] for x in added)
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
