@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from py4j.protocol import Py4JError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The ASCII white space that separates words: space, tab, newline, vertical tab, form feed, return.
@@ -97,13 +97,13 @@ HUBS = 10_000
 HUB_ROWS = 256
 
 
-def join_one(rows: DataFrame, one: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+def join_one(rows: DataFrame, one: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None, deal: Column | None = None) -> DataFrame:
     """rows joined with a table of one row for each key, without bringing a hub's rows together.
 
     The HUBS commonest keys of rows are sought (`counts`: their rows by key, as n, where that is known);
     those with many rows are dealt to several tasks, to each of which `one` sends its row for the key. Any other key
     has at most 1/HUBS of all rows. Rows without a key, which a left join keeps, are dealt too. The caller materialises
-    rows, so that their order is the same if a task is redone.
+    rows, so that their order is the same if a task is redone, or names what deals them: a hash of the row's own columns (`deal`).
     """
     spark = rows.sparkSession
     if counts is None:
@@ -114,7 +114,7 @@ def join_one(rows: DataFrame, one: DataFrame, key: str, how: str = "inner", coun
         return rows.join(one, key, how)
     most = max(HUB_ROWS, sum(r["n"] for r in found) // HUBS)
     deals = F.broadcast(spark.createDataFrame([(r[0], -(-r["n"] // most)) for r in found], hubs.select(key, F.lit(0).alias("_deals")).schema))
-    dealt = rows.join(deals, key, "left").withColumn("_deal", F.pmod(F.monotonically_increasing_id(), F.when(F.col(key).isNull(), HUBS).otherwise(F.coalesce("_deals", F.lit(1)))).cast("int")).drop("_deals")
+    dealt = rows.join(deals, key, "left").withColumn("_deal", F.pmod(F.monotonically_increasing_id() if deal is None else deal, F.when(F.col(key).isNull(), HUBS).otherwise(F.coalesce("_deals", F.lit(1)))).cast("int")).drop("_deals")
     sent = one.join(deals, key, "left").withColumn("_deal", F.explode(F.sequence(F.lit(0), F.coalesce("_deals", F.lit(1)) - 1))).drop("_deals")
     return dealt.join(sent, [key, "_deal"], how).drop("_deal")
 

@@ -14,7 +14,7 @@ Each task writes archives of about `archive_bytes` into the shared folder under
 attempt and moves them into place whole; only archives named in the manifest, which comes from
 tasks that succeeded, are read.
 
-A null html is an empty payload; a null url has no target field; a null page id has no id field, never becomes
+Bytes of a url that aren't UTF-8 count as U+FFFD; payloads keep theirs. A null html is an empty payload; a null url has no target field; a null page id has no id field, never becomes
 the response where others are, and revisits like others. Of repeated rows with the largest id each is a response.
 Other columns don't matter, whatever their names.
 """
@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import by_row, join_one, materialise, own_folder, release, ship, utf8
+from ledgerline.llm.common import by_row, join_one, materialise, own_folder, release, ship, texts_of, utf8
 
 #: Fixed values of the format: the dictionary's skippable frame, a Zstandard frame, a dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -92,7 +92,7 @@ def parsed(data: bytes, where: str) -> dict[str, object]:
         name, colon, value = line.partition(b":")
         if not colon or not name or name != name.strip() or (key := name.decode("ascii", "replace").lower()) in fields:
             raise WarcError(f"{where}: bad field {line[:60]!r}")
-        fields[key] = value.strip().decode("utf-8", "surrogateescape")
+        fields[key] = value.strip().decode("utf-8", "replace")
     for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in fields:
             raise WarcError(f"{where}: no {name}")
@@ -256,7 +256,7 @@ def write_pages(pages: DataFrame, root: str, id_column: str = "page_id", url_col
     shared = F.coalesce(F.octet_length("html"), F.lit(0)) >= least_bytes
     chosen = digested.where(shared).groupBy("payload_digest").agg(F.max("page_id").alias("chosen"), F.count(F.lit(1)).alias("n")).where("n > 1")
     chosen = materialise(chosen, "payloads")
-    joined = join_one(digested, chosen.select("payload_digest", "chosen"), "payload_digest", "left", chosen)
+    joined = join_one(digested, chosen.select("payload_digest", "chosen"), "payload_digest", "left", chosen, F.xxhash64("page_id", "url"))
     refers = F.when(shared & F.col("chosen").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("chosen")), F.col("chosen"))
     ready = joined.select("page_id", "url", "html", "payload_digest", refers.alias("refers_to"))
 
@@ -267,7 +267,7 @@ def write_pages(pages: DataFrame, root: str, id_column: str = "page_id", url_col
 
         def records() -> Iterator[bytes]:
             for batch in batches:
-                for page_id, url, html, payload_digest, refers_to in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                for page_id, url, html, payload_digest, refers_to in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), utf8(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                     yield record(page_id, url, html, payload_digest, refers_to)
 
         left, number, own = True, 0, records()
