@@ -3,7 +3,9 @@
 A page is read into blocks: runs of text between the starts and ends of block elements, each piece of text with the
 path of tags from the root to it. Text that no reader sees (scripts, styles, the head, hidden elements) has no path.
 Elements whose tag, class, id or role tells of menus, adverts, notices, comments and the like have paths of their own,
-with a prior: a factor on what their path scores.
+with a prior: a factor on what their path scores. Names are read by whole words; a word that may tell of something else (notice, share)
+only lowers the score, and a listed word in a compound with another (recipe-menu, comments-on-budget) hardly does. An element with most of the page's
+text is not overruled by its name.
 
 For each path the page's text is summed: characters and punctuation marks (and half a mark for each piece), over the
 number of pieces. Both ratios are smoothed over similar paths (by a Gaussian of the steps between them), so that headings
@@ -32,8 +34,9 @@ from ledgerline.llm.common import by_row, ship, texts_of
 
 SPREAD = 1.0  # of the Gaussian, in steps between two paths
 THRESHOLD = 0.35
-#: Factors on the scores of paths in elements that name something else than the article, for sure or perhaps.
-SURELY_NOT, PERHAPS_NOT = 0.001, 0.6
+#: Factors on the scores of paths in elements that name something else than the article: for sure, perhaps (outside and inside an article), and in a compound with a word of its own.
+SURELY_NOT, PERHAPS_OUTSIDE, PERHAPS_NOT, COMPOUND = 0.02, 0.3, 0.4, 0.8
+LINK = 0.6
 #: More steps than these weigh 0 in floating point.
 REACH = int(SPREAD * math.sqrt(2 * 746))
 _GAUSSIAN = np.array([[math.exp(-((i + k) ** 2) / (2 * SPREAD**2)) for k in range(REACH + 1)] for i in range(REACH + 2)])
@@ -52,11 +55,11 @@ LIST_SCOPE = frozenset("ul ol dl table select menu dir".split())
 P_SCOPE = frozenset("table button object".split())
 TABLE_PARTS = frozenset("tr td th tbody tfoot".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words in a class, id or role that tell what isn't the article: alone or in a compound, and those that may tell something else in a compound.
-_SURE = r"ads?|advert\w*|adsense|sponsor\w*|sidebar|side-bar|menu|nav\w*|breadcrumbs?|footer|masthead|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|comments?|comment-?list|disqus|pagination|pager|complementary|contentinfo|copyright|skip-?link"
-_ALONE = r"promo\w*|banner|notice|alert|overlay|signup|login|share|sharing|social|related|recommend\w*|respond|replies|widget|toolbar|search"
-SURE = re.compile(rf"(?:^|[\s_-])(?:{_SURE})(?:$|[\s_-])|(?:^|\s)(?:{_ALONE})(?:$|\s)", re.I)
-PERHAPS = re.compile(rf"(?:^|[\s_-])(?:{_ALONE})(?:$|[\s_-])", re.I)
+#: Words in a class, id or role that tell what isn't the article, words that may tell it, and words of layout, which tell nothing.
+SURE_WORDS = frozenset("ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors sidebar menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr popup modal newsletter subscribe comment comments disqus pagination pager complementary contentinfo copyright skiplink".split())
+PERHAPS_WORDS = frozenset("promo promos promotion banner notice alert overlay signup login share sharing social related recommend recommended recommendations respond replies widget widgets toolbar search".split())
+LAYOUT_WORDS = frozenset("top bottom left right main site page global local primary secondary side header foot bar box wrap wrapper container content block section area list item items inner outer col column row group unit slot panel link links skip text body fixed sticky mobile desktop bg app form thread the".split())
+_NAME_PARTS = re.compile(r"[A-Za-z][a-z]*|[0-9]+|[A-Z]+")
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>?")
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -66,19 +69,31 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡\"'()-]")
 class Path:
     """A path of tags: a node of the page's tree of paths."""
 
-    __slots__ = ("below", "depth", "parent", "prior")
+    __slots__ = ("below", "depth", "factor", "parent")
 
-    def __init__(self, parent: "Path | None" = None, prior: float = 1.0) -> None:
-        self.parent, self.below, self.depth, self.prior = parent, {}, parent.depth + 1 if parent else 0, prior
+    def __init__(self, parent: "Path | None" = None, factor: float = 1.0) -> None:
+        self.parent, self.below, self.depth, self.factor = parent, {}, parent.depth + 1 if parent else 0, factor
 
     def step(self, tag: str, factor: float = 1.0) -> "Path":
         """The path on to a tag; of a factor under 1 apart from those to the same tag without."""
         key = (tag, factor)
         if key not in self.below:
-            self.below[key] = Path(self, min(self.prior, factor))
+            self.below[key] = Path(self, factor)
         return self.below[key]
 
 
+def named_factor(names: str, article: bool) -> float:
+    """The factor of an element's class, id and role names: whole words only, and a word beside one of another kind (recipe-menu) tells little."""
+    least = 1.0
+    for name in names.split():
+        parts = [x.lower() for x in _NAME_PARTS.findall(name) if not x.isdigit()]
+        sure, perhaps = any(x in SURE_WORDS for x in parts), any(x in PERHAPS_WORDS for x in parts)
+        if sure or perhaps:
+            plain = all(x in SURE_WORDS or x in PERHAPS_WORDS or x in LAYOUT_WORDS for x in parts)
+            least = min(least, COMPOUND if not plain else SURELY_NOT if sure else PERHAPS_NOT if article else PERHAPS_OUTSIDE)
+    return least
+
+
 class Element:
     """An open element, and what its ancestors tell, so that no end tag needs a walk through them."""
 
@@ -163,11 +178,11 @@ class _Page:
                 self.close(self.now)
             self.cut()
         names = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes)) if attributes else ""
-        factor = PERHAPS_NOT if tag == "a" else 1.0  # menus are links; a link within a sentence has the sentence's path beside it
+        factor = LINK if tag == "a" else 1.0  # menus are links; a link within a sentence has the sentence's path beside it
         if tag in APART or (tag == "header" and not self.now.article):
             factor = SURELY_NOT
         elif names and tag not in ("body", "html", "article", "main"):
-            factor = SURELY_NOT if SURE.search(names) else PERHAPS_NOT if PERHAPS.search(names) else factor
+            factor = min(factor, named_factor(names, self.now.article))
         unseen = self.now.unseen or tag in UNSEEN or bool(attributes and _HIDDEN.search(attributes))
         self.now = Element(tag, self.now, self.now.path.step(tag, factor), unseen)
         self.open.setdefault(tag, []).append(self.now)
@@ -246,14 +261,38 @@ def fused_ratios(totals: dict[Path, tuple[int, int, float]]) -> dict[Path, float
     return out
 
 
+def priors(totals: dict[Path, tuple[int, int, float]]) -> dict[Path, float]:
+    """The prior of each path: the least factor of the elements around it, and of what holds more than half of the page's text less the more it holds.
+
+    So no name takes away a text by itself: an element that holds all text keeps it, whatever its name.
+    """
+    held: dict[Path, int] = {}
+    nodes: set[Path] = set()
+    for p in totals:
+        while p is not None and p not in nodes:
+            nodes.add(p)
+            p = p.parent
+    for p in sorted(nodes, key=lambda x: -x.depth):
+        held[p] = held.get(p, 0) + (totals[p][1] if p in totals else 0)
+        if p.parent is not None:
+            held[p.parent] = held.get(p.parent, 0) + held[p]
+    every = max(held.values(), default=0) or 1
+    out: dict[Path, float] = {}
+    for p in sorted(held, key=lambda x: x.depth):
+        own = p.factor ** min(1.0, 2 * (1 - held[p] / every)) if p.factor < 1 else 1.0
+        out[p] = own if p.parent is None else min(out[p.parent], own)
+    return {p: out[p] for p in totals}
+
+
 def content_paths(totals: dict[Path, tuple[int, int, float]]) -> set[Path]:
     """Of paths with pieces, characters and punctuation marks, those whose fused, smoothed ratios times their priors are over the threshold.
 
     Characters count for the mean as much as their prior says. Where every path's prior is low, those with the highest are judged alone.
     """
-    highest = max((p.prior for p in totals), default=1.0)
-    fused = {p: x * p.prior / highest for p, x in fused_ratios(totals).items()}
-    weights = {p: totals[p][1] * p.prior for p in totals}
+    prior = priors(totals)
+    highest = max(prior.values(), default=1.0)
+    fused = {p: x * prior[p] / highest for p, x in fused_ratios(totals).items()}
+    weights = {p: totals[p][1] * prior[p] for p in totals}
     mean = sum(fused[p] * weights[p] for p in totals) / max(sum(weights.values()), 1e-9)
     return {p for p in totals if fused[p] >= THRESHOLD * mean}
 
