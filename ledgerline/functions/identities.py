@@ -11,10 +11,20 @@ from ledgerline.functions.paths import LANGUAGE_SUFFIXES
 
 
 def json_number(c: Column) -> Column:
-    """A number as JSON has it: whole ones without a fraction; a missing one is null."""
+    """A number as JSON has it: its shortest decimal, without an exponent from 1e-6 to under 1e21; whole ones without a fraction; a missing or unbounded one, or none, is null."""
     own = c.cast("double")
+    spelled = own.cast("string")  # 1.25E-4
+    sign = F.when(own < 0, "-").otherwise("")
+    exponent = F.coalesce(F.regexp_extract(spelled, "E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+    digits = F.regexp_replace(F.regexp_extract(spelled, r"^-?([0-9.]+)", 1), r"\.0$|\.", "")
+    after = F.length(digits) - 1  # digits that the mantissa has after its point
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+    large = F.concat(sign, F.when(after <= exponent, F.concat(digits, F.repeat(F.lit("0"), exponent - after))).otherwise(F.concat(F.substring(digits, F.lit(1), exponent + 1), F.lit("."), F.substring(digits, exponent + 2, F.length(digits)))))
+    outer = F.concat(sign, F.substring(digits, 1, 1), F.when(after > 0, F.concat(F.lit("."), F.substring(digits, F.lit(2), F.length(digits)))).otherwise(""), F.lit("e"), F.when(exponent > 0, "+").otherwise(""), exponent.cast("string"))
     whole = (own == F.floor(own)) & (F.abs(own) < 1e15)
-    return F.coalesce(F.when(whole, own.cast("long").cast("string")).otherwise(own.cast("string")), F.lit("null"))
+    inner = F.when(~spelled.contains("E"), F.regexp_replace(spelled, r"\.0$", "")).when((exponent < -6) | (exponent > 20), outer).when(exponent < 0, small).otherwise(large)
+    finite = own.isNotNull() & ~F.isnan(own) & (F.abs(own) < float("inf"))
+    return F.coalesce(F.when(finite, F.when(whole, own.cast("long").cast("string")).otherwise(inner)), F.lit("null"))
 
 
 def json_text(c: Column) -> Column:
@@ -94,6 +104,15 @@ def analysis_scope(languages: Sequence[str], rules: Sequence[tuple[str, str]] =
     return f"scope-v2:{','.join(own)}:{','.join(extensions)}:{','.join(f'{g}={k}' for g, k in sorted(rules))}"
 
 
+def scope_fingerprint(languages: Column, rules: Column) -> Column:
+    """The same of columns: languages (names) and rules (glob, kind)."""
+    suffixes = F.create_map(*(x for name, own in LANGUAGE_SUFFIXES for x in (F.lit(name), F.array(*map(F.lit, own)))))
+    own = F.array_sort(F.array_distinct(languages))
+    extensions = F.array_sort(F.flatten(F.transform(own, lambda x: F.coalesce(F.try_element_at(suffixes, x), F.array().cast("array<string>")))))
+    spelled = F.array_sort(F.array_distinct(F.transform(rules, lambda r: F.concat(r["glob"], F.lit("="), r["kind"]))))
+    return F.concat_ws(":", F.lit("scope-v2"), F.array_join(own, ","), F.array_join(extensions, ","), F.array_join(spelled, ","))
+
+
 def shapes_fingerprint(shapes: DataFrame) -> DataFrame:
     """One row: the declared weak assertions (language, method) by language, sorted and each once; empty if there are none."""
     each = shapes.where(F.col("method").isNotNull()).groupBy("language").agg(F.concat_ws(",", F.array_sort(F.collect_set("method"))).alias("names"))

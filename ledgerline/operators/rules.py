@@ -12,8 +12,12 @@ import re
 from collections.abc import Collection, Mapping, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+
+from ledgerline.shipping import ship
 
 #: What a condition may name, and what for.
 VARIABLES = {
@@ -193,6 +197,19 @@ def thresholds_in(text: str) -> list[tuple[str, str, float]]:
     return [x for x in out if VARIABLES.get(x[0]) == "gate"]
 
 
+@F.pandas_udf(StructType([StructField(n, ArrayType(StringType())) for n in ("metrics", "unknown", "unsupported", "thresholds")]))
+def _condition_facts(conditions: pd.Series) -> pd.DataFrame:
+    """What the conditions in a column name: metrics, names that there are not, names that a gate must not use, and thresholds (metric, comparison, number in one)."""
+    own = conditions.fillna("")
+    return pd.DataFrame({"metrics": own.map(metrics_in), "unknown": own.map(unknown_in), "unsupported": own.map(unsupported_in), "thresholds": own.map(lambda c: [f"{m}{o}{n:g}" for m, o, n in sorted(thresholds_in(c))])})
+
+
+def condition_facts(df: DataFrame, condition: str = "condition") -> DataFrame:
+    """df with metrics, unknown, unsupported and thresholds of its conditions."""
+    ship(df.sparkSession)
+    return df.withColumn("_facts", _condition_facts(condition)).select(*df.columns, "_facts.*")
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -237,6 +254,11 @@ def only_on(rules: Sequence[Rule], metric: str = "crl_local") -> list[Rule]:
     return [r for r in rules if set(metrics_in(r.condition)) == {metric}]
 
 
+def rules_only_on(rules: DataFrame, metric: str = "crl_local") -> DataFrame:
+    """The same of a table of rules (condition)."""
+    return condition_facts(rules).where(F.array_distinct("metrics") == F.array(F.lit(metric))).select(*rules.columns)
+
+
 def shifted(df: DataFrame, before: str, after: str, digest_before: str, digest_after: str) -> DataFrame:
     """Rows whose own facts are what they were (equal, known digests) and whose burden moved all the same."""
     return df.where((F.col(digest_before) == F.col(digest_after)) & (F.col(before) != F.col(after)))

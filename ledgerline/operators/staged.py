@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The facts that a rule may require.
-CAPABILITIES = ("files", "dependencies", "symbols", "changes", "tests", "documents", "authorities")
+CAPABILITIES = ("file-classification.v1", "structure-metrics.v1", "authorities.v1", "test-case-spans.v1", "invocation-bindings.v1", "semantic-relations.v1", "change-surface.v1")
 
 
 class RuleUnavailable(RuntimeError):
@@ -63,6 +63,12 @@ def consumers(rules: Sequence[StagedRule]) -> dict[str, list[str]]:
     return {c: own for c in CAPABILITIES if (own := sorted(r.name for r in rules if c in r.requires))}
 
 
+def consumer_table(rules: DataFrame) -> DataFrame:
+    """The same of a table of rules (rule, requires): fact, its rules in order, and whether there is such a fact."""
+    each = rules.select("rule", F.explode(F.array_distinct("requires")).alias("fact"))
+    return each.groupBy("fact").agg(F.array_sort(F.collect_set("rule")).alias("rules")).withColumn("known", F.col("fact").isin(*CAPABILITIES))
+
+
 def check(rule: StagedRule, available: Collection[str]) -> None:
     """Fails for a rule that asks for what no rule may, for what isn't available, or whose parts don't fit."""
     if unknown := sorted(set(rule.requires) - set(CAPABILITIES)):

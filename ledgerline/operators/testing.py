@@ -28,11 +28,11 @@ def coverage_status(discovered: Column, supported: Column, parsed: Column, faile
 def apply_policy(findings: DataFrame, policy: DataFrame, exemptions: DataFrame, now: Column) -> DataFrame:
     """Each finding (rule_id, kind, file) with its action: exempted by an exemption (rule_id, file: null for all, expires) that runs on, else by policy (key, action) for its kind or rule, else review."""
     live = exemptions.where(F.col("expires") > now).select(F.col("rule_id").alias("_rule"), F.col("file").alias("_file")).distinct()
-    own = findings.withColumn("_id", F.xxhash64("rule_id", "kind", "file", "line"))
-    exempt = own.join(live, (F.col("rule_id") == F.col("_rule")) & (F.col("_file").isNull() | (F.col("file") == F.col("_file"))), "left_semi").select("_id").distinct().withColumn("_exempt", F.lit(True))
+    everywhere = live.where("_file is null").select(F.col("_rule").alias("rule_id"), F.lit(True).alias("_all"))
+    there = live.where("_file is not null").select(F.col("_rule").alias("rule_id"), F.col("_file").alias("file"), F.lit(True).alias("_here"))
     by_kind, by_rule = policy.select(F.col("key").alias("kind"), F.col("action").alias("_by_kind")), policy.select(F.col("key").alias("rule_id"), F.col("action").alias("_by_rule"))
-    out = own.join(exempt, "_id", "left").join(by_kind, "kind", "left").join(by_rule, "rule_id", "left")
-    action = F.when(F.col("_exempt"), "exempted").otherwise(F.coalesce("_by_kind", "_by_rule", F.lit("review")))
+    out = findings.join(everywhere, "rule_id", "left").join(there, ["rule_id", "file"], "left").join(by_kind, "kind", "left").join(by_rule, "rule_id", "left")
+    action = F.when(F.coalesce("_all", "_here", F.lit(False)), "exempted").otherwise(F.coalesce("_by_kind", "_by_rule", F.lit("review")))
     return out.select("rule_id", "kind", "file", "line", action.alias("action"))
 
 

@@ -69,9 +69,14 @@ def o27_assertion_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- identities -------------------------------------------------------------------------------------
 
 
-@query("""SELECT path, sha256('[' || CAST(max_func_branch AS BIGINT) || ',' || CAST(nesting_depth AS BIGINT) || ',' || CAST(greatest(0, loc - coalesce(declaration_loc, 0)) AS BIGINT) || ',' || CASE WHEN e = floor(e) THEN CAST(CAST(e AS BIGINT) AS VARCHAR) ELSE CAST(e AS VARCHAR) END || ']') AS fingerprint FROM (SELECT *, coalesce(external_passthrough_calls, passthrough_calls, 0) / 2 AS e FROM files)""", "files")
+#: Numbers that other formats spell with an exponent, or not.
+NUMBERS = ((0.0001, "0.0001"), (12345678.5, "12345678.5"), (0.000001, "0.000001"), (1.5e-7, "1.5e-7"), (1.25e20, "125000000000000000000"), (3e21, "3e+21"), (-0.0002, "-0.0002"), (float("inf"), "null"))
+NUMBERS_SQL = repr([spelled for _, spelled in NUMBERS])
+
+
+@query(f"""SELECT path, sha256('[' || CAST(max_func_branch AS BIGINT) || ',' || CAST(nesting_depth AS BIGINT) || ',' || CAST(greatest(0, loc - coalesce(declaration_loc, 0)) AS BIGINT) || ',' || CASE WHEN e = floor(e) THEN CAST(CAST(e AS BIGINT) AS VARCHAR) ELSE CAST(e AS VARCHAR) END || ',' || ({NUMBERS_SQL})[file_id % 8 + 1] || ']') AS fingerprint FROM (SELECT *, coalesce(external_passthrough_calls, passthrough_calls, 0) / 2 AS e FROM files)""", "files")
 def o13_burden_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stand_in(spark, sf_dir, "files").select("path", identities.numbers_fingerprint(F.col("max_func_branch"), F.col("nesting_depth"), scores.implementation_loc(), scores.passthrough() / 2).alias("fingerprint"))
+    return stand_in(spark, sf_dir, "files").select("path", identities.numbers_fingerprint(F.col("max_func_branch"), F.col("nesting_depth"), scores.implementation_loc(), scores.passthrough() / 2, F.element_at(F.array(*(F.lit(n) for n, _ in NUMBERS)), (F.col("file_id") % 8 + 1).cast("int"))).alias("fingerprint"))
 
 
 def digest_sql(rows: str) -> str:
@@ -103,10 +108,16 @@ def m20_profile_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return population.select(identities.profile_id("calibration-v1", F.lit("scope"), F.lit("v3"), F.col("digest"), weights).alias("id"), weights.alias("weights"))
 
 
-@query("SELECT 'scope-v2:go,python:.go,.py:a/**=test,b/**=auxiliary' AS fingerprint, 'scope-v2:::' AS none")
+SUFFIXES_SQL = "CASE language " + " ".join(f"WHEN '{name}' THEN {list(s)!r}" for name, s in paths.LANGUAGE_SUFFIXES) + " END"
+
+
+@query(f"""WITH c AS (SELECT l_orderkey AS id, {sql_pick('l_partkey', *(name for name, _ in paths.LANGUAGE_SUFFIXES))} AS language, 'd' || l_suppkey % 4 || '/**=' || {sql_pick('l_linenumber', 'test', 'auxiliary')} AS rule FROM lineitem),
+    l AS (SELECT id, string_agg(DISTINCT language, ',' ORDER BY language) AS languages, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules FROM c GROUP BY id), e AS (SELECT id, string_agg(DISTINCT s, ',' ORDER BY s) AS suffixes FROM (SELECT id, unnest({SUFFIXES_SQL}) AS s FROM c) GROUP BY id)
+    SELECT id, 'scope-v2:' || languages || ':' || suffixes || ':' || rules AS fingerprint FROM l JOIN e USING (id)""")
 def o17_analysis_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = identities.analysis_scope(["python", "go", "python"], [("b/**", "auxiliary"), ("a/**", "test")])
-    return spark.createDataFrame([(one, identities.analysis_scope([]))], "fingerprint string, none string")
+    """A scope for each order: its items' languages and rules, repeated and in any order."""
+    chosen = own(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), pick(F.col("l_partkey"), *(name for name, _ in paths.LANGUAGE_SUFFIXES)).alias("language"), F.struct(text("d", F.col("l_suppkey") % 4, "/**").alias("glob"), pick(F.col("l_linenumber"), "test", "auxiliary").alias("kind")).alias("rule"))
+    return chosen.groupBy("id").agg(F.collect_list("language").alias("languages"), F.collect_list("rule").alias("rules")).select("id", identities.scope_fingerprint(F.col("languages"), F.col("rules")).alias("fingerprint"))
 
 
 @query("""SELECT l_orderkey AS id, 'diff-v3-' || substr(sha256('{"version":3,"baselineIdentity":"b\\"1","revisionKey":"' || l_orderkey || '","evidence":[' || string_agg(item, ',' ORDER BY key, item) || ']}'), 1, 24) AS entry FROM (SELECT l_orderkey, 'f' || l_partkey || ':' || coalesce(a, '') || ':' || l_returnflag AS key,
@@ -288,10 +299,12 @@ def m11_arity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), diffing.arity(signature).alias("arity"))
 
 
-@query("SELECT kind, public, sync FROM (VALUES ('interface_add_remove', true, true), ('class_add_remove', true, true), ('field_add_remove', true, true), ('public_method_sig', true, true), ('function_sig', false, true), ('compatible_field_add', false, false), ('function_body', false, true), ('branch_add', false, true), ('dependency_add', false, true), ('dependency_remove', false, true), ('comment_whitespace', false, true)) v(kind, public, sync)")
+@query("SELECT l_orderkey AS id, l_linenumber AS n, kind, public, sync FROM lineitem JOIN (SELECT *, row_number() OVER () - 1 AS i FROM (VALUES ('interface_add_remove', true, true), ('class_add_remove', true, true), ('field_add_remove', true, true), ('public_method_sig', true, true), ('function_sig', false, true), ('compatible_field_add', false, false), ('function_body', false, true), ('branch_add', false, true), ('dependency_add', false, true), ('dependency_remove', false, true), ('comment_whitespace', false, true)) v(kind, public, sync)) ON i = (l_partkey + l_linenumber) % 11")
 def f20_change_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = spark.createDataFrame([(k,) for k in scores.CHANGE_WEIGHTS], "kind string")
-    return kinds.select("kind", diffing.is_public_contract(F.col("kind")).alias("public"), diffing.requires_dependent_sync(F.col("kind")).alias("sync"))
+    """A change for each line item, of the eleven kinds in turn."""
+    order = ("interface_add_remove", "class_add_remove", "field_add_remove", "public_method_sig", "function_sig", "compatible_field_add", "function_body", "branch_add", "dependency_add", "dependency_remove", "comment_whitespace")
+    changes = own(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), pick(F.col("l_partkey") + F.col("l_linenumber"), *order).alias("kind"))
+    return changes.select("id", "n", "kind", diffing.is_public_contract(F.col("kind")).alias("public"), diffing.requires_dependent_sync(F.col("kind")).alias("sync"))
 
 
 @query("""WITH c AS (SELECT l_orderkey AS f, (['interface_add_remove', 'dependency_add', 'function_body', 'compatible_field_add'])[l_linenumber % 4 + 1] AS k FROM lineitem), u AS (SELECT DISTINCT l_orderkey AS f, 'u' || l_partkey % 30 AS s FROM lineitem), r AS (SELECT f, s, row_number() OVER (PARTITION BY f ORDER BY s) AS r FROM u)
@@ -460,14 +473,24 @@ def o9_normal_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own(spark, sf_dir, "part").select(k.alias("id"), markdown.normalize(pick(k, *docs)).alias("normal"))
 
 
+#: Documents' texts with every line behind tabs, wide blanks or none.
+TABBED_SQL = "array_to_string(list_transform(string_split(regexp_replace(text, '[0-9]', 'z', 'g'), chr(10)), lambda x, i: (['', chr(9), chr(9) || ' ', chr(160), chr(12288) || chr(9)])[(doc_id + i) % 5 + 1] || x || (['', chr(9)])[i % 2 + 1]), chr(10))"
+
+
+def tabbed(doc_id: Column, content: Column) -> Column:
+    lines = F.split(F.regexp_replace(content, "[0-9]", "z"), "\n")
+    ends = lambda i, *values: F.element_at(F.array(*map(F.lit, values)), (i % len(values) + 1).cast("int"))
+    return F.array_join(F.transform(lines, lambda x, i: F.concat(ends(doc_id + i + 1, "", "\t", "\t ", "\u00a0", "\u3000\t"), x, ends(i + 1, "", "\t"))), "\n")
+
+
 def code_sql(content: str) -> str:
-    kept = f"list_filter(list_transform(string_split({content}, chr(10)), lambda x: regexp_replace(regexp_replace(trim(x), '`.+?`', '`X`', 'g'), '//.*$', '')), lambda x: length(x) > 4)"
+    kept = f"list_filter(list_transform(string_split({content}, chr(10)), lambda x: regexp_replace(regexp_replace(trim(x, ' ' || chr(9) || chr(13) || chr(160) || chr(12288)), '`.+?`', '`X`', 'g'), '//.*$', '')), lambda x: length(x) > 4)"
     return f"(SELECT CASE WHEN len(k) < 3 THEN [] ELSE list_transform(range(1, len(k) - 1), lambda i: array_to_string(k[i : i + 2], chr(10))) END FROM (SELECT {kept} AS k))"
 
 
-@query(f"SELECT doc_id, CAST(len(f) AS BIGINT) AS features, sha256(array_to_string(f, chr(10))) AS hash FROM (SELECT doc_id, {code_sql('t')} AS f FROM (SELECT doc_id, regexp_replace(text, '[0-9]', 'z', 'g') AS t FROM documents))")
+@query(f"SELECT doc_id, CAST(len(f) AS BIGINT) AS features, sha256(array_to_string(f, chr(10))) AS hash FROM (SELECT doc_id, {code_sql('t')} AS f FROM (SELECT doc_id, {TABBED_SQL} AS t FROM documents))")
 def w2_code_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fp.code_features(F.regexp_replace("text", "[0-9]", "z"))
+    f = fp.code_features(tabbed(F.col("doc_id"), F.col("text")))
     return own(spark, sf_dir, "documents").select("doc_id", F.size(f).cast("long").alias("features"), F.sha2(F.array_join(f, "\n"), 256).alias("hash"))
 
 

@@ -19,10 +19,13 @@ def f8_scope_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stand_in(spark, sf_dir, "files").where(paths.in_scope(F.col("path"), (".py",))).select("path", "loc")
 
 
-@query("SELECT 'a' AS rule UNION ALL SELECT 'd'")
+@query("SELECT p_partkey AS rule FROM part WHERE p_partkey % 4 IN (0, 3)")
 def f23_burden_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own_ = [rules.Rule("a", "crl_local > 0.5"), rules.Rule("b", "crl_local > 0.5 && exposure > 0.1"), rules.Rule("c", "exposure > 0.2"), rules.Rule("d", "path_class == 'x' && crl_local >= 0.3")]
-    return spark.createDataFrame([(r.name,) for r in rules.only_on(own_)], "rule string")
+    """A rule for each part, of four kinds in turn with the part's size in it."""
+    k = F.col("p_partkey")
+    conditions = pick(k, "crl_local > 0.#", "crl_local > 0.# && exposure > 0.1", "exposure > 0.#", "path_class == 'x' && crl_local >= 0.# || crl_local < 0.1")
+    table = own(spark, sf_dir, "part").select(k.alias("rule"), F.replace(conditions, F.lit("#"), F.col("p_size").cast("string")).alias("condition"))
+    return rules.rules_only_on(table).select("rule")
 
 
 @query("+g AS (SELECT regexp_replace(path, '[^/]*$', '') AS d, count(*) AS n FROM files WHERE kind = 'production' AND path LIKE '%.go' GROUP BY ALL) SELECT path FROM files LEFT JOIN g ON d = regexp_replace(path, '[^/]*$', '') WHERE file_id % 8 = 0 OR in_degree > 0 OR (path LIKE '%.go' AND coalesce(n, 0) > 1)", "files")
@@ -150,14 +153,14 @@ def m22_percentile_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TEST_FILES = {
-    "a§.test.ts": ("typescript", "import x;\nit('adds §', () => {\n  test.skip(`inner`, run);\n});\nother('no');\n"),
+    "a§.test.ts": ("typescript", "import x;\nit('adds §', () => {\n  test.skip(`inner`, run);\n});\nother('no'); // it('gone', f)\nit.each([\n  1, '§',\n])('n %i', (n) => {});\ntest.only(\n  \"o'ne\", async () => { run(\"it('no', f)\"); }); it(name, f);\n"),
     "b§_test.go": ("go", "package m\nfunc TestA§(t *testing.T) {\n}\nfunc helper() {}\n"),
     "c§.rs": ("rust", "fn plain() {}\n#[test]\n#[should_panic]\nfn checks_§() {\n}\nfn other() {}\n"),
     "D§Test.java": ("java", "class D {\n  @Test\n  public void works§() {}\n  void helper() {}\n}\n"),
     "test_e§.py": ("python", "def helper():\n    pass\nasync def test_it_§(a):\n    pass\n"),
     "f§.ts": ("typescript", "it('is no test file', f);\n"),
 }
-TEST_CASES_SQL = "(VALUES (0, 'vitest', 'adds §', 2), (0, 'vitest', 'inner', 3), (1, 'go-testing', 'TestA§', 2), (2, 'rust-testing', 'checks_§', 4), (3, 'java-junit', 'works§', 3), (4, 'python-pytest', 'test_it_§', 3))"
+TEST_CASES_SQL = "(VALUES (0, 'vitest', 'adds §', 2), (0, 'vitest', 'inner', 3), (0, 'vitest', 'n %i', 6), (0, 'vitest', 'o''ne', 9), (1, 'go-testing', 'TestA§', 2), (2, 'rust-testing', 'checks_§', 4), (3, 'java-junit', 'works§', 3), (4, 'python-pytest', 'test_it_§', 3))"
 
 
 @query(f"SELECT p_partkey AS id, provider, replace(name, '§', CAST(p_partkey AS VARCHAR)) AS name, line FROM part JOIN {TEST_CASES_SQL} v(k, provider, name, line) ON k = p_partkey % 6")

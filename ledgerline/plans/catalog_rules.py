@@ -13,9 +13,9 @@ from ledgerline.streaming import lifecycle
 
 EMITTED = staged.Extraction("emitted", r"emit\('([a-z0-9]+)'\)", ("event",), ("typescript",))
 HEARD = staged.Extraction("heard", r"on\('([a-z0-9]+)', (\w+)\)", ("event", "handler"))
-UNHEARD = staged.StagedRule("unheard", "emit|on\\(", (EMITTED, HEARD), staged.Link("emitted", "heard", (("event", "event"),)), ("files",))
-HEARD_RULE = staged.StagedRule("heard", "emit|on\\(", (EMITTED, HEARD), staged.Link("emitted", "heard", (("event", "event"),), "semi"), ("files",))
-EVERY = staged.StagedRule("every", "on\\(", (HEARD,), None, ("files", "symbols"))
+UNHEARD = staged.StagedRule("unheard", "emit|on\\(", (EMITTED, HEARD), staged.Link("emitted", "heard", (("event", "event"),)), ("file-classification.v1",))
+HEARD_RULE = staged.StagedRule("heard", "emit|on\\(", (EMITTED, HEARD), staged.Link("emitted", "heard", (("event", "event"),), "semi"), ("file-classification.v1",))
+EVERY = staged.StagedRule("every", "on\\(", (HEARD,), None, ("file-classification.v1", "semantic-relations.v1"))
 
 CODE_SQL = "c AS (SELECT p_partkey AS id, p_partkey % 3 = 0 AS ts, 'e' || p_partkey % 40 AS emits, CASE WHEN p_partkey % 2 = 0 THEN 'e' || p_size END AS hears FROM part)"
 
@@ -29,7 +29,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {CODE_SQL}, h AS (SELECT DISTINCT hears FROM c WHERE hears IS NOT NULL) SELECT CASE WHEN emits IN (SELECT hears FROM h) THEN 'heard' ELSE 'unheard' END AS rule, id, 2 AS line, emits AS event FROM c WHERE ts UNION ALL SELECT 'every', id, 3, hears FROM c WHERE hears IS NOT NULL""")
 def u1_staged_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, failed = staged.run_all([UNHEARD, HEARD_RULE, EVERY, staged.StagedRule("absent", "x", (HEARD,), None, ("documents",))], sources(spark, sf_dir), ("files", "symbols"))
+    found, failed = staged.run_all([UNHEARD, HEARD_RULE, EVERY, staged.StagedRule("absent", "x", (HEARD,), None, ("change-surface.v1",))], sources(spark, sf_dir), ("file-classification.v1", "semantic-relations.v1"))
     if list(failed) != ["absent"]:
         raise AssertionError(failed)
     return found.select("rule", F.col("path").cast("long").alias("id"), "line", F.col("detail")["event"].alias("event"))
@@ -44,13 +44,18 @@ def u5_change_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged.run_on_changes(EVERY, now.select("path", "language", before.alias("before"), F.col("content").alias("after"))).select(F.col("path").cast("long").alias("id"), F.col("detail")["event"].alias("event"))
 
 
-@query("SELECT * FROM (VALUES ('files', 'heard,unheard,every'), ('symbols', 'every')) v(fact, rules)".replace("heard,unheard,every", "every,heard,unheard"))
+NAMES_SQL = repr(list(staged.CAPABILITIES))
+
+
+@query(f"""WITH r AS (SELECT 'r' || p_partkey AS rule, ({NAMES_SQL})[p_partkey % 7 + 1] AS a, ({NAMES_SQL})[p_size % 7 + 1] AS b, p_partkey % 10 = 0 AS odd FROM part), e AS (SELECT rule, a AS fact FROM r UNION SELECT rule, b FROM r UNION SELECT rule, 'files' FROM r WHERE odd)
+    SELECT fact, CAST(count(*) AS BIGINT) AS rules, min(rule) AS first, fact <> 'files' AS known FROM e GROUP BY fact""")
 def u14_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = [UNHEARD, HEARD_RULE, EVERY]
-    own_ = staged.consumers(rules)
-    if sorted(own_) != staged.requirements(rules):
-        raise AssertionError(own_)
-    return spark.createDataFrame([(k, ",".join(v)) for k, v in own_.items()], "fact string, rules string")
+    """A rule for each part that requires one or two of the facts, or one that doesn't exist."""
+    k = F.col("p_partkey")
+    named = lambda i: pick(i, *staged.CAPABILITIES)
+    rules = own(spark, sf_dir, "part").select(text("r", k).alias("rule"), F.array_compact(F.array(named(k), named(F.col("p_size")), F.when(k % 10 == 0, "files"))).alias("requires"))
+    found = staged.consumer_table(rules)
+    return found.select("fact", F.size("rules").cast("long").alias("rules"), F.get("rules", 0).alias("first"), "known")
 
 
 @query("SELECT p_partkey AS id FROM part WHERE p_partkey % 3 = 0")

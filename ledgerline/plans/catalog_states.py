@@ -14,19 +14,24 @@ from ledgerline.streaming import lifecycle
 
 # -- rule texts ---------------------------------------------------------------------------------------
 
+#: Conditions with a number of their own (#), and what they name: metrics, unknown and unsupported names, thresholds.
 CONDITIONS = (
-    ("crl_local > 0.5 && max_func_branch >= 20", "crl_local,max_func_branch", "", "", "crl_local>0.5,max_func_branch>=20"),
-    ("loc > 100 || 30 < max_func_branch", "loc,max_func_branch", "", "loc", "max_func_branch>30"),
-    ('language == "go" && exposure >= 0.9', "exposure", "", "", "exposure>=0.9"),
-    ("zeta > 1 && path_class != 'crl_state'", "", "zeta", "zeta", ""),
-    ("crl_state == 'x' || cohesion < 0.2", "cohesion", "", "cohesion,crl_state", ""),
+    ("crl_local > 0.# && max_func_branch >= 2#", "crl_local,max_func_branch", "", "", "crl_local>0.#,max_func_branch>=2#"),
+    ("loc > 100 || 3# < max_func_branch", "loc,max_func_branch", "", "loc", "max_func_branch>3#"),
+    ('language == "go > #" && exposure >= 0.#', "exposure", "", "", "exposure>=0.#"),
+    ("zeta > # && path_class != 'crl_state'", "", "zeta", "zeta", ""),
+    ("crl_state == 'x' || cohesion < 0.# && zeta#", "cohesion", "zeta#", "cohesion,crl_state,zeta#", ""),
 )
+CONDITIONS_SQL = "(VALUES " + ", ".join("(" + ", ".join([str(i), *("'" + x.replace("'", "''") + "'" for x in c)]) + ")" for i, c in enumerate(CONDITIONS)) + ") v(k, condition, metrics, unknown, unsupported, thresholds)"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in c) + ")" for c in CONDITIONS) + ") v(condition, metrics, unknown, unsupported, thresholds)")
+@query("SELECT p_partkey AS id, " + ", ".join(f"replace({c}, '#', CAST(p_size % 9 + 1 AS VARCHAR)) AS {c}" for c in ("condition", "metrics", "unknown", "unsupported", "thresholds")) + f" FROM part JOIN {CONDITIONS_SQL} ON k = p_partkey % 5")
 def p5_condition_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(c, ",".join(rules.metrics_in(c)), ",".join(rules.unknown_in(c)), ",".join(rules.unsupported_in(c)), ",".join(f"{m}{o}{n:g}" for m, o, n in sorted(rules.thresholds_in(c)))) for c, *_ in CONDITIONS]
-    return spark.createDataFrame(rows, "condition string, metrics string, unknown string, unsupported string, thresholds string")
+    """A condition for each part."""
+    k = F.col("p_partkey")
+    conditions = own(spark, sf_dir, "part").select(k.alias("id"), F.replace(pick(k, *(c for c, *_ in CONDITIONS)), F.lit("#"), (F.col("p_size") % 9 + 1).cast("string")).alias("condition"))
+    found = rules.condition_facts(conditions)
+    return found.select("id", "condition", *(F.array_join(c, ",").alias(c) for c in ("metrics", "unknown", "unsupported", "thresholds")))
 
 
 @query("""WITH v AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 0 THEN 'nan'::DOUBLE WHEN p_partkey % 5 <> 0 THEN CAST(p_size AS DOUBLE) END AS x, (['', '7', 'go', NULL])[p_partkey % 4 + 1] AS t FROM part), n AS (SELECT *, CASE WHEN isnan(x) THEN NULL ELSE x END AS y, CASE WHEN t = '' THEN 0 ELSE TRY_CAST(t AS DOUBLE) END AS w FROM v)

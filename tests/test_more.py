@@ -78,7 +78,7 @@ def test_staged_rules_fail_closed(spark):
         with pytest.raises(staged.RuleUnavailable):
             staged.run(rule, files)
     with pytest.raises(staged.RuleUnavailable):
-        staged.run(staged.StagedRule("r", "x", (one,), None, ("tests",)), files, ("files",))
+        staged.run(staged.StagedRule("r", "x", (one,), None, ("test-case-spans.v1",)), files, ("file-classification.v1",))
     assert staged.run_all([], files) == (None, {})
 
 
