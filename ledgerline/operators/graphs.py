@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.sources.tables import cut_lineage, release
+from ledgerline.sources.tables import cut_lineage, deal, hubs_of, release
 
 
 def dependency_edges(imports: DataFrame, nodes: DataFrame, implicit: DataFrame | None = None) -> DataFrame:
@@ -52,21 +52,26 @@ def reach_depth(n_files: int) -> int:
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, component): the least node that each node is connected with, edges taken both ways. Labels spread by joins, two hops a round, until none changes."""
-    both = edges.select("src", "dst").where("src != dst")
-    both = cut_lineage(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
-    labels = nodes.select("node", F.col("node").alias("component")).distinct()
+    """(node, component): the least node that each node is connected with, edges taken both ways.
+
+    In each round a node takes the least label among its own and its neighbours', and then that label's own label, until none changes: what labels pass on
+    doubles its way. A hub's edges are dealt to several tasks, once for all rounds, and so are nodes that share a label; what the round before wrote is deleted.
+    """
+    own = edges.select("src", "dst").where("src != dst")
+    both = cut_lineage(own.unionByName(own.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
+    hubs = hubs_of(both, "src")
+    labels = cut_lineage(nodes.select("node", F.col("node").alias("component")).distinct(), "labels")
     while True:
-        offered = both.join(labels, both["src"] == labels["node"]).groupBy("dst").agg(F.min("component").alias("offer"))
-        new = labels.join(offered, labels["node"] == offered["dst"], "left").select("node", F.least("component", F.coalesce("offer", "component")).alias("next"), "component")
-        # each label is followed to its own label
-        hop = new.select(F.col("node").alias("next"), F.col("next").alias("hop"))
-        new = cut_lineage(new.join(hop, "next", "left").select("node", F.least("next", F.coalesce("hop", "next")).alias("next"), "component"), "labels")
-        settled = new.where("next != component").isEmpty()
-        labels = new.select("node", F.col("next").alias("component"))
-        if settled:
-            release(both)
-            return labels
+        offered = deal(both, labels.select(F.col("node").alias("src"), "component"), "src", hubs).groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("offer"))
+        taken = cut_lineage(labels.join(offered, "node", "left").select("node", F.least("component", F.coalesce("offer", "component")).alias("next"), "component"), "labels")
+        hop = taken.select(F.col("node").alias("next"), F.col("next").alias("hop"))
+        moved = taken.where("next != component")
+        if moved.isEmpty():
+            release(both, labels)
+            return taken.select("node", F.col("next").alias("component"))
+        new = cut_lineage(deal(taken, hop, "next", hubs_of(taken, "next"), "left").select("node", F.least("next", F.coalesce("hop", "next")).alias("component")), "labels")
+        release(labels, taken)
+        labels = new
 
 
 def component_share(functions: DataFrame, calls: DataFrame) -> DataFrame:
@@ -92,20 +97,42 @@ def dirty_files(changes: DataFrame, edges: DataFrame) -> DataFrame:
 def cyclic(dependencies: DataFrame) -> DataFrame:
     """The nodes on or behind a cycle of dependencies (task, depends_on): what is left when tasks without open dependencies are taken away until none is. Unknown tasks hold nothing up.
 
-    A round takes away one level, so there are as many as the longest chain has tasks.
+    A task with one open dependency has that one's fate, so whole chains of such tasks are skipped at once, by pointers that double; a chain that never ends is a
+    cycle. Then a level of tasks goes. There are as many rounds as the longest path has tasks with several dependencies that end at different times.
     """
     tasks = dependencies.select("task").distinct()
     left = dependencies.where(F.col("depends_on").isNotNull()).join(tasks.withColumnRenamed("task", "depends_on"), "depends_on", "left_semi").select("task", "depends_on").distinct()
     left = cut_lineage(left, "open")
-    n = left.count()
-    while n:
-        new = cut_lineage(left.join(left.select(F.col("task").alias("depends_on")).distinct(), "depends_on", "left_semi").select("task", "depends_on"), "open")
-        release(left)
-        m, left = new.count(), new
-        if m == n:
+    fates = []  # of each round: tasks whose fate is another's
+    while not left.isEmpty():
+        single = left.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.min("depends_on").alias("to")).where("n = 1").select("task", "to")
+        pointers = cut_lineage(single, "pointers")
+        rounds = max(1, pointers.count()).bit_length() + 1
+        for _ in range(rounds):
+            on = pointers.select(F.col("task").alias("to"), F.col("to").alias("far"))
+            new = cut_lineage(pointers.join(on, "to", "left").select("task", F.coalesce("far", "to").alias("to"), F.col("far").isNotNull().alias("moved")), "pointers")
+            release(pointers)
+            pointers = new
+            if new.where("moved").isEmpty():
+                break
+        # what still points at a task with one dependency never ends: it keeps itself open
+        ended = pointers.join(pointers.select(F.col("task").alias("to")), "to", "left_anti").where("task != to").select("task", "to")
+        ended = cut_lineage(ended, "fates")
+        fates.append(ended)
+        kept = left.join(ended.select("task"), "task", "left_anti")
+        far = kept.join(ended.select(F.col("task").alias("depends_on"), "to"), "depends_on", "left").select("task", F.coalesce("to", "depends_on").alias("depends_on")).distinct()
+        far = cut_lineage(far, "open")
+        open_ = far.join(far.select(F.col("task").alias("depends_on")).distinct(), "depends_on", "left_semi").select("task", "depends_on")
+        new = cut_lineage(open_, "open")
+        same = new.count() == far.count() and ended.isEmpty()
+        release(left, far, pointers)
+        left = new
+        if same:
             break
-        n = m
-    return left.select("task").distinct()
+    out = left.select("task").distinct()
+    for ended in reversed(fates):
+        out = cut_lineage(out.unionByName(ended.join(out.select(F.col("task").alias("to")), "to", "left_semi").select("task")).distinct(), "cyclic")
+    return out
 
 
 def group_components(groups: DataFrame, edges: DataFrame) -> DataFrame:

@@ -162,10 +162,21 @@ def fan_out(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def first_existing(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """Each import (importer, source, candidates) with its first candidate that exists, or null."""
-    tried = imports.select("importer", "source", F.posexplode_outer("candidates").alias("pos", "candidate"))
-    hit = tried.join(files.select(F.col("path").alias("candidate")), "candidate", "left_semi").groupBy("importer", "source").agg(F.min_by("candidate", "pos").alias("resolved"))
-    return imports.select("importer", "source").distinct().join(hit, ["importer", "source"], "left")
+    """Each import (importer, source, candidates) with its first candidate that exists, or null.
+
+    Files are keyed by their paths without suffix and index name, which nearly all candidates of an import share, and joined once by it.
+    """
+    stems = F.array_distinct(F.transform("candidates", stem))
+    asked = imports.select("importer", "source", "candidates", F.explode_outer(stems).alias("stem"))
+    known = files.select(stem(F.col("path")).alias("stem"), "path").groupBy("stem").agg(F.collect_set("path").alias("paths"))
+    found = F.array_min(F.transform(F.array_intersect("candidates", "paths"), lambda c: F.struct(F.array_position("candidates", c).alias("at"), c.alias("path"))))
+    tried = asked.join(known, "stem", "left").select("importer", "source", found.alias("hit"))
+    return tried.groupBy("importer", "source").agg(F.min("hit")["path"].alias("resolved"))
+
+
+def stem(path: Column) -> Column:
+    """A path without its suffix, and without a last part that stands for its folder."""
+    return F.regexp_replace(F.regexp_replace(path, r"(?:\.d)?\.[A-Za-z]+$", ""), r"/(?:index|mod|__init__)$", "")
 
 
 def dependencies_done(dependencies: DataFrame, status: DataFrame) -> DataFrame:

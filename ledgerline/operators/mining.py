@@ -8,9 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ledgerline.shipping import ship
-from ledgerline.sources.tables import cut_lineage, prefix_sums
+from ledgerline.sources.tables import cut_lineage, prefix_sums, release
 
 MAX_SETS, MAX_INTERSECTIONS = 10_000, 200_000
 
@@ -60,40 +61,61 @@ def member_coverage(closed: DataFrame, sets: DataFrame) -> DataFrame:
     return closed.join(least, "files")
 
 
+#: Fronts that meet in one task of a round.
+FRONTS = 8
+
+
 def pareto_front(df: DataFrame, criteria: Sequence[str]) -> DataFrame:
     """Rows that no other row is as good as on all criteria (larger is better) and better than on one. A missing criterion counts as the least.
 
-    Each task keeps the front of its own points; only points on some task's front meet the others.
+    Each task keeps the front of its own points; fronts then meet by eights, in a tree of a few rounds that each drop what another front dominates. Equal points count once on the way.
     """
     ship(df.sparkSession)
     names = [f"_c{i}" for i in range(len(criteria))]
-    points = df.select(*(F.coalesce(F.col(c).cast("double"), F.lit(float("-inf"))).alias(n) for c, n in zip(criteria, names, strict=True))).distinct()
-    local = cut_lineage(points.mapInPandas(_local_front, points.schema), "front")
-    other = local.select(*(F.col(n).alias(f"o{n}") for n in names))
-    as_good, better = F.lit(True), F.lit(False)
-    for n in names:
-        as_good, better = as_good & (F.col(f"o{n}") >= F.col(n)), better | (F.col(f"o{n}") > F.col(n))
-    front = local.join(other, as_good & better, "left_anti")
+    values = [F.coalesce(F.col(c).cast("double"), F.lit(float("-inf"))) for c in criteria]
+    points = df.select(*(v.alias(n) for v, n in zip(values, names, strict=True))).distinct()
+    schema = StructType([*points.schema.fields, StructField("_part", LongType())])
+    front = cut_lineage(points.withColumn("_part", F.spark_partition_id().cast("long")).mapInPandas(_local_front, schema), "front")
+    while front.where("_part > 0").limit(1).count():
+        groups = front.agg(F.max("_part")).first()[0] // FRONTS + 1
+        met = front.withColumn("_part", F.floor(F.col("_part") / FRONTS)).repartitionByRange(groups, "_part").sortWithinPartitions("_part")
+        new = cut_lineage(met.mapInPandas(_local_front, schema), "front")
+        release(front)
+        front = new
     matched = F.lit(True)
-    for c, n in zip(criteria, names, strict=True):
-        matched = matched & (F.coalesce(F.col(c).cast("double"), F.lit(float("-inf"))) == F.col(n))
-    return df.join(front, matched, "left_semi")
+    for v, n in zip(values, names, strict=True):
+        matched = matched & (v == F.col(n))
+    return df.join(front.drop("_part"), matched, "left_semi")
+
+
+def front_of(points: np.ndarray) -> np.ndarray:
+    """The points that none dominates, of different ones. By falling sum, so that what dominates a point stands before it; a block at a time."""
+    width = points.shape[1]
+    sums = (np.where(np.isneginf(points), -1e300, points) / width).sum(1)
+    own = points[np.lexsort((*points.T[::-1], sums))[::-1]]
+    kept = np.empty((0, width))
+    for i in range(0, len(own), 256):
+        block = own[i : i + 256]
+        for k in range(0, len(kept), 4096):
+            block = block[~(kept[None, k : k + 4096] >= block[:, None]).all(2).any(1)]
+        before = np.tril((block[None] >= block[:, None]).all(2), -1)
+        kept = np.concatenate((kept, block[~before.any(1)]))
+    return kept
 
 
 def _local_front(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns, kept = None, None
+    """The fronts of the parts (_part) that come one after the other."""
+    part, kept, columns = None, None, None
     for batch in batches:
-        columns, own = batch.columns, batch.to_numpy()
-        own = own if kept is None else np.concatenate([kept, own])
-        own = own[np.lexsort(own.T[::-1])[::-1]]  # best first, so that what dominates a point stands before it
-        front = np.empty_like(own)
-        n = 0
-        for point in own:
-            if not (front[:n] >= point).all(1).any():
-                front[n], n = point, n + 1
-        kept = front[:n].copy()
-    if kept is not None:
-        yield pd.DataFrame(kept, columns=columns)
+        columns = list(batch.columns[:-1])
+        for own, rows in batch.groupby("_part", sort=False):
+            if part is not None and own != part:
+                yield pd.DataFrame(kept, columns=columns).assign(_part=part)
+                kept = None
+            points = rows[columns].to_numpy()
+            part, kept = own, front_of(points if kept is None else np.concatenate((kept, points)))
+    if part is not None:
+        yield pd.DataFrame(kept, columns=columns).assign(_part=part)
 
 
 def extensions(changes: DataFrame, imports: DataFrame) -> DataFrame:

@@ -59,19 +59,25 @@ def size_dispersion(df: DataFrame, size: str) -> DataFrame:
 
 
 def exact_p95(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
-    """One row with the exact 95th percentile, linearly interpolated, of each column; 0 for one without values.
+    """One row with the exact 95th percentile, linearly interpolated, of each column; 0 for one without values."""
+    found = exact_p95_by(df, [], columns)
+    return found.agg(*(F.coalesce(F.max(F.when(F.col("metric") == k, F.col("v"))), F.lit(0.0)).alias(f"p95_{k}") for k in columns))
+
 
-    Columns are taken as rows (metric, value), counted by distinct value and ranked in ranges, so no task sees all values.
+def exact_p95_by(df: DataFrame, keys: Sequence[str], columns: Mapping[str, Column]) -> DataFrame:
+    """(keys, metric, v): the exact 95th percentile, linearly interpolated, of each column that has values for the keys.
+
+    Columns are taken as rows (keys, metric, value), counted by distinct value and ranked in ranges, so no task sees all values.
     """
-    pairs = df.select(F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), c.cast("double").alias("value")) for k, c in columns.items()))).alias("p")).select("p.*")
-    ranks = counted(pairs, ["metric"], "value")
-    sizes = pairs.where("value is not null").groupBy("metric").agg(F.count(F.lit(1)).alias("all"))
+    own = [*keys, "metric"]
+    pairs = df.select(*keys, F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), c.cast("double").alias("value")) for k, c in columns.items()))).alias("p")).select(*keys, "p.*")
+    ranks = counted(pairs, own, "value")
+    sizes = pairs.where("value is not null").groupBy(*own).agg(F.count(F.lit(1)).alias("all"))
     at = (F.col("all") - 1) * F.lit(0.95)
     low, high = F.floor(at), F.ceil(at)
     holds = lambda r: (F.col("below") <= r) & (r < F.col("below") + F.col("n"))
-    ends = ranks.join(sizes, "metric").where(holds(low) | holds(high)).groupBy("metric").agg(F.min("value").alias("a"), F.max("value").alias("b"), F.max(at - low).alias("share"))
-    found = ends.select("metric", (F.col("a") + (F.col("b") - F.col("a")) * F.col("share")).alias("v"))
-    return found.agg(*(F.coalesce(F.max(F.when(F.col("metric") == k, F.col("v"))), F.lit(0.0)).alias(f"p95_{k}") for k in columns))
+    ends = ranks.join(sizes, own).where(holds(low) | holds(high)).groupBy(*own).agg(F.min("value").alias("a"), F.max("value").alias("b"), F.max(at - low).alias("share"))
+    return ends.select(*own, (F.col("a") + (F.col("b") - F.col("a")) * F.col("share")).alias("v"))
 
 
 def calibration(df: DataFrame) -> DataFrame:

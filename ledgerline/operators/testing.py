@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.operators.joins import not_within, within
-from ledgerline.operators.scores import p95
+from ledgerline.operators.scores import exact_p95_by
 
 
 def unbaselined(discovered: DataFrame, canonical: DataFrame) -> DataFrame:
@@ -15,9 +15,13 @@ def unbaselined(discovered: DataFrame, canonical: DataFrame) -> DataFrame:
 
 def summarize(facts: DataFrame) -> DataFrame:
     """For each provider its files, cases and 95th percentiles; that of control flow only if every row has it."""
-    return facts.groupBy("provider").agg(
-        F.countDistinct("file").alias("files"), F.sum("cases").alias("cases"), p95(F.col("loc").cast("double")).alias("p95_loc"), p95(F.col("assertions").cast("double")).alias("p95_assertions"),
-        p95(F.col("mocks").cast("double")).alias("p95_mocks"), F.when(F.bool_and(F.col("control_flow").isNotNull()), p95(F.col("control_flow").cast("double"))).alias("p95_control_flow"))
+    measured = ("loc", "assertions", "mocks", "control_flow")
+    counts = facts.groupBy("provider").agg(F.countDistinct("file").alias("files"), F.sum("cases").alias("cases"), F.bool_and(F.col("control_flow").isNotNull()).alias("_all"))
+    ranked = exact_p95_by(facts.withColumn("provider", F.coalesce("provider", F.lit(""))), ["provider"], {c: F.col(c) for c in measured})
+    wide = ranked.groupBy("provider").agg(*(F.max(F.when(F.col("metric") == c, F.col("v"))).alias(f"_{c}") for c in measured)).withColumnRenamed("provider", "_provider")
+    out = counts.join(wide, F.coalesce("provider", F.lit("")) == F.col("_provider"), "left")
+    value = lambda c: F.coalesce(f"_{c}", F.lit(0.0))
+    return out.select("provider", "files", "cases", *(value(c).alias(f"p95_{c}") for c in measured[:3]), F.when(F.col("_all"), value("control_flow")).alias("p95_control_flow"))
 
 
 def coverage_status(discovered: Column, supported: Column, parsed: Column, failed: Column) -> Column:

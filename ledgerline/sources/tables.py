@@ -61,6 +61,31 @@ def _delete(jvm, configuration, path: str) -> None:
         pass
 
 
+#: The commonest keys that are sought, and rows of one key that meet in a task on small tables.
+HUBS, HUB_ROWS = 10_000, 256
+
+
+def hubs_of(rows: DataFrame, key: str) -> DataFrame | None:
+    """The commonest keys of a table, HUBS at most, and to how many tasks each one's rows are dealt; None without any. Another key has at most 1/HUBS of the rows."""
+    spark = rows.sparkSession
+    hubs = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HUB_ROWS).orderBy(F.desc("n")).limit(HUBS)
+    found = hubs.collect()  # at most HUBS rows
+    if not found:
+        return None
+    most = max(HUB_ROWS, sum(r["n"] for r in found) // HUBS)
+    return spark.createDataFrame([(r[key], -(-r["n"] // most)) for r in found], hubs.select(key, F.lit(0).alias("_deals")).schema)
+
+
+def deal(rows: DataFrame, one: DataFrame, key: str, hubs: DataFrame | None, how: str = "inner") -> DataFrame:
+    """rows joined with a table of one row for each key; a hub's rows are dealt to several tasks, each of which gets its row of `one`. rows is a written table, so that it has the same order if a task is redone."""
+    if hubs is None:
+        return rows.join(one, key, how)
+    deals = F.broadcast(hubs)
+    dealt = rows.join(deals, key, "left").withColumn("_deal", F.pmod(F.monotonically_increasing_id(), F.coalesce("_deals", F.lit(1))).cast("int")).drop("_deals")
+    sent = one.join(deals, key, "left").withColumn("_deal", F.explode(F.sequence(F.lit(0), F.coalesce("_deals", F.lit(1)) - 1))).drop("_deals")
+    return dealt.join(sent, [key, "_deal"], how).drop("_deal")
+
+
 def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str, below: str = "below") -> DataFrame:
     """df with the sum of weight over the rows before each, in order, among those with the same keys.
 

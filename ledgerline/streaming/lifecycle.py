@@ -123,17 +123,25 @@ def lease_stream(requests: DataFrame) -> DataFrame:
 
 
 def lease_answers(requests: DataFrame, *order: str) -> DataFrame:
-    """The answers to a log of requests, as lease_stream gives them: each target's requests by time and order."""
-    ship(requests.sparkSession)
+    """The answers to a log of requests, as lease_stream gives them: each target's requests by time and order.
 
-    def run(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
-        held, token, out = None, 0, []
-        for r in batch.sort_values(["now", *order]).to_dict("records"):
-            held, token, answer = lease_step(held, token, r)
-            out.append((key[0], r["request_id"], answer, held[1] if held else None, held[2] if held else None))
-        return pd.DataFrame(out, columns=["target", "request_id", "answer", "token", "expires_at"])
+    Targets come sorted, a batch at a time, with the lease as running state: memory doesn't grow with a target's log.
+    """
+    ship(requests.sparkSession)
 
-    return requests.groupBy("target").applyInPandas(run, LEASE_ANSWERS)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        target, held, token = None, None, 0
+        for batch in batches:
+            out = []
+            for r in batch.to_dict("records"):
+                if r["target"] != target:
+                    target, held, token = r["target"], None, 0
+                held, token, answer = lease_step(held, token, r)
+                out.append((target, r["request_id"], answer, held[1] if held else None, held[2] if held else None))
+            yield pd.DataFrame(out, columns=["target", "request_id", "answer", "token", "expires_at"])
+
+    n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return requests.repartition(n, "target").sortWithinPartitions("target", "now", *order).mapInPandas(run, LEASE_ANSWERS)
 
 
 def bounded_fan_out(events: DataFrame, subscriber: str, seq: str, capacity: int = 64) -> DataFrame:
