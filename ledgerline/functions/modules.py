@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions.paths import without_index
+
 #: What is tried after a relative TypeScript specifier.
 TYPESCRIPT_TAILS = (".ts", ".tsx", ".d.ts", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.d.ts", "/index.js", "/index.jsx")
 
@@ -22,13 +24,15 @@ def joined(folder: Column, tail: Column) -> Column:
 
 
 def typescript(imports: DataFrame) -> DataFrame:
-    """(importer, source, candidates) of imports (importer, source): relative specifiers, also with a `.js` that stands for a source file; others are external."""
+    """(importer, source, candidates, stems) of imports (importer, source): relative specifiers, also with a `.js` that stands for a source file; others are external."""
     base = joined(_folder(F.col("importer")), F.col("source"))
-    bare = F.regexp_replace(base, r"\.[cm]?jsx?$", "")
-    tails = [F.concat(base, F.lit(t)) for t in TYPESCRIPT_TAILS]
-    sources = [F.when(bare != base, F.concat(bare, F.lit(t))) for t in (".ts", ".tsx", ".d.ts")]
     local = F.col("source").rlike(r"^\.\.?(/|$)") & base.isNotNull()
-    return imports.select("importer", "source", F.when(local, F.array_compact(F.array(*sources, base, *tails))).otherwise(F.array().cast("array<string>")).alias("candidates"))
+    own = imports.select("importer", "source", F.when(local, base).alias("_base")).withColumn("_bare", F.regexp_replace("_base", r"\.[cm]?jsx?$", ""))
+    # what the candidates are without suffix and index: of `base.ts`, `base/index.ts`, base itself, and of what stands for it
+    stems = F.array_distinct(F.array_compact(F.array(without_index(F.col("_base")), F.col("_base"), without_index(F.regexp_replace("_base", r"(?:\.d)?\.[A-Za-z]+$", "")), without_index(F.col("_bare")))))
+    tails = [F.concat("_base", F.lit(t)) for t in TYPESCRIPT_TAILS]
+    sources = [F.when(F.col("_bare") != F.col("_base"), F.concat("_bare", F.lit(t))) for t in (".ts", ".tsx", ".d.ts")]
+    return own.select("importer", "source", F.array_compact(F.array(*sources, "_base", *tails)).alias("candidates"), stems.alias("stems"))
 
 
 def java(imports: DataFrame, root: str = "") -> DataFrame:

@@ -102,6 +102,11 @@ def in_scope(path: Column, extensions: Sequence[str]) -> Column:
     return F.lower(path).rlike(suffix) & ~path.rlike(excluded)
 
 
+def without_index(path: Column) -> Column:
+    """A path without a last part that stands for its folder."""
+    return F.regexp_replace(path, r"/(?:index|mod|__init__)$", "")
+
+
 def language_of(path: Column) -> Column:
     """The language of a path by its extension, or null."""
     out = None

@@ -55,7 +55,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component): the least node that each node is connected with, edges taken both ways.
 
     In each round a node takes the least label among its own and its neighbours', and then that label's own label, until none changes: what labels pass on
-    doubles its way. A hub's edges are dealt to several tasks, once for all rounds, and so are nodes that share a label; what the round before wrote is deleted.
+    doubles its way. A hub's edges are dealt to several tasks, once for all rounds; nodes that share a label are the outer side of a left join, which adaptive execution splits. What the round before wrote is deleted.
     """
     own = edges.select("src", "dst").where("src != dst")
     both = cut_lineage(own.unionByName(own.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
@@ -63,15 +63,15 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     labels = cut_lineage(nodes.select("node", F.col("node").alias("component")).distinct(), "labels")
     while True:
         offered = deal(both, labels.select(F.col("node").alias("src"), "component"), "src", hubs).groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("offer"))
-        taken = cut_lineage(labels.join(offered, "node", "left").select("node", F.least("component", F.coalesce("offer", "component")).alias("next"), "component"), "labels")
+        taken = labels.join(offered, "node", "left").select("node", F.least("component", F.coalesce("offer", "component")).alias("next"), "component")
         hop = taken.select(F.col("node").alias("next"), F.col("next").alias("hop"))
-        moved = taken.where("next != component")
-        if moved.isEmpty():
-            release(both, labels)
-            return taken.select("node", F.col("next").alias("component"))
-        new = cut_lineage(deal(taken, hop, "next", hubs_of(taken, "next"), "left").select("node", F.least("next", F.coalesce("hop", "next")).alias("component")), "labels")
-        release(labels, taken)
-        labels = new
+        new = cut_lineage(taken.join(hop, "next", "left").select("node", F.least("next", F.coalesce("hop", "next")).alias("next"), "component"), "labels")
+        release(labels)
+        labels = new.select("node", F.col("next").alias("component"))
+        labels._ledgerline_path = new._ledgerline_path
+        if new.where("next != component").isEmpty():
+            release(both)
+            return labels
 
 
 def component_share(functions: DataFrame, calls: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.paths import matches_any
+from ledgerline.functions.paths import matches_any, without_index
 
 
 @dataclass(frozen=True)
@@ -162,11 +162,11 @@ def fan_out(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def first_existing(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """Each import (importer, source, candidates) with its first candidate that exists, or null.
+    """Each import (importer, source, candidates, and where they are known the stems of the candidates) with its first candidate that exists, or null.
 
     Files are keyed by their paths without suffix and index name, which nearly all candidates of an import share, and joined once by it.
     """
-    stems = F.array_distinct(F.transform("candidates", stem))
+    stems = F.col("stems") if "stems" in imports.columns else F.array_distinct(F.transform("candidates", stem))
     asked = imports.select("importer", "source", "candidates", F.explode_outer(stems).alias("stem"))
     known = files.select(stem(F.col("path")).alias("stem"), "path").groupBy("stem").agg(F.collect_set("path").alias("paths"))
     found = F.array_min(F.transform(F.array_intersect("candidates", "paths"), lambda c: F.struct(F.array_position("candidates", c).alias("at"), c.alias("path"))))
@@ -176,7 +176,7 @@ def first_existing(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 def stem(path: Column) -> Column:
     """A path without its suffix, and without a last part that stands for its folder."""
-    return F.regexp_replace(F.regexp_replace(path, r"(?:\.d)?\.[A-Za-z]+$", ""), r"/(?:index|mod|__init__)$", "")
+    return without_index(F.regexp_replace(path, r"(?:\.d)?\.[A-Za-z]+$", ""))
 
 
 def dependencies_done(dependencies: DataFrame, status: DataFrame) -> DataFrame:
