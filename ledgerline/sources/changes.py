@@ -1,80 +1,20 @@
-"""Change sets from git: a row for each changed file, with its text before and after."""
+"""Change sets from git: a row for each changed file, with its text before and after, that executors read (`git_source`)."""
 
 from __future__ import annotations
 
-import subprocess
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerline.sources import git_source
 from ledgerline.sources.files import MAX_BLOB
 
-CHANGE_SET = "path string, kind string, before string, after string, omitted boolean"
-_KINDS = {"A": "added", "M": "modified", "D": "deleted"}
-
-
-def _git(repository: str, *words: str) -> bytes:
-    return subprocess.run(["git", "-C", repository, *words], capture_output=True, check=True).stdout
-
-
-def _names(repository: str, *words: str) -> list[tuple[str, str]]:
-    """(path, kind) of a --name-status listing; renames are a deletion and an addition, other states modifications."""
-    parts = _git(repository, *words, "--no-renames", "--name-status", "-z").decode("utf-8", "surrogateescape").split("\0")
-    return [(path, _KINDS.get(status[:1], "modified")) for status, path in zip(parts[::2], parts[1::2], strict=False) if path]
-
-
-def blob_texts(repository: str, names: Sequence[str], most: int = MAX_BLOB) -> dict[str, tuple[str | None, bool]]:
-    """For each `revision:path` its text, by one `git cat-file --batch`: (text, omitted); (None, False) where there is none, (None, True) beyond the limit."""
-    if not names:
-        return {}
-    out = subprocess.run(["git", "-C", repository, "cat-file", "--batch"], input="".join(f"{n}\n" for n in names).encode("utf-8", "surrogateescape"), capture_output=True, check=True).stdout
-    found: dict[str, tuple[str | None, bool]] = {}
-    at = 0
-    for name in names:
-        end = out.index(b"\n", at)
-        head = out[at:end]
-        at = end + 1
-        if head.endswith(b" missing"):
-            found[name] = (None, False)
-            continue
-        size = int(head.rsplit(b" ", 1)[1])
-        found[name] = (None, True) if size > most else (out[at : at + size].decode("utf-8", "replace"), False)
-        at += size + 1
-    return found
-
-
-def _table(spark: SparkSession, repository: str, names: list[tuple[str, str]], before: str, after: str | None, most: int) -> DataFrame:
-    wanted = [f"{before}:{p}" for p, kind in names if kind != "added"] + ([f"{after}:{p}" for p, kind in names if kind != "deleted"] if after is not None else [])
-    texts = blob_texts(repository, wanted, most)
-
-    def now(path: str, kind: str) -> tuple[str | None, bool]:
-        if kind == "deleted":
-            return None, False
-        if after is not None:
-            return texts[f"{after}:{path}"]
-        with open(f"{repository}/{path}", "rb") as f:
-            data = f.read(most + 1)
-        return (None, True) if len(data) > most else (data.decode("utf-8", "replace"), False)
-
-    rows = []
-    for path, kind in names:
-        old, big = (None, False) if kind == "added" else texts[f"{before}:{path}"]
-        new, bigger = now(path, kind)
-        rows.append((path, kind, old, new, big or bigger))
-    return spark.createDataFrame(rows, CHANGE_SET)
+CHANGE_SET = git_source.CHANGES
 
 
 def worktree_changes(spark: SparkSession, repository: str, staged: bool = False, most: int = MAX_BLOB) -> DataFrame:
     """Changes against the last commit: of the index (staged), or of the files as they are, new ones included. Text over the limit is left out."""
-    if staged:
-        return _table(spark, repository, _names(repository, "diff", "--cached", "HEAD"), "HEAD", "", most)
-    names = _names(repository, "diff", "HEAD")
-    fresh = _git(repository, "ls-files", "--others", "--exclude-standard", "-z").decode("utf-8", "surrogateescape").split("\0")
-    return _table(spark, repository, names + [(p, "added") for p in fresh if p], "HEAD", None, most)
+    return git_source.changes(spark, repository, "HEAD", git_source.INDEX if staged else git_source.WORKTREE, most)
 
 
 def revision_changes(spark: SparkSession, repository: str, revision: str, most: int = MAX_BLOB) -> DataFrame:
     """Changes of one commit against its first parent; all of a first commit's files are added."""
-    parents = _git(repository, "rev-list", "--parents", "-n", "1", revision).decode().split()
-    parent = parents[1] if len(parents) > 1 else _git(repository, "hash-object", "-t", "tree", "/dev/null").decode().strip()
-    return _table(spark, repository, _names(repository, "diff", parent, revision), parent, revision, most)
+    return git_source.changes(spark, repository, ":parent", revision, most)
