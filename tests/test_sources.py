@@ -88,3 +88,54 @@ def test_facts_are_kept_by_content(spark, tmp_path):
     assert fact_cache.evict(root, read_generation(spark, root), F.lit("2024-01-12").cast("timestamp"), entries=4).count() == 4
     total = read_generation(spark, root).agg(F.sum("bytes")).first()[0]
     assert fact_cache.evict(root, read_generation(spark, root), F.lit("2024-01-12").cast("timestamp"), total=total - 1).count() == 3
+
+
+def _streamed(spark, tmp_path, name, schema, batches, make):
+    """What a stream gives of files that come one after the other, and the numbers of keys with state after each."""
+    folder = tmp_path / name
+    folder.mkdir()
+    query = make(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"{name}-progress")).start()
+    kept = []
+    try:
+        for i, rows in enumerate(batches):
+            spark.createDataFrame(rows, schema).coalesce(1).write.json(str(tmp_path / f"{name}-{i}"))
+            for f in (tmp_path / f"{name}-{i}").glob("part-*"):
+                f.rename(folder / f"{i}-{f.name}")
+            query.processAllAvailable()
+            kept.append(sum(o["numRowsTotal"] for o in query.lastProgress["stateOperators"]))
+    finally:
+        query.stop()
+    return spark.table(name).collect(), kept
+
+
+def test_sessions_end_in_streams(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from ledgerline.streaming import expiry
+
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    batches = [[("a", at(0)), ("b", at(1)), ("c", at(2)), ("a", at(5))], [("a", at(9)), ("d", at(30))], [("b", at(31)), ("e", at(32))], [("z", at(200))], [("z", at(203))]]
+    found, kept = _streamed(spark, tmp_path, "sessions", "session string, at timestamp", batches, lambda s: expiry.session_stream(s, 10_000))
+    every = spark.createDataFrame([r for b in batches for r in b], "session string, at timestamp")
+    expected = {tuple(r) for r in expiry.session_log(every, 10_000, F.lit("2024-01-01 00:03:20").cast("timestamp")).collect()}
+    assert {tuple(r) for r in found} == expected and ("a", "expired", at(19)) in expected and ("e", "expired", at(42)) in expected
+    assert kept[-1] < kept[0]
+
+
+def test_leases_end_in_streams(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from ledgerline.streaming import expiry, lifecycle
+
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    schema = "target string, request_id string, action string, owner string, token long, at timestamp, ttl long"
+    ask = lambda i, t, action, owner, token, s: (t, f"r{i:02}", action, owner, token, at(s), 10_000)
+    batches = [
+        [ask(0, "x", "acquire", "p", 0, 0), ask(1, "x", "acquire", "q", 0, 3), ask(2, "y", "acquire", "q", 0, 4), ask(3, "y", "release", "q", 1, 5)], [ask(4, "x", "renew", "p", 1, 8), ask(5, "x", "acquire", "q", 0, 30)],
+        [ask(6, "z", "acquire", "p", 0, 100)], [ask(7, "x", "acquire", "p", 0, 101), ask(8, "y", "acquire", "p", 0, 102)],
+    ]
+    found, _ = _streamed(spark, tmp_path, "leases", schema, batches, expiry.expiring_leases)
+    answers = {r.request_id: (r.answer, r.token) for r in found if r.request_id}
+    log = spark.createDataFrame([r for b in batches for r in b], schema).withColumn("now", F.unix_millis("at"))
+    assert answers == {r.request_id: (r.answer, r.token) for r in lifecycle.lease_answers(log, "request_id").collect()}
+    assert {(r.target, r.token, r.at) for r in found if r.answer == "expired"} == {("x", 1, at(18)), ("x", 2, at(40))}
