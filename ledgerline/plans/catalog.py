@@ -699,4 +699,4 @@ def z57_latest_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.latest_observations(tables.table(spark, sf_dir, "events").select(F.col("event_type").alias("operation"), "user_id", F.col("event_id").alias("at")))
 
 
-from ledgerline.plans import catalog_facts, catalog_impact, catalog_rules, catalog_states, catalog_trees  # noqa: E402, F401 - they register their queries
+from ledgerline.plans import catalog_facts, catalog_impact, catalog_reports, catalog_rules, catalog_states, catalog_trees  # noqa: E402, F401 - they register their queries
