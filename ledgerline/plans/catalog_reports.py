@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.operators import scores
 from ledgerline.operators.trees import Pattern, TreeRule
 from ledgerline.plans import reports
-from ledgerline.plans.catalog import query
+from ledgerline.plans.catalog import query, stand_in
 from ledgerline.plans.catalog_facts import own, pick, text
 
 #: A test file for each supplier, in the five languages in turn: @i its id, and cases of all kinds.
@@ -73,3 +74,38 @@ def z52_assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     rows, states = reports.assembled(spark, made, "id long")
     return states.join(rows, "source", "left").select("source", "id", "state")
+
+
+@query("SELECT path, language, path_class, kind, loc, declaration_loc, max_func_branch, nesting_depth, connectedness, alpha_struct, in_degree, passthrough_calls, external_passthrough_calls FROM files", "files")
+def f9_gate_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a wide table of metrics what a gate reads."""
+    wide = stand_in(spark, sf_dir, "files").withColumns({"imports": F.array(F.col("path")), "note": F.lit("x")})
+    return scores.gate_metrics(wide)
+
+
+_WIDTH = "(length({0}) + length(regexp_replace({0}, '[^\\x{{2E81}}-\\x{{10FFFF}}]', '', 'g')))"
+
+
+@query(f"""WITH c AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 9 = 0 THEN '表' || p_name WHEN p_partkey % 7 <> 0 THEN p_name ELSE '' END AS a, CAST(p_size * p_partkey AS VARCHAR) AS b FROM part), w AS (SELECT greatest(max({_WIDTH.format('a')}), 4) AS x, greatest(max({_WIDTH.format('b')}), 4) AS y FROM c), h AS (SELECT NULL AS k, 'name' AS a, 'size' AS b UNION ALL SELECT * FROM c)
+    SELECT k AS position, a || repeat(' ', x - {_WIDTH.format('a')}) || ' ' || repeat(' ', y - {_WIDTH.format('b')}) || b AS line FROM h, w""")
+def z59_aligned_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    rows = own(spark, sf_dir, "part").select(k, F.when(k % 9 == 0, F.concat(F.lit("表"), "p_name")).when(k % 7 != 0, F.col("p_name")).alias("name"), (F.col("p_size") * k).alias("size"))
+    return reports.aligned(rows, {"name": "name", "size": "size"}, "p_partkey", right=["size"])
+
+
+#: Declarations of shapes with an @ for a number of their own, and what is wrong with them.
+DECLARATIONS = (
+    '{"java": {"weak_assertion_methods": ["a@", "b"]}, "typescript": {}}', '{"java": {"assertion_methods": ["a@"]}, "python": {"weak_assertion_methods": ["a"]}}', '["java@"]', '{"Java@": {}, "typescript": ["a"]}', '{"typescript": {"weak_assertion_methods": ["a", " "], "patterns@": ["x"]}}',
+    '{"java": {"weak_assertion_methods": [1]}, "typescript": {"weak_assertion_methods": ["c@"]}}', None,
+)
+DECLARED_SQL = """(VALUES (0, 'shapes.java', 'a@,b'), (1, 'shapes.java.assertion_methods', 'not_wired'), (1, 'shapes.python', 'not_wired'), (2, 'shapes', 'invalid_value'), (3, 'shapes.Java@', 'invalid_language_key'), (3, 'shapes.typescript', 'invalid_value'), (4, 'shapes.typescript.weak_assertion_methods', 'invalid_value'),
+    (4, 'shapes.typescript.patterns@', 'unknown_shape_class'), (5, 'shapes.java.weak_assertion_methods', 'invalid_value'), (5, 'shapes.typescript', 'c@'))"""
+
+
+@query(f"SELECT p_partkey AS id, replace(path, '@', CAST(p_size AS VARCHAR)) AS path, replace(found, '@', CAST(p_size AS VARCHAR)) AS found FROM part JOIN {DECLARED_SQL} v(k, path, found) ON k = p_partkey % 7")
+def o25_language_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A declaration for each part: the names that it declares, and what is wrong with it."""
+    declared = own(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.replace(pick(F.col("p_partkey"), *DECLARATIONS), F.lit("@"), F.col("p_size").cast("string")).alias("shapes"))
+    shapes, errors = reports.shape_declarations(declared)
+    return shapes.select("id", F.concat(F.lit("shapes."), "language").alias("path"), F.array_join("names", ",").alias("found")).unionByName(errors.withColumnRenamed("kind", "found"))

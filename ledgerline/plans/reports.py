@@ -114,3 +114,50 @@ def readiness_items(projects: DataFrame) -> DataFrame:
     }
     each = F.array(*(F.struct(F.lit(name).alias("item"), state.alias("state"), F.lit(ITEM_KINDS[name]).alias("kind")) for name, state in items.items()))
     return projects.select("project", F.explode(F.filter(each, lambda x: x["state"].isNotNull())).alias("i")).select("project", "i.item", "i.state", "i.kind")
+
+
+def display_width(text: Column) -> Column:
+    """Columns that a text takes up: wide characters two."""
+    return F.length(text) + F.length(F.regexp_replace(text, r"[^\x{2E81}-\x{10FFFF}]", ""))
+
+
+def aligned(df: DataFrame, columns: Mapping[str, str], order: str, right: Sequence[str] = ()) -> DataFrame:
+    """(position, line) of a table as text, the headers (columns: header by name) at position 0 and the rows in their order: each column as wide as its widest cell, `right` ones flush right. Missing cells are empty."""
+    names = list(columns)
+    cells = df.select(F.col(order).alias("_order"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in names))
+    widths = cells.agg(*(F.greatest(F.coalesce(F.max(display_width(F.col(c))), F.lit(0)), display_width(F.lit(columns[c]))).alias(f"_w{i}") for i, c in enumerate(names)))
+    head = df.sparkSession.range(1).select(F.lit(None).cast(cells.schema["_order"].dataType).alias("_order"), *(F.lit(columns[c]).alias(c) for c in names))
+
+    def padded(i: int, c: str) -> Column:
+        gap = F.repeat(F.lit(" "), F.col(f"_w{i}") - display_width(F.col(c)))
+        return F.concat(gap, c) if c in right else F.concat(c, gap)
+
+    every = head.withColumn("_head", F.lit(True)).unionByName(cells.withColumn("_head", F.lit(False))).crossJoin(F.broadcast(widths))  # one row of widths
+    line = F.concat_ws(" ", *(padded(i, c) for i, c in enumerate(names)))
+    return every.select(F.when(F.col("_head"), None).otherwise(F.col("_order")).alias("position"), line.alias("line"))
+
+
+#: The classes of names that a project may declare for a language, those that are named but have no effect yet, and the languages.
+SHAPE_CLASSES, LATER_CLASSES, SHAPE_LANGUAGES = ("weak_assertion_methods",), ("assertion_methods", "fixture_call_patterns"), ("java", "typescript")
+
+
+def shape_declarations(configurations: DataFrame, column: str = "shapes") -> tuple[DataFrame, DataFrame]:
+    """(shapes: id, language, names; errors: id, path, kind) of JSON mappings of language to class to names, read strictly: what has an error must not be used in part.
+
+    Kinds: invalid_value (no mapping, or no list of texts that aren't blank), invalid_language_key, not_wired (a language or a class without effect yet) and unknown_shape_class. A missing declaration has neither.
+    """
+    mapping = r"^\s*\{"
+    own = configurations.select("id", F.col(column).alias("raw")).where("raw is not null")
+    bad = own.where(~F.col("raw").rlike(mapping)).select("id", F.lit("shapes").alias("path"), F.lit("invalid_value").alias("kind"))
+    entries = own.where(F.col("raw").rlike(mapping)).select("id", F.explode(F.from_json("raw", "map<string,string>")).alias("language", "value"))
+    path = F.concat(F.lit("shapes."), F.col("language"))
+    problem = F.when(~F.col("language").rlike("^[a-z][a-z0-9_+-]*$"), "invalid_language_key").when(~F.col("language").isin(*SHAPE_LANGUAGES), "not_wired").when(~F.coalesce(F.col("value"), F.lit("")).rlike(mapping), "invalid_value")
+    judged = entries.select("id", "language", "value", path.alias("path"), problem.alias("kind"))
+    classes = judged.where("kind is null").select("id", "language", F.explode(F.from_json("value", "map<string,string>")).alias("class", "names"))
+    listed = r'^\s*\[\s*("([^"\\]|\\.)*"\s*(,\s*"([^"\\]|\\.)*"\s*)*)?\]\s*$'
+    names = F.from_json("names", "array<string>")
+    fine = F.coalesce(F.col("names"), F.lit("")).rlike(listed) & ~F.exists(F.coalesce(names, F.array().cast("array<string>")), lambda n: F.trim(n) == "")
+    wrong = F.when(F.col("class").isin(*LATER_CLASSES), "not_wired").when(~F.col("class").isin(*SHAPE_CLASSES), "unknown_shape_class").when(~fine, "invalid_value")
+    each = classes.select("id", "language", names.alias("names"), F.concat_ws(".", F.lit("shapes"), "language", "class").alias("path"), wrong.alias("kind"))
+    errors = bad.unionByName(judged.where("kind is not null").select("id", "path", "kind")).unionByName(each.where("kind is not null").select("id", "path", "kind"))
+    return each.where("kind is null").select("id", "language", "names").where(F.size("names") > 0), errors
