@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.operators import scores
+from ledgerline.operators import scores, trees
 from ledgerline.operators.trees import Pattern, TreeRule
 from ledgerline.plans import reports
 from ledgerline.plans.catalog import query, stand_in
@@ -109,3 +109,20 @@ def o25_language_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     declared = own(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.replace(pick(F.col("p_partkey"), *DECLARATIONS), F.lit("@"), F.col("p_size").cast("string")).alias("shapes"))
     shapes, errors = reports.shape_declarations(declared)
     return shapes.select("id", F.concat(F.lit("shapes."), "language").alias("path"), F.array_join("names", ",").alias("found")).unionByName(errors.withColumnRenamed("kind", "found"))
+
+
+#: Definitions of rules with an @ for a number, and the first thing wrong with each.
+DEFINITIONS = (
+    ('{"name": "r@", "message": "{f} calls", "pattern": {"kind": "statement", "form": "function", "capture": "f", "within": [{"kind": "call", "name": "eval@"}]}}', ""),
+    ('{"name": "r@", "message": "x", "pattern": {"kind": "leaf@"}}', "no such kind: leaf@"), ('{"name": "r@", "pattern": ', "no JSON"), ('["r@"]', "no rule: a rule is a mapping with a name and a pattern"),
+    ('{"name": "r@", "message": "{nothing@}", "pattern": {"kind": "call"}}', "the message names captures that nothing gives"), ('{"name": "r@", "message": "x", "pattern": {"kind": "call", "depth@": 1}}', "no rule: no such key of a pattern: depth@"),
+    ('{"name": "r@", "message": "x", "scope": "repository", "pattern": {"kind": "call"}}', "a repository rule, and no other, links two patterns"), ('{"name": "r@", "message": "x", "requires": ["change-surface.v1", "file-classification.v1"], "pattern": {"kind": "call"}}', "not available: change-surface.v1"),
+    ('{"name": "r@", "message": "x", "scope": "repository", "how": "semi", "pattern": {"kind": "call", "capture": "a"}, "other": {"kind": "string", "capture": "b"}, "on": [["a", "b"]]}', ""),
+)
+
+
+@query("SELECT p_partkey AS id, replace(problem, '@', CAST(p_size AS VARCHAR)) AS problem FROM part JOIN (VALUES " + ", ".join(f"({i}, '{problem}')" for i, (_, problem) in enumerate(DEFINITIONS)) + f") v(k, problem) ON k = p_partkey % {len(DEFINITIONS)}")
+def u23_extension_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule's definition for each part, with the first reason why it can't run."""
+    rules = own(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.replace(pick(F.col("p_partkey"), *(d for d, _ in DEFINITIONS)), F.lit("@"), F.col("p_size").cast("string")).alias("definition"))
+    return trees.contract_problems(rules, ["file-classification.v1"]).select("id", F.coalesce(F.get("problems", 0), F.lit("")).alias("problem"))
