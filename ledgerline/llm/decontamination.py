@@ -15,7 +15,8 @@ Hits are laid and verified in chunks of about `PAIRS` pairs of a window and an i
 by many items and documents needs no more memory than others.
 
 Items without words are contained in nothing. Items shorter than every mask are found as a whole,
-without substitutions. Null and empty texts contain nothing. Repeated items and documents each give
+without substitutions. Null and empty texts contain nothing. Words are compared as bytes, so that those which
+aren't UTF-8 are like others. Repeated items and documents each give
 their rows. Other columns don't matter, whatever their names.
 """
 

@@ -15,7 +15,7 @@ One pass makes a row of counts for each document, written to the shared folder;
 are sums over those rows, one for each listed language and one for the others.
 
 Null texts have no words, fail the base and are rejected. A null or unlisted language is judged by
-characters alone, against all such documents. Repeated rows each give their row; columns other than
+characters alone, against all such documents. Bytes that aren't UTF-8 count as U+FFFD, one of the other characters. Repeated rows each give their row; columns other than
 the id, text and language don't matter, whatever their names.
 """
 
