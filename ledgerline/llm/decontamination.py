@@ -29,10 +29,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import materialise, parts_of, ship, utf8
+from ledgerline.llm.common import materialise, parts_of, release, ship, utf8
 
 #: Masks that keep 6 tokens. With DEFAULTS, every stretch that verification accepts holds a window of one of them in
 #: which all kept positions match (the tests search all patterns), so no accepted overlap is missed.
@@ -191,8 +192,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_
     own = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     limits = DEFAULTS | limits
 
-    def search(block: Block) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)  # of at most block_tokens tokens
+    def search(shared: Broadcast) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = shared.value
@@ -208,9 +208,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_
     waiting = None
     for block in blocks(benchmark, item_column, item_text_column, block_tokens):
         if waiting is not None:
-            parts.append(materialise(search(waiting), "hits"))
+            shared = spark.sparkContext.broadcast(waiting)  # of at most block_tokens tokens
+            parts.append(materialise(search(shared), "hits"))
+            shared.destroy()
         waiting = block
-    parts.append(search(waiting if waiting is not None else block_of([])))
+    parts.append(search(spark.sparkContext.broadcast(waiting if waiting is not None else block_of([]))))
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
@@ -221,11 +223,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item
     """The rows of docs that contain no item, with all their columns."""
     ship(docs.sparkSession)
     limits = DEFAULTS | limits
-    place = docs.columns.index(text_column)
-
-    def without(df: DataFrame, block: Block) -> DataFrame:
-        shared = df.sparkSession.sparkContext.broadcast(block)
+    place, given, context = docs.columns.index(text_column), docs, docs.sparkSession.sparkContext
 
+    def without(df: DataFrame, shared: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = shared.value
             for batch in batches:
@@ -238,6 +238,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item
     waiting = None
     for block in blocks(benchmark, item_column, item_text_column, block_tokens):
         if waiting is not None:
-            docs = materialise(without(docs, waiting), "clean")
+            shared, before = context.broadcast(waiting), docs
+            docs = materialise(without(docs, shared), "clean")
+            shared.destroy()
+            if before is not given:
+                release(before)
         waiting = block
-    return docs if waiting is None else without(docs, waiting)
+    return docs if waiting is None else without(docs, context.broadcast(waiting))
