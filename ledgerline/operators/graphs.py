@@ -107,15 +107,17 @@ def cyclic(dependencies: DataFrame) -> DataFrame:
     while not left.isEmpty():
         single = left.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.min("depends_on").alias("to")).where("n = 1").select("task", "to")
         pointers = cut_lineage(single, "pointers")
-        rounds = max(1, pointers.count()).bit_length() + 1
-        for _ in range(rounds):
+        going = pointers.count()  # pointers that lead to another
+        while True:
             on = pointers.select(F.col("task").alias("to"), F.col("to").alias("far"))
             new = cut_lineage(pointers.join(on, "to", "left").select("task", F.coalesce("far", "to").alias("to"), F.col("far").isNotNull().alias("moved")), "pointers")
             release(pointers)
             pointers = new
-            if new.where("moved").isEmpty():
+            before, going = going, new.where("moved").count()
+            # ends are found at distances that double, and before a far task stand all nearer ones: where a round finds no end, no more will come
+            if going in (0, before):
                 break
-        # what still points at a task with one dependency never ends: it keeps itself open
+        # what still points at a task with one dependency never ends: it keeps itself open, as what leads to it does
         ended = pointers.join(pointers.select(F.col("task").alias("to")), "to", "left_anti").where("task != to").select("task", "to")
         ended = cut_lineage(ended, "fates")
         fates.append(ended)
