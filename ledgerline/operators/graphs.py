@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.sources.tables import cut_lineage, deal, hubs_of, release
@@ -74,17 +74,35 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return labels
 
 
+#: A group of more nodes is not put into one row.
+GROUP_NODES = 64
+
+
+def parts_of(nodes: str, ties: Column) -> Column:
+    """The parts (arrays) in which ties (src, dst) between its elements leave a column of few nodes: each tie joins the two parts that it touches."""
+    holds = lambda x, e: F.coalesce(F.array_contains(x, e["src"]) | F.array_contains(x, e["dst"]), F.lit(False))
+    joined = lambda parts, e: F.concat(F.filter(parts, lambda x: ~holds(x, e)), F.array(F.flatten(F.filter(parts, lambda x: holds(x, e)))))
+    return F.aggregate(ties, F.transform(nodes, lambda n: F.array(n)), joined)
+
+
 def component_share(functions: DataFrame, calls: DataFrame) -> DataFrame:
     """For each file the share of its functions in the largest group connected by calls; 1 for one function or none.
 
-    functions: file, name (a repeated name is one node but counts as often as it occurs); calls: file, caller, callee.
+    functions: file, name (a repeated name is one node but counts as often as it occurs); calls: file, caller, callee. A file of at most GROUP_NODES names is joined up in its row, a larger one by rounds.
     """
-    nodes = functions.select(F.struct("file", "name").alias("node")).distinct()
-    edges = calls.select(F.struct("file", F.col("caller").alias("name")).alias("src"), F.struct("file", F.col("callee").alias("name")).alias("dst"))
-    edges = edges.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    sizes = components(edges, nodes).groupBy("node.file", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("file").agg(F.max("n").alias("largest"))
-    counts = functions.groupBy("file").agg(F.count(F.lit(1)).alias("functions"))
-    return counts.join(sizes, "file").select("file", "functions", F.when(F.col("functions") <= 1, 1.0).otherwise(F.col("largest") / F.col("functions")).alias("connectedness"))
+    files = cut_lineage(functions.groupBy("file", "name").agg(F.count(F.lit(1)).alias("n")).groupBy("file").agg(F.sum("n").alias("functions"), F.collect_list("name").alias("names")).where("file is not null"), "files")
+    small, large = files.where(F.size("names") <= GROUP_NODES), files.where(F.size("names") > GROUP_NODES)
+    within = calls.where("caller != callee").join(small.select("file", "names").hint("merge"), "file").where(F.array_contains("names", F.col("caller")) & F.array_contains("names", F.col("callee")))
+    ties = within.groupBy("file").agg(F.collect_set(F.struct(F.least("caller", "callee").alias("src"), F.greatest("caller", "callee").alias("dst"))).alias("ties"))
+    most = F.array_max(F.transform(parts_of("names", F.col("ties")), lambda x: F.size(x)))
+    sizes = small.join(ties.hint("merge"), "file", "left").select("file", "functions", F.when(F.col("ties").isNull(), 1).otherwise(most).cast("long").alias("largest"))
+    if not large.isEmpty():
+        nodes = large.select(F.explode(F.transform("names", lambda n: F.struct("file", n.alias("name")))).alias("node"))
+        edges = calls.select(F.struct("file", F.col("caller").alias("name")).alias("src"), F.struct("file", F.col("callee").alias("name")).alias("dst"))
+        edges = edges.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi")
+        found = components(edges, nodes).groupBy("node.file", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("file").agg(F.max("n").alias("largest"))
+        sizes = sizes.unionByName(large.select("file", "functions").join(found, "file"))
+    return sizes.select("file", "functions", F.when(F.col("functions") <= 1, 1.0).otherwise(F.col("largest") / F.col("functions")).alias("connectedness"))
 
 
 def dirty_files(changes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -138,13 +156,26 @@ def cyclic(dependencies: DataFrame) -> DataFrame:
 
 
 def group_components(groups: DataFrame, edges: DataFrame) -> DataFrame:
-    """For each group (id, files) the number of parts that edges among its own files leave it in."""
-    members = groups.select("id", F.explode("files").alias("file")).distinct()
+    """For each group (id, files) the number of parts that edges among its own files leave it in.
+
+    A group of at most GROUP_NODES files goes to each of its files' edges as a whole and is joined up in its row; a larger one's files are rows, and its parts are found by rounds.
+    """
+    files = groups.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("files"))).alias("files")).where(F.size("files") > 0)
+    files = cut_lineage(files, "groups")
+    small, large = files.where(F.size("files") <= GROUP_NODES), files.where(F.size("files") > GROUP_NODES)
+    own = edges.where("src is not null and dst is not null and src != dst").select("src", "dst").distinct()
+    # pairs within small groups: a file's edges that lead into its group
+    met = small.select("id", "files", F.explode("files").alias("src")).join(own.hint("merge"), "src").where(F.array_contains("files", F.col("dst"))).select("id", F.struct("src", "dst").alias("e"))
+    tied = met.groupBy("id").agg(F.collect_list("e").alias("ties"))
+    one = small.join(tied.hint("merge"), "id", "left").select("id", F.when(F.col("ties").isNull(), F.size("files")).otherwise(F.size(parts_of("files", F.col("ties")))).cast("long").alias("components"))
+    if large.isEmpty():
+        return one
+    members = large.select("id", F.explode("files").alias("file"))
     inside = members.join(edges.select(F.col("src").alias("file"), "dst").distinct(), "file").withColumnRenamed("file", "src")
     inside = inside.join(members.withColumnRenamed("file", "dst"), ["id", "dst"], "left_semi")
     node = lambda c: F.struct("id", F.col(c).alias("file"))
     labels = components(inside.select(node("src").alias("src"), node("dst").alias("dst")), members.select(node("file").alias("node")))
-    return labels.groupBy("node.id").agg(F.countDistinct("component").alias("components"))
+    return one.unionByName(labels.groupBy("node.id").agg(F.countDistinct("component").alias("components")))
 
 
 def call_sites(functions: DataFrame) -> DataFrame:
