@@ -8,6 +8,9 @@ positions, so a merge costs a constant number of steps. Positions whose pair has
 since they were queued are stale and skipped. An n-byte pre-token takes O(n log n) steps at
 most, for any n.
 
+The short pre-tokens that a batch of texts brings stand side by side in one such queue. None's merges depend on another's,
+so the leftmost positions that a bucket has of each are merged at once, as arrays.
+
 Null and empty texts have no tokens. Bytes that aren't UTF-8 count as U+FFFD. Repeated rows each give their row. Columns other than
 the id and the text don't matter, whatever their names.
 """
@@ -16,9 +19,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -32,6 +37,8 @@ KEPT_PIECES = 300_000
 KEPT_TOKENS = 500_000
 #: Longer ones aren't kept.
 KEPT_CHARS = 64
+#: Rows of a batch of digests, bytes of pre-tokens that share a queue, and pre-tokens from which on that takes less time than one by one.
+BATCH_ROWS, QUEUE_BYTES, FEW = 4096, 1 << 20, 500
 
 
 _BIT = [1 << i for i in range(256)]
@@ -49,24 +56,33 @@ class RankQueue:
         bucket = self.buckets.get(rank)
         if bucket is None:
             self.buckets[rank] = [position]
-            self.low[rank >> 8] |= _BIT[rank & 255]
-            self.top |= 1 << (rank >> 8)
+            self.mark(rank)
         else:
             heappush(bucket, position)
 
+    def mark(self, rank: int) -> None:
+        self.low[rank >> 8] |= _BIT[rank & 255]
+        self.top |= 1 << (rank >> 8)
+
+    def unmark(self, rank: int) -> None:
+        self.low[rank >> 8] ^= _BIT[rank & 255]
+        if not self.low[rank >> 8]:
+            self.top ^= 1 << (rank >> 8)
+
+    def lowest(self) -> int:
+        """The lowest rank with a position; only while top isn't 0."""
+        word = (self.top & -self.top).bit_length() - 1
+        x = self.low[word]
+        return (word << 8) + (x & -x).bit_length() - 1
+
     def pop(self) -> tuple[int, int]:
         """The lowest rank with a position, and its leftmost position; only while top isn't 0."""
-        top = self.top
-        word = (top & -top).bit_length() - 1
-        x = self.low[word]
-        rank = (word << 8) + (x & -x).bit_length() - 1
+        rank = self.lowest()
         bucket = self.buckets[rank]
         if len(bucket) > 1:
             return rank, heappop(bucket)
         del self.buckets[rank]
-        self.low[word] = x = x & (x - 1)
-        if not x:
-            self.top = top & (top - 1)
+        self.unmark(rank)
         return rank, bucket[0]
 
 
@@ -98,8 +114,13 @@ class Encoder:
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
         self.byte_pairs = [ranks.get(bytes((a, b))) for a in range(256) for b in range(256)]
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
+        self.n_ranks = max(ranks.values(), default=0) + 1
+        self.queue = RankQueue(self.n_ranks)
+        self.byte_ranks = np.array([ranks.get(bytes((a,)), -1) for a in range(256)], np.int64)
+        both = sorted((ranks[piece[:k]] * self.n_ranks + ranks[piece[k:]], rank) for piece, rank in ranks.items() for k in range(1, len(piece)) if piece[:k] in ranks and piece[k:] in ranks)
+        self.pair_keys, self.pair_ranks = np.array([(-1, -1), *both], np.int64).T.copy()  # the first stands before all keys
         self.bytes_of = {rank: piece for piece, rank in ranks.items()}
+        self.names = {rank: str(rank) for rank in ranks.values()}
         self.spelled_byte = {str(rank): piece for piece, rank in ranks.items()}
         self.pieces, self.after_blank, self.tokens = Kept(KEPT_PIECES), Kept(KEPT_PIECES), Kept(KEPT_TOKENS)
 
@@ -163,6 +184,88 @@ class Encoder:
             i = end[i]
         return out
 
+    def merge_all(self, tokens: list[bytes]) -> Iterator[list[int]]:
+        """The ids of pre-tokens, none of them empty or in ranks. A bucket that has several positions of one is popped once for each, so they should be short."""
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        ends = np.cumsum(sizes)
+        starts, n = ends - sizes, int(ends[-1])
+        token = np.append(np.repeat(np.arange(len(tokens)), sizes), -1)
+        symbols = np.append(self.byte_ranks[np.frombuffer(b"".join(tokens), np.uint8)], -1)
+        end = np.arange(1, n + 1)  # where the symbol that starts here ends, and so the next starts; 0: no symbol starts here
+        before = np.arange(-1, n)
+        before[starts] = -1
+        pairs = np.full(n, -1)  # the rank of the symbol that starts here with the next; -1: none
+        queue, buckets = self.queue, self.queue.buckets
+
+        def push(at: np.ndarray, first: np.ndarray, second: np.ndarray) -> None:
+            """Queue positions by the rank of the symbols at them and after them."""
+            keys = np.where((first < 0) | (second < 0), -1, first * self.n_ranks + second)
+            found = np.searchsorted(self.pair_keys, keys, "right") - 1
+            ranks = np.where(self.pair_keys[found] == keys, self.pair_ranks[found], -1)
+            pairs[at] = ranks
+            known = ranks >= 0
+            at, ranks = at[known], ranks[known]
+            order = np.argsort(ranks, kind="stable")
+            at, ranks = at[order], ranks[order]
+            cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+            for i, j in zip([0, *cuts.tolist()] if len(at) else [], [*cuts.tolist(), len(at)], strict=False):
+                rank = int(ranks[i])
+                if rank in buckets:
+                    buckets[rank].append(at[i:j])
+                else:
+                    buckets[rank] = [at[i:j]]
+                    queue.mark(rank)
+
+        inner = np.flatnonzero(token[:-1] == token[1:])
+        push(inner, symbols[inner], symbols[inner + 1])
+        while queue.top:
+            rank = queue.lowest()
+            at = np.concatenate(buckets.pop(rank))
+            at = at[pairs[at] == rank]  # others are stale
+            at.sort()
+            own = token[at]
+            later = np.flatnonzero(own[1:] == own[:-1]) + 1
+            if len(later):
+                buckets[rank] = [at[later]]  # they come after what this merge brings, if that is lower
+                at = np.delete(at, later)
+            else:
+                queue.unmark(rank)
+            if not len(at):
+                continue
+            middle = end[at]
+            stop = end[middle]
+            end[at], end[middle], pairs[at], pairs[middle], symbols[at] = stop, 0, -1, -1, rank
+            inside = token[stop] == token[at]
+            here, after, left = at[inside], stop[inside], before[at]
+            before[after] = here
+            left = left[left >= 0]
+            of_rank = np.full(len(here) + len(left), rank)
+            push(np.concatenate((here, left)), np.concatenate((of_rank[: len(here)], symbols[left])), np.concatenate((symbols[after], of_rank[len(here) :])))
+        alive = end != 0
+        ids = symbols[:-1][alive].tolist()
+        if -1 in ids:
+            raise KeyError("a byte without a rank")
+        to = np.cumsum(np.add.reduceat(alive, starts, dtype=np.int64)).tolist()
+        return (ids[i:j] for i, j in zip([0, *to], to, strict=False))
+
+    def learn(self, tokens: list[str]) -> None:
+        """Keep the decimal ids of short pre-tokens."""
+        data = [x.encode() for x in tokens]
+        own = [i for i, x in enumerate(data) if x not in self.ranks]
+        out = [self.names.get(self.ranks.get(x)) for x in data]
+        name = self.names.__getitem__
+        start = size = 0
+        for k, i in enumerate(own):
+            size += len(data[i])
+            if size >= QUEUE_BYTES or k + 1 == len(own):
+                some = own[start : k + 1]
+                found = self.merge_all([data[j] for j in some]) if len(some) >= FEW else (self.merge(data[j]) for j in some)
+                for j, ids in zip(some, found, strict=True):
+                    out[j] = " ".join(map(name, ids))
+                start, size = k + 1, 0
+        for x, ids in zip(tokens, out, strict=True):
+            self.tokens.put(x, ids)
+
     def spelled_token(self, token: str) -> str:
         """The decimal ids of a pre-token, joined by one space."""
         found = self.tokens.new.get(token) or self.tokens.get(token)
@@ -172,35 +275,52 @@ class Encoder:
                 self.tokens.put(token, found)
         return found
 
-    def spelled(self, piece: str, kept: Kept, blank: str = "") -> str:
-        """The decimal ids of a piece with this before it, joined by one space."""
-        found = kept.get(piece)
-        if found is None:
-            found = " ".join(map(self.spelled_token, self.find(blank + piece)))
-            if len(piece) <= KEPT_CHARS:
-                kept.put(piece, found)
-        return found
-
     def spelled_text(self, text: str) -> str:
         """The decimal ids of a whole text, joined by one space."""
-        if not text:
-            return ""
-        own = plain_pieces(text)
-        if own is None:
-            return self._joined(whole_pieces(text), self.pieces, "")
-        if len(own) == 1:
-            return self.spelled(own[0], self.pieces)
-        head = self.spelled(own[0], self.pieces)
-        del own[0]
-        return head + " " + self._joined(own, self.after_blank, " ")
-
-    def _joined(self, own: list[str], kept: Kept, blank: str) -> str:
-        out = list(map(kept.new.get, own))
-        if None in out:
-            for i, found in enumerate(out):
-                if found is None:
-                    out[i] = kept.new.get(own[i]) or self.spelled(own[i], kept, blank)
-        return " ".join(out)
+        return self.spelled_texts([text])[0]
+
+    def spelled_texts(self, texts: list[str]) -> list[str]:
+        """The decimal ids of each whole text, joined by one space. Pre-tokens that aren't kept yet are merged together."""
+        runs = []  # of a text's pieces, those found before, what keeps them and the blank before them
+        for text in texts:
+            own = plain_pieces(text) if text else []
+            if own is None:
+                own, head = whole_pieces(text), None
+            else:
+                head = own[:1]
+            rest = own[len(head) :] if head else own
+            runs.append([(x, list(map(kept.new.get, x)), kept, blank) for x, kept, blank in ((head, self.pieces, ""), (rest, self.pieces if head is None else self.after_blank, "" if head is None else " ")) if x])
+        new: dict[str, dict[str, str | int]] = {"": {}, " ": {}}  # by blank, the ids of each piece that isn't in the new generation, or its number among those cut into pre-tokens
+        tokens: list[str] = []
+        cuts = [0]
+        for x, out, kept, blank in (y for own in runs for y in own):
+            if None in out:
+                some = new[blank]
+                for piece in [piece for piece, found in zip(x, out, strict=True) if found is None]:
+                    if piece not in some:
+                        found = kept.get(piece)
+                        if found is None:
+                            found = len(cuts) - 1
+                            tokens += self.find(blank + piece)
+                            cuts.append(len(tokens))
+                        some[piece] = found
+        self.learn([x for x in dict.fromkeys(tokens) if len(x) <= KEPT_CHARS and x not in self.tokens.new and self.tokens.get(x) is None])
+        tokens = list(map(self.spelled_token, tokens))
+        for blank, kept in (("", self.pieces), (" ", self.after_blank)):
+            some = new[blank]
+            for piece, found in some.items():
+                if isinstance(found, int):
+                    some[piece] = found = " ".join(tokens[cuts[found] : cuts[found + 1]])
+                    if len(piece) <= KEPT_CHARS:
+                        kept.put(piece, found)
+        lines = []
+        for own in runs:
+            for x, out, _, blank in own:
+                if None in out:
+                    some = new[blank]
+                    out[:] = [some[piece] if found is None else found for piece, found in zip(x, out, strict=True)]
+            lines.append(" ".join([" ".join(out) for _, out, _, _ in own]))
+        return lines
 
     def encode(self, text: str) -> list[int]:
         return list(map(int, self.spelled_text(text).split()))
@@ -232,7 +352,7 @@ def encode_documents(docs: DataFrame, id_column: str = "doc_id", text_column: st
 
     def run(columns: dict[str, pa.Array]) -> dict[str, list]:
         own = encoder(path, pattern)
-        ids = [own.encode(x or "") for x in texts_of(columns["text"])]
+        ids = [list(map(int, x.split())) for x in own.spelled_texts([x or "" for x in texts_of(columns["text"])])]
         return {"doc_id": columns["doc_id"], "n_tokens": [len(x) for x in ids], "ids": ids, "decoded": [own.decode(x) for x in ids]}
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(by_row(run, SCHEMA), "doc_id long, n_tokens long, ids array<int>, decoded binary")
@@ -250,12 +370,11 @@ def encode_digests(docs: DataFrame, id_column: str = "doc_id", text_column: str
         own = encoder(path, pattern)
         n, spelled, decoded = [], [], []
         names = own.spelled_byte
-        for text in texts_of(columns["text"]):
-            line = own.spelled_text(text or "")
+        for line in own.spelled_texts([x or "" for x in texts_of(columns["text"])]):
             ids = line.split()
             n.append(len(ids))
             spelled.append(hashlib.sha256(line.encode()).hexdigest())
             decoded.append(hashlib.sha256(b"".join(map(names.__getitem__, ids))).hexdigest())
         return {"doc_id": columns["doc_id"], "n_tokens": n, "ids_sha256": spelled, "decoded_sha256": decoded}
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(by_row(run, DIGEST), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(by_row(run, DIGEST, BATCH_ROWS), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -138,12 +138,12 @@ def parts_of(batch: pa.RecordBatch, rows: int = BATCH_ROWS) -> Iterator[pa.Recor
         start = end
 
 
-def by_row(function: Callable, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def by_row(function: Callable, schema: pa.Schema, rows: int = BATCH_ROWS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For mapInArrow: function takes a batch as arrays by column name and gives lists by column name; large batches are cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts_of(batch):
+            for part in parts_of(batch, rows):
                 out = function({n: part.column(i) for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
